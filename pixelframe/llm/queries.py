@@ -19,5 +19,79 @@ g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from d join g using (h)
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
-ORACLES = {"op7_exact_dedup": OP7_SQL}
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE_KINDS, secret_scan
+
+    out = secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate, n_hit
+
+    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = out.withColumn("n_hit", n_hit())
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_windows as (
+  select distinct cast(item_id as varchar) as item_id, n, array_to_string(w[p:p + n - 1], ' ') as g
+  from (select item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(1, len(w) - 12) + 1)) as p from items where len(w) > 0)),
+lengths as (select distinct n from item_windows),
+doc_windows as (
+  select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from words, lengths where len(w) >= n)),
+hits as (select doc_id, n, p, item_id from doc_windows join item_windows using (n, g)),
+covered as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join covered using (doc_id) left join found using (doc_id)
+"""
+
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+OP10_SQL = """
+with rules(verdict, rh, rp) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+a as (select page_id, url, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select *, regexp_extract(rest, '^[^/?#]*') as h from a),
+c as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path, row_number() over () as rn from b),
+d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn order by length(rh || rp) desc) as k
+      from c left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
