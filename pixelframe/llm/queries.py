@@ -48,6 +48,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_codec import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP6_SQL = r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -93,5 +101,5 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
