@@ -76,6 +76,30 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from words left join covered using (doc_id) left join found using (doc_id)
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) end) as s from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+  where 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by all),
+links as (select a, b from common where 100 * c >= 80 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, other) as (select distinct a, a from both_ways union select r.node, e.b from reach r join both_ways e on r.other = e.a),
+least_of as (select node, min(other) as component from reach group by node)
+select doc_id, len(s) as n_shingles, coalesce(component, doc_id) as component_id from sets left join least_of on doc_id = node
+"""
+
+
 URL_RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -101,5 +125,5 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op10_url_filter": op10_url_filter}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_url_filter": OP10_SQL}
