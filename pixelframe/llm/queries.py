@@ -100,6 +100,23 @@ select doc_id, len(s) as n_shingles, coalesce(component, doc_id) as component_id
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, p, array_to_string(w[p:p + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from words where len(w) >= 13)),
+firsts as (select g, min(doc_id) as least from windows group by g),
+gone as (select distinct doc_id, unnest(range(p, p + 13)) as p from windows join firsts using (g) where doc_id > least),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t from each anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from words left join kept using (doc_id)
+"""
+
+
 URL_RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -125,5 +142,5 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
