@@ -56,6 +56,20 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_score
+
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good)
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import quality
+
+    out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 OP6_SQL = r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -142,5 +156,5 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op4_lm_score": op4_lm_score, "op5_quality_gam": op5_quality_gam, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
