@@ -56,6 +56,13 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import html_extract
+
+    out = html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_score
 
@@ -156,5 +163,5 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_piece_codec": op3_piece_codec, "op4_lm_score": op4_lm_score, "op5_quality_gam": op5_quality_gam, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_html_extract": op2_html_extract, "op3_piece_codec": op3_piece_codec, "op4_lm_score": op4_lm_score, "op5_quality_gam": op5_quality_gam, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
