@@ -64,3 +64,31 @@ def bloom_of(hashes: DataFrame, keys: int) -> BlockedBloom:
     for r in rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).collect():
         out.words[r[0]] = np.array(r[1:], np.int64).view(np.uint64)
     return out
+
+
+def passes(ids: DataFrame, count: int, column_name: str = "doc_id"):
+    """A condition that holds for all rows whose id is in the one long column of ``ids``, and for few others."""
+    from pyspark.sql.functions import pandas_udf
+
+    def hashes(batches):
+        for b in batches:
+            h = id_hashes(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    sent = ids.sparkSession.sparkContext.broadcast(bloom_of(ids.mapInArrow(hashes, "h long"), count).words)
+
+    @pandas_udf("boolean")
+    def may(i):
+        import pandas as pd
+
+        return pd.Series(BlockedBloom(sent.value).may_hold(id_hashes(i.fillna(-1).to_numpy(np.int64))))
+
+    return may(F.col(column_name).cast("long"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in the written table ``gone``. Only rows that pass a filter of
+    its ids meet them in a join, so most texts are not shuffled."""
+    may = passes(gone.select("doc_id"), gone.count())
+    rest = docs.filter(may).join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.filter(~may).unionByName(rest)

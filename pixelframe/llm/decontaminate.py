@@ -89,8 +89,18 @@ def _blocks(windows: dict[tuple[bytes, ...], set[str]], rarity: dict, keys: dict
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, hits (begin and end of the hit words), items (sorted ids of the items with windows here)."""
+def _merged(spans: set[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([begin, end])
+    return out
+
+
+def _finder(docs: DataFrame, benchmark: DataFrame):
+    """A function from an iterable of texts to (number of words, hit stretches, item_ids) of each; it runs in tasks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct()
     windows = _windows([tuple(r) for r in items.toLocalIterator()])
@@ -98,52 +108,71 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for w in windows:
         shingles.setdefault(min(SHINGLE, len(w)), set()).update(_parts(w).tolist())
     keys = {n: np.array(sorted(s), np.uint64) for n, s in shingles.items()}
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rarity = _rarity(docs, keys) if keys else {}
+    rarity = _rarity(docs.select(F.col("text").cast("string")), keys) if keys else {}
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(windows, rarity, keys)]
 
+    def find(texts, cache):
+        for text in texts:
+            words = words_alnum(text)
+            h = cache.of(words)
+            spans, items_here = set(), set()
+            shingled: dict[int, np.ndarray] = {}
+            for sent in blocks:
+                for n, (prefix, rows) in sent.value.items():
+                    if n not in shingled:
+                        shingled[n] = _keys(h, n)
+                    s = shingled[n]
+                    low = np.searchsorted(prefix, s)
+                    low[low == len(prefix)] = 0
+                    for p in np.flatnonzero(prefix[low] == s).tolist():
+                        for j in range(int(low[p]), int(np.searchsorted(prefix, s[p], "right"))):
+                            offset, window, ids = rows[j]
+                            begin = p - offset
+                            if begin < 0 or begin + len(window) > len(words):
+                                continue
+                            if tuple(words[begin : begin + len(window)]) == window:
+                                spans.add((begin, begin + len(window)))
+                                items_here.update(ids)
+            yield len(words), _merged(spans), sorted(items_here)
+
+    return find
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, hits (begin and end of the hit words), items (sorted ids of the items with windows here)."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    find = _finder(docs, benchmark)
+
     def run(batches):
         cache = WordHashes()
         for b in batches:
-            n_words, hits, found = [], [], []
-            for text in column(b, "text"):
-                words = words_alnum(text)
-                h = cache.of(words)
-                spans, items_here = set(), set()
-                shingled: dict[int, np.ndarray] = {}
-                for sent in blocks:
-                    for n, (prefix, rows) in sent.value.items():
-                        if n not in shingled:
-                            shingled[n] = _keys(h, n)
-                        s = shingled[n]
-                        lo = np.searchsorted(prefix, s)
-                        lo[lo == len(prefix)] = 0
-                        for p in np.flatnonzero(prefix[lo] == s).tolist():
-                            for j in range(int(lo[p]), int(np.searchsorted(prefix, s[p], "right"))):
-                                offset, window, ids = rows[j]
-                                begin = p - offset
-                                if begin < 0 or begin + len(window) > len(words):
-                                    continue
-                                if tuple(words[begin : begin + len(window)]) == window:
-                                    spans.add((begin, begin + len(window)))
-                                    items_here.update(ids)
-                merged: list[list[int]] = []
-                for begin, end in sorted(spans):
-                    if merged and begin <= merged[-1][1]:
-                        merged[-1][1] = max(end, merged[-1][1])
-                    else:
-                        merged.append([begin, end])
-                n_words.append(len(words))
-                hits.append(merged)
-                found.append(sorted(items_here))
+            got = list(find(column(b, "text"), cache))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))],
+                [
+                    b.column("doc_id"),
+                    pa.array([g[0] for g in got], pa.int64()),
+                    pa.array([g[1] for g in got], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([g[2] for g in got], pa.list_(pa.string())),
+                ],
                 ["doc_id", "n_words", "hits", "items"],
             )
 
     return docs.mapInArrow(run, "doc_id long, n_words long, hits array<array<long>>, items array<string>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less those with hits in at least one of ``share`` words."""
+    find = _finder(docs, benchmark)
+
+    def run(batches):
+        cache = WordHashes()
+        for b in batches:
+            hit = [(n, sum(e - s for s, e in spans)) for n, spans, _ in find(column(b, "text"), cache)]
+            yield b.filter(pa.array([not (k and share * k >= n) for n, k in hit], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def n_hit():
     """Hit words of a row of ``decontaminate``."""
     return F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])

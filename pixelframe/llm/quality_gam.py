@@ -202,22 +202,31 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel.fit(x, np.array([r[1] for r in got], float))
 
 
-def scored(docs: DataFrame, model: QualityModel, with_columns: bool = False) -> DataFrame:
-    """doc_id and score of every row; ``with_columns``: all columns of ``docs``, and score."""
+def _matrix(batch) -> np.ndarray:
+    return np.array([features(t) for t in column(batch, "text")], float).reshape(batch.num_rows, len(FEATURES))
+
+
+def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if with_columns else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = rows.schema if with_columns else rows.select("doc_id").schema
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in column(b, "text")], float).reshape(b.num_rows, len(FEATURES))
-            kept = b.columns if with_columns else [b.column("doc_id")]
-            names = b.schema.names if with_columns else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sent.value.score(x))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(_matrix(b)))], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, score double")
+
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def accepted(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(sent.value.score(_matrix(b)) >= least))
 
-    return rows.mapInArrow(run, StructType([*schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
