@@ -66,16 +66,22 @@ def bloom_of(hashes: DataFrame, keys: int) -> BlockedBloom:
     return out
 
 
-def passes(ids: DataFrame, count: int, column_name: str = "doc_id"):
-    """A condition that holds for all rows whose id is in the one long column of ``ids``, and for few others."""
-    from pyspark.sql.functions import pandas_udf
+def sent_bloom(ids: DataFrame, count: int):
+    """A broadcast of the words of the filter of the one long column of ``ids``."""
 
     def hashes(batches):
         for b in batches:
             h = id_hashes(b.column(0).drop_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    sent = ids.sparkSession.sparkContext.broadcast(bloom_of(ids.mapInArrow(hashes, "h long"), count).words)
+    return ids.sparkSession.sparkContext.broadcast(bloom_of(ids.mapInArrow(hashes, "h long"), count).words)
+
+
+def passes(ids: DataFrame, count: int, column_name: str = "doc_id"):
+    """A condition that holds for all rows whose id is in the one long column of ``ids``, and for few others."""
+    from pyspark.sql.functions import pandas_udf
+
+    sent = sent_bloom(ids, count)
 
     @pandas_udf("boolean")
     def may(i):

@@ -186,3 +186,44 @@ def by_bucket(bucket: np.ndarray, n: int):
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         yield b, order[edges[b] : edges[b + 1]]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Byte tables for ``word_hashes``: words as they are, with A-Z lower-cased, and of letters and digits only.
+PLAIN, LOWER, ALNUM = None, _LOWER, _WORDS_ASCII
+_SEED = np.uint64(0x27D4EB2F165667C5)
+
+
+def word_hashes(texts: list, table: bytes | None = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts (str, bytes or None), and where each text's words begin and end.
+
+    Words are what stands between white space after bytes went through ``table``. All texts are hashed at once,
+    eight bytes of every word at a time, so that no word becomes a Python object.
+    """
+    parts = [t if isinstance(t, bytes) else t.encode() if t else b"" for t in texts]
+    data = b"\n".join(parts) + b"\n" + bytes(8)
+    if table is not None:
+        data = data.translate(table)
+    flat = np.frombuffer(data, np.uint8)[:-8]
+    space = _SPACE[flat]
+    begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
+    size = end - begin
+    lanes = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    h = size.astype(np.uint64) * _BASE + _SEED
+    at, left, rows = begin, size, None
+    while len(at):
+        lane = lanes[at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        if rows is None:
+            h = mixed(h ^ lane) + lane
+        else:
+            h[rows] = mixed(h[rows] ^ lane) + lane
+        more = np.flatnonzero(left > 8)
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    edges = np.searchsorted(begin, np.cumsum([0] + [len(p) + 1 for p in parts]))
+    return mixed(h), edges

@@ -30,11 +30,11 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .bloom import BlockedBloom, bloom_of, id_hashes
+from .bloom import BlockedBloom, id_hashes, passes, sent_bloom
 from .common import (
-    WordHashes,
+    LOWER,
+    PLAIN,
     batches_of,
     by_bucket,
     column,
@@ -43,7 +43,7 @@ from .common import (
     rolling,
     shuffle_parts,
     squeeze,
-    words_lower,
+    word_hashes,
     written,
 )
 from .components import components
@@ -53,16 +53,23 @@ SLOTS = 1 << 22
 _PARTS = 64
 #: Ranges of hash values whose counts the suffix filter compares.
 RANGES = 16
+#: Pairs whose texts a task unpacks together.
+PAIRS_AT_ONCE = 256
 #: Prefix n-grams in one bucket, about.
 BUCKET_GRAMS = 1_000_000
 
 
-def gram_set(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of all n-grams; of all words together if there are fewer than n."""
-    if not words:
-        return np.empty(0, np.uint64)
-    k = min(n, len(words))
-    return np.unique(mixed(rolling(cache.of(words), k) + np.uint64(k)))
+def gram_sets(texts: list, n: int, table: bytes | None = LOWER) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of all n-grams; of all its words together if there are fewer than n."""
+    h, edges = word_hashes(texts, table)
+    grams, out = mixed(rolling(h, n) + np.uint64(n)), []
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        k = end - begin
+        if k >= n:
+            out.append(np.unique(grams[begin : end - n + 1]))
+        else:
+            out.append(mixed(rolling(h[begin:end], k) + np.uint64(k)) if k else np.empty(0, np.uint64))
+    return out
 
 
 def slot_of(grams: np.ndarray) -> np.ndarray:
@@ -79,14 +86,19 @@ def similar(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents' sets hold an n-gram of each slot, over all documents."""
+    """How often n-grams of each slot stand in all documents."""
     each = SLOTS // _PARTS
 
     def count(batches):
-        cache, own = WordHashes(), np.zeros(SLOTS, np.uint32)
-        for b in batches:
-            for text in column(b, "text"):
-                np.add.at(own, slot_of(gram_set(words_lower(text), n, cache)), np.uint32(1))
+        own = np.zeros(SLOTS, np.uint32)
+        for _, texts in batches_of(batches):
+            h, edges = word_hashes(texts, LOWER)
+            grams = mixed(rolling(h, n) + np.uint64(n))
+            inside = np.ones(len(grams), bool)
+            for k in range(1, n):  # no n-gram reaches into the next text
+                at = edges[1:-1] - k
+                inside[at[(at >= 0) & (at < len(grams))]] = False
+            own += np.bincount(slot_of(grams[inside]), minlength=SLOTS).astype(np.uint32)
         for p in range(_PARTS):
             part = own[p * each : (p + 1) * each]
             if part.any():
@@ -99,7 +111,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
                 total += loosen(data)[0]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["part", "data"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, data binary")
+    rows = docs.select("doc_id", "text").mapInArrow(count, "part int, data binary")
     out = np.zeros(SLOTS, np.int64)
     for p, data in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect():
         out[p * each : (p + 1) * each] = loosen(bytes(data))[0]
@@ -107,27 +119,25 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set), ranges, prefix: its n-grams, rare ones first, as 8-byte values."""
+    """doc_id, n_shingles, fp (digest of the set), prefix: its n-grams, rare ones first, as 8-byte values."""
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
 
     def run(batches):
-        cache, times = WordHashes(), sent.value
-        for b in batches:
+        times = sent.value
+        for ids, texts in batches_of(batches):
             sizes, prints, ranges, heads = [], [], [], []
-            for text in column(b, "text"):
-                s = gram_set(words_lower(text), n, cache)
+            for s in gram_sets(texts, n):
                 k = len(s)
                 head = s[np.lexsort((s, times[slot_of(s)]))[: k - -(-percent * k // 100) + 1 if k else 0]]
                 sizes.append(k)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.uint32).tobytes())
                 heads.append(head.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(ranges, pa.binary()), pa.array(heads, pa.binary())],
-                ["doc_id", "n_shingles", "fp", "ranges", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.binary())],
+                ["doc_id", "n_shingles", "fp", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, ranges binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, prefix binary")
 
 
 def _stars(gram: np.ndarray, doc: np.ndarray, size: np.ndarray):
@@ -194,64 +204,34 @@ def star_pairs(table: DataFrame, n_buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def _only(ids: DataFrame, count: int, column_name: str = "doc_id"):
-    """A filter that passes all rows whose id is among ``ids`` and few others."""
-    sent = ids.sparkSession.sparkContext.broadcast(bloom_of(_hashes(ids), count).words)
-
-    @pandas_udf("boolean")
-    def may(i):
-        import pandas as pd
-
-        return pd.Series(BlockedBloom(sent.value).may_hold(id_hashes(i.fillna(-1).to_numpy(np.int64))))
-
-    return may(column_name)
-
-
-def _hashes(ids: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            h = id_hashes(b.column(0).drop_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-    return ids.mapInArrow(run, "h long")
-
-
 def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the written distinct ``pairs`` (a, b) whose texts' sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = written(ids, "ids")
-    may = docs.sparkSession.sparkContext.broadcast(bloom_of(_hashes(ids), ids.count()).words)
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    may = sent_bloom(ids, ids.count())
 
     def texts(batches):
         bloom, z = BlockedBloom(may.value), zstandard.ZstdCompressor(level=1)
         for b in batches:
             b = b.filter(pa.array(bloom.may_hold(id_hashes(b.column("doc_id").fill_null(-1).to_numpy()))))
-            out = [z.compress((t or "").encode().lower()) for t in column(b, "text")]
+            out = [z.compress((t or "").encode().translate(LOWER)) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "z"])
 
     def verify(batches):
-        cache, loose, kept = WordHashes(), zstandard.ZstdDecompressor(), {}
-
-        def set_of(i, z):
-            got = kept.get(i)
-            if got is None or got[0] != z:
-                if len(kept) >= 2000:
-                    kept.clear()
-                s = gram_set(loose.decompress(z).split(), n, cache)
-                got = kept[i] = (z, s, np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES))
-            return got[1:]
-
+        loose = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for a, za, b, zb in zip(*(column(batch, c) for c in ("a", "za", "b", "zb")), strict=True):
-                (sa, ra), (sb, rb) = set_of(a, za), set_of(b, zb)
-                least = least_overlap(len(sa), len(sb), percent)
-                ok = min(len(sa), len(sb)) >= least and int(np.minimum(ra, rb).sum()) >= least
-                if ok:
-                    common = len(np.intersect1d(sa, sb, assume_unique=True))
-                    ok = similar(common, len(sa), len(sb), percent)
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                left, right = column(part, "za"), column(part, "zb")
+                packed = list(dict.fromkeys(left + right))
+                sets = dict(zip(packed, gram_sets([loose.decompress(x) for x in packed], n, PLAIN), strict=True))
+                ranges = {x: np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES) for x, s in sets.items()}
+                out = []
+                for x, y in zip(left, right, strict=True):
+                    a, b = sets[x], sets[y]
+                    least = least_overlap(len(a), len(b), percent)
+                    ok = min(len(a), len(b)) >= least and int(np.minimum(ranges[x], ranges[y]).sum()) >= least
+                    out.append(ok and similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     held = docs.mapInArrow(texts, "doc_id long, z binary")
     a = held.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
@@ -277,7 +257,7 @@ def residual_pairs(table: DataFrame, labels: DataFrame, done: DataFrame, percent
                 ["gram", "at", "doc", "n", "component"],
             )
 
-    few = table.filter(_only(labels.select("node"), labels.count())).join(labels, table.doc_id == labels.node)
+    few = table.filter(passes(labels.select("node"), labels.count())).join(labels, table.doc_id == labels.node)
     few = few.select("doc_id", "n_shingles", "component", "prefix")
     grams = written(few.mapInArrow(spread, "gram long, at long, doc long, n long, component long"), "grams")
     mixed_grams = written(
@@ -312,11 +292,14 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         ra, rb = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
         both = pairs.join(ra, "a", "left").join(rb, "b", "left")
         a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        return both.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+        return both.groupBy(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).agg(F.sum("times").alias("times"))
 
-    stars = written(of_reps(written(star_pairs(table, n_buckets), "stars").distinct()), "pairs")
+    counted = star_pairs(table, n_buckets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    stars = written(of_reps(written(counted, "stars")), "pairs")
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    stars = stars.filter("a <> b")
+    # of a document's pairs, the one that most buckets report is compared now; those left over are the second round's
+    best = stars.filter("a <> b").groupBy("a").agg(F.max(F.struct("times", -F.col("b"))).alias("m"))
+    stars = written(best.select("a", (-F.col("m")["col2"]).alias("b")), "stars")
     links = written(linked(docs, stars, n, percent), "links")
     labels = components(links)
     every = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
