@@ -72,6 +72,24 @@ def features(node: Node) -> tuple:
     return (node.tag if node.tag in TAGS else "other", hint)
 
 
+def compact(nodes: list[Node]) -> list[Node]:
+    """The nodes without wrappers: elements that tell nothing and have one child, which takes their place."""
+    children = [0] * len(nodes)
+    for v in nodes[1:]:
+        children[v.parent] += 1
+    out: list[Node] = []
+    place = [0] * len(nodes)
+    for i, v in enumerate(nodes):
+        parent = place[v.parent] if i else -1
+        if i and children[i] == 1 and v.tag in ("div", "section", "other") and features(v)[1] == "none":
+            place[i] = parent
+            continue
+        place[i] = len(out)
+        v.parent = parent
+        out.append(v)
+    return out
+
+
 class DomModel:
     """Log potentials: of states at the page, of a child's state by its parent's, of feature values by state."""
 
@@ -147,7 +165,7 @@ class DomModel:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        nodes = tree(page)
+        nodes = compact(tree(page))
         marginals = self.marginals(nodes)
         return "\n".join(v.text for v, m in zip(nodes, marginals, strict=True) if v.tag == "#text" and m[ARTICLE] >= 0.5)
 
@@ -185,7 +203,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[lis
         if kind == "form":
             return el(tag, REST, el("label", REST, prose(1, 3)) + "<input>" + el("button", REST, prose(1, 2)), attrs)
         if kind == "comments":
-            each = lambda: el(pick(("div", "article", "li")), REST, el("p", REST, sentence()), named("comments"))
+            each = lambda: el(pick(("div", "article", "li")), REST, el("p", REST, sentence()), f'class="{pick(HINTS["comments"].split())}"' if chance(0.9) else "")
             return el(tag, REST, el("h3", REST, prose(1, 2)) + "".join(each() for _ in range(rng.randint(1, 5))), attrs)
         inner = short(REST) if chance(0.6) else "".join(el(pick(("p", "div", "h1", "h2")), REST, short(REST)) for _ in range(rng.randint(1, 3)))
         return el(tag, REST, inner, attrs)
@@ -213,7 +231,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[lis
         body = el("h1", ARTICLE, prose(2, 10)) if chance(0.8) else ""
         for _ in range(rng.randint(1, 12)):
             body += block()
-            if chance(0.08):
+            if chance(0.2):
                 body += rest(pick(("advert", "sidebar", "share", "form", "notice")))
         if chance(0.6):
             body = el("article", ARTICLE, body, named("article") if chance(0.4) else "")
@@ -235,7 +253,9 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[lis
         states = [FRAME] * len(nodes)
         for i, v in enumerate(nodes[1:], 1):
             states[i] = states[v.parent] if v.tag == "#text" else int(attributes(v.attrs)["data-y"])
-        out.append((nodes, states))
+        state_of = dict(zip(map(id, nodes), states, strict=True))
+        nodes = compact(nodes)
+        out.append((nodes, [state_of[id(v)] for v in nodes]))
     return out
 
 
