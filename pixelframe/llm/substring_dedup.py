@@ -42,7 +42,6 @@ from .common import (
     loosen_text,
     mixed,
     rolling,
-    shuffle_parts,
     squeeze,
     squeeze_text,
     text_bytes,
@@ -53,6 +52,8 @@ from .recompression import anchors
 WINDOW, TOKEN = 13, 5
 #: Bytes of text in one chunk, and entries in one bucket, about.
 CHUNK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
+#: The fewest chunks and buckets. Each chunk sends a row to each bucket, so small inputs are not cut up further.
+LEAST_GROUPS = 64
 _PACKED = "bucket int, kind int, data binary"
 
 
@@ -258,8 +259,7 @@ def kept_texts(docs: DataFrame) -> DataFrame:
 def _applied(docs: DataFrame, whole: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = text_bytes(docs)
-    least = 4 * shuffle_parts(docs.sparkSession)
-    n_chunks, n_buckets = max(least, size // CHUNK_BYTES), max(least, size // (16 * BUCKET_ENTRIES))
+    n_chunks, n_buckets = max(LEAST_GROUPS, size // CHUNK_BYTES), max(LEAST_GROUPS, size // (16 * BUCKET_ENTRIES))
     texts = _texts(docs, n_chunks)
     told = shared_anchors(docs, n_buckets).groupBy("bucket").applyInArrow(_meet(n_chunks, False), _PACKED)
     windows = repeated_windows(texts, told, n_buckets)
