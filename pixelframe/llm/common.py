@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points of text, as UTF-8 bytes, that a task gathers before it packs a batch.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 #: Distinct words whose hashes a Python worker remembers.
 WORDS_KEPT = 300_000
 
@@ -227,3 +227,11 @@ def word_hashes(texts: list, table: bytes | None = PLAIN) -> tuple[np.ndarray, n
         at, left = at[more] + 8, left[more] - 8
     edges = np.searchsorted(begin, np.cumsum([0] + [len(p) + 1 for p in parts]))
     return mixed(h), edges
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of ``rows`` unless the session sets a number itself: ten thousand texts
+    and their Python copies would take a large part of a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

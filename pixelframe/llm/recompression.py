@@ -1,8 +1,9 @@
 """Recompression of token sequences: rounds that name runs and pairs alike wherever they stand.
 
 A name is a 64-bit hash of what it stands for, so every task gives equal parts equal names without asking
-the others. A round first names each maximal run of one symbol, and then each pair of neighbours (a, b) with
-a in the left and b in the right half of the alphabet; a hash of symbol and round halves the alphabet.
+the others. A round names each pair of neighbours (a, b) with a in the left and b in the right half of the
+alphabet; a hash of symbol and round halves the alphabet. Before the pairs of the last round, each maximal run of one
+symbol gets a name; in earlier rounds that would widen the stretches that fix a symbol, and equal symbols never pair up.
 Whether two symbols pair up depends on them alone, so the parse of a passage depends on its inside, but for a few
 symbols at either end. Each symbol carries ``left`` and ``right``: the stretch of tokens that fixes it. Any two
 equal stretches of tokens that include this one hold the same symbol at the same place.
@@ -77,7 +78,7 @@ def _pairs(s: Symbols, level: int) -> Symbols:
 
 
 def anchors(tokens: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of ``width`` tokens the highest symbol that they fix, of several the leftmost.
+    """For each start of ``width`` tokens the highest symbol that they fix, of several the one with the least name.
 
     ``text`` numbers the texts that the tokens are of, in order. Returns names, and ordinals that grow by one
     with each further symbol in use; starts whose stretch leaves its text have undefined values. Equal
@@ -90,16 +91,17 @@ def anchors(tokens: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarra
     for level in range(1, ROUNDS + 1):
         if not n:
             break
-        s = _pairs(_runs(s, level), level)
+        s = _pairs(_runs(s, level) if level == ROUNDS else s, level)
         fits = np.flatnonzero(s.right - s.left <= width)
         if not len(fits):
             break
         f = s.of(fits)
         begin = np.maximum(f.right - width, 0)
         times = f.left - begin + 1
-        rows = np.repeat(np.arange(len(fits)), times)
+        order = np.argsort(f.name, kind="stable")[::-1]
+        rows, times = np.repeat(order, times[order]), times[order]
         place = begin[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-        rows, place = rows[::-1], place[::-1]  # of several writes to a place the last one, the leftmost symbol, stays
+        # of several writes to a place the last one, the symbol with the least name, stays
         level_of[place], name_of[place], left_of[place] = level, f.name[rows], f.left[rows]
     name = mixed(name_of + level_of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     if not n:

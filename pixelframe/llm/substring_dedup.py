@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    WordHashes,
+    PLAIN,
     batches_of,
     by_bucket,
     column,
@@ -42,16 +42,17 @@ from .common import (
     loosen_text,
     mixed,
     rolling,
+    small_batches,
     squeeze,
     squeeze_text,
     text_bytes,
-    words_plain,
+    word_hashes,
 )
 from .recompression import anchors
 
 WINDOW, TOKEN = 13, 5
 #: Bytes of text in one chunk, and entries in one bucket, about.
-CHUNK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
+CHUNK_BYTES, BUCKET_ENTRIES = 4_000_000, 1_000_000
 #: The fewest chunks and buckets. Each chunk sends a row to each bucket, so small inputs are not cut up further.
 LEAST_GROUPS = 64
 _PACKED = "bucket int, kind int, data binary"
@@ -68,6 +69,11 @@ def _rows(items) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _hashes(texts: list) -> list[np.ndarray]:
+    h, edges = word_hashes(texts, PLAIN)
+    return np.split(h, edges[1:-1]) if texts else []
+
+
 def parsed(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every window of texts, given as word hashes: text, place, anchor's name, anchor's ordinal in its text."""
     long = [i for i, h in enumerate(words) if len(h) >= WINDOW]
@@ -111,19 +117,21 @@ def shared_anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Packed entries: the anchors of each batch's documents."""
 
     def pack(batches):
-        cache = WordHashes()
-
         def items():
             for ids, texts in batches_of(b for b in batches):
                 keep = [i for i, d in enumerate(ids) if d is not None]
                 doc_ids = np.array([ids[i] for i in keep], np.int64)
-                text, _, name, ordinal = parsed([cache.of(words_plain(texts[i])) for i in keep])
+                text, _, name, ordinal = parsed(_hashes([texts[i] for i in keep]))
                 if not len(text):
                     continue
                 new = np.concatenate([[True], (ordinal[1:] != ordinal[:-1]) | (text[1:] != text[:-1])])
                 doc, name, ordinal = doc_ids[text[new]], name[new], ordinal[new].astype(np.uint32)
-                order, first, head, last = _grouped(name, doc)
+                order = np.lexsort((ordinal, doc, name))
                 doc, name, ordinal = doc[order], name[order], ordinal[order]
+                # an anchor that a document repeats is told of once, by its first ordinal
+                once = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])
+                doc, name, ordinal = doc[once], name[once], ordinal[once]
+                _, first, head, last = _grouped(name, doc)
                 several = last != doc[head]
                 # one entry tells of an anchor that several documents here share; they know already
                 send = ~several | (np.arange(len(doc)) == head)
@@ -207,24 +215,20 @@ def repeated_windows(texts: DataFrame, told: DataFrame, n_buckets: int) -> DataF
     """Packed entries: all windows of the stretches that are told to have shared anchors."""
 
     def pack(left: pa.Table, right: pa.Table) -> pa.Table:
-        cache, known, out = WordHashes(), _told_by_doc(right), []
+        known, out = _told_by_doc(right), []
         docs, keys, places = [], [], []
-        ids, words = [], []
-        for d, t in _unpacked(left) if known else ():
-            if d in known:
-                ids.append(d)
-                words.append(cache.of(t.split()))
-        if ids:
-            text, place, _, ordinal = parsed(words)
+        here = [(d, t) for d, t in _unpacked(left) if d in known] if known else []
+        if here:
+            ids, words = [d for d, _ in here], _hashes([t for _, t in here])
+            text, place, name, ordinal = parsed(words)
             edges = np.searchsorted(text, np.arange(len(ids) + 1))
             for i, d in enumerate(ids):
                 rows = slice(edges[i], edges[i + 1])
                 mine, at = ordinal[rows], place[rows]
                 if not len(mine):
                     continue
-                flags = np.zeros(max(int(mine[-1]), int(known[d].max())) + 1, bool)
-                flags[known[d]] = True
-                at = at[flags[mine]]
+                begin = np.searchsorted(mine, known[d])
+                at = at[np.isin(name[rows], name[rows][begin[begin < len(mine)]])]
                 docs.append(np.full(len(at), d, np.int64))
                 keys.append(rolling(words[i], WINDOW)[at])
                 places.append(at.astype(np.uint32))
@@ -257,6 +261,7 @@ def kept_texts(docs: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, whole: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = text_bytes(docs)
     n_chunks, n_buckets = max(LEAST_GROUPS, size // CHUNK_BYTES), max(LEAST_GROUPS, size // (16 * BUCKET_ENTRIES))
