@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, column, hashed, loosen, loosen_text, mixed, shuffle_parts, squeeze, squeeze_text, text_bytes
-from .substring_dedup import _PACKED, _chunk, _rows, _texts, _unpacked
+from .common import by_bucket, column, hashed, loosen, loosen_text, mixed, small_batches, squeeze, squeeze_text, text_bytes
+from .substring_dedup import _PACKED, LEAST_GROUPS, _chunk, _rows, _texts, _unpacked
 
 VOCABULARY, MASS = 65_536, 100.0
-CHUNK_BYTES, BUCKET_ENTRIES = 16_000_000, 1_000_000
+CHUNK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
 _REPLY = "bucket int, kind int, data binary"
 
 
@@ -146,9 +146,10 @@ def _bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 def lm_score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row; ``target``: doc_ids of the target rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size, least = text_bytes(docs), 4 * shuffle_parts(spark)
-    n_chunks, n_buckets = max(least, size // CHUNK_BYTES), max(least, size // (8 * BUCKET_ENTRIES))
+    size = text_bytes(docs)
+    n_chunks, n_buckets = max(LEAST_GROUPS, size // CHUNK_BYTES), max(LEAST_GROUPS, size // (8 * BUCKET_ENTRIES))
     chunks = _texts(docs, n_chunks).union(_labels(target, n_chunks))
     words, counts = vocabulary(chunks, n_buckets)
     sent, n_ids = spark.sparkContext.broadcast((words, counts)), len(words) + 2
