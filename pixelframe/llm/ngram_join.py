@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BlockedBloom, id_hashes, passes, sent_bloom
+from .bloom import BlockedBloom, id_hashes, sent_bloom
 from .common import (
     LOWER,
     PLAIN,
@@ -41,7 +41,7 @@ from .common import (
     loosen,
     mixed,
     rolling,
-    shuffle_parts,
+    small_batches,
     squeeze,
     word_hashes,
     written,
@@ -56,7 +56,7 @@ RANGES = 16
 #: Pairs whose texts a task unpacks together.
 PAIRS_AT_ONCE = 256
 #: Prefix n-grams in one bucket, about.
-BUCKET_GRAMS = 1_000_000
+BUCKET_GRAMS, LEAST_BUCKETS = 1_000_000, 64
 
 
 def gram_sets(texts: list, n: int, table: bytes | None = LOWER) -> list[np.ndarray]:
@@ -257,8 +257,16 @@ def residual_pairs(table: DataFrame, labels: DataFrame, done: DataFrame, percent
                 ["gram", "at", "doc", "n", "component"],
             )
 
-    few = table.filter(passes(labels.select("node"), labels.count())).join(labels, table.doc_id == labels.node)
-    few = few.select("doc_id", "n_shingles", "component", "prefix")
+    may = sent_bloom(labels.select("node"), labels.count())
+
+    def passing(batches):
+        bloom = BlockedBloom(may.value)
+        for b in batches:
+            yield b.filter(pa.array(bloom.may_hold(id_hashes(b.column("doc_id").fill_null(-1).to_numpy()))))
+
+    few = table.select("doc_id", "n_shingles", "prefix")
+    few = few.mapInArrow(passing, few.schema)
+    few = few.join(labels, few.doc_id == labels.node).select("doc_id", "n_shingles", "component", "prefix")
     grams = written(few.mapInArrow(spread, "gram long, at long, doc long, n long, component long"), "grams")
     mixed_grams = written(
         grams.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram"), "mixed"
@@ -277,6 +285,7 @@ def residual_pairs(table: DataFrame, labels: DataFrame, done: DataFrame, percent
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at a Jaccard similarity of ``percent`` / 100."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = written(prefixes(docs, n, percent), "prefixes")
     slim = table.select("doc_id", "n_shingles", "fp")
@@ -286,7 +295,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         slim.filter("n_shingles > 0").join(copies, "fp").filter("doc_id is not null").select("doc_id", "rep").distinct(), "reps"
     )
     size = table.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    n_buckets = max(4 * shuffle_parts(docs.sparkSession), size // (8 * BUCKET_GRAMS))
+    n_buckets = max(LEAST_BUCKETS, size // (8 * BUCKET_GRAMS))
 
     def of_reps(pairs: DataFrame) -> DataFrame:
         ra, rb = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
