@@ -35,7 +35,7 @@ def object_path(sha: Column | str, mime: Column | str):
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with one key, the first: a grouped minimum, so that a key with very many rows is aggregated before it is shuffled."""
     rest = [c for c in df.columns if c not in (key, order)]
-    return df.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_f")).select(key, "_f.*")
+    return df.groupBy(key).agg(F.min(order).alias(order), F.min_by(F.struct(*rest), order).alias("_f")).select(key, order, "_f.*")
 
 
 def preview_key(source: str, recipe_hash: str, overlay: str = "", mask: str = "") -> str:
