@@ -235,3 +235,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+def by_value(values: np.ndarray):
+    """(value, rows that have it) for each value."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(v)).tolist(), strict=True):
+        yield v[a], order[a:b]

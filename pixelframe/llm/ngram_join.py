@@ -4,14 +4,14 @@
    counter and then its hash put all n-grams into one order, rare ones first.
 2. Prefixes. Two sets with a Jaccard similarity of t share an n-gram among the first |x| - ceil(t|x|) + 1 of
    each in that order. Prefix n-grams are dealt to buckets in packed rows.
-3. Links, first round. Documents that share a prefix n-gram are compared with the least of them: within a
-   batch, then among the batches' least ones. Every document that could have a link is in such a pair.
-4. Links, second round. Components of the links found so far make most other pairs needless. Prefix n-grams
-   that still meet several components are joined, and all pairs across components that pass the length and
-   positional filters are compared. So no link is lost that would change a component, and a group of
-   thousands of near copies is not expanded into pairs.
-5. A pair is compared once: the suffix filter bounds the overlap from counts by hash range, then the sets
-   themselves are intersected.
+3. Clusters. Documents that share a prefix n-gram are tied to the least of them: within a batch, then among the
+   batches' least ones. Components of these ties are clusters; every pair that could be similar lies in one.
+4. Blocks. Clusters are dealt out whole while they are small. A large one is split into size classes, of which only
+   equal and adjacent ones can hold similar pairs, and these into blocks; each pair of blocks is a group of its own.
+5. Links. A group counts the prefix n-grams that its pairs share. The length filter, the positional filter on those
+   counts, and the suffix filter on counts by hash range leave few pairs. Each of these is compared once, on the sets
+   themselves, unless links of the group already join the two. Groups report the links that joined something, so a
+   group of thousands of near copies is never expanded into pairs, and no link is lost that a component needs.
 
 Sets are sets of 64-bit n-gram hashes. Equal sets (exact copies among them) are one node.
 
@@ -37,7 +37,9 @@ from .common import (
     PLAIN,
     batches_of,
     by_bucket,
+    by_value,
     column,
+    dropped,
     loosen,
     mixed,
     rolling,
@@ -52,9 +54,9 @@ from .components import components
 SLOTS = 1 << 22
 _PARTS = 64
 #: Ranges of hash values whose counts the suffix filter compares.
-RANGES = 16
-#: Pairs whose texts a task unpacks together.
-PAIRS_AT_ONCE = 256
+RANGES = 256
+#: What a document counts besides its n-grams, and what one block of a cluster holds, about.
+DOC_WEIGHT, BLOCK_WEIGHT = 200, 150_000
 #: Prefix n-grams in one bucket, about.
 BUCKET_GRAMS, LEAST_BUCKETS = 1_000_000, 64
 
@@ -118,9 +120,9 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, fp (digest of the set), prefix: its n-grams, rare ones first, as 8-byte values."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
+    sent = docs.sparkSession.sparkContext.broadcast(times)
 
     def run(batches):
         times = sent.value
@@ -204,10 +206,97 @@ def star_pairs(table: DataFrame, n_buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the written distinct ``pairs`` (a, b) whose texts' sets are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    may = sent_bloom(ids, ids.count())
+def _prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+
+
+def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, times: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the group's documents: among all of them, or between side 0 and side 1 if both are there."""
+    m, size = len(ids), np.array([len(s) for s in sets], np.int64)
+    prefix = _prefix_size(size, percent)
+    ordered = [s[np.lexsort((s, times[slot_of(s)]))] for s in sets]
+    gram = np.concatenate([o[:k] for o, k in zip(ordered, prefix.tolist(), strict=True)])
+    owner = np.repeat(np.arange(m), prefix)
+    distinct, column_of, count = np.unique(gram, return_inverse=True, return_counts=True)
+    shared = count[column_of] > 1
+    if not shared.any():
+        return []
+    # which documents have which shared prefix n-gram; a product of this table counts what pairs have in common
+    columns, at = np.unique(column_of[shared], return_inverse=True)
+    common = np.zeros((m, m), np.float32)
+    for low in range(0, len(columns), 4096):
+        part = (at >= low) & (at < low + 4096)
+        held = np.zeros((m, min(4096, len(columns) - low)), np.float32)
+        held[owner[shared][part], at[part] - low] = 1
+        common += held @ held.T
+    # the place of each prefix's last n-gram in the order: what comes after the earlier one lies in that one's rest
+    last = [o[k - 1] for o, k in zip(ordered, prefix.tolist(), strict=True)]
+    order = np.lexsort((np.array(last, np.uint64), times[slot_of(np.array(last, np.uint64))]))
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    rest = size - prefix
+    both = size[:, None] + size[None, :]
+    least = least_overlap(size[:, None], size[None, :], percent)
+    after = np.where(rank[:, None] <= rank[None, :], rest[:, None], rest[None, :])
+    keep = (common > 0) & (common + after >= least) & (np.minimum(size[:, None], size[None, :]) >= least) & (both > 0)
+    keep &= (side[:, None] < side[None, :]) if side.any() and not side.all() else np.triu(np.ones((m, m), bool), 1)
+    x, y = np.nonzero(keep)
+    best = np.argsort(-common[x, y], kind="stable")
+    ranges = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES) for s in sets]
+    parent = list(range(m))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
+        a, b = root(i), root(j)
+        if a == b or int(np.minimum(ranges[i], ranges[j]).sum()) < least[i, j]:
+            continue
+        if similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
+            parent[a] = b
+            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return out
+
+
+def blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(node, key, cluster, side): the groups in which a document of ``members`` (node, cluster, n) takes part."""
+    weight = F.col("n") + DOC_WEIGHT
+    width = float(np.log(100 / percent)) * (1 + 1e-6)  # sizes that are similar enough are at most one class apart
+    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    total = members.groupBy("cluster").agg(F.sum(weight).alias("weight"))
+    everything = total.agg(F.sum("weight")).first()[0] or 0
+    small = max(64, everything // BLOCK_WEIGHT)
+    large = written(total.filter(F.col("weight") > BLOCK_WEIGHT).select("cluster"), "large")
+    counts = members.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).cast("int").alias("count"))
+    counts = written(counts, "counts")
+
+    def of_class(shift: int) -> DataFrame:
+        return counts.select("cluster", (F.col("class") + shift).alias("class"), F.col("count").alias(f"n{shift + 1}"))
+
+    whole = members.join(large, "cluster", "left_anti").select("node", F.pmod(F.xxhash64("cluster"), F.lit(small)).alias("key"), "cluster", F.lit(0).alias("side"))
+    split = members.join(of_class(0), ["cluster", "class"]).join(of_class(1), ["cluster", "class"], "left").join(of_class(-1), ["cluster", "class"], "left")
+    split = split.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n1")).cast("int"))
+    i, c = F.col("i"), F.col("class")
+    group = lambda c0, i0, c1, i1, side: F.struct(c0.alias("c0"), i0.alias("i0"), c1.alias("c1"), i1.alias("i1"), side.alias("side"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    groups = F.concat(
+        F.transform(upto("n1"), lambda j: group(c, F.least(i, j), c, F.greatest(i, j), F.when(i <= j, 0).otherwise(1))),
+        F.transform(upto("n0"), lambda j: group(c, i, c + 1, j, F.lit(0))),
+        F.transform(upto("n2"), lambda j: group(c - 1, j, c, i, F.lit(1))),
+    )
+    split = split.select("node", "cluster", F.explode(groups).alias("g"))
+    key = F.xxhash64("cluster", "g.c0", "g.i0", "g.c1", "g.i1")
+    return whole.union(split.select("node", key.alias("key"), "cluster", F.col("g.side").alias("side")))
+
+
+def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the documents of ``members`` (node, cluster, n)."""
+    may = sent_bloom(members.select("node"), members.count())
+    sent = docs.sparkSession.sparkContext.broadcast(times)
 
     def texts(batches):
         bloom, z = BlockedBloom(may.value), zstandard.ZstdCompressor(level=1)
@@ -216,78 +305,28 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
             out = [z.compress((t or "").encode().translate(LOWER)) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "z"])
 
-    def verify(batches):
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
-                part = batch.slice(at, PAIRS_AT_ONCE)
-                left, right = column(part, "za"), column(part, "zb")
-                packed = list(dict.fromkeys(left + right))
-                sets = dict(zip(packed, gram_sets([loose.decompress(x) for x in packed], n, PLAIN), strict=True))
-                ranges = {x: np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES) for x, s in sets.items()}
-                out = []
-                for x, y in zip(left, right, strict=True):
-                    a, b = sets[x], sets[y]
-                    least = least_overlap(len(a), len(b), percent)
-                    ok = min(len(a), len(b)) >= least and int(np.minimum(ranges[x], ranges[y]).sum()) >= least
-                    out.append(ok and similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+    def verify(group: pa.Table) -> pa.Table:
+        loose, out = zstandard.ZstdDecompressor(), []
+        cluster, side = group.column("cluster").to_numpy(), group.column("side").to_numpy()
+        for _, rows in by_value(cluster):
+            part = group.take(pa.array(rows))
+            sets = gram_sets([loose.decompress(z) for z in column(part, "z")], n, PLAIN)
+            some = [k for k, s in enumerate(sets) if len(s)]
+            ids = column(part, "node")
+            out += joined_in_group([ids[k] for k in some], [sets[k] for k in some], side[rows][some], sent.value, percent)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     held = docs.mapInArrow(texts, "doc_id long, z binary")
-    a = held.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
-    b = held.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "za", "b", "zb").mapInArrow(verify, "a long, b long")
-
-
-def residual_pairs(table: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components at a shared prefix n-gram that pass the length and positional filters, less ``done``.
-
-    ``labels``: (node, component) of all nodes that share a prefix n-gram with another node.
-    """
-
-    def spread(batches):
-        for b in batches:
-            heads = [np.frombuffer(h, np.int64) for h in column(b, "prefix")]
-            times = [len(h) for h in heads]
-            at = np.concatenate([np.arange(t, dtype=np.int64) for t in times]) if heads else np.empty(0, np.int64)
-            rows = np.repeat(np.arange(len(heads)), times)
-            take = lambda c: b.column(c).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(heads) if heads else at), pa.array(at), take("doc_id"), take("n_shingles"), take("component")],
-                ["gram", "at", "doc", "n", "component"],
-            )
-
-    may = sent_bloom(labels.select("node"), labels.count())
-
-    def passing(batches):
-        bloom = BlockedBloom(may.value)
-        for b in batches:
-            yield b.filter(pa.array(bloom.may_hold(id_hashes(b.column("doc_id").fill_null(-1).to_numpy()))))
-
-    few = table.select("doc_id", "n_shingles", "prefix")
-    few = few.mapInArrow(passing, few.schema)
-    few = few.join(labels, few.doc_id == labels.node).select("doc_id", "n_shingles", "component", "prefix")
-    grams = written(few.mapInArrow(spread, "gram long, at long, doc long, n long, component long"), "grams")
-    mixed_grams = written(
-        grams.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram"), "mixed"
-    )
-    grams = written(grams.join(mixed_grams, "gram", "left_semi"), "grams")
-    x, y = grams.alias("x"), grams.alias("y")
-    pairs = x.join(
-        y,
-        F.expr(
-            f"x.gram = y.gram and x.component < y.component and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-            f" and {100 + percent} * (1 + least(x.n - x.at - 1, y.n - y.at - 1)) >= {percent} * (x.n + y.n)"
-        ),
-    ).select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
-    return pairs.distinct().join(done, ["a", "b"], "left_anti")
+    groups = blocks(members, percent).join(held, F.col("node") == F.col("doc_id")).select("key", "cluster", "side", "node", "z")
+    return groups.groupBy("key").applyInArrow(verify, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at a Jaccard similarity of ``percent`` / 100."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = written(prefixes(docs, n, percent), "prefixes")
+    times = frequencies(docs, n)
+    table = written(prefixes(docs, times, n, percent), "prefixes")
     slim = table.select("doc_id", "n_shingles", "fp")
     groups = slim.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     copies = written(groups.filter("rows > 1"), "copies")
@@ -301,21 +340,16 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         ra, rb = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
         both = pairs.join(ra, "a", "left").join(rb, "b", "left")
         a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        return both.groupBy(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).agg(F.sum("times").alias("times"))
-
-    counted = star_pairs(table, n_buckets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    stars = written(of_reps(written(counted, "stars")), "pairs")
-    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    # of a document's pairs, the one that most buckets report is compared now; those left over are the second round's
-    best = stars.filter("a <> b").groupBy("a").agg(F.max(F.struct("times", -F.col("b"))).alias("m"))
-    stars = written(best.select("a", (-F.col("m")["col2"]).alias("b")), "stars")
-    links = written(linked(docs, stars, n, percent), "links")
+        return both.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+    ties = written(of_reps(written(star_pairs(table, n_buckets).distinct(), "ties")), "ties")
+    clusters = components(ties)
+    sizes = slim.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    members = clusters.withColumnRenamed("component", "cluster").join(sizes, "node").groupBy("node", "cluster").agg(F.max("n").alias("n"))
+    members = written(members, "members")
+    links = written(linked(docs, members, times, n, percent), "links")
+    dropped(ties, clusters, members, reps)
     labels = components(links)
-    every = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    more = written(residual_pairs(table, written(every, "nodes"), stars, percent), "pairs")
-    more_links = written(linked(docs, more, n, percent), "links")
-    if more_links.limit(1).count():
-        labels = components(links.union(more_links))
     out = slim.join(copies.select("fp", "rep"), "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out.rep == labels.node, "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
