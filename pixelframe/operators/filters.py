@@ -70,13 +70,12 @@ def median(p: PixelFrame, radius: int) -> PixelFrame:
 
 def unsharp_mask(p: PixelFrame, amount: float, radius: float, threshold=0) -> PixelFrame:
     p = p.to(LINEAR)
-    soft = blur(p, radius).df.select("image_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgba"))
     if len(N.gaussian_weights(radius)) // 2 <= WINDOW_RADIUS:
-        kept = p.with_columns({f"_o{c}": F.col(c) for c in "rgba"})
-        soft = blur(kept, radius)
+        # the windows carry the sharp channels along, so that nothing is joined
+        soft = blur(p.with_columns({f"_o{c}": F.col(c) for c in "rgba"}), radius)
         both = soft.with_columns({f"_{c}": F.col(c) for c in "rgba"} | {c: F.col(f"_o{c}") for c in "rgba"}).df
     else:
-        both = p.df.join(soft, ["image_id", "y", "x"])
+        both = p.df.join(blur(p, radius).df.select("image_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgba")), ["image_id", "y", "x"])
     diff = {c: F.col(c) - F.col(f"_{c}") for c in "rgba"}
     sharp = {c: F.when(F.abs(d) > threshold / 255.0, N.clamp(F.col(c) + float(amount) * d)).otherwise(F.col(c)) for c, d in diff.items()}
     return PixelFrame(both.withColumns(sharp).select(*p.df.columns), p.width, p.height, p.space, p.matrix)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures, sql
@@ -14,6 +14,7 @@ from .functions import numeric as N
 from .operators import color, compare, composite, filters, geometry, masks, tilt
 from .plans.compile import execute
 from .plans.presets import PRESETS
+from .plans.recipe import recipe_hash
 from .sources import images, store
 from .sources.cube import Cube
 
@@ -259,6 +260,23 @@ add("store_lineage", _lineage, f"with recursive e as ({_TURNS}), up(revision_id,
 add("store_memo_hits", lambda s, d: _turns(s, d).filter("source_revision_id is not null").groupBy("source_revision_id").agg(F.min("revision_id").alias("revision_id")), f"select source_revision_id, min(revision_id) revision_id from ({_TURNS}) where source_revision_id is not null group by 1")
 
 
+def _list_order(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.row_number().over(w).alias("place"))
+
+
+add("store_list_order", _list_order, "select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) place from events")
+
+
+def _hashes(s: SparkSession, d: str) -> DataFrame:
+    """The recipe hash of each document's vignette, whose strength is its id's last digit in tenths."""
+    rows = [(k, recipe_hash({"operations": [{"op": "vignette", "strength": k / 10}]})) for k in range(10)]
+    return _docs(s, d).select("doc_id", (F.col("doc_id") % 10).alias("k")).join(F.broadcast(s.createDataFrame(rows, "k long, recipe_hash string")), "k").drop("k")
+
+
+add("store_recipe_hash", _hashes, """select doc_id, sha256('{"operations":[{"feather":0.5,"op":"vignette","radius":0.7,"strength":0.' || (doc_id % 10) || '}]}') recipe_hash from documents""")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A film look, stretched, as means of each image's channels."""
     from .plans.recipe import canonical, parse

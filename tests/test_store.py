@@ -46,3 +46,18 @@ def test_stream_drops_repeated_content(spark, tmp_path):
     query = incoming(spark, str(tmp_path)).writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("arrivals").count() == 2
+
+
+def test_files_are_written_once(spark, tmp_path):
+    from pixelframe.sources.sinks import export_file, preview_path, write_objects
+
+    work = tmp_path / "work"
+    rows = [("objects/ab/x.png", bytearray(b"1")), ("objects/ab/x.png", bytearray(b"1")), (preview_path("k", "png"), bytearray(b"2"))]
+    write_objects(spark.createDataFrame(rows, "rel_path string, content binary"), str(work))
+    write_objects(spark.createDataFrame([("objects/ab/x.png", bytearray(b"3"))], "rel_path string, content binary"), str(work))
+    assert (work / "objects/ab/x.png").read_bytes() == b"1" and len(list((work / "objects/ab").iterdir())) == 1
+    out = tmp_path / "out.png"
+    export_file(str(work / "objects/ab/x.png"), str(out), str(work))
+    for target in (str(out), str(work / "y"), str(tmp_path), str(tmp_path / "none/y")):
+        with pytest.raises(StoreError):
+            export_file(str(out), target, str(work))
