@@ -140,7 +140,8 @@ def vignette_gain(width: int, height: int, strength: float, radius: float, feath
     return N.col_q6(1.0 - float(strength) * N.smoothstep(t))
 
 
-_MASK64 = (1 << 64) - 1
+# What the seed is xored with, and the factors of block column, block row and channel.
+GRAIN_SEED, GRAIN_FACTORS = 0xA0761D6478BD642F, (0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15)
 
 
 def _splitmix(z: np.ndarray) -> np.ndarray:
@@ -157,10 +158,10 @@ def grain_noise(seed: int, size: int, channel: int):
     @pandas_udf("double")
     def noise(x: pd.Series, y: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            z = _splitmix(np.full(len(x), seed & _MASK64, np.uint64))
-            for part in ((x // size), (y // size)):
-                z = _splitmix(z ^ part.to_numpy().astype(np.uint64))
-            z = _splitmix(z ^ np.uint64(channel))
+            z = _splitmix(np.full(len(x), seed ^ GRAIN_SEED, np.uint64))
+            parts = (x // size).to_numpy(), (y // size).to_numpy(), np.full(len(x), channel)
+            for part, factor in zip(parts, GRAIN_FACTORS, strict=True):
+                z = _splitmix(z ^ part.astype(np.uint64) * np.uint64(factor))
         return pd.Series((z >> np.uint64(32)).astype(np.float64) / 4294967295.0 * 2.0 - 1.0)
 
     return noise("x", "y")

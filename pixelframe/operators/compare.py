@@ -27,7 +27,7 @@ def diff_stats(a: PixelFrame, b: PixelFrame, threshold: int = 2) -> DataFrame:
 
 
 # The heat map's stops.
-HEAT = ((0, (0, 0, 0)), (64, (0, 0, 255)), (160, (255, 0, 0)), (255, (255, 255, 0)))
+HEAT = ((0, (0x10, 0x10, 0x30)), (64, (0x00, 0x40, 0xFF)), (160, (0xFF, 0xE8, 0x00)), (255, (0xFF, 0x00, 0x00)))
 
 
 def diff_heatmap(a: PixelFrame, b: PixelFrame) -> DataFrame:
@@ -65,8 +65,14 @@ def guides(p: PixelFrame, kind: str) -> DataFrame:
     n = {"grid": 8, "thirds": 3, "horizon": 12}[kind]
     rows = [i * p.height // n for i in range(1, n)]
     columns = [] if kind == "horizon" else [i * p.width // n for i in range(1, n)]
-    on = F.col("y").isin(rows) | F.col("x").isin(columns) if columns else F.col("y").isin(rows)
-    mixed = lambda c, k: F.when(on, F.floor(F.col(c) * 0.4 + k * 0.6 + 0.5).cast("int")).otherwise(F.col(c)).alias(c)
+    lined = lambda c, k: F.floor(c * 0.4 + k * 0.6 + 0.5)
+    row, column = F.col("y").isin(rows), F.col("x").isin(columns) if columns else F.lit(False)
+
+    def mixed(name: str, k: int) -> Column:
+        """Each line is drawn for itself, so a crossing is drawn twice."""
+        c = F.col(name)
+        return F.when(row & column, lined(lined(c, k), k)).when(row | column, lined(c, k)).otherwise(c).cast("int").alias(name)
+
     return codes(p).select(*KEY, *(mixed(c, k) for c, k in zip(("r8", "g8", "b8"), GUIDE, strict=True)))
 
 

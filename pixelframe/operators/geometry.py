@@ -221,7 +221,7 @@ def perspective_step(width: int, height: int, quad=None, vertical_degrees=None,
         w, h = (max(1, int(N.half_away((a + b) / 2))) for a, b in ((d(0, 1), d(3, 2)), (d(0, 3), d(1, 2))))
         return homography(quad, w, h), w, h
     f = max(width, height)
-    tilt = np.array([[1, 0, 0], [0, 1, 0], [math.tan(math.radians(horizontal_degrees or 0)) / f, math.tan(math.radians(vertical_degrees or 0)) / f, 1]])
+    tilt = np.array([[1, 0, 0], [0, 1, 0], [N.q6(math.tan(math.radians(horizontal_degrees or 0))) / f, N.q6(math.tan(math.radians(vertical_degrees or 0))) / f, 1]])
     centre = np.array([[1, 0, width / 2], [0, 1, height / 2], [0, 0, 1]])
     return centre @ tilt @ np.linalg.inv(centre), width, height
 

@@ -108,9 +108,8 @@ def healed(v: np.ndarray, src: tuple[int, int], dest: tuple[int, int], radius: i
     h, w, _ = v.shape
     radius = min(radius, int(np.ceil(np.hypot(w, h))))
     patch = lambda c: v[np.clip(np.arange(c[1] - radius, c[1] + radius + 1), 0, h - 1)][:, np.clip(np.arange(c[0] - radius, c[0] + radius + 1), 0, w - 1)]
-    smooth = lambda q: convolved(convolved(q, weights, 1), weights, 0)
     a, b = patch(src), patch(dest)
-    mixed = np.clip(a - smooth(a) + smooth(b), 0, 1)
+    mixed = np.clip(a - blurred(a, weights) + blurred(b, weights), 0, 1)
     out = v.copy()
     ys, xs = np.indices(mixed.shape[:2])
     ys, xs = ys + dest[1] - radius, xs + dest[0] - radius

@@ -52,55 +52,61 @@ def plane(p: PixelFrame, width: int, height: int, invert=False, feather_px=0.0)
     return df.withColumn("w", N.clamp(F.col("w")))
 
 
-def _ramp(v: Column, low: Column | float, high: Column | float) -> Column:
-    return N.clamp((v - low) / (high - low))
+def _ramp_down(t: Column, low: float, high: float) -> Column:
+    """1 up to ``low``, 0 from ``high`` on, a line between; a step at ``low`` if they do not differ."""
+    step = F.when(t <= float(low), 1.0)
+    return step.otherwise(0.0) if high <= low else step.when(t >= float(high), 0.0).otherwise((float(high) - t) / float(high - low))
 
 
-def linear_gradient(p: PixelFrame, angle=0.0, start=0.0, end=1.0) -> DataFrame:
-    """0 before ``start`` and 1 after ``end`` along a direction, both as shares of the image's extent in it."""
-    a = math.radians(angle)
-    dx, dy = N.q6(math.cos(a)), N.q6(math.sin(a))
-    extent = abs(dx) * p.width + abs(dy) * p.height
-    t = ((F.col("x") + 0.5 - p.width / 2.0) * dx + (F.col("y") + 0.5 - p.height / 2.0) * dy) / extent + 0.5
-    return _codes(p, _ramp(t, float(start), float(end)) if end != start else F.when(t >= float(start), 1.0).otherwise(0.0))
+def linear_gradient(p: PixelFrame, angle_degrees=0.0, start=0.0, end=1.0) -> DataFrame:
+    """1 before ``start`` and 0 after ``end`` along a direction, on coordinates of 0..1; 0 degrees runs downward."""
+    a = math.radians(angle_degrees)
+    dx, dy = N.q6(math.sin(a)), N.q6(math.cos(a))
+    xn, yn = (F.col("x") + 0.5) / float(p.width) - 0.5, (F.col("y") + 0.5) / float(p.height) - 0.5
+    return _codes(p, _ramp_down(0.5 + (xn * dx + yn * dy) / (abs(dx) + abs(dy)), start, end))
 
 
-def radial_gradient(p: PixelFrame, cx=0.5, cy=0.5, radius=0.5, feather=0.5) -> DataFrame:
-    """1 inside, 0 outside; radius is a share of the shorter side's half, feather of the radius."""
-    unit = min(p.width, p.height) / 2.0
-    dx, dy = F.col("x") + 0.5 - cx * p.width, F.col("y") + 0.5 - cy * p.height
-    d = F.sqrt(dx * dx + dy * dy) / unit
-    core = radius * (1.0 - feather)
-    w = F.when(d <= core, 1.0).when(d >= float(radius), 0.0)
-    return _codes(p, w.otherwise(1.0 - N.smoothstep(_ramp(d, core, float(radius)))) if radius > core else w.otherwise(0.0))
+def radial_gradient(p: PixelFrame, center_x=0.5, center_y=0.5, radius=0.5, feather=0.5) -> DataFrame:
+    """1 within ``radius``, 0 beyond ``radius + feather``, in half diagonals from a centre."""
+    dx, dy = F.col("x") + 0.5 - center_x * p.width, F.col("y") + 0.5 - center_y * p.height
+    half = N.q6(0.5 * math.sqrt(float(p.width) ** 2 + float(p.height) ** 2))
+    return _codes(p, _ramp_down(N.col_q6(F.sqrt(dx * dx + dy * dy) / half), radius, radius + feather))
 
 
-def luminosity_range(p: PixelFrame, low=0.0, high=1.0, feather=0.1) -> DataFrame:
+def _luma_codes() -> Column:
+    r, g, b = (N.to_u8(F.col(c)) for c in N.CHANNELS)
+    return r * 0.2126 + g * 0.7152 + b * 0.0722
+
+
+def luminosity_range(p: PixelFrame, low=0, high=255, feather=0.0) -> DataFrame:
+    """1 where the luma, in code values, lies within the range; ``feather`` code values outside it fall to 0."""
+    v = _luma_codes()
     p = p.to(SRGB)
-    v = N.luma_709(F.col("r"), F.col("g"), F.col("b"))
-    inside = v.between(float(low), float(high))
-    if not feather:
-        return _codes(p, F.when(inside, 1.0).otherwise(0.0))
-    gap = F.when(v < float(low), low - v).otherwise(v - float(high))
-    return _codes(p, F.when(inside, 1.0).otherwise(1.0 - N.clamp(gap / float(feather))))
+    return _codes(p, F.when(v < float(low), _ramp_down(low - v, 0.0, feather)).when(v > float(high), _ramp_down(v - float(high), 0.0, feather)).otherwise(1.0))
+
+
+#: HSV saturation below which a colour's weight falls to 0.
+SATURATION_GATE = 0.10
 
 
-def color_range(p: PixelFrame, hue_center: float, hue_width=30.0, feather=10.0, least_saturation=0.10) -> DataFrame:
-    """By HSV hue; colours below a saturation have no hue and weigh nothing."""
+def color_range(p: PixelFrame, hue_center: float, hue_width=30.0, feather=15.0) -> DataFrame:
+    """1 up to ``hue_width`` degrees from a hue; weak saturation lowers the weight."""
     p = p.to(SRGB)
+    r, g, b = (N.to_u8(F.col(c)) / F.lit(255.0) for c in N.CHANNELS)
+    q = p.select(*KEY, r.alias("r"), g.alias("g"), b.alias("b"))
     r, g, b = (F.col(c) for c in N.CHANNELS)
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    d = F.nullif(high - low, F.lit(0.0))
-    hue = 60.0 * F.when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2.0).otherwise((r - g) / d + 4.0)
-    off = F.abs(F.pmod(hue - float(hue_center) + 180.0, F.lit(360.0)) - 180.0)
-    w = F.when(off <= hue_width / 2.0, 1.0).otherwise(1.0 - N.clamp((off - hue_width / 2.0) / float(feather)) if feather else F.lit(0.0))
-    colored = (high > 0.0) & ((high - low) >= least_saturation * high) & (high > low)
-    return _codes(p, F.when(colored, w).otherwise(0.0))
+    high, d = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    flat = (d <= 0.0) | (high <= 0.0)
+    hue = 60.0 * F.when(high == r, (g - b) / F.nullif(d, F.lit(0.0))).when(high == g, (b - r) / F.nullif(d, F.lit(0.0)) + 2.0).otherwise((r - g) / F.nullif(d, F.lit(0.0)) + 4.0)
+    q = q.with_columns({"_h": F.when(flat, 0.0).otherwise(hue + F.when(hue < 0.0, 360.0).otherwise(0.0)), "_s": F.when(flat, 0.0).otherwise(d / high)})
+    off = F.abs(F.col("_h") - float(hue_center)) % 360.0
+    q = q.with_columns({"_o": F.when(off > 180.0, 360.0 - off).otherwise(off)})
+    return _codes(q, _ramp_down(F.col("_o"), hue_width, hue_width + feather) * N.clamp(F.col("_s") / SATURATION_GATE))
 
 
 def _codes(p: PixelFrame, w: Column) -> DataFrame:
     """Generated masks are images: weights as code values, back on 0..1."""
-    return p.df.select(*KEY, (F.floor(N.clamp(w) * 255.0 + 0.5) / 255.0).alias("w"))
+    return p.df.select(*KEY, (F.floor(N.clamp(N.col_q6(w)) * 255.0 + 0.5) / 255.0).alias("w"))
 
 
 def mean_weight(mask: DataFrame) -> DataFrame:

@@ -142,19 +142,25 @@ add("px_mask_feather", lambda s, d: _rounded(masks.plane(frame(s, d, "events"),
 add("px_flatten_white", lambda s, d: composite.flattened(frame(s, d, "events")), f"with p as ({sql.EVENTS}) select image_id, y, x, " + ", ".join(f"(({c}8 * a8 + 255 * (255 - a8) + 127) // 255)::INT {c}8" for c in "rgb") + " from p")
 
 # masks
-_code = lambda e: f"round(floor({sql.clamp(e)} * {sql.d(255)} + {sql.d(0.5)}) / {sql.d(255)}, 6) w"
-_luma = f"(r * {sql.d(0.2126)} + g * {sql.d(0.7152)} + b * {sql.d(0.0722)})"
-_dx, _dy = (N.q6(float(v)) for v in (np.cos(np.radians(30.0)), np.sin(np.radians(30.0))))
-add("mask_linear", lambda s, d: _rounded(masks.linear_gradient(frame(s, d, "emb"), 30.0, 0.2, 0.8), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(sql.clamp(f'(((x + {sql.d(0.5)} - {sql.d(32)}) * {sql.d(_dx)} + (y + {sql.d(0.5)} - {sql.d(25)}) * {sql.d(_dy)}) / {sql.d(abs(_dx) * 64 + abs(_dy) * 50)} + {sql.d(0.5)} - {sql.d(0.2)}) / {sql.d(0.8 - 0.2)}'))} from {{p}}"))
-_far = f"(sqrt((x + {sql.d(0.5)} - {sql.d(32)}) * (x + {sql.d(0.5)} - {sql.d(32)}) + (y + {sql.d(0.5)} - {sql.d(25)}) * (y + {sql.d(0.5)} - {sql.d(25)})) / {sql.d(25)})"
-_t = sql.clamp(f"({_far} - {sql.d(0.4)}) / {sql.d(0.8 - 0.4)}")
-add("mask_radial", lambda s, d: _rounded(masks.radial_gradient(frame(s, d, "emb"), 0.5, 0.5, 0.8, 0.5), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(f'case when {_far} <= {sql.d(0.4)} then 1 when {_far} >= {sql.d(0.8)} then 0 else 1::DOUBLE - {_t} * {_t} * (3::DOUBLE - 2::DOUBLE * {_t}) end')} from {{p}}"))
-_gap = f"case when {_luma} < {sql.d(0.3)} then {sql.d(0.3)} - {_luma} else {_luma} - {sql.d(0.6)} end"
-add("mask_luminosity", lambda s, d: _rounded(masks.luminosity_range(frame(s, d, "emb"), 0.3, 0.6, 0.15), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(f'case when {_luma} between {sql.d(0.3)} and {sql.d(0.6)} then 1 else 1::DOUBLE - {sql.clamp(f"({_gap}) / {sql.d(0.15)}")} end')} from {{p}}"))
-_hue = "60::DOUBLE * case when hi = r then case when (g - b) / (hi - lo) < 0 then (g - b) / (hi - lo) + 6 else (g - b) / (hi - lo) end when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end"
-_off = f"abs(case when h - {sql.d(200)} + 180 < 0 then (h - {sql.d(200)} + 180) % 360 + 360 else (h - {sql.d(200)} + 180) % 360 end - 180)"
-add("mask_color_range", lambda s, d: _rounded(masks.color_range(frame(s, d, "orders"), 200.0, 60.0, 20.0), "w"), sql.Chain("orders").add("select *, greatest(r, g, b) hi, least(r, g, b) lo from {p}").add(f"select *, {_hue} h from {{p}}").add(f"select *, {_off} o from {{p}}").sql(f"select image_id, y, x, {_code(f'case when not (hi > 0 and hi - lo >= {sql.d(0.1)} * hi and hi > lo) then 0 when o <= 30 then 1 else 1::DOUBLE - {sql.clamp(f"(o - {sql.d(30)}) / {sql.d(20)}")} end')} from {{p}}"))
-add("mask_mean_weight", lambda s, d: masks.mean_weight(masks.luminosity_range(frame(s, d, "emb"), 0.3, 0.6, 0.15)), f"select image_id, round(avg(w) * 1e6) / 1e6 mean_weight from ({ORACLES['mask_luminosity'].replace('round(floor', '(floor').replace(f'/ {sql.d(255)}, 6) w', f'/ {sql.d(255)}) w')}) group by image_id")
+_q6 = lambda e: f"(round(({e}) * {sql.d(1e6)}) / {sql.d(1e6)})"
+_code = lambda e: f"round(floor({sql.clamp(_q6(e))} * {sql.d(255)} + {sql.d(0.5)}) / {sql.d(255)}, 6) w"
+
+
+def _down(t: str, low: float, high: float) -> str:
+    return f"case when {t} <= {sql.d(low)} then 1 when {t} >= {sql.d(high)} then 0 else ({sql.d(high)} - ({t})) / {sql.d(high - low)} end"
+
+
+_dx, _dy = (N.q6(float(v)) for v in (np.sin(np.radians(30.0)), np.cos(np.radians(30.0))))
+_along = f"({sql.d(0.5)} + (((x + {sql.d(0.5)}) / {sql.d(64)} - {sql.d(0.5)}) * {sql.d(_dx)} + ((y + {sql.d(0.5)}) / {sql.d(50)} - {sql.d(0.5)}) * {sql.d(_dy)}) / {sql.d(abs(_dx) + abs(_dy))})"
+add("mask_linear", lambda s, d: _rounded(masks.linear_gradient(frame(s, d, "emb"), 30.0, 0.2, 0.8), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(_down(_along, 0.2, 0.8))} from {{p}}"))
+_far = _q6(f"sqrt((x + {sql.d(0.5)} - {sql.d(32)}) * (x + {sql.d(0.5)} - {sql.d(32)}) + (y + {sql.d(0.5)} - {sql.d(25)}) * (y + {sql.d(0.5)} - {sql.d(25)})) / {sql.d(N.q6(0.5 * float(np.sqrt(64.0**2 + 50.0**2))))}")
+add("mask_radial", lambda s, d: _rounded(masks.radial_gradient(frame(s, d, "emb"), 0.5, 0.5, 0.4, 0.4), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(_down(_far, 0.4, 0.8))} from {{p}}"))
+_luma8 = f"({sql.u8('r')} * {sql.d(0.2126)} + {sql.u8('g')} * {sql.d(0.7152)} + {sql.u8('b')} * {sql.d(0.0722)})"
+_range = f"case when l < 80 then {_down(f'80 - l', 0, 40)} when l > 150 then {_down('l - 150', 0, 40)} else 1 end"
+add("mask_luminosity", lambda s, d: _rounded(masks.luminosity_range(frame(s, d, "emb"), 80, 150, 40.0), "w"), sql.Chain("emb").add(f"select {', '.join(KEY)}, {_luma8} l from {{p}}").sql(f"select image_id, y, x, {_code(_range)} from {{p}}"))
+_hue = "60::DOUBLE * case when hi = r then (g - b) / (hi - lo) when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end"
+add("mask_color_range", lambda s, d: _rounded(masks.color_range(frame(s, d, "orders"), 200.0, 30.0, 20.0), "w"), sql.Chain("orders").add("select *, greatest(r, g, b) hi, least(r, g, b) lo from {p}").add(f"select *, case when hi - lo <= 0 or hi <= 0 then 0 when {_hue} < 0 then {_hue} + 360 else {_hue} end h, case when hi - lo <= 0 or hi <= 0 then 0 else (hi - lo) / hi end s from {{p}}").add(f"select *, case when abs(h - {sql.d(200)}) % 360 > 180 then 360 - abs(h - {sql.d(200)}) % 360 else abs(h - {sql.d(200)}) % 360 end o from {{p}}").sql(f"select image_id, y, x, {_code(f'({_down("o", 30, 50)}) * {sql.clamp(f"s / {sql.d(0.1)}")}')} from {{p}}"))
+add("mask_mean_weight", lambda s, d: masks.mean_weight(masks.luminosity_range(frame(s, d, "emb"), 80, 150, 40.0)), f"select image_id, round(avg(w) * 1e6) / 1e6 mean_weight from ({ORACLES['mask_luminosity'].replace('round(floor', '(floor').replace(f'/ {sql.d(255)}, 6) w', f'/ {sql.d(255)}) w')}) group by image_id")
 
 # comparisons and guides
 _pair = f"with a as ({sql.ORDERS}), b as ({sql.EVENTS}), j as (select a.image_id, a.y, a.x, abs(a.r8 - b.r8) dr, abs(a.g8 - b.g8) dg, abs(a.b8 - b.b8) db from a join b using (image_id, y, x)), k as (select *, greatest(dr, dg, db) m from j) "
@@ -169,8 +175,10 @@ def _heat(i: int) -> str:
 add("px_diff_heatmap", lambda s, d: compare.diff_heatmap(frame(s, d, "orders"), frame(s, d, "events")), _pair + f"select image_id, y, x, {_heat(0)} r8, {_heat(1)} g8, {_heat(2)} b8 from k")
 add("px_side_by_side", lambda s, d: compare.beside(frame(s, d, "orders"), frame(s, d, "emb")), f"with a as ({sql.ORDERS}), b as ({sql.EMB}), m as (select image_id, y + 9 y, x, r8, g8, b8 from a union all select image_id, y, x + 40, r8, g8, b8 from b), i as (select image_id from a union select image_id from b) select i.image_id, gy::INT y, gx::INT x, coalesce(r8, 222) r8, coalesce(g8, 222) g8, coalesce(b8, 222) b8 from i cross join range(50) b(gy) cross join range(104) a(gx) left join m on m.image_id = i.image_id and m.y = gy and m.x = gx")
 for _kind, _n in (("grid", 8), ("thirds", 3), ("horizon", 12)):
-    _on = f"y in ({', '.join(str(i * 50 // _n) for i in range(1, _n))})" + ("" if _kind == "horizon" else f" or x in ({', '.join(str(i * 64 // _n) for i in range(1, _n))})")
-    add(f"px_overlay_{_kind}", lambda s, d, k=_kind: compare.guides(frame(s, d, "emb"), k), f"with p as ({sql.EMB}) select image_id, y, x, " + ", ".join(f"case when {_on} then floor({c}8 * {sql.d(0.4)} + {sql.d(v * 0.6)} + {sql.d(0.5)})::INT else {c}8 end {c}8" for c, v in zip("rgb", compare.GUIDE, strict=True)) + " from p")
+    _row = f"y in ({', '.join(str(i * 50 // _n) for i in range(1, _n))})"
+    _col = "false" if _kind == "horizon" else f"x in ({', '.join(str(i * 64 // _n) for i in range(1, _n))})"
+    _line = lambda e, v: f"floor({e} * {sql.d(0.4)} + {sql.d(v * 0.6)} + {sql.d(0.5)})"
+    add(f"px_overlay_{_kind}", lambda s, d, k=_kind: compare.guides(frame(s, d, "emb"), k), f"with p as ({sql.EMB}) select image_id, y, x, " + ", ".join(f"case when {_row} and {_col} then {_line(_line(f'{c}8', v), v)} when {_row} or {_col} then {_line(f'{c}8', v)} else {c}8 end::INT {c}8" for c, v in zip("rgb", compare.GUIDE, strict=True)) + " from p")
 add("px_overlay_mask", lambda s, d: compare.mask_tint(frame(s, d, "orders"), masks.plane(frame(s, d, "events"), 32, 32)), (_m := sql.Chain("events", prefix="k").as_mask()).sql(f"select p.image_id, p.y, p.x, " + ", ".join(f"floor(case when floor(w * {sql.d(255)} + {sql.d(0.5)}) > 128 then {c}8 * {sql.d(0.4)} + {sql.d(v * 0.6)} else {c}8 * {sql.d(0.75)} end + {sql.d(0.5)})::INT {c}8" for c, v in zip("rgb", compare.TINT, strict=True)) + f" from ({sql.ORDERS}) p join {{p}} using (image_id, y, x)"))
 _step, _w, _h = geometry.perspective_step(64, 50, vertical_degrees=12.0, horizontal_degrees=-5.0)
 _inv = np.linalg.inv(_step).tolist()

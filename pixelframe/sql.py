@@ -191,9 +191,10 @@ class Chain:
         two = "18446744073709551616::UHUGEINT"
         add = lambda e, k: f"((({e})::UHUGEINT + {k}::UHUGEINT) % {two})::UBIGINT"
         mul = lambda e, k: f"((({e})::UHUGEINT * {k}::UHUGEINT) % {two})::UBIGINT"
-        self.to("srgb").add(f"select *, {seed}::UBIGINT z from {{p}}" if monochrome else f"select p.*, ch, {seed}::UBIGINT z from {{p}} p, range(3) c(ch)")
-        parts = [None, f"(x // {size})::UBIGINT", f"(y // {size})::UBIGINT", "0::UBIGINT" if monochrome else "ch::UBIGINT"]
-        for part in parts:
+        start = seed ^ color.GRAIN_SEED
+        self.to("srgb").add(f"select *, {start}::UBIGINT z from {{p}}" if monochrome else f"select p.*, ch, {start}::UBIGINT z from {{p}} p, range(3) c(ch)")
+        factors = [mul(e, k) for e, k in zip((f"x // {size}", f"y // {size}", "0" if monochrome else "ch"), color.GRAIN_FACTORS, strict=True)]
+        for part in (None, *factors):
             start = "z" if part is None else f"xor(z, {part})"
             self.add(f"select * exclude (z), {add(start, 0x9E3779B97F4A7C15)} z from {{p}}")
             self.add(f"select * exclude (z), {mul('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)} z from {{p}}")

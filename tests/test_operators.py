@@ -128,9 +128,9 @@ def test_mask_bounds(image):
     assert all(0 <= r.w <= 1 for r in mask.collect())
     assert masks.plane(image, 5, 4).count() == 20
     inverted = color.color_matrix(image, [-1, 0, 0, 0, 1, 0, -1, 0, 0, 1, 0, 0, -1, 0, 1, 0, 0, 0, 1, 0])
-    after = composite.masked(image, inverted, masks.linear_gradient(image, 0.0, 0.4, 0.6))
+    after = composite.masked(image, inverted, masks.linear_gradient(image, 90.0, 0.4, 0.6))
     v, a, b = array(after), array(image), array(inverted)
-    assert np.allclose(v[:, 0], a[:, 0]) and np.allclose(v[:, -1], b[:, -1])
+    assert np.allclose(v[:, 0], b[:, 0]) and np.allclose(v[:, -1], a[:, -1])
 
 
 def test_svg_overlay_and_layers(spark, image, pixels):
