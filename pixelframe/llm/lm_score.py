@@ -112,7 +112,7 @@ def vocabulary(chunks: DataFrame, n_buckets: int):
     from .common import written
 
     rows = written(counted.groupBy("bucket").applyInArrow(add, "kind int, word binary, every long, good long"), "words")
-    best = rows.filter("kind = 0").orderBy(F.desc("every"), "word").limit(VOCABULARY).collect()
+    best = _most_frequent(rows.filter("kind = 0"))
     totals = {r[0]: r[1:] for r in rows.filter("kind > 0").groupBy("kind").agg(F.sum("every"), F.sum("good")).collect()}
     words = [bytes(r["word"]) for r in best]
     counts = np.array([[r["every"], r["good"]] for r in best], np.int64).reshape(len(words), 2)
@@ -121,6 +121,19 @@ def vocabulary(chunks: DataFrame, n_buckets: int):
     return words, np.concatenate([counts, [rest, ends]])  # ids: words, then any other word, then the end
 
 
+def _most_frequent(rows: DataFrame) -> list:
+    """The vocabulary's rows. A histogram of counts first shows from which count on words can be in it, so that
+    few other rows leave their tasks."""
+    band = F.floor(F.log2(F.col("every").cast("double")) * 64).cast("int")
+    sizes = sorted(map(tuple, rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.min("every")).collect()), reverse=True)
+    total, least = 0, 0
+    for _, n, low in sizes:
+        total, least = total + n, low
+        if total >= VOCABULARY:
+            break
+    return rows.filter(F.col("every") >= least).orderBy(F.desc("every"), "word").limit(VOCABULARY).collect()
+
+
 def _bigrams(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of each bigram of each text, its end included and its start told as an end, and the text's number."""
     end = size - 1
