@@ -1,6 +1,6 @@
 """Jaccard similarity join on word n-grams with rare-first prefix, length, positional and suffix filters.
 
-1. Frequencies. Every document's n-grams are counted over all documents in ``SLOTS`` counters; an n-gram's
+1. Frequencies. Every document's n-grams are counted over all documents in hashed counters; an n-gram's
    counter and then its hash put all n-grams into one order, rare ones first.
 2. Prefixes. Two sets with a Jaccard similarity of t share an n-gram among the first |x| - ceil(t|x|) + 1 of
    each in that order. Prefix n-grams are dealt to buckets in packed rows.
@@ -45,13 +45,15 @@ from .common import (
     rolling,
     small_batches,
     squeeze,
+    text_bytes,
     word_hashes,
     written,
 )
 from .components import components
 
-#: Counters of n-gram frequencies: 16 MB, whatever the input; more n-grams only make the order less sharp.
-SLOTS = 1 << 22
+#: Counters of n-gram frequencies, one byte each: about one for eight words of the input, within these bounds. They stop
+#: at 255. Beyond the upper bound, 64 MB, more n-grams only make the order less sharp.
+LEAST_SLOTS, MOST_SLOTS = 1 << 22, 1 << 26
 _PARTS = 64
 #: Ranges of hash values whose counts the suffix filter compares.
 RANGES = 256
@@ -74,8 +76,9 @@ def gram_sets(texts: list, n: int, table: bytes | None = LOWER) -> list[np.ndarr
     return out
 
 
-def slot_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(42)).astype(np.int64)
+def slot_of(grams: np.ndarray, slots: int) -> np.ndarray:
+    """Which of ``slots`` counters, a power of two, is an n-gram's."""
+    return (grams >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
 def least_overlap(a, b, percent: int):
@@ -89,10 +92,14 @@ def similar(common: int, a: int, b: int, percent: int) -> bool:
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """How often n-grams of each slot stand in all documents."""
-    each = SLOTS // _PARTS
+    slots = LEAST_SLOTS
+    size = text_bytes(docs)
+    while slots < MOST_SLOTS and slots < size // 48:
+        slots *= 2
+    each = slots // _PARTS
 
     def count(batches):
-        own = np.zeros(SLOTS, np.uint32)
+        own = np.zeros(slots, np.uint8)
         for _, texts in batches_of(batches):
             h, edges = word_hashes(texts, LOWER)
             grams = mixed(rolling(h, n) + np.uint64(n))
@@ -100,7 +107,8 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
             for k in range(1, n):  # no n-gram reaches into the next text
                 at = edges[1:-1] - k
                 inside[at[(at >= 0) & (at < len(grams))]] = False
-            own += np.bincount(slot_of(grams[inside]), minlength=SLOTS).astype(np.uint32)
+            at, times = np.unique(slot_of(grams[inside], slots), return_counts=True)
+            own[at] = np.minimum(own[at] + times, 255)
         for p in range(_PARTS):
             part = own[p * each : (p + 1) * each]
             if part.any():
@@ -111,13 +119,14 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
         for b in batches:
             for p, data in zip(column(b, "part"), column(b, "data"), strict=True):
                 total += loosen(data)[0]
+        total = np.minimum(total, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["part", "data"])
 
     rows = docs.select("doc_id", "text").mapInArrow(count, "part int, data binary")
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(slots, np.uint8)
     for p, data in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect():
         out[p * each : (p + 1) * each] = loosen(bytes(data))[0]
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    return out
 
 
 def prefixes(docs: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -130,7 +139,7 @@ def prefixes(docs: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFr
             sizes, prints, ranges, heads = [], [], [], []
             for s in gram_sets(texts, n):
                 k = len(s)
-                head = s[np.lexsort((s, times[slot_of(s)]))[: k - -(-percent * k // 100) + 1 if k else 0]]
+                head = s[np.lexsort((s, times[slot_of(s, len(times))]))[: k - -(-percent * k // 100) + 1 if k else 0]]
                 sizes.append(k)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 heads.append(head.tobytes())
@@ -214,7 +223,7 @@ def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, ti
     """Links that join the group's documents: among all of them, or between side 0 and side 1 if both are there."""
     m, size = len(ids), np.array([len(s) for s in sets], np.int64)
     prefix = _prefix_size(size, percent)
-    ordered = [s[np.lexsort((s, times[slot_of(s)]))] for s in sets]
+    ordered = [s[np.lexsort((s, times[slot_of(s, len(times))]))] for s in sets]
     gram = np.concatenate([o[:k] for o, k in zip(ordered, prefix.tolist(), strict=True)])
     owner = np.repeat(np.arange(m), prefix)
     distinct, column_of, count = np.unique(gram, return_inverse=True, return_counts=True)
@@ -231,7 +240,7 @@ def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, ti
         common += held @ held.T
     # the place of each prefix's last n-gram in the order: what comes after the earlier one lies in that one's rest
     last = [o[k - 1] for o, k in zip(ordered, prefix.tolist(), strict=True)]
-    order = np.lexsort((np.array(last, np.uint64), times[slot_of(np.array(last, np.uint64))]))
+    order = np.lexsort((np.array(last, np.uint64), times[slot_of(np.array(last, np.uint64), len(times))]))
     rank = np.empty(m, np.int64)
     rank[order] = np.arange(m)
     rest = size - prefix
