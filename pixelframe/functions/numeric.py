@@ -44,7 +44,8 @@ def to_u16(c: Column) -> Column:
 
 
 def table(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values])
+    """An array that the optimizer folds into one literal; as text, so that a plan need not hold thousands of expressions."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def lerp(values: Sequence[float], c: Column) -> Column:
