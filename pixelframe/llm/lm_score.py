@@ -1,38 +1,40 @@
 """Cross-entropy difference: matched target and background bigram models with one vocabulary.
 
 The background model is counted over all documents, the target model over those that the labels call good.
-Both use the same vocabulary (the ``VOCABULARY`` most frequent words of all documents, a mark for any other
-word, one for a text's end), the same order and the same smoothing:
+Both use the same vocabulary (every word of all documents, and a mark for a text's end), the same order and the
+same smoothing:
 
     P(w | v) = (c(v, w) + MASS * U(w)) / (c(v) + MASS)
 
 with U the words' shares in all documents. A document's losses are its mean negative log2 probabilities a token,
 its end included; score = background loss - target loss, higher for texts like the target.
 
-Bigram counts grow with the corpus and are never sent to every task. Texts are dealt to chunks. Each chunk sends
-each of its distinct bigrams once to the bigram's bucket, with its two counts there; the bucket adds up and
-answers each chunk with the corpus counts, in the same order; the chunk then scores its texts. A bigram that
-stands in every text is thus one entry a chunk.
+Counts grow with the corpus; they are never sent to every task and never to the driver. Texts are dealt to chunks.
+Each chunk sends each of its distinct bigrams and words once to its bucket, with its two counts there, and one more
+entry for the number of all tokens; the bucket adds up and answers each chunk with the corpus counts, in the same
+order; the chunk then scores its texts. A bigram that stands in every text is thus one entry a chunk.
+
+Words are 64-bit hashes, and so are the keys of what is counted.
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a null or empty text is its end alone and has 0
 tokens; rows with a null doc_id count in the background; repeated rows count and are scored each; without target
-rows the target model is the smoothing alone; of words with equal counts the smaller one is in the vocabulary.
+rows the target model is the smoothing alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, column, hashed, loosen, loosen_text, mixed, small_batches, squeeze, squeeze_text, text_bytes
+from .common import LOWER, by_bucket, column, loosen, mixed, rolling, small_batches, squeeze, text_bytes, word_hashes
 from .substring_dedup import _PACKED, LEAST_GROUPS, _chunk, _rows, _texts, _unpacked
 
-VOCABULARY, MASS = 65_536, 100.0
+MASS = 100.0
 CHUNK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
+#: What stands for a text's end among the hashes of words; the key of the number of all tokens.
+END, TOKENS = np.uint64(0x3C79AC492BA7B653), np.uint64(0x1C69B3F74AC4AE35)
 _REPLY = "bucket int, kind int, data binary"
 
 
@@ -48,108 +50,45 @@ def _labels(target: DataFrame, n_chunks: int) -> DataFrame:
     return target.select(F.col("doc_id").cast("long")).mapInArrow(pack, _PACKED)
 
 
-def _of_chunk(table: pa.Table):
-    """(doc_id, words, is target) of a chunk's texts, in an order that every pass repeats."""
-    kinds = np.array(column(table, "kind"))
-    ids = [loosen(d)[0] for d in column(table.filter(pa.array(kinds == 2)), "data")]
-    target = set(np.concatenate(ids).tolist()) if ids else set()
-    for d, t in _unpacked(table.filter(pa.array(kinds == 0))):
-        yield d, t.lower().split(), d in target
-
-
-def vocabulary(chunks: DataFrame, n_buckets: int):
-    """Words with counts in all and in target texts, and both totals, ends of texts included."""
-
-    def count(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, list[int]] = {}
-        ends = [0, 0]
-        for _, words, good in _of_chunk(table):
-            ends[0] += 1
-            ends[1] += good
-            for w in words:
-                c = seen.get(w)
-                if c is None:
-                    c = seen[w] = [0, 0]
-                c[0] += 1
-                c[1] += good
-        out = []
-        words = list(seen)
-        counts = np.array([seen[w] for w in words], np.int64).reshape(len(words), 2)
-        bucket = (np.fromiter(map(hashed, words), np.uint64, len(words)) % np.uint64(n_buckets)).astype(np.int64)
-        for k, rows in by_bucket(bucket, n_buckets):
-            packed = squeeze_text([words[i] for i in rows.tolist()])
-            out.append((k, squeeze(np.frombuffer(packed, np.uint8), counts[rows, 0], counts[rows, 1])))
-        out.append((0, squeeze(np.frombuffer(squeeze_text([]), np.uint8), np.array(ends, np.int64), np.empty(0, np.int64))))
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "data": pa.array([r[1] for r in out], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, list[int]] = {}
-        sums, ends = np.zeros(2, np.int64), np.zeros(2, np.int64)
-        for b in batches:
-            for data in column(b, "data"):
-                packed, every, good = loosen(data)
-                words = loosen_text(packed.tobytes())
-                if not words:
-                    ends += every
-                    continue
-                sums += every.sum(), good.sum()
-                for w, x, y in zip(words, every.tolist(), good.tolist(), strict=True):
-                    c = total.get(w)
-                    if c is None:
-                        total[w] = [x, y]
-                    else:
-                        c[0] += x
-                        c[1] += y
-        best = sorted(total, key=lambda w: (-total[w][0], w))[:VOCABULARY]
-        rows = [(w, *total[w]) for w in best] + [(None, *(int(v) for v in sums)), (None, *(int(v) for v in ends))]
-        kind = [0] * len(best) + [1, 2]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-            ["kind", "word", "every", "good"],
-        )
-
-    counted = chunks.groupBy("bucket").applyInArrow(count, "bucket int, data binary")
-    from .common import written
-
-    rows = written(counted.groupBy("bucket").applyInArrow(add, "kind int, word binary, every long, good long"), "words")
-    best = _most_frequent(rows.filter("kind = 0"))
-    totals = {r[0]: r[1:] for r in rows.filter("kind > 0").groupBy("kind").agg(F.sum("every"), F.sum("good")).collect()}
-    words = [bytes(r["word"]) for r in best]
-    counts = np.array([[r["every"], r["good"]] for r in best], np.int64).reshape(len(words), 2)
-    rest = np.array(totals.get(1, (0, 0)), np.int64) - counts.sum(0)
-    ends = np.array(totals.get(2, (0, 0)), np.int64)
-    return words, np.concatenate([counts, [rest, ends]])  # ids: words, then any other word, then the end
-
-
-def _most_frequent(rows: DataFrame) -> list:
-    """The vocabulary's rows. A histogram of counts first shows from which count on words can be in it, so that
-    few other rows leave their tasks."""
-    band = F.floor(F.log2(F.col("every").cast("double")) * 64).cast("int")
-    sizes = sorted(map(tuple, rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.min("every")).collect()), reverse=True)
-    total, least = 0, 0
-    for _, n, low in sizes:
-        total, least = total + n, low
-        if total >= VOCABULARY:
-            break
-    return rows.filter(F.col("every") >= least).orderBy(F.desc("every"), "word").limit(VOCABULARY).collect()
-
-
-def _bigrams(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each bigram of each text, its end included and its start told as an end, and the text's number."""
-    end = size - 1
-    keys = [np.concatenate([[end], i]) * size + np.concatenate([i, [end]]) for i in ids]
-    return np.concatenate(keys).astype(np.uint64), np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-
-
-def _numbered(table: pa.Table, words: list[bytes]):
-    number = {w: i for i, w in enumerate(words)}
-    docs, good, ids = [], [], []
-    other = len(words)
-    for d, w, g in _of_chunk(table):
-        docs.append(d)
-        good.append(g)
-        ids.append(np.fromiter((number.get(x, other) for x in w), np.int64, len(w)))
-    return docs, np.array(good, bool), ids
+class _Chunk:
+    """A chunk's texts as bigrams: each with the number of its text, and with its place among the chunk's keys.
+
+    ``keys`` are the distinct bigrams, then the distinct words, then ``TOKENS``. They are sorted by value within each
+    part, so every pass over the chunk has them in one order.
+    """
+
+    def __init__(self, table: pa.Table):
+        kinds = np.array(column(table, "kind"))
+        ids = [loosen(d)[0] for d in column(table.filter(pa.array(kinds == 2)), "data")]
+        target = set(np.concatenate(ids).tolist()) if ids else set()
+        rows = list(_unpacked(table.filter(pa.array(kinds == 0))))
+        self.docs = [d for d, _ in rows]
+        self.good = np.array([d in target for d in self.docs], bool)
+        h, edges = word_hashes([t for _, t in rows], LOWER)
+        self.sizes = np.diff(edges)
+        ends = edges[1:] + np.arange(len(rows))  # where the texts' ends stand among the words
+        word = np.full(len(h) + len(rows), END)
+        inside = np.ones(len(word), bool)
+        inside[ends] = False
+        word[inside] = h
+        self.text = np.repeat(np.arange(len(rows)), self.sizes + 1)
+        # before each text, as before the first, stands an end
+        bigram = rolling(np.concatenate([[END], word]), 2)
+        self.words, self.word = np.unique(word, return_inverse=True)
+        bigrams, first, self.back = np.unique(bigram, return_index=True, return_inverse=True)
+        self.w = self.word[first]
+        self.v = np.where(first > 0, self.word[first - 1], np.searchsorted(self.words, END))
+        self.keys = np.concatenate([bigrams, mixed(self.words), [TOKENS]])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key, how often it stands in the chunk's texts and in its target texts."""
+        good = self.good[self.text]
+
+        def times(of: np.ndarray) -> np.ndarray:
+            n = [np.bincount(self.back[of], minlength=len(self.v)), np.bincount(self.word[of], minlength=len(self.words)), [of.sum()]]
+            return np.concatenate(n).astype(np.uint32)
+
+        return times(np.ones(len(good), bool)), times(good)
 
 
 def _bucket_of(key: np.ndarray, n: int) -> np.ndarray:
@@ -164,20 +103,14 @@ def lm_score(docs: DataFrame, target: DataFrame) -> DataFrame:
     size = text_bytes(docs)
     n_chunks, n_buckets = max(LEAST_GROUPS, size // CHUNK_BYTES), max(LEAST_GROUPS, size // (8 * BUCKET_ENTRIES))
     chunks = _texts(docs, n_chunks).union(_labels(target, n_chunks))
-    words, counts = vocabulary(chunks, n_buckets)
-    sent, n_ids = spark.sparkContext.broadcast((words, counts)), len(words) + 2
 
     def ask(table: pa.Table) -> pa.Table:
-        _, good, ids = _numbered(table, sent.value[0])
-        out = []
-        if ids:
-            key, text = _bigrams(ids, n_ids)
-            distinct, back = np.unique(key, return_inverse=True)
-            every = np.bincount(back, minlength=len(distinct)).astype(np.uint32)
-            target = np.bincount(back[good[text]], minlength=len(distinct)).astype(np.uint32)
+        here, out = _Chunk(table), []
+        if here.docs:
+            every, target = here.counts()
             chunk = int(column(table, "bucket")[0])
-            for k, rows in by_bucket(_bucket_of(distinct, n_buckets), n_buckets):
-                out.append((k, chunk, squeeze(distinct[rows], every[rows], target[rows])))
+            for k, rows in by_bucket(_bucket_of(here.keys, n_buckets), n_buckets):
+                out.append((k, chunk, squeeze(here.keys[rows], every[rows], target[rows])))
         return pa.table(
             {"bucket": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.int32()), "data": pa.array([r[2] for r in out], pa.binary())}
         )
@@ -197,23 +130,20 @@ def lm_score(docs: DataFrame, target: DataFrame) -> DataFrame:
         )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs_, _, ids = _numbered(left, sent.value[0])
-        if not ids:
+        here = _Chunk(left)
+        if not here.docs:
             return _scores([], [], [], [])
-        key, text = _bigrams(ids, n_ids)
-        distinct, back = np.unique(key, return_inverse=True)
-        both = np.zeros((2, len(distinct)))
+        both = np.zeros((2, len(here.keys)))
         told = {k: loosen(d) for k, d in zip(column(right, "kind"), column(right, "data"), strict=True)}
-        for k, rows in by_bucket(_bucket_of(distinct, n_buckets), n_buckets):
+        for k, rows in by_bucket(_bucket_of(here.keys, n_buckets), n_buckets):
             both[:, rows] = told[k]
-        totals = sent.value[1].astype(float)
-        share = totals[:, 0] / totals[:, 0].sum()
-        v, w = (distinct // np.uint64(n_ids)).astype(np.int64), (distinct % np.uint64(n_ids)).astype(np.int64)
+        pairs, single, tokens = np.split(both, [len(here.v), len(here.keys) - 1], 1)
+        share, n = single[0] / tokens[0, 0], len(here.docs)
         losses = []
         for which in (1, 0):
-            loss = -np.log2((both[which] + MASS * share[w]) / (totals[v, which] + MASS))
-            losses.append(np.bincount(text, loss[back], len(ids)) / np.bincount(text, minlength=len(ids)))
-        return _scores(docs_, [len(i) for i in ids], *losses)
+            loss = -np.log2((pairs[which] + MASS * share[here.w]) / (single[which][here.v] + MASS))
+            losses.append(np.bincount(here.text, loss[here.back], n) / (here.sizes + 1))
+        return _scores(here.docs, here.sizes, *losses)
 
     asked = chunks.groupBy("bucket").applyInArrow(ask, _REPLY)
     answered = asked.groupBy("bucket").applyInArrow(answer, _REPLY)
