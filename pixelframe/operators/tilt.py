@@ -2,18 +2,24 @@
 
 Gradients come from 3x3 neighbourhoods. An edge point belongs to the horizontal or vertical family by its gradient and
 votes, for each of ``ANGLES`` tilt angles, for the line through it. Votes and profiles are counted map-side before they are
-shuffled; the table of angles is fixed in size and broadcast.
+shuffled; the table of angles is fixed in size and broadcast. ``detect`` shrinks images by a join with taps and then takes
+all steps of the estimate, Canny and the fusion of lines with profiles among them, as a numpy kernel on one small image
+at a time (``tilt_kernels``).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import KEY, SRGB, PixelFrame
 from ..functions import numeric as N
+from . import tilt_kernels as T
 from .filters import neighbour
 
 STEP, SPAN = 0.1, 15.0
@@ -89,24 +95,61 @@ def projection_scores(points: DataFrame, width: int, height: int) -> DataFrame:
     return bins.groupBy("image_id", "family", "ai").agg((F.sum(F.col("b") * F.col("b")) / (F.sum("b") * F.sum("b"))).alias("score"))
 
 
-def detect(p: PixelFrame, least_gradient: float = 80.0, min_confidence: float = 0.5) -> DataFrame:
-    """(image_id, tilt, confidence, n_lines, recommended): the angle at which edges' profiles are sharpest, refined.
-
-    ``tilt`` is the clockwise angle of the image's level lines in degrees; ``recommended`` the rotation that levels it.
+def triangle_taps(size: int, out: int) -> list[list[tuple[int, float]]]:
+    """For each place of a shorter axis, the places it is made of and their weights."""
+    ratio, taps = size / out, []
+    reach = max(ratio, 1.0)
+    for o in range(out):
+        centre = (o + 0.5) * ratio
+        low = min(max(math.floor(centre - reach), 0), size - 1)
+        places = range(low, min(max(math.ceil(centre + reach), low + 1), size))
+        weights = [max(0.0, 1.0 - abs((i + 0.5 - centre) / reach)) for i in places]
+        taps.append([(i, N.q9(w / sum(weights))) for i, w in zip(places, weights, strict=True) if w])
+    return taps
+
+
+def shrunk(p: PixelFrame, long_edge: int) -> PixelFrame:
+    """The column v of ``gray`` with the longer side at most ``long_edge``."""
+    long = max(p.width, p.height)
+    if long <= long_edge:
+        return p
+    w, h = (max(1, int(N.half_away(s * long_edge / long))) for s in (p.width, p.height))
+    df = p.df
+    for axis, size, out in (("y", p.height, h), ("x", p.width, w)):
+        if size != out:
+            rows = [(i, o, k) for o, each in enumerate(triangle_taps(size, out)) for i, k in each]
+            table = df.sparkSession.createDataFrame(rows, f"{axis} int, _o int, _w double")
+            small = F.broadcast(table) if len(rows) <= 500_000 else table
+            other = "y" if axis == "x" else "x"
+            df = df.join(small, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+    return replace(p, df=df.select(*KEY, F.floor(F.col("v") + 0.5).cast("double").alias("v")), width=w, height=h)
+
+
+_PAIRS = pa.list_(pa.struct([("angle", pa.float64()), ("score", pa.float64())]))
+_FOUND = pa.schema(
+    [("image_id", pa.int32()), ("tilt", pa.float64()), ("confidence", pa.float64()), ("n_lines", pa.int64()), ("recommended", pa.float64()), ("method", pa.string())]
+    + [("n_supporting", pa.int64()), *((f"{f}_{c}", pa.float64()) for f in ("horizontal", "vertical") for c in ("angle", "confidence", "support"))]
+    + [("alternatives", _PAIRS), ("score_curve", _PAIRS), ("warnings", pa.list_(pa.string()))]
+)
+
+
+def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SPAN, working_long_edge: int = 1024) -> DataFrame:
+    """One row for each image: tilt, confidence, n_lines, recommended, method, and what speaks for it.
+
+    ``tilt`` is the clockwise angle of the image's level lines in degrees, null if nothing was found; ``recommended`` the
+    rotation that levels it, null without enough confidence and evidence. ``n_lines`` counts the lines found,
+    ``n_supporting`` those near the peak. Each family has its angle (as a rotation), confidence and share of the edges.
     """
-    points = edge_points(sobel(gray(p)), least_gradient)
-    scores = projection_scores(points, p.width, p.height)
-    mass = points.groupBy("image_id", "family").agg(F.count(F.lit(1)).alias("mass"))
-    weighted = scores.join(mass, ["image_id", "family"]).groupBy("image_id", "ai").agg((F.sum(F.col("score") * F.col("mass")) / F.sum("mass")).alias("score"))
-    best = weighted.groupBy("image_id").agg(F.max_by("ai", "score").alias("peak"), F.max("score").alias("top"), F.percentile("score", F.lit(0.5)).alias("middle"))
-    near = weighted.join(best, "image_id").filter(F.abs(F.col("ai") - F.col("peak")) <= 3)
-    floor = F.min("score").over(Window.partitionBy("image_id"))
-    near = near.withColumn("w", F.col("score") - floor)
-    refined = near.groupBy("image_id").agg((F.sum(F.col("w") * F.col("ai")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("at"), F.first("top").alias("top"), F.first("middle").alias("middle"))
-    lines = peaks(hough_votes(points, p.width, p.height), max(0.12 * max(p.width, p.height), 24.0))
-    count = lines.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    sharp = N.clamp((F.col("top") - F.col("middle")) / F.col("top") / 0.2)
-    n = F.coalesce("n_lines", F.lit(0))
-    out = refined.join(count, "image_id", "left").select("image_id", F.round(F.col("at") * STEP - SPAN, 3).alias("tilt"), F.round(sharp * F.least(n / 2.0, F.lit(1.0)), 3).alias("confidence"), n.alias("n_lines"))
-    good = (F.col("confidence") >= min_confidence) & (F.col("n_lines") >= 2)
-    return out.withColumn("recommended", F.when(good, -F.col("tilt")))
+    size, small = (p.width, p.height), shrunk(gray(p), max(working_long_edge, 64))
+    shape = small.height, small.width
+
+    def run(table: pa.Table) -> pa.Table:
+        v = np.zeros(shape)
+        v[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("v").to_numpy()
+        found = T.estimate(v, size, min_confidence, max_abs_angle)
+        return pa.Table.from_pylist([{"image_id": table.column("image_id")[0].as_py()} | found], _FOUND)
+
+    pairs = "array<struct<angle: double, score: double>>"
+    schema = ", ".join(f"{f.name} {'int' if f.name == 'image_id' else 'long' if f.type == pa.int64() else 'string' if f.type == pa.string() else 'double'}" for f in list(_FOUND)[:-3])
+    schema += f", alternatives {pairs}, score_curve {pairs}, warnings array<string>"
+    return small.df.select(F.col("image_id").cast("int").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInArrow(run, schema)

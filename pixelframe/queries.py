@@ -205,7 +205,7 @@ add("tilt_nms", lambda s, d: tilt.peaks(_votes(s, d), 14), _peaks_sql().sql("sel
 _spread = ", ".join(f"({k}, {N.q9(float(np.exp(-((k * tilt.STEP) ** 2) / (2 * 0.25 * 0.25))))!r}::DOUBLE)" for k in range(-8, 9))
 add("tilt_angle_hist", lambda s, d: _rounded(tilt.angle_histogram(tilt.peaks(_votes(s, d), 14)), "mass"), _peaks_sql().sql(f"select image_id, (ai + k)::INT ai, round(sum(votes * w), 6) mass from {{p}}, (values {_spread}) v(k, w) where ai + k between 0 and 300 group by image_id, ai + k"))
 add("tilt_projection_score", lambda s, d: _rounded(tilt.projection_scores(_points(s, d), 64, 50), "score"), sql.edges("emb", _LEAST).add(f"select image_id, family, ai, {sql.offset('emb')} t from {{p}}, {sql.angles()}").add("select image_id, family, ai, floor(t) bin, 1::DOUBLE - (t - floor(t)) w from {p} union all select image_id, family, ai, floor(t) + 1, t - floor(t) from {p}").add("select image_id, family, ai, bin, sum(w) b from {p} group by all").sql("select image_id, family, ai, round(sum(b * b) / (sum(b) * sum(b)), 6) score from {p} group by image_id, family, ai"))
-add("tilt_detect", lambda s, d: tilt.detect(frame(s, d, "emb"), 300.0), None)
+add("tilt_detect", lambda s, d: tilt.detect(frame(s, d, "emb")), None)
 
 # presets whose operations are all expressible
 PRESET_SQL = {
