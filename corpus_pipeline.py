@@ -2,11 +2,15 @@
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents, for the documents that stay.
-A row's doc_id identifies its document: repeated rows stay or go together.
+A row's doc_id identifies its document: repeated rows stay or go together. A row without one is identified by its text
+and loses against every numbered row: it goes if a numbered document that takes part is an exact or near copy of it.
+Of near copies that all lack a number one text stays, and exact copies that all lack one are repeated rows.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +32,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for the case of A-Z, the one with the largest doc_id."""
-    return without(docs, written(exact_dedup(docs).filter("not kept").select("doc_id"), "gone"))
+    gone = written(exact_dedup(docs).filter("not kept").select("doc_id", "digest"), "gone")
+    out = without(docs, gone.filter("doc_id is not null").select("doc_id"))
+    unnamed = gone.filter("doc_id is null").select(F.lower(F.hex("digest")).alias("__digest")).distinct()
+    if unnamed.isEmpty():
+        return out
+    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    rest = out.filter("doc_id is null").join(unnamed, F.sha2(lowered.cast("binary"), 256) == F.col("__digest"), "left_anti")
+    return out.filter("doc_id is not null").unionByName(rest)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the document with the smallest doc_id."""
-    return without(docs, written(ngram_join(docs).filter("doc_id <> component_id").select("doc_id"), "gone"))
+    unnamed = docs.filter("doc_id is null")
+    if unnamed.isEmpty():
+        return without(docs, written(ngram_join(docs).filter("doc_id <> component_id").select("doc_id"), "gone"))
+    # rows without a number take part under the 64-bit hash of their text
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    hashes = written(unnamed.select(F.xxhash64("text").alias("doc_id")).distinct(), "unnamed").withColumn("unnamed", F.lit(True))
+    groups = ngram_join(docs.withColumn("doc_id", key)).select("doc_id", "component_id").distinct()
+    groups = written(groups.join(hashes, "doc_id", "left"), "groups")
+    named = F.min(F.when(F.col("unnamed").isNull(), F.col("doc_id")))
+    keep = groups.groupBy("component_id").agg(F.coalesce(named, F.min("doc_id")).alias("keep")).filter("keep <> component_id")
+    gone = groups.join(keep, "component_id", "left").filter("doc_id <> coalesce(keep, component_id)").select("doc_id")
+    return without(docs, written(gone, "gone"), key)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

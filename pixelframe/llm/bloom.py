@@ -77,8 +77,9 @@ def sent_bloom(ids: DataFrame, count: int):
     return ids.sparkSession.sparkContext.broadcast(bloom_of(ids.mapInArrow(hashes, "h long"), count).words)
 
 
-def passes(ids: DataFrame, count: int, column_name: str = "doc_id"):
-    """A condition that holds for all rows whose id is in the one long column of ``ids``, and for few others."""
+def passes(ids: DataFrame, count: int, key):
+    """A condition on the long column ``key``: it holds for all values in the one long column of ``ids`` and for few
+    others, and not for null."""
     from pyspark.sql.functions import pandas_udf
 
     sent = sent_bloom(ids, count)
@@ -87,14 +88,17 @@ def passes(ids: DataFrame, count: int, column_name: str = "doc_id"):
     def may(i):
         import pandas as pd
 
-        return pd.Series(BlockedBloom(sent.value).may_hold(id_hashes(i.fillna(-1).to_numpy(np.int64))))
+        return pd.Series(BlockedBloom(sent.value).may_hold(id_hashes(i.to_numpy(np.int64))))
 
-    return may(F.col(column_name).cast("long"))
+    # pandas holds integers with a null among them as float64, which rounds large ones
+    return key.isNotNull() & may(F.coalesce(key, F.lit(-1).cast("long")))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in the written table ``gone``. Only rows that pass a filter of
-    its ids meet them in a join, so most texts are not shuffled."""
-    may = passes(gone.select("doc_id"), gone.count())
-    rest = docs.filter(may).join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, key=None) -> DataFrame:
+    """Rows of ``docs`` whose key, their doc_id by default, is not in the one long column of the written table ``gone``.
+    Rows with a null key stay. Only rows that pass a filter of its values meet them in a join, so most texts are not
+    shuffled."""
+    key = F.col("doc_id").cast("long") if key is None else key
+    may = passes(gone, gone.count(), key)
+    rest = docs.filter(may).join(gone.toDF("__gone").distinct(), key == F.col("__gone"), "left_anti")
     return docs.filter(~may).unionByName(rest)
