@@ -10,8 +10,9 @@
    equal and adjacent ones can hold similar pairs, and these into blocks; each pair of blocks is a group of its own.
 5. Links. A group counts the prefix n-grams that its pairs share. The length filter, the positional filter on those
    counts, and the suffix filter on counts by hash range leave few pairs. Each of these is compared once, on the sets
-   themselves, unless links of the group already join the two. Groups report the links that joined something, so a
-   group of thousands of near copies is never expanded into pairs, and no link is lost that a component needs.
+   themselves. For components, links of the group that already join the two spare the comparison, and groups report the
+   links that joined something, so a group of thousands of near copies is never expanded into pairs, and no link is
+   lost that a component needs. For ``text_links`` and ``link_counts`` every pair is compared and every link reported.
 
 Sets are sets of 64-bit n-gram hashes. Equal sets (exact copies among them) are one node.
 
@@ -219,8 +220,8 @@ def _prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, times: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the group's documents: among all of them, or between side 0 and side 1 if both are there."""
+def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, times: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that join the group's documents, or ``every`` link: among all of them, or between side 0 and side 1 if both are there."""
     m, size = len(ids), np.array([len(s) for s in sets], np.int64)
     prefix = _prefix_size(size, percent)
     ordered = [s[np.lexsort((s, times[slot_of(s, len(times))]))] for s in sets]
@@ -263,7 +264,7 @@ def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, ti
     out = []
     for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
         a, b = root(i), root(j)
-        if a == b or int(np.minimum(ranges[i], ranges[j]).sum()) < least[i, j]:
+        if (a == b and not every) or int(np.minimum(ranges[i], ranges[j]).sum()) < least[i, j]:
             continue
         if similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
             parent[a] = b
@@ -302,8 +303,8 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     return whole.union(split.select("node", key.alias("key"), "cluster", F.col("g.side").alias("side")))
 
 
-def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the documents of ``members`` (node, cluster, n)."""
+def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) that join the documents of ``members`` (node, cluster, n), or ``every`` link, some of them twice."""
     may = sent_bloom(members.select("node"), members.count())
     sent = docs.sparkSession.sparkContext.broadcast(times)
 
@@ -322,7 +323,7 @@ def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, perce
             sets = gram_sets([loose.decompress(z) for z in column(part, "z")], n, PLAIN)
             some = [k for k, s in enumerate(sets) if len(s)]
             ids = column(part, "node")
-            out += joined_in_group([ids[k] for k in some], [sets[k] for k in some], side[rows][some], sent.value, percent)
+            out += joined_in_group([ids[k] for k in some], [sets[k] for k in some], side[rows][some], sent.value, percent, every)
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     held = docs.mapInArrow(texts, "doc_id long, z binary")
@@ -330,8 +331,8 @@ def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, perce
     return groups.groupBy("key").applyInArrow(verify, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link at a Jaccard similarity of ``percent`` / 100."""
+def _linked(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (doc_id, n_shingles, fp) of every row, (fp, rep) of sets that several rows have, links of representatives."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     times = frequencies(docs, n)
@@ -356,10 +357,53 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sizes = slim.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     members = clusters.withColumnRenamed("component", "cluster").join(sizes, "node").groupBy("node", "cluster").agg(F.max("n").alias("n"))
     members = written(members, "members")
-    links = written(linked(docs, members, times, n, percent), "links")
+    links = written(linked(docs, members, times, n, percent, every), "links")
     dropped(ties, clusters, members, reps)
+    return slim, copies, links
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link at a Jaccard similarity of ``percent`` / 100."""
+    slim, copies, links = _linked(docs, n, percent, False)
     labels = components(links)
     out = slim.join(copies.select("fp", "rep"), "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out.rep == labels.node, "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def _text_links(docs: DataFrame, n: int, percent: int):
+    """``docs`` with the hash of each text as text_id; each text_id's representative, its set's size; every link of two of these once."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_id", F.xxhash64("text"))
+    named = docs.filter("doc_id is not null")
+    slim, copies, links = _linked(named.select(F.col("text_id").alias("doc_id"), "text"), n, percent, True)
+    texts = slim.join(copies.select("fp", "rep"), "fp", "left").select(F.col("doc_id").alias("text_id"), F.coalesce("rep", "doc_id").alias("rep"), "n_shingles")
+    return docs, written(texts.distinct(), "texts"), written(links.filter("a <> b").distinct(), "links")
+
+
+def text_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b): every two different sets of n-grams with a Jaccard similarity of at least ``percent`` / 100, each pair once
+    with a <= b, as the least doc_ids that have them. Rows with a null doc_id have no links."""
+    docs, texts, links = _text_links(docs, n, percent)
+    least = docs.join(texts, "text_id").groupBy("rep").agg(F.min("doc_id").alias("least"))
+    least = written(least, "least")
+    a, b = (least.select(F.col("rep").alias(c), F.col("least").alias(f"l{c}")) for c in "ab")
+    return links.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_links of every row: how many others it is similar to, copies counted one by one.
+
+    Counted are documents, once for each set of n-grams that rows with their doc_id have; repeated rows count once. A row
+    without n-grams has 0 links, one with a null doc_id null.
+    """
+    docs, texts, links = _text_links(docs, n, percent)
+    weights = docs.filter("doc_id is not null").select("doc_id", "text_id").join(texts, "text_id").select("doc_id", "rep").distinct()
+    weights = written(weights.groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "weights")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = ends.join(weights.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("more"))
+    each = texts.join(weights, "rep").join(around, "rep", "left")
+    each = each.select("text_id", F.when(F.col("n_shingles") > 0, F.col("w") - 1 + F.coalesce("more", F.lit(0))).otherwise(0).cast("long").alias("n"))
+    # null texts hash alike; a row whose text is not among the numbered ones' has a null doc_id
+    out = docs.select("doc_id", "text_id").join(written(each, "counts"), "text_id", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("n")).alias("n_links"))
