@@ -265,7 +265,17 @@ def _lineage(s: SparkSession, d: str) -> DataFrame:
 
 _TURNS = "select 'rev_' || conv_id || '_' || turn revision_id, case when turn > 0 then 'rev_' || conv_id || '_' || (turn - 1) end source_revision_id from conversations"
 add("store_lineage", _lineage, f"with recursive e as ({_TURNS}), up(revision_id, source_revision_id, depth) as (select *, 0 from e where revision_id = (select max(revision_id) from e) union all select e.*, depth + 1 from up join e on e.revision_id = up.source_revision_id) select revision_id, depth from up")
-add("store_memo_hits", lambda s, d: _turns(s, d).filter("source_revision_id is not null").groupBy("source_revision_id").agg(F.min("revision_id").alias("revision_id")), f"select source_revision_id, min(revision_id) revision_id from ({_TURNS}) where source_revision_id is not null group by 1")
+def _memo_hits(s: SparkSession, d: str) -> DataFrame:
+    """Every turn's answer asked for again, by a recipe that follows from its source; also by another recipe and of another engine."""
+    source = F.col("source_revision_id")
+    turns = _turns(s, d).withColumn("recipe_hash", F.sha2(source, 256)).withColumn("ledger_seq", F.col("revision_id"))
+    rows = turns.withColumn("engine_version", F.lit(store.ENGINE_VERSION))
+    rows = rows.unionByName(turns.withColumns({"engine_version": F.lit("another"), "revision_id": F.lit(""), "ledger_seq": F.lit("")}))
+    asked = turns.select(source, F.explode(F.array("recipe_hash", F.sha2("recipe_hash", 256))).alias("recipe_hash")).distinct()
+    return store.memo(rows, asked).select("source_revision_id", "revision_id")
+
+
+add("store_memo_hits", _memo_hits, f"select source_revision_id, min(revision_id) revision_id from ({_TURNS}) where source_revision_id is not null group by 1")
 
 
 def _list_order(s: SparkSession, d: str) -> DataFrame:
@@ -278,8 +288,8 @@ add("store_list_order", _list_order, "select event_id, user_id, row_number() ove
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
     """The recipe hash of each document's vignette, whose strength is its id's last digit in tenths."""
-    rows = [(k, recipe_hash({"operations": [{"op": "vignette", "strength": k / 10}]})) for k in range(10)]
-    return _docs(s, d).select("doc_id", (F.col("doc_id") % 10).alias("k")).join(F.broadcast(s.createDataFrame(rows, "k long, recipe_hash string")), "k").drop("k")
+    hashed = F.udf(lambda k: recipe_hash({"operations": [{"op": "vignette", "strength": k / 10}]}), "string")
+    return _docs(s, d).select("doc_id", hashed(F.col("doc_id") % 10).alias("recipe_hash"))
 
 
 add("store_recipe_hash", _hashes, """select doc_id, sha256('{"operations":[{"feather":0.5,"op":"vignette","radius":0.7,"strength":0.' || (doc_id % 10) || '}]}') recipe_hash from documents""")

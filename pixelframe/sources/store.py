@@ -86,8 +86,7 @@ class Ledger:
 
     def memo(self, requests: DataFrame) -> DataFrame:
         """Of requests (source_revision_id, recipe_hash) those that have a result, with its revision."""
-        made = self.rows().filter(F.col("engine_version") == ENGINE_VERSION).filter("source_revision_id is not null").groupBy("source_revision_id", "recipe_hash")
-        return requests.join(made.agg(F.min_by("revision_id", "ledger_seq").alias("revision_id")), ["source_revision_id", "recipe_hash"])
+        return memo(self.rows(), requests)
 
     def record(self, source_revision_id: str, recipe: str, recipe_hash: str, content: bytes, mime: str, width: int, height: int) -> str:
         """The revision of a derivation; one that has been made before is given back."""
@@ -112,6 +111,12 @@ class Ledger:
         return lineage(self.rows().select("revision_id", "source_revision_id"), revision_id)
 
 
+def memo(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Of requests (source_revision_id, recipe_hash) those that this engine has a result of among a ledger's rows, the first one."""
+    made = rows.filter(F.col("engine_version") == ENGINE_VERSION).filter("source_revision_id is not null").groupBy("source_revision_id", "recipe_hash")
+    return requests.join(made.agg(F.min_by("revision_id", "ledger_seq").alias("revision_id")), ["source_revision_id", "recipe_hash"])
+
+
 def lineage(edges: DataFrame, revision_id: str) -> DataFrame:
     name = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(name)
