@@ -6,22 +6,28 @@ encoding the two tokens' joined text gives p and t again. So, for each prefix in
 pieces reports those that end there, longest first, and the first one compatible with the last token of the
 prefix before it is stored. The ids are then read off the table backwards.
 
-No piece has the mark for a space after another character, so texts are encoded word by word, each with the
-marks before it, and a worker remembers the words that it has met lately.
+No piece has the mark for a space after another character, and none holds a character that is no piece itself. So
+texts are cut before marks and around such characters, and the parts, words below, are encoded one by one. The
+distinct words of a batch go through the automaton together, a character of all of them at a time, as numpy columns:
+the table of prefixes has a row for each word. Words that are long or have rare characters take the same steps alone.
+A worker remembers the words that it has met lately.
 
 Fixed behaviour of the model that this module relies on and that ``PieceModel`` checks: BPE with byte fallback,
 no normalisation, a space mark put before the text, spaces kept as they are.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; characters that no piece has
-become the byte tokens of their UTF-8 form; texts of any length are encoded whole; repeated rows each get a row.
+become the byte tokens of their UTF-8 form; texts of any length are encoded whole; repeated rows each get a row;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +35,145 @@ from pyspark.sql import functions as F
 from .common import column
 
 MARK = "▁"
-#: Words, and compatible or incompatible pairs, that a Python worker remembers.
-WORDS_KEPT, PAIRS_KEPT = 250_000, 500_000
+#: Words in the younger of two generations that a Python worker remembers, and compatible or incompatible pairs.
+WORDS_KEPT, PAIRS_KEPT = 200_000, 1 << 20
+#: Characters that the automaton over columns knows, and the longest words that it takes, how many at once.
+ALPHABET, LONGEST, TOGETHER = 224, 40, 1 << 16
+#: Code points of text that are encoded together.
+BATCH_CHARS = 4_000_000
+
+
+
+class Pairs:
+    """A map from pairs of tokens to whether they are compatible: open addressing in one array, read by columns."""
+
+    def __init__(self, fits):
+        self.fits, self.slots = fits, np.full(2 * PAIRS_KEPT, -1, np.int64)
+        self.few: dict[tuple[int, int], bool] = {}
+        self.shift, self.used = np.uint64(64 - (2 * PAIRS_KEPT).bit_length() + 1), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """For each key 0 or 1, or -1 if it is not here."""
+        out, rows, at = np.full(len(keys), -1, np.int8), np.arange(len(keys)), self._home(keys)
+        while len(rows):
+            held = self.slots[at]
+            hit = held >> 1 == keys
+            out[rows[hit]] = held[hit] & 1
+            go = ~hit & (held >= 0)
+            rows, keys, at = rows[go], keys[go], (at[go] + 1) % len(self.slots)
+        return out
+
+    def _put(self, key: int, fits: bool) -> None:
+        at = int(self._home(np.array([key]))[0])
+        while self.slots[at] >= 0:
+            at = (at + 1) % len(self.slots)
+        self.slots[at] = key << 1 | fits
+
+    def one(self, p: int, t: int) -> bool:
+        known = self.few.get((p, t))
+        if known is None:
+            if len(self.few) >= PAIRS_KEPT:
+                self.few.clear()
+            known = self.few[p, t] = self.fits(p, t)
+        return known
 
-_CUT = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
+    def of(self, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        keys = p.astype(np.int64) << 31 | t
+        out = self._found(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            if self.used + len(distinct) > PAIRS_KEPT:
+                self.slots[:], self.used = -1, 0
+            fits = np.array([self.fits(k >> 31, k & (1 << 31) - 1) for k in distinct.tolist()], bool)
+            for k, f in list(zip(distinct.tolist(), fits.tolist(), strict=True))[:PAIRS_KEPT]:
+                self._put(k, f)
+            self.used += min(len(distinct), PAIRS_KEPT)
+            out[new] = fits[back]
+        return out.astype(bool)
+
+
+class Columns:
+    """The automaton as arrays: next state by state and character, and by state the longest piece that ends there and
+    the state of the next shorter one."""
+
+    def __init__(self, pieces: dict[str, int], chars: list[str]):
+        self.classes = np.zeros(0x110000, np.uint8)
+        self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        children: list[dict[int, int]] = [{}]
+        token, depth, levels = [-1], [0], [[0]]
+        for piece, i in pieces.items():
+            if not all(c in number for c in piece):
+                continue
+            at = 0
+            for d, c in enumerate(piece):
+                after = children[at].get(number[c])
+                if after is None:
+                    after = children[at][number[c]] = len(children)
+                    children.append({})
+                    token.append(-1)
+                    depth.append(d + 1)
+                    if len(levels) == d + 1:
+                        levels.append([])
+                    levels[d + 1].append(after)
+                at = after
+            token[at] = i
+        self.token, self.depth = np.array(token, np.int32), np.array(depth, np.int32)
+        self.after = np.zeros((len(children), len(chars) + 1), np.int32)
+        back = np.zeros(len(children), np.int32)
+        self.shorter = np.zeros(len(children), np.int32)
+        for level in levels:
+            for at in level:
+                if at:
+                    self.after[at] = self.after[back[at]]
+                for c, child in children[at].items():
+                    back[child] = self.after[at, c]
+                    self.after[at, c] = child
+                b = back[at]
+                self.shorter[at] = b if token[b] >= 0 else self.shorter[b]
+        self.longest = np.where(self.token >= 0, np.arange(len(children)), self.shorter)
+
+    def encode(self, words: list[str], pairs: Pairs) -> list[list[int] | None]:
+        """Ids of each word; None for one with a character beyond the alphabet or of more than ``LONGEST``."""
+        flat = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        fit = (size <= LONGEST) & (np.minimum.reduceat(flat, start) > 0)
+        rows = np.flatnonzero(fit)
+        rows = rows[np.argsort(-size[rows], kind="stable")]
+        size, start, n = size[rows], start[rows], len(rows)
+        # by word and end of a prefix: its last token and that one's length
+        last, width = np.full((n, LONGEST + 1), -1, np.int32), np.zeros((n, LONGEST + 1), np.int32)
+        state = np.zeros(n, np.int32)
+        for end in range(1, int(size[0]) + 1 if n else 1):
+            k = int(np.searchsorted(-size, -end, "right"))
+            state[:k] = self.after[state[:k], flat[start[:k] + end - 1]]
+            node, rest = self.longest[state[:k]], np.arange(k)
+            while len(rest):
+                begin, t = end - self.depth[node], self.token[node]
+                p = last[rest, begin]
+                fits = begin == 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = pairs.of(p[inner], t[inner])
+                last[rest[fits], end], width[rest[fits], end] = t[fits], end - begin[fits]
+                node, rest = self.shorter[node[~fits]], rest[~fits]
+                node, rest = node[node > 0], rest[node > 0]
+        # read the ids backwards, the last ones of all words first
+        ids, at = np.full((n, LONGEST), -1, np.int32), size.copy()
+        count, left = np.zeros(n, np.int64), np.arange(n)
+        while len(left):
+            ids[left, count[left]] = last[left, at[left]]
+            count[left] += 1
+            at[left] -= width[left, at[left]]
+            left = left[at[left] > 0]
+        out: list[list[int] | None] = [None] * len(words)
+        for r, row, m in zip(rows.tolist(), ids.tolist(), count.tolist(), strict=True):
+            out[r] = row[:m][::-1]
+        return out
 
 
 class PieceModel:
@@ -59,14 +200,25 @@ class PieceModel:
                 raise ValueError(f"pieces of type {p.type} are not supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a space mark after another character")
+        chars = {p for p in self.ids if len(p) == 1}
+        if MARK not in chars or any(not chars.issuperset(p) for p in self.ids):
+            raise ValueError("a piece has a character that is no piece")
+        known = "".join(re.escape(c) for c in sorted(chars - {MARK}))
+        self.cut = re.compile(f"{MARK}+[{known}]*|[{known}]+|.", re.DOTALL)
         self.byte_ids = {b: i for i, b in self.bytes.items()}
+        #: Pieces that merging gives; others never end an encoding.
+        self.whole = {piece: i for piece, i in self.ids.items() if self._merged(piece) == [piece]}
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if self._merged(piece) == [piece]:  # others never end an encoding
-                self.automaton.add_word(piece, (i, len(piece)))
+        for piece, i in self.whole.items():
+            self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        common = Counter(c for piece in self.whole for c in set(piece))
+        chars = sorted((c for c in common if c in self.whole), key=lambda c: (ord(c) > 127, -common[c], c))[:ALPHABET]
+        self.columns = Columns(self.whole, chars)
+        self.pairs = Pairs(self._fits)
+        self.ids_told = {i: str(i) for i in self.names}
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """Encode a short text by merging neighbours, the best piece first and of equal ones the left one."""
@@ -83,49 +235,30 @@ class PieceModel:
         return parts
 
     def _fits(self, p: int, t: int) -> bool:
-        key = p << 32 | t
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            a, b = self.names[p], self.names[t]
-            known = self.pairs[key] = self._merged(a + b) == [a, b]
-        return known
+        a, b = self.names[p], self.names[t]
+        return self._merged(a + b) == [a, b]
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of a text in which space marks stand only before other characters."""
-        whole = self.ids.get(word)
+        """Ids of one part of a cut text."""
+        whole = self.whole.get(word)
         if whole is not None:
             return [whole]
-        n, pairs = len(word), self.pairs
+        if word not in self.ids and len(word) == 1:
+            return [self.byte_ids[b] for b in word.encode()]
+        n = len(word)
         last, size = [-1] * (n + 1), [0] * (n + 1)
-        end_before = -1
         for end, (t, k) in self.automaton.iter(word):
-            if end == end_before:
-                continue  # this prefix has its token
             begin = end + 1 - k
-            p = last[begin]
-            fits = begin == 0 or p == -1 or pairs.get(p << 32 | t)
-            if fits or fits is None and self._fits(p, t):
-                # p == -1: a character that no piece has stands before; nothing merges across it
-                if begin and p == -1 and size[begin] == 0 and self._known(word[begin - 1]):
-                    continue
-                last[end + 1], size[end + 1] = t, k
-                end_before = end
+            if size[end + 1] or begin and not self.pairs.one(last[begin], t):
+                continue
+            last[end + 1], size[end + 1] = t, k
         out: list[int] = []
         at = n
         while at:
-            if last[at] >= 0:
-                out.append(last[at])
-                at -= size[at]
-            else:
-                out.extend(self.byte_ids[b] for b in reversed(word[at - 1].encode()))
-                at -= 1
+            out.append(last[at])
+            at -= size[at]
         return out[::-1]
 
-    def _known(self, char: str) -> bool:
-        return char in self.ids
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, marks as spaces, the first space dropped, bytes that are no UTF-8 as U+FFFD."""
         out, run = [], bytearray()
@@ -142,26 +275,55 @@ class PieceModel:
         text = "".join(out)
         return (text[1:] if text.startswith(MARK) and ids[0] not in self.bytes else text).replace(MARK, " ")
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        ids = self.encode_word(word)
-        got = self.words[word] = (len(ids), ",".join(map(str, ids)), MARK + self.decode(ids) if ids[0] not in self.bytes and word[0] == MARK else self.decode(ids))
-        return got
-
-    def encode(self, text: str) -> list[int]:
-        marked = MARK + text.replace(" ", MARK)
-        return [i for w in _CUT.findall(marked) for i in self.encode_word(w)] if text else []
-
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of the ids as text and of the decoded text."""
-        if not text:
-            return 0, _sha(""), _sha("")
-        words = _CUT.findall(MARK + text.replace(" ", MARK))
-        known = self.words
-        got = [known.get(w) or self._word(w) for w in words]
-        decoded = "".join([g[2] for g in got])
-        return sum([g[0] for g in got]), _sha(",".join([g[1] for g in got])), _sha((decoded[1:] if decoded[0] == MARK else decoded).replace(MARK, " "))
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for low in range(0, len(words), TOGETHER):
+            part = words[low : low + TOGETHER]
+            out += [self.encode_word(w) if i is None else i for w, i in zip(part, self.columns.encode(part, self.pairs), strict=True)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """See to it that ``young`` holds these words."""
+        if len(self.young) >= WORDS_KEPT:
+            self.young, self.old = {}, self.young
+        new = []
+        for w in words:
+            if w not in self.young:
+                got = self.old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    self.young[w] = got
+        told, names = self.ids_told, self.names
+        for w, ids in zip(new, self.encode_words(new), strict=True):
+            if any(i in self.bytes for i in ids):
+                # decode() drops the mark that a text begins with; a word's is put back
+                text = MARK + self.decode(ids) if ids[0] not in self.bytes and w[0] == MARK else self.decode(ids)
+            else:
+                text = "".join([names[i] for i in ids])
+            self.young[w] = (len(ids), ",".join([told[i] for i in ids]), text)
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text."""
+        cut = [self._cut(t) for t in texts]
+        words = list(set().union(*cut))
+        known = dict(zip(words, self.encode_words(words), strict=True))
+        return [[i for w in part for i in known[w]] for part in cut]
+
+    def _cut(self, text: str | None) -> list[str]:
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text the number of ids, and SHA-256 of the ids as text and of the decoded text."""
+        cut = [self._cut(t) for t in texts]
+        self._learn(set().union(*cut))
+        known, out = self.young, []
+        for words in cut:
+            got = [known[w] for w in words]
+            decoded = "".join([g[2] for g in got])
+            decoded = (decoded[1:] if decoded[:1] == MARK else decoded).replace(MARK, " ")
+            out.append((sum([g[0] for g in got]), _sha(",".join([g[1] for g in got])), _sha(decoded)))
+        return out
 
 
 def _sha(text: str) -> str:
@@ -183,6 +345,17 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
+def _parts(texts: list[str | None]):
+    """Consecutive texts of about ``BATCH_CHARS`` together."""
+    low = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= BATCH_CHARS:
+            yield texts[low : i + 1]
+            low, chars = i + 1, 0
+    yield texts[low:]
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids. The model file, under 1 MB, is read on the driver and goes to the tasks."""
     data = _model_bytes(model_path)
@@ -191,7 +364,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = model_at(key, data)
         for b in batches:
-            ids = [model.encode(t or "") for t in column(b, "text")]
+            ids = [i for part in _parts(column(b, "text")) for i in model.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -219,7 +392,8 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = model_at(key, data)
         for b in batches:
-            n, ids, texts = zip(*map(model.digests, column(b, "text")), strict=True) if b.num_rows else ((), (), ())
+            got = [g for part in _parts(column(b, "text")) for g in model.digests(part)]
+            n, ids, texts = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

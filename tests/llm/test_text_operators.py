@@ -258,6 +258,27 @@ def test_piece_codec(spark, docs, rows):
     assert got(round_trip(df, path)) == sorted(want, key=str)
     assert got(decode(encode(df, path), path)) == sorted([(i, lib.decode(lib.encode(t or ""))) for i, t in rows + [(1000 + i, t) for i, t in enumerate(odd)]], key=str)
     assert round_trip(empty(docs), path).count() == 0
+    ids = [lib.encode(t or "") for _, t in rows]
+    want = [(i, len(x), sha(",".join(map(str, x))), sha(lib.decode(x))) for (i, _), x in zip(rows, ids, strict=True)]
+    assert got(round_trip(docs.withColumns({c: F.lit(1) for c in ("ids", "n_tokens", "ids_sha256")}), path)) == sorted(want, key=str)
+
+
+def test_piece_codec_never_gives_pieces_that_merging_does_not_reach():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    paths = pytest.importorskip("public_tokenizers")
+    import sentencepiece.sentencepiece_model_pb2 as pb
+
+    from pixelframe.llm.piece_codec import PieceModel
+
+    with open(paths.path("piece_bpe_32k.model"), "rb") as f:
+        spec = pb.ModelProto.FromString(f.read())
+    for piece in ("qzxjqv", "▁xqz"):  # no two parts of these are pieces
+        spec.pieces.add(piece=piece, score=-40000.0, type=1)
+    data = spec.SerializeToString()
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=data), PieceModel(data)
+    texts = ["qzxjqv", "xqz", "a qzxjqv xqz b qzxjqvs", "zqzxjqv " * 50]
+    assert "qzxjqv" in own.ids and "qzxjqv" not in own.whole
+    assert own.encode(texts) == [lib.encode(t) for t in texts]
 
 
 def test_lm_score(spark, docs, rows):
