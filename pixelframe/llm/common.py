@@ -7,6 +7,7 @@ bytes, so no task holds more than a few of them, whatever the input's size.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -27,12 +28,14 @@ _WORDS_ASCII = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; a default only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors and the driver share: what the session sets, else the checkpoint folder. Only a
+    session on one machine has a default."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         folder = "/tmp/checkpoints/pixelframe"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -57,6 +60,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, by which batches and buckets are cut; of its strings if it reads no files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if sum(sizes) < 1 << 60:
+        return sum(sizes)
+    return df.select(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"))).first()[0] or 0
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -1,24 +1,29 @@
 """Jaccard similarity join on word n-grams with rare-first prefix, length, positional and suffix filters.
 
-1. Frequencies. Every document's n-grams are counted over all documents in hashed counters; an n-gram's
-   counter and then its hash put all n-grams into one order, rare ones first.
-2. Prefixes. Two sets with a Jaccard similarity of t share an n-gram among the first |x| - ceil(t|x|) + 1 of
-   each in that order. Prefix n-grams are dealt to buckets in packed rows.
-3. Clusters. Documents that share a prefix n-gram are tied to the least of them: within a batch, then among the
-   batches' least ones. Components of these ties are clusters; every pair that could be similar lies in one.
+1. Frequencies. Batches of texts send each distinct n-gram once to a bucket, packed; buckets add up how many documents
+   have it and answer the batches that hold an n-gram which several documents have. So the order of n-grams, rare ones
+   first, is exact at any size, and no table of frequencies is held anywhere.
+2. Prefixes. Two sets with a Jaccard similarity of t share an n-gram among the first |x| - ceil(t|x|) + 1 of each in
+   that order. N-grams of one document come first in it and join nothing, so a document with at least a prefix of those
+   is done; of the others the rest of the prefix remains. These are few.
+3. Clusters. Nodes that share a prefix n-gram and have sizes that may be similar are tied to the least node of it and of
+   their size class. Components of these ties are clusters; every pair that could be similar lies in one.
 4. Blocks. Clusters are dealt out whole while they are small. A large one is split into size classes, of which only
    equal and adjacent ones can hold similar pairs, and these into blocks; each pair of blocks is a group of its own.
 5. Links. A group counts the prefix n-grams that its pairs share. The length filter, the positional filter on those
    counts, and the suffix filter on counts by hash range leave few pairs. Each of these is compared once, on the sets
-   themselves. For components, links of the group that already join the two spare the comparison, and groups report the
-   links that joined something, so a group of thousands of near copies is never expanded into pairs, and no link is
-   lost that a component needs. For ``text_links`` and ``link_counts`` every pair is compared and every link reported.
-
-Sets are sets of 64-bit n-gram hashes. Equal sets (exact copies among them) are one node.
-
-Defined results: a document with fewer words than n has one n-gram, all its words; one without words (a null
-text too) has an empty set and is linked with nothing; repeated rows are copies; rows with a null doc_id get
-their n-gram count and a null component; rows that share a doc_id are one node; further columns are ignored.
+   themselves. A group reports how many links each of its documents has, and links that join what they join, so that
+   thousands of near copies are counted without a row for each pair. ``text_links`` reports every link.
+
+Sets are sets of 64-bit n-gram hashes; equal sets (exact copies among them) are one node. In steps 1 to 3 n-grams go by
+a shorter hash, within their bucket 32 bits. Where that makes two n-grams one, it happens in every document alike; a
+prefix keeps the length that the whole set asks for, so no pair is lost.
+
+Defined results: a document with fewer words than n has one n-gram, all its words; one without words (a null text too)
+has an empty set and is linked with nothing; texts of any length are taken whole; repeated rows are copies; rows with a
+null doc_id get their n-gram count, a null component and null links; rows that share a doc_id are one node; an empty
+table gives an empty result; further columns are ignored. ``docs`` is read several times and must give its rows in the
+same order each time, as files do.
 """
 
 from __future__ import annotations
@@ -37,31 +42,30 @@ from .common import (
     LOWER,
     PLAIN,
     batches_of,
-    by_bucket,
     by_value,
     column,
     dropped,
+    input_bytes,
     loosen,
     mixed,
     rolling,
+    shuffle_parts,
     small_batches,
     squeeze,
-    text_bytes,
     word_hashes,
     written,
 )
 from .components import components
 
-#: Counters of n-gram frequencies, one byte each: about one for eight words of the input, within these bounds. They stop
-#: at 255. Beyond the upper bound, 64 MB, more n-grams only make the order less sharp.
-LEAST_SLOTS, MOST_SLOTS = 1 << 22, 1 << 26
-_PARTS = 64
+#: N-grams that a task gathers before it deals them to buckets, and n-grams in one bucket, about.
+BATCH_GRAMS, BUCKET_GRAMS = 4_000_000, 4_000_000
 #: Ranges of hash values whose counts the suffix filter compares.
-RANGES = 256
+RANGES = 32
 #: What a document counts besides its n-grams, and what one block of a cluster holds, about.
-DOC_WEIGHT, BLOCK_WEIGHT = 200, 150_000
-#: Prefix n-grams in one bucket, about.
-BUCKET_GRAMS, LEAST_BUCKETS = 1_000_000, 64
+DOC_WEIGHT, BLOCK_WEIGHT = 400, 1_000_000
+_ASKED = "bucket int, batch long, kind int, data binary"
+_PICKED = "doc_id long, fp binary, n long, singles long, last_times long, heads array<long>"
+_LINKED = "a long, b long, fp binary, more long"
 
 
 def gram_sets(texts: list, n: int, table: bytes | None = LOWER) -> list[np.ndarray]:
@@ -77,9 +81,8 @@ def gram_sets(texts: list, n: int, table: bytes | None = LOWER) -> list[np.ndarr
     return out
 
 
-def slot_of(grams: np.ndarray, slots: int) -> np.ndarray:
-    """Which of ``slots`` counters, a power of two, is an n-gram's."""
-    return (grams >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+def fingerprint(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def least_overlap(a, b, percent: int):
@@ -87,173 +90,280 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def similar(common: int, a: int, b: int, percent: int) -> bool:
-    return 100 * common >= percent * (a + b - common)
-
-
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams of each slot stand in all documents."""
-    slots = LEAST_SLOTS
-    size = text_bytes(docs)
-    while slots < MOST_SLOTS and slots < size // 48:
-        slots *= 2
-    each = slots // _PARTS
-
-    def count(batches):
-        own = np.zeros(slots, np.uint8)
-        for _, texts in batches_of(batches):
-            h, edges = word_hashes(texts, LOWER)
-            grams = mixed(rolling(h, n) + np.uint64(n))
-            inside = np.ones(len(grams), bool)
-            for k in range(1, n):  # no n-gram reaches into the next text
-                at = edges[1:-1] - k
-                inside[at[(at >= 0) & (at < len(grams))]] = False
-            at, times = np.unique(slot_of(grams[inside], slots), return_counts=True)
-            own[at] = np.minimum(own[at] + times, 255)
-        for p in range(_PARTS):
-            part = own[p * each : (p + 1) * each]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["part", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, p = np.zeros(each, np.int64), None
-        for b in batches:
-            for p, data in zip(column(b, "part"), column(b, "data"), strict=True):
-                total += loosen(data)[0]
-        total = np.minimum(total, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(total)], pa.binary())], ["part", "data"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, "part int, data binary")
-    out = np.zeros(slots, np.uint8)
-    for p, data in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect():
-        out[p * each : (p + 1) * each] = loosen(bytes(data))[0]
-    return out
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def prefixes(docs: DataFrame, times: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set), prefix: its n-grams, rare ones first, as 8-byte values."""
-    sent = docs.sparkSession.sparkContext.broadcast(times)
+def sizes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, fp (digest of the set) of every row."""
 
     def run(batches):
-        times = sent.value
         for ids, texts in batches_of(batches):
-            sizes, prints, ranges, heads = [], [], [], []
-            for s in gram_sets(texts, n):
-                k = len(s)
-                head = s[np.lexsort((s, times[slot_of(s, len(times))]))[: k - -(-percent * k // 100) + 1 if k else 0]]
-                sizes.append(k)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                heads.append(head.tobytes())
+            sets = gram_sets(texts, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.binary())],
-                ["doc_id", "n_shingles", "fp", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "fp"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, prefix binary")
-
-
-def _stars(gram: np.ndarray, doc: np.ndarray, size: np.ndarray):
-    """Order by n-gram and doc; leaders' positions; (doc, leader) of the others, of each pair one."""
-    order = np.lexsort((doc, gram))
-    g, d = gram[order], doc[order]
-    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(g) else np.empty(0, np.int64)
-    other = d != d[lead] if len(g) else np.empty(0, bool)
-    pairs = np.unique(np.stack([d[other], d[lead][other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return order[first], pairs
-
-
-def star_pairs(table: DataFrame, n_buckets: int) -> DataFrame:
-    """Pairs (a, b) of each document with the least one at a shared prefix n-gram."""
-
-    def pack(batches):
-        ids: list[int] = []
-        heads: list[np.ndarray] = []
-        total = 0
-
-        def flush():
-            doc = np.repeat(np.array(ids, np.int64), [len(h) for h in heads])
-            gram = np.concatenate(heads)
-            lead, pairs = _stars(gram, doc, None)
-            gram, doc = gram[lead], doc[lead]
-            # buckets by the low bits; what is left of the n-gram is sorted, so its differences pack well
-            for k, rows in by_bucket((gram % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                yield k, squeeze(gram[rows], doc[rows])
-            for at in range(0, len(pairs), 100_000):
-                p = pairs[at : at + 100_000]
-                yield int(p[0, 0] % n_buckets), squeeze(np.empty(0, np.uint64), np.empty(0, np.int64), p[:, 0], p[:, 1])
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary")
+
+
+def _ascending(values: np.ndarray) -> np.ndarray:
+    """Sorted values as differences, which pack better; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _record(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def _asked(ids: list[int], prints: list[bytes], sets: list[np.ndarray], n_buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, batch, kind, data) of one batch. Kind 0: for each bucket the batch's distinct n-grams, in how many
+    of its documents each is and the first of these. Kind 1, through any bucket back to the batch: its documents, and the
+    further documents of n-grams that several of them have."""
+    doc, first = {}, {}
+    for k, (i, f) in enumerate(zip(ids, prints, strict=True)):
+        if f not in doc or i < doc[f]:
+            doc[f] = i
+        first.setdefault(f, k)
+    own = list(first.values())
+    size = np.array([len(sets[k]) for k in own], np.int64)
+    gram = np.concatenate([sets[k] for k in own])
+    owner = np.repeat(np.arange(len(own), dtype=np.uint64), size)
+    low, bits = np.uint64(0xFFFFFFFF), np.uint64(max(1, (len(own) - 1).bit_length()))
+    key = (gram >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32) << np.uint64(32) | gram & low
+    if n_buckets.bit_length() + 32 + int(bits) <= 64:
+        both = np.sort(key << bits | owner)
+        key, owner = both >> bits, both & ((np.uint64(1) << bits) - np.uint64(1))
+    else:
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+    key, owner = key[once], owner[once].astype(np.uint32)
+    here = np.bincount(owner, minlength=len(own))
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    start = np.flatnonzero(new)
+    times = np.diff(np.append(start, len(key))).astype(np.uint32)
+    fps = [prints[k] for k in own]
+    docs = np.array([doc[f] for f in fps], np.int64)
+    batch = xxhash.xxh3_64_intdigest(docs.tobytes() + b"".join(fps)) - (1 << 63)
+    asks, begins = key[start], owner[start]
+    if len(own) < 1 << 16:
+        begins = begins.astype(np.uint16)
+    edges = np.searchsorted(asks, np.arange(n_buckets + 1, dtype=np.uint64) << np.uint64(32))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        rows = slice(edges[b], edges[b + 1])
+        yield b, batch, 0, squeeze(_ascending((asks[rows] & low).astype(np.uint32)), times[rows], begins[rows])
+    prints_here = np.frombuffer(b"".join(fps), np.uint8)
+    yield batch % n_buckets, batch, 1, squeeze(docs, size, here, prints_here, _ascending(key[~new]), owner[~new])
+
+
+def asked(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
+    def run(batches):
+        ids, prints, sets, total = [], [], [], 0
 
         def rows():
-            nonlocal ids, heads, total
-            for b in batches:
-                for i, h in zip(column(b, "doc_id"), column(b, "prefix"), strict=True):
-                    ids.append(i)
-                    heads.append(np.frombuffer(h, np.uint64))
-                    total += len(h)
-                    if total > 8_000_000:
-                        yield from flush()
-                        ids, heads, total = [], [], 0
-            if ids:
-                yield from flush()
-
-        for k, data in rows():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, docs, pairs = [], [], []
-        for b in batches:
-            for data in column(b, "data"):
-                g, d, *p = loosen(data)
-                grams.append(g)
-                docs.append(d)
-                if p:
-                    pairs.append(np.stack(p, 1))
-        _, found = _stars(np.concatenate(grams), np.concatenate(docs), None)
-        found = np.unique(np.concatenate([found, *pairs]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            return _record(["bucket", "batch", "kind", "data"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()], list(_asked(ids, prints, sets, n_buckets)))
 
-    packed = table.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "prefix").mapInArrow(pack, "bucket int, data binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
-
-
-def _prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-
-
-def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, times: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
-    """Links that join the group's documents, or ``every`` link: among all of them, or between side 0 and side 1 if both are there."""
-    m, size = len(ids), np.array([len(s) for s in sets], np.int64)
-    prefix = _prefix_size(size, percent)
-    ordered = [s[np.lexsort((s, times[slot_of(s, len(times))]))] for s in sets]
-    gram = np.concatenate([o[:k] for o, k in zip(ordered, prefix.tolist(), strict=True)])
-    owner = np.repeat(np.arange(m), prefix)
-    distinct, column_of, count = np.unique(gram, return_inverse=True, return_counts=True)
-    shared = count[column_of] > 1
-    if not shared.any():
+        for some, texts in batches_of(batches):
+            for i, s in zip(some, gram_sets(texts, n), strict=True):
+                if i is not None and len(s):
+                    ids.append(i)
+                    prints.append(fingerprint(s))
+                    sets.append(s)
+                    total += len(s)
+                    if total >= BATCH_GRAMS:
+                        yield rows()
+                        ids, prints, sets, total = [], [], [], 0
+        if ids:
+            yield rows()
+
+    return docs.mapInArrow(run, _ASKED)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's answers: to each batch its n-grams that several documents have, and how many."""
+    names, types = ["batch", "kind", "bucket", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    to, parts, bucket = [], [], 0
+    for b in batches:
+        passed = []
+        for bucket, batch, kind, data in zip(*(column(b, c) for c in ("bucket", "batch", "kind", "data")), strict=True):
+            if kind:
+                passed.append((batch, 1, bucket, data))
+            else:
+                gram, times, first = loosen(data)
+                to.append(batch)
+                parts.append((np.cumsum(gram, dtype=np.uint32), times, first.astype(np.uint32)))
+        if passed:
+            yield _record(names, types, passed)
+    if not parts:
+        return
+    gram, times, first = (np.concatenate(c) for c in zip(*parts, strict=True))
+    ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+    del parts
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    total = np.add.reduceat(times[order].astype(np.int64), start)
+    every = np.empty(len(gram), np.int64)
+    every[order] = np.repeat(total, np.diff(np.append(start, len(g))))
+    rows, size, begin = [], 0, 0
+    for batch, end in zip(to, ends, strict=True):
+        at = begin + np.flatnonzero(every[begin:end] > 1)
+        begin = end
+        if len(at):
+            data = squeeze(_ascending(gram[at]), times[at] > 1, first[at], every[at])
+            rows.append((batch, 0, bucket, data))
+            size += len(data)
+        if size > 4_000_000:
+            yield _record(names, types, rows)
+            rows, size = [], 0
+    if rows:
+        yield _record(names, types, rows)
+
+
+def _pick(percent: int):
+    def pick(table: pa.Table) -> pa.Table:
+        """The documents of a batch whose prefix holds n-grams that others have, with these, rare ones first."""
+        kinds, data, buckets = (column(table, c) for c in ("kind", "data", "bucket"))
+        docs, size, here, prints, gram, owner = loosen(data[kinds.index(1)])
+        more, more_owner = np.cumsum(gram, dtype=np.uint64), owner
+        keys, owners, times = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        several_key, several_times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for bucket, kind, packed in sorted(zip(buckets, kinds, data, strict=True), key=lambda r: r[0]):
+            if kind == 0:
+                g, several, first, every = loosen(packed)
+                k = np.cumsum(g, dtype=np.uint32).astype(np.uint64) | np.uint64(bucket << 32)
+                keys.append(k)
+                owners.append(first)
+                times.append(every)
+                several_key.append(k[several])
+                several_times.append(every[several])
+        k, t = np.concatenate(several_key), np.concatenate(several_times)
+        key = np.concatenate([*keys, more])
+        owner = np.concatenate([*owners, more_owner])
+        times = np.concatenate([*times, t[np.searchsorted(k, more)]])
+        singles = here - np.bincount(owner, minlength=len(docs))
+        left = prefix_size(size, percent) - singles
+        stay = left[owner] > 0
+        key, owner, times = key[stay], owner[stay], times[stay]
+        order = np.lexsort((key, times, owner))
+        key, owner, times = key[order], owner[order], times[order]
+        start = np.searchsorted(owner, np.arange(len(docs)))
+        stay = np.arange(len(owner)) - start[owner] < left[owner]
+        key, owner, times = key[stay], owner[stay], times[stay]
+        who = np.flatnonzero(np.bincount(owner, minlength=len(docs)))
+        ends = np.searchsorted(owner, who, "right")
+        heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(key.view(np.int64)))
+        flat = prints.tobytes()
+        return pa.table(
+            {
+                "doc_id": pa.array(docs[who]), "fp": pa.array([flat[16 * i : 16 * i + 16] for i in who.tolist()], pa.binary()), "n": pa.array(size[who]),
+                "singles": pa.array(singles[who]), "last_times": pa.array(times[ends - 1]), "heads": heads,
+            }
+        )
+
+    return pick
+
+
+def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, fp, n, singles, last_times, heads of documents whose prefix holds n-grams that others have: the size of the
+    set, how many of its n-grams no other has, those of the prefix that others have, how many have the last of these."""
+    n_buckets = max(shuffle_parts(docs.sparkSession), input_bytes(docs) // (3 * BUCKET_GRAMS))
+    answers = asked(docs, n, n_buckets).groupBy("bucket").applyInArrow(_answer, "batch long, kind int, bucket int, data binary")
+    return answers.groupBy("batch").applyInArrow(_pick(percent), _PICKED)
+
+
+def size_class(n, percent: int):
+    """Sizes of sets that are similar enough are at most one class apart."""
+    return F.floor(F.log(n.cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int")
+
+
+def ties(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the least one of its size class at each of its prefix n-grams, and these least ones with those
+    of the next class."""
+    held = nodes.select("node", size_class(F.col("n"), percent).alias("class"), F.explode("heads").alias("gram"))
+    least = held.groupBy("gram", "class").agg(F.min("node").alias("lead"), F.max("node").alias("most"))
+    least = written(least, "least")
+    within = held.join(least.filter("lead < most").select("gram", "class", "lead"), ["gram", "class"])
+    above = least.select("gram", (F.col("class") - 1).alias("class"), F.col("lead").alias("next"))
+    across = least.join(above, ["gram", "class"]).filter("lead <> next")
+    both = within.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return both.union(across.select(F.greatest("lead", "next"), F.least("lead", "next"))).distinct()
+
+
+class _Group:
+    """Documents among which, or between whose two sides, pairs are compared."""
+
+    def __init__(self, sets: list[np.ndarray], heads: list[np.ndarray], size, last_times, percent: int):
+        self.m, self.sets, self.heads, self.percent = len(sets), sets, heads, percent
+        self.size = np.asarray(size, np.int64)
+        self.rest = self.size - prefix_size(self.size, percent)
+        last = np.array([h[-1] for h in heads], np.int64).view(np.uint64)
+        self.rank = np.empty(self.m, np.int64)
+        self.rank[np.lexsort((last, np.asarray(last_times)))] = np.arange(self.m)
+
+    def shared_heads(self) -> np.ndarray:
+        """How many prefix n-grams each pair has in common."""
+        owner = np.repeat(np.arange(self.m), [len(h) for h in self.heads])
+        _, at, count = np.unique(np.concatenate(self.heads), return_inverse=True, return_counts=True)
+        common = np.zeros((self.m, self.m), np.float32)
+        shared = count[at] > 1
+        owner, (columns, at) = owner[shared], np.unique(at[shared], return_inverse=True)
+        for low in range(0, len(columns), 2048):
+            part = (at >= low) & (at < low + 2048)
+            held = np.zeros((self.m, min(2048, len(columns) - low)), np.float32)
+            held[owner[part], at[part] - low] = 1
+            common += held @ held.T
+        return common
+
+    def candidates(self, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, its partners) that the length, positional and suffix filters leave; each pair once."""
+        common, size = self.shared_heads(), self.size
+        ranges = np.stack([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES) for s in self.sets]).astype(np.int32)
+        two_sides = side.any() and not side.all()
+        for x in range(self.m):
+            if two_sides and side[x]:
+                continue
+            y = np.flatnonzero((common[x] > 0) & side.astype(bool)) if two_sides else x + 1 + np.flatnonzero(common[x, x + 1 :] > 0)
+            least = least_overlap(size[x], size[y], self.percent)
+            after = np.where(self.rank[x] <= self.rank[y], self.rest[x], self.rest[y])
+            keep = (np.minimum(size[x], size[y]) >= least) & (common[x, y] + after >= least)
+            y, least = y[keep], least[keep]
+            y = y[np.minimum(ranges[x], ranges[y]).sum(1) >= least]
+            if len(y):
+                yield x, y
+
+    def links(self, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, those partners that are similar): each candidate compared on the sets themselves."""
+        _, flat = np.unique(np.concatenate(self.sets), return_inverse=True)
+        ends = np.cumsum([len(s) for s in self.sets])
+        start, mark = ends - self.size, np.zeros(int(flat.max()) + 1, bool)
+        for x, y in self.candidates(side):
+            mark[flat[start[x] : ends[x]]] = True
+            if len(y) * 4 > self.m:
+                common = np.add.reduceat(mark[flat], start, dtype=np.int64)[y]
+            else:
+                common = np.array([np.count_nonzero(mark[flat[start[j] : ends[j]]]) for j in y.tolist()])
+            mark[flat[start[x] : ends[x]]] = False
+            y = y[100 * common >= self.percent * (self.size[x] + self.size[y] - common)]
+            if len(y):
+                yield x, y
+
+
+def _found(rows: dict[str, list], n: int, percent: int, every: bool) -> list[tuple]:
+    """Rows of ``_LINKED`` of one cluster or pair of blocks: links (a, b), and for sets fp how many rows are similar."""
+    loose = zstandard.ZstdDecompressor()
+    sets = gram_sets([loose.decompress(z) for z in rows["z"]], n, PLAIN)
+    # a doc_id can have several texts; the one that is meant has the node's digest
+    own = {rows["fp"][k]: k for k, s in enumerate(sets) if fingerprint(s) == rows["fp"][k]}
+    at = list(own.values())
+    if len(at) < 2:
         return []
-    # which documents have which shared prefix n-gram; a product of this table counts what pairs have in common
-    columns, at = np.unique(column_of[shared], return_inverse=True)
-    common = np.zeros((m, m), np.float32)
-    for low in range(0, len(columns), 4096):
-        part = (at >= low) & (at < low + 4096)
-        held = np.zeros((m, min(4096, len(columns) - low)), np.float32)
-        held[owner[shared][part], at[part] - low] = 1
-        common += held @ held.T
-    # the place of each prefix's last n-gram in the order: what comes after the earlier one lies in that one's rest
-    last = [o[k - 1] for o, k in zip(ordered, prefix.tolist(), strict=True)]
-    order = np.lexsort((np.array(last, np.uint64), times[slot_of(np.array(last, np.uint64), len(times))]))
-    rank = np.empty(m, np.int64)
-    rank[order] = np.arange(m)
-    rest = size - prefix
-    both = size[:, None] + size[None, :]
-    least = least_overlap(size[:, None], size[None, :], percent)
-    after = np.where(rank[:, None] <= rank[None, :], rest[:, None], rest[None, :])
-    keep = (common > 0) & (common + after >= least) & (np.minimum(size[:, None], size[None, :]) >= least) & (both > 0)
-    keep &= (side[:, None] < side[None, :]) if side.any() and not side.all() else np.triu(np.ones((m, m), bool), 1)
-    x, y = np.nonzero(keep)
-    best = np.argsort(-common[x, y], kind="stable")
-    ranges = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES) for s in sets]
-    parent = list(range(m))
+    node, weight, side = (np.array([rows[c][k] for k in at], np.int64) for c in ("node", "w", "side"))
+    heads = [np.array(rows["heads"][k], np.int64) for k in at]
+    group = _Group([sets[k] for k in at], heads, [rows["n"][k] for k in at], [rows["last_times"][k] for k in at], percent)
+    parent, more, out = list(range(len(at))), np.zeros(len(at), np.int64), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -261,25 +371,26 @@ def joined_in_group(ids: list[int], sets: list[np.ndarray], side: np.ndarray, ti
             i = parent[i]
         return i
 
-    out = []
-    for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
-        a, b = root(i), root(j)
-        if (a == b and not every) or int(np.minimum(ranges[i], ranges[j]).sum()) < least[i, j]:
-            continue
-        if similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
-            parent[a] = b
-            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-    return out
+    for x, similar in group.links(side):
+        more[x] += weight[similar].sum()
+        more[similar] += weight[x]
+        for y in similar.tolist():
+            a, b = root(x), root(y)
+            if a != b or every:
+                parent[a] = b
+                out.append((int(max(node[x], node[y])), int(min(node[x], node[y])), None, None))
+    prints = list(own)
+    return out + [(None, None, prints[k], int(more[k])) for k in np.flatnonzero(more).tolist()]
 
 
 def blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(node, key, cluster, side): the groups in which a document of ``members`` (node, cluster, n) takes part."""
+    """``members`` (cluster, node, n and more), each row once for each group in which it takes part, with the group's key
+    (key, c0, i0, c1, i1) and the row's side."""
     weight = F.col("n") + DOC_WEIGHT
-    width = float(np.log(100 / percent)) * (1 + 1e-6)  # sizes that are similar enough are at most one class apart
-    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    members = members.withColumn("class", size_class(F.col("n"), percent))
     total = members.groupBy("cluster").agg(F.sum(weight).alias("weight"))
     everything = total.agg(F.sum("weight")).first()[0] or 0
-    small = max(64, everything // BLOCK_WEIGHT)
+    small = max(shuffle_parts(members.sparkSession), 8 * everything // BLOCK_WEIGHT)
     large = written(total.filter(F.col("weight") > BLOCK_WEIGHT).select("cluster"), "large")
     counts = members.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.ceil(F.sum(weight) / BLOCK_WEIGHT).cast("int").alias("count"))
     counts = written(counts, "counts")
@@ -287,9 +398,11 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     def of_class(shift: int) -> DataFrame:
         return counts.select("cluster", (F.col("class") + shift).alias("class"), F.col("count").alias(f"n{shift + 1}"))
 
-    whole = members.join(large, "cluster", "left_anti").select("node", F.pmod(F.xxhash64("cluster"), F.lit(small)).alias("key"), "cluster", F.lit(0).alias("side"))
+    zero = F.lit(0)
+    own = [c for c in members.columns if c != "class"]
+    whole = members.join(large, "cluster", "left_anti").select(*own, F.pmod(F.xxhash64("cluster"), F.lit(small)).alias("key"), *(zero.alias(c) for c in ("c0", "i0", "c1", "i1", "side")))
     split = members.join(of_class(0), ["cluster", "class"]).join(of_class(1), ["cluster", "class"], "left").join(of_class(-1), ["cluster", "class"], "left")
-    split = split.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n1")).cast("int"))
+    split = split.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n1")).cast("int"))
     i, c = F.col("i"), F.col("class")
     group = lambda c0, i0, c1, i1, side: F.struct(c0.alias("c0"), i0.alias("i0"), c1.alias("c1"), i1.alias("i1"), side.alias("side"))
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -298,15 +411,13 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
         F.transform(upto("n0"), lambda j: group(c, i, c + 1, j, F.lit(0))),
         F.transform(upto("n2"), lambda j: group(c - 1, j, c, i, F.lit(1))),
     )
-    split = split.select("node", "cluster", F.explode(groups).alias("g"))
-    key = F.xxhash64("cluster", "g.c0", "g.i0", "g.c1", "g.i1")
-    return whole.union(split.select("node", key.alias("key"), "cluster", F.col("g.side").alias("side")))
+    split = split.select(*own, F.explode(groups).alias("g")).select(*own, F.col("cluster").alias("key"), "g.*")
+    return whole.unionByName(split)
 
 
-def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, percent: int, every: bool) -> DataFrame:
-    """Links (a, b) that join the documents of ``members`` (node, cluster, n), or ``every`` link, some of them twice."""
+def linked(docs: DataFrame, members: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
+    """Rows of ``_LINKED`` for the documents of ``members``: links that join them, or ``every`` link."""
     may = sent_bloom(members.select("node"), members.count())
-    sent = docs.sparkSession.sparkContext.broadcast(times)
 
     def texts(batches):
         bloom, z = BlockedBloom(may.value), zstandard.ZstdCompressor(level=1)
@@ -315,95 +426,57 @@ def linked(docs: DataFrame, members: DataFrame, times: np.ndarray, n: int, perce
             out = [z.compress((t or "").encode().translate(LOWER)) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "z"])
 
-    def verify(group: pa.Table) -> pa.Table:
-        loose, out = zstandard.ZstdDecompressor(), []
-        cluster, side = group.column("cluster").to_numpy(), group.column("side").to_numpy()
-        for _, rows in by_value(cluster):
-            part = group.take(pa.array(rows))
-            sets = gram_sets([loose.decompress(z) for z in column(part, "z")], n, PLAIN)
-            some = [k for k, s in enumerate(sets) if len(s)]
-            ids = column(part, "node")
-            out += joined_in_group([ids[k] for k in some], [sets[k] for k in some], side[rows][some], sent.value, percent, every)
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+    def verify(table: pa.Table) -> pa.Table:
+        out = []
+        for _, rows in by_value(table.column("cluster").to_numpy()):
+            out += _found(table.take(pa.array(rows)).to_pydict(), n, percent, every)
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("fp", pa.binary()), ("more", pa.int64())))})
 
     held = docs.mapInArrow(texts, "doc_id long, z binary")
-    groups = blocks(members, percent).join(held, F.col("node") == F.col("doc_id")).select("key", "cluster", "side", "node", "z")
-    return groups.groupBy("key").applyInArrow(verify, "a long, b long")
+    groups = blocks(members, percent).join(held, F.col("node") == F.col("doc_id")).drop("doc_id", "singles")
+    return groups.groupBy("key", "c0", "i0", "c1", "i1").applyInArrow(verify, _LINKED)
 
 
 def _linked(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: (doc_id, n_shingles, fp) of every row, (fp, rep) of sets that several rows have, links of representatives."""
+    """Written tables: (doc_id, n_shingles, fp) of every row; (fp, rep, w) of sets that several rows have; links of
+    representatives and counts, as in ``_LINKED``."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    times = frequencies(docs, n)
-    table = written(prefixes(docs, times, n, percent), "prefixes")
-    slim = table.select("doc_id", "n_shingles", "fp")
-    groups = slim.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    copies = written(groups.filter("rows > 1"), "copies")
-    reps = written(
-        slim.filter("n_shingles > 0").join(copies, "fp").filter("doc_id is not null").select("doc_id", "rep").distinct(), "reps"
-    )
-    size = table.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    n_buckets = max(LEAST_BUCKETS, size // (8 * BUCKET_GRAMS))
-
-    def of_reps(pairs: DataFrame) -> DataFrame:
-        ra, rb = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
-        both = pairs.join(ra, "a", "left").join(rb, "b", "left")
-        a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        return both.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-
-    ties = written(of_reps(written(star_pairs(table, n_buckets).distinct(), "ties")), "ties")
-    clusters = components(ties)
-    sizes = slim.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    members = clusters.withColumnRenamed("component", "cluster").join(sizes, "node").groupBy("node", "cluster").agg(F.max("n").alias("n"))
-    members = written(members, "members")
-    links = written(linked(docs, members, times, n, percent, every), "links")
-    dropped(ties, clusters, members, reps)
+    slim = written(sizes(docs, n), "sizes")
+    groups = slim.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("w"))
+    copies = written(groups.filter("w > 1"), "copies")
+    nodes = prefixes(docs, n, percent).join(copies, "fp", "left")
+    nodes = nodes.select(F.coalesce("rep", "doc_id").alias("node"), "fp", F.coalesce("w", F.lit(1)).alias("w"), "n", "singles", "last_times", "heads")
+    nodes = written(nodes.dropDuplicates(["fp"]), "nodes")
+    tied = written(ties(nodes, percent), "ties")
+    clusters = components(tied)
+    members = written(nodes.join(clusters.withColumnRenamed("component", "cluster"), "node"), "members")
+    links = written(linked(docs, members, n, percent, every), "links")
+    dropped(nodes, tied, clusters, members)
     return slim, copies, links
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link at a Jaccard similarity of ``percent`` / 100."""
+    """doc_id, n_shingles, component_id, n_links of every row: documents link at a Jaccard similarity of ``percent`` / 100,
+    n_links is the number of other rows (with a doc_id) that the row's document is linked with, copies among them."""
     slim, copies, links = _linked(docs, n, percent, False)
     labels = components(links)
-    out = slim.join(copies.select("fp", "rep"), "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    counts = links.filter("fp is not null").groupBy("fp").agg(F.sum("more").alias("more"))
+    out = slim.join(copies, "fp", "left").join(counts, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out.rep == labels.node, "left")
-    own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
-
-
-def _text_links(docs: DataFrame, n: int, percent: int):
-    """``docs`` with the hash of each text as text_id; each text_id's representative, its set's size; every link of two of these once."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_id", F.xxhash64("text"))
-    named = docs.filter("doc_id is not null")
-    slim, copies, links = _linked(named.select(F.col("text_id").alias("doc_id"), "text"), n, percent, True)
-    texts = slim.join(copies.select("fp", "rep"), "fp", "left").select(F.col("doc_id").alias("text_id"), F.coalesce("rep", "doc_id").alias("rep"), "n_shingles")
-    return docs, written(texts.distinct(), "texts"), written(links.filter("a <> b").distinct(), "links")
+    none = F.lit(0).cast("long")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    n_links = F.when(F.col("n_shingles") == 0, none).otherwise(F.coalesce("w", F.lit(1)) - 1 + F.coalesce("more", none))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), n_links).alias("n_links"),
+    )
 
 
 def text_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(a, b): every two different sets of n-grams with a Jaccard similarity of at least ``percent`` / 100, each pair once
-    with a <= b, as the least doc_ids that have them. Rows with a null doc_id have no links."""
-    docs, texts, links = _text_links(docs, n, percent)
-    least = docs.join(texts, "text_id").groupBy("rep").agg(F.min("doc_id").alias("least"))
-    least = written(least, "least")
-    a, b = (least.select(F.col("rep").alias(c), F.col("least").alias(f"l{c}")) for c in "ab")
-    return links.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-
-
-def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_links of every row: how many others it is similar to, copies counted one by one.
-
-    Counted are documents, once for each set of n-grams that rows with their doc_id have; repeated rows count once. A row
-    without n-grams has 0 links, one with a null doc_id null.
-    """
-    docs, texts, links = _text_links(docs, n, percent)
-    weights = docs.filter("doc_id is not null").select("doc_id", "text_id").join(texts, "text_id").select("doc_id", "rep").distinct()
-    weights = written(weights.groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "weights")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = ends.join(weights.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("more"))
-    each = texts.join(weights, "rep").join(around, "rep", "left")
-    each = each.select("text_id", F.when(F.col("n_shingles") > 0, F.col("w") - 1 + F.coalesce("more", F.lit(0))).otherwise(0).cast("long").alias("n"))
-    # null texts hash alike; a row whose text is not among the numbered ones' has a null doc_id
-    out = docs.select("doc_id", "text_id").join(written(each, "counts"), "text_id", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("n")).alias("n_links"))
+    with a <= b, as the least doc_ids that have them. Rows with a null doc_id have no links. The number of links grows
+    with the square of a group of near copies; ``ngram_join`` counts them without a row for each."""
+    return _linked(docs, n, percent, True)[2].filter("a is not null").select(F.col("b").alias("a"), F.col("a").alias("b"))

@@ -116,8 +116,10 @@ common as (
 links as (select a, b from common where 100 * c >= 80 * (na + nb - c)),
 both_ways as (select a, b from links union all select b, a from links),
 reach(node, other) as (select distinct a, a from both_ways union select r.node, e.b from reach r join both_ways e on r.other = e.a),
-least_of as (select node, min(other) as component from reach group by node)
-select doc_id, len(s) as n_shingles, coalesce(component, doc_id) as component_id from sets left join least_of on doc_id = node
+least_of as (select node, min(other) as component from reach group by node),
+degrees as (select a as node, count(*) as n from both_ways group by a)
+select doc_id, len(s) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(degrees.n, 0) as n_links
+from sets left join least_of on doc_id = least_of.node left join degrees on doc_id = degrees.node
 """
 
 

@@ -2,11 +2,10 @@
 
 import random
 
-from test_text_operators import corpus, got, shingles
-
-
-def similar(x, y):
-    return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+import numpy as np
+import pyarrow as pa
+import pytest
+from test_text_operators import by_brute_force, corpus, got, linked, shingles
 
 
 def rows_of():
@@ -21,7 +20,7 @@ def rows_of():
 
 
 def test_every_link_is_reported_and_counted(spark):
-    from pixelframe.llm.ngram_join import link_counts, text_links
+    from pixelframe.llm.ngram_join import ngram_join, text_links
 
     rows = rows_of()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -30,19 +29,52 @@ def test_every_link_is_reported_and_counted(spark):
     for i, s in sets:
         least[s] = min(i, least.get(s, i))
     kinds = list(least)
-    pairs = [tuple(sorted((least[x], least[y]))) for k, x in enumerate(kinds) for y in kinds[:k] if similar(x, y)]
+    pairs = [tuple(sorted((least[x], least[y]))) for k, x in enumerate(kinds) for y in kinds[:k] if linked(x, y)]
     assert len(pairs) > 300
     assert got(text_links(docs)) == sorted(pairs, key=str)
-    want = [(i, None if i is None else max(0, sum(similar(shingles(t), s) for _, s in sets) - 1)) for i, t in rows]
-    assert got(link_counts(docs)) == sorted(want, key=str)
-    assert text_links(docs.filter("false")).count() == link_counts(docs.filter("false")).count() == 0
+    assert got(ngram_join(docs)) == by_brute_force(rows)
+    assert text_links(docs.filter("false")).count() == 0
 
 
-def test_blocks_of_a_large_cluster_keep_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("setting", ["BLOCK_WEIGHT", "BATCH_GRAMS", "BUCKET_GRAMS"])
+def test_cuts_of_the_work_change_nothing(spark, monkeypatch, setting):
+    """Blocks of a large cluster, many batches and many buckets keep every link and count."""
     from pixelframe.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 2_000)
-    docs = spark.createDataFrame(rows_of(), "doc_id long, text string")
-    small = got(ngram_join.text_links(docs))
-    monkeypatch.undo()
-    assert small == got(ngram_join.text_links(docs))
+    monkeypatch.setattr(ngram_join, setting, 2_000 if setting == "BLOCK_WEIGHT" else 50)
+    rows = rows_of()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.ngram_join(docs)) == by_brute_force(rows)
+
+
+def test_ngrams_that_share_a_short_hash_lose_nothing():
+    """With hashes that differ in six bits only as candidates see them, all similar pairs still share a prefix n-gram."""
+    from pixelframe.llm import ngram_join as m
+
+    rows = [r for r in rows_of() if r[0] is not None]
+    sets = [np.unique(s << np.uint64(32) >> np.uint64(58) | s >> np.uint64(32) << np.uint64(32)) for s in m.gram_sets([t for _, t in rows], 5)]
+    some = [k for k, s in enumerate(sets) if len(s)]
+    names = ["bucket", "batch", "kind", "data"]
+    asks = [r for part in (some[::2], some[1::2]) for r in m._asked(part, [m.fingerprint(sets[k]) for k in part], [sets[k] for k in part], 1)]
+    answers = [r for b in m._answer(iter([m._record(names, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], asks)])) for r in b.to_pylist()]
+    heads = {}
+    for batch in {r["batch"] for r in answers}:
+        heads |= {r["doc_id"]: set(r["heads"]) for r in m._pick(80)(pa.Table.from_pylist([r for r in answers if r["batch"] == batch])).to_pylist()}
+    pairs = [(x, y) for x in heads for y in heads if x < y and linked(set(sets[x].tolist()), set(sets[y].tolist()))]
+    assert len(pairs) > 300 and all(heads[x] & heads[y] for x, y in pairs)
+
+
+def test_a_cluster_of_5000_near_copies(spark):
+    from pixelframe.llm.ngram_join import ngram_join
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: i % 61] + [f"e{i}"] + base[i % 61 :])) for i in range(5000)]
+    out = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    # 57 shingles of 60 words; one more word makes 53 to 57 of them and up to five new ones
+    sets = [shingles(t) for _, t in rows[:305]]
+    some = {i: sum(linked(sets[i % 61], sets[j]) for j in range(61)) for i in range(61)}
+    assert {r.component_id for r in out if some[r.doc_id % 61] > 1} == {0}
+    assert all(r.n_shingles == len(sets[r.doc_id % 61]) for r in out)
+    near = {i: [j for j in range(61) if linked(sets[i] if i != j else sets[i + 61], sets[j])] for i in range(61)}
+    held = [len(range(k, 5000, 61)) for k in range(61)]
+    assert all(r.n_links == sum(held[j] for j in near[r.doc_id % 61]) - 1 for r in out)

@@ -45,7 +45,7 @@ def test_copies_stages(stages):
     from test_text_operators import by_brute_force
 
     groups = by_brute_force([(r.doc_id, r.text) for r in stages[2].collect()])
-    assert {r.doc_id for r in stages[3].collect()} == {c for _, _, c in groups}
+    assert {r.doc_id for r in stages[3].collect()} == {c for _, _, c, _ in groups}
 
 
 def test_run(spark, stages):

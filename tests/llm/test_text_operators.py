@@ -109,10 +109,15 @@ def by_brute_force(rows):
 
     for a, x in sets:
         for b, y in sets:
-            if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if a is not None and b is not None and a < b and linked(x, y):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
-    return sorted([(i, len(s), root(i)) for i, s in sets], key=str)
+    links = [None if a is None else max(0, sum(b is not None and linked(x, y) for b, y in sets) - 1) for a, x in sets]
+    return sorted([(i, len(s), root(i), n) for (i, s), n in zip(sets, links, strict=True)], key=str)
+
+
+def linked(x, y):
+    return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
 
 
 def test_ngram_join(docs, rows):
