@@ -11,7 +11,9 @@ all rows and whole texts.
 
 Defined results: a null or empty text has features and a score like any other; without labels, or with labels of
 one class, all scores are the share of that class (0.5 if there are none); of several labels of one document the
-largest counts; rows with a null doc_id are scored and not held out; repeated rows each get a row.
+largest counts; of several texts of a labelled doc_id the one with the least features is learnt from; rows with a null
+doc_id are scored and not held out; repeated rows each get a row; texts of any length are read whole; an empty table
+gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -180,24 +182,20 @@ def fold() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fit on the features of up to ``TRAIN_ROWS`` labelled rows outside the held-out fold."""
+    """Fit on the features of up to ``TRAIN_ROWS`` labelled rows outside the held-out fold, one row for each doc_id."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id is not null and quality in (0, 1)")
-    known = known.filter(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.filter(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("y"))
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
-    sent = docs.sparkSession.sparkContext.broadcast(dict(map(tuple, rows)))
+    sample = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "doc_id long, y int")
 
     def run(batches):
         for b in batches:
-            keep = pa.array([i in sent.value for i in column(b, "doc_id")], pa.bool_())
-            b = b.filter(keep)
-            ids = column(b, "doc_id")
-            x = [features(t) for t in column(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([sent.value[i] for i in ids], pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"]
-            )
-
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, y int, x array<double>")
-    got = sorted(map(tuple, got.toLocalIterator()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(_matrix(b).tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    # the sample's bound is TRAIN_ROWS; only its documents' texts go to Python
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    got = texts.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row"))
+    got = sorted((i, y, x) for i, (y, x) in got.collect())
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return QualityModel.fit(x, np.array([r[1] for r in got], float))
 
