@@ -2,16 +2,18 @@
 
 A rule's key is its host followed by its path. A URL's candidate keys are the host suffixes with as many
 labels as some rule's host has, each with the path prefixes as long as some rule's path. The filter of all
-rules' keys drops nearly every candidate that is no rule; the exact join on the key drops the rest. Of the
-rules that fit, the one with the longest key wins. A URL that no rule fits is not listed and passes.
+rules' keys drops nearly every candidate that is no rule. What passes is joined with the rules on the key, once for each
+distinct host and path, which drops the rest; of the rules that fit, the one with the longest key wins. URLs of which
+nothing passes meet no join. A URL that no rule fits is not listed and passes.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an empty path; repeated rows
-each get a row; an empty table gives an empty result; of rules with the same key, blocking ones win.
+each get a row; URLs of any length are taken whole; an empty table gives an empty result; without rules every URL
+passes; of rules with the same key, blocking ones win; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,75 +21,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BlockedBloom
-from .common import column, hashed
+from .bloom import BlockedBloom, bloom_of
+from .common import column, hashed, written
 
 #: Rules up to which the list is broadcast for the exact join; a longer one is joined by a shuffle.
 BROADCAST_RULES = 50_000
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_HOST, _PATH = re.compile(r"[^/?#]*"), re.compile(r"[^?#]*")
 
+def lowered(c):
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host, with A-Z lower-cased, and path."""
-    at = url.find("://") if url else -1
-    if at < 0:
-        return "", ""
-    host = _HOST.match(url, at + 3)
-    return host[0].translate(_LOWER), _PATH.match(url, host.end())[0]
 
-
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """``rules``: (verdict, host, path). Gives page_id, host, path, rule, verdict."""
+def url_filter(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``rules``: (verdict, host, path), as rows or as a table. Gives page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    by_key: dict[str, str] = {}
-    for verdict, host, path in rules:
-        key = host.translate(_LOWER) + path
-        by_key[key] = "block" if "block" in (verdict, by_key.get(key)) else verdict
-    labels = sorted({h.count(".") + 1 for _, h, _ in rules}, reverse=True)
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    bloom = BlockedBloom.empty(len(by_key))
-    if by_key:
-        bloom.add(np.array([hashed(k.encode()) for k in by_key], np.uint64))
-    slots, sent = len(labels) * len(lengths), spark.sparkContext.broadcast(bloom.words)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    listed = rules.select(lowered(F.col("host")).alias("host"), "path", "verdict")
+    listed = listed.withColumn("key", F.concat("host", "path")).filter("key is not null")
+    # what candidates can look like: distinct numbers of labels and lengths of paths
+    labels = sorted(r[0] for r in listed.select(F.size(F.split("host", r"\."))).distinct().collect())
+    lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
+    listed = listed.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"))
+    listed = listed.select(F.col("key").alias("rule"), F.when(F.col("block"), "block").otherwise("allow").alias("listed"))
+    n = listed.count()
+    sent = spark.sparkContext.broadcast(bloom_of(listed.select("rule").mapInArrow(_key_hashes, "h long"), n).words)
 
     def candidates(batches):
-        listed = BlockedBloom(sent.value)
+        filter_ = BlockedBloom(sent.value)
         for b in batches:
-            urls = [split_url(u) for u in column(b, "url")]
+            hosts, paths = column(b, "host"), column(b, "path")
             keys, owner = [], []
-            for i, (host, path) in enumerate(urls):
+            for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
                 parts = host.split(".") if host else []
-                for n in labels:
-                    if n <= len(parts):
-                        suffix = ".".join(parts[-n:])
+                for k in labels:
+                    if k <= len(parts):
+                        suffix = ".".join(parts[-k:])
                         for m in lengths:
                             if m <= len(path):
                                 keys.append(suffix + path[:m])
                                 owner.append(i)
-            passed = listed.may_hold(np.array([hashed(k.encode()) for k in keys], np.uint64))
-            hits: list[list[str]] = [[] for _ in urls]
-            for j in np.flatnonzero(passed).tolist():
+            hits: list[list[str]] = [[] for _ in hosts]
+            for j in np.flatnonzero(filter_.may_hold(np.array([hashed(k.encode()) for k in keys], np.uint64))).tolist():
                 hits[owner[j]].append(keys[j])
-            for h in hits:
-                h.sort(key=len, reverse=True)
-                h.extend([None] * (slots - len(h)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), pa.array([u[0] for u in urls], pa.string()), pa.array([u[1] for u in urls], pa.string())]
-                + [pa.array([h[s] for h in hits], pa.string()) for s in range(slots)],
-                ["page_id", "host", "path", *(f"c{s}" for s in range(slots))],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(hits, pa.list_(pa.string()))], ["page_id", "host", "path", "hits"])
+
+    split = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
+    rest = F.coalesce(F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3)")), F.lit(""))
+    split = split.select("page_id", rest.alias("rest"))
+    split = split.select("page_id", lowered(F.regexp_extract("rest", "^[^/?#]*", 0)).alias("host"), F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
+    out = written(split.mapInArrow(candidates, "page_id long, host string, path string, hits array<string>"), "candidates")
+    none = out.filter(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    some = out.filter(F.size("hits") > 0)
+    keys = some.groupBy("host", "path").agg(F.first("hits").alias("hits")).select("host", "path", F.explode("hits").alias("rule"))
+    keys = keys.join(F.broadcast(listed) if n <= BROADCAST_RULES else listed, "rule")
+    best = keys.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "listed")).alias("best"))
+    found = some.select("page_id", "host", "path").join(best, ["host", "path"], "left")
+    return none.unionByName(found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed", F.lit("allow")).alias("verdict")))
+
 
-    schema = "page_id long, host string, path string" + "".join(f", c{s} string" for s in range(slots))
-    out = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(candidates, schema)
-    table = spark.createDataFrame(sorted(by_key.items()) or [("", "")], "k string, v string")
-    small = len(by_key) <= BROADCAST_RULES
-    for s in range(slots):
-        listed = table.select(F.col("k").alias(f"k{s}"), F.col("v").alias(f"v{s}"))
-        # In a shuffle, rows without a candidate would all meet at null; they go out under keys that no rule has.
-        key = F.col(f"c{s}") if small else F.coalesce(f"c{s}", F.concat(F.lit("\0"), F.xxhash64("page_id").cast("string")))
-        out = out.join(F.broadcast(listed) if small else listed, key == F.col(f"k{s}"), "left")
-    rule = F.coalesce(*(F.col(f"k{s}") for s in range(slots)), F.lit(None).cast("string"))
-    verdict = F.coalesce(*(F.col(f"v{s}") for s in range(slots)), F.lit("allow"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+def _key_hashes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([hashed(k.encode()) for k in column(b, "rule")], np.uint64).view(np.int64))], ["h"])

@@ -80,3 +80,26 @@ def test_url_filter(spark):
     assert sorted([tuple(r) for r in url_filter(df, URL_RULES).collect()], key=str) == sorted([(i, *judge(u)) for i, u in rows], key=str)
     assert url_filter(df.filter("false"), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter(df, []).collect()} == {"allow"}
+
+
+def test_url_filter_with_a_long_list(spark, monkeypatch):
+    """More rules than are broadcast, given as a table, with many numbers of labels and lengths of paths."""
+    from pixelframe.llm import url_filter as module
+
+    monkeypatch.setattr(module, "BROADCAST_RULES", 10)
+    rules = [("block" if i % 3 else "allow", ".".join(f"h{i % k}" for k in range(2, 3 + i % 5)), "/" + "p" * (i % 7)) for i in range(200)]
+    rules += [("allow", rules[0][1], rules[0][2]), (None, None, None)]
+    urls = [(i, f"https://{'x.' * (i % 2)}{h}{p}/{i}?q") for i, (_, h, p) in enumerate(rules[:200])] + [(1000, "https://other.org/"), (1001, "http://" + "a." * 3000 + "h0.h0/" + "p" * 9000)]
+    kinds = {}
+    for v, h, p in rules[:-1]:
+        kinds[h, p] = "block" if "block" in (v, kinds.get((h, p))) else v
+
+    def judge(u):
+        host, _, rest = u.split("://")[1].partition("/")
+        path = "/" + rest.split("?")[0]
+        fits = [(len(h + p), h + p, v) for (h, p), v in kinds.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "allow")
+
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    out = module.url_filter(spark.createDataFrame(urls, "page_id long, url string"), table).collect()
+    assert sorted(tuple(r) for r in out) == sorted((i, *judge(u)) for i, u in urls)
