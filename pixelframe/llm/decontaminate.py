@@ -6,23 +6,30 @@ are ordered by rarity, counted over all documents, and the rarest is taken. Docu
 shingle. Its offset gives the one place where the window can lie; positional and length bounds check that the
 document reaches that far on both sides, and the window's words are then compared there.
 
+A benchmark of at most ``BROADCAST_BYTES`` of text goes to the tasks, as a hash table by prefix shingle. Of a larger one
+only a Bloom filter of its prefix shingles does: places of documents that pass it are joined with the windows by a shuffle
+on the shingle, with the words around them, and verified there.
+
 Defined results: null texts and texts without words have no hits; items without words or null ones have no
-windows; equal item_ids with equal texts count once; repeated rows each get a row; the words before, between
-and after hits are never cut; an empty benchmark finds nothing.
+windows; equal item_ids with equal texts count once; windows that several items share are hits of each of them; repeated
+rows each get a row; texts of any length are read whole, and the words before, between and after hits are never cut; an
+empty benchmark finds nothing; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, hashed, mixed, rolling, words_alnum
+from .bloom import BlockedBloom, bloom_of
+from .common import WordHashes, column, hashed, mixed, rolling, words_alnum, written
 
 WINDOW, SHINGLE = 13, 3
-#: Windows of the benchmark that are sent to the executors at once, 150 bytes each; more of them go in further blocks.
-BLOCK_WINDOWS = 200_000
+#: UTF-8 bytes of all items up to which the benchmark's windows go to the tasks; about 70 bytes in memory for each.
+BROADCAST_BYTES = 2_000_000
 
 
 def _windows(items: list[tuple[str, str | None]]) -> dict[tuple[bytes, ...], set[str]]:
@@ -72,21 +79,19 @@ def _rarity(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarra
     return out
 
 
-def _blocks(windows: dict[tuple[bytes, ...], set[str]], rarity: dict, keys: dict):
-    """For each block of windows: by words in a shingle, sorted prefix keys with offsets, and the windows' words."""
-    listed = list(windows)
-    for begin in range(0, len(listed), BLOCK_WINDOWS):
-        rows: dict[int, list] = {}
-        for window in listed[begin : begin + BLOCK_WINDOWS]:
-            parts, n = _parts(window), min(SHINGLE, len(window))
-            times = rarity[n][np.searchsorted(keys[n], parts)]
-            at = int(np.lexsort((parts, times))[0])
-            rows.setdefault(n, []).append((int(parts[at]), at, window, sorted(windows[window])))
-        block = {}
-        for n, r in rows.items():
-            r.sort(key=lambda x: x[0])
-            block[n] = (np.array([x[0] for x in r], np.uint64), [x[1:] for x in r])
-        yield block
+def _table(windows: dict[tuple[bytes, ...], set[str]], rarity: dict, keys: dict) -> dict:
+    """By words in a shingle: sorted prefix keys, and for each its offset, the window's words and item_ids."""
+    rows: dict[int, list] = {}
+    for window, ids in windows.items():
+        parts, n = _parts(window), min(SHINGLE, len(window))
+        times = rarity[n][np.searchsorted(keys[n], parts)]
+        at = int(np.lexsort((parts, times))[0])
+        rows.setdefault(n, []).append((int(parts[at]), at, window, sorted(ids)))
+    out = {}
+    for n, r in rows.items():
+        r.sort(key=lambda x: x[0])
+        out[n] = (np.array([x[0] for x in r], np.uint64), [x[1:] for x in r])
+    return out
 
 
 def _merged(spans: set[tuple[int, int]]) -> list[list[int]]:
@@ -99,49 +104,142 @@ def _merged(spans: set[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame):
+def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """item_id and text of the items, and whether they are few enough for ``_finder``."""
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("text is not null").distinct()
+    return items, (items.select(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _finder(docs: DataFrame, items: DataFrame):
     """A function from an iterable of texts to (number of words, hit stretches, item_ids) of each; it runs in tasks."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct()
     windows = _windows([tuple(r) for r in items.toLocalIterator()])
     shingles: dict[int, set] = {}
     for w in windows:
         shingles.setdefault(min(SHINGLE, len(w)), set()).update(_parts(w).tolist())
     keys = {n: np.array(sorted(s), np.uint64) for n, s in shingles.items()}
     rarity = _rarity(docs.select(F.col("text").cast("string")), keys) if keys else {}
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(windows, rarity, keys)]
+    sent = spark.sparkContext.broadcast(_table(windows, rarity, keys))
 
     def find(texts, cache):
         for text in texts:
             words = words_alnum(text)
             h = cache.of(words)
             spans, items_here = set(), set()
-            shingled: dict[int, np.ndarray] = {}
-            for sent in blocks:
-                for n, (prefix, rows) in sent.value.items():
-                    if n not in shingled:
-                        shingled[n] = _keys(h, n)
-                    s = shingled[n]
-                    low = np.searchsorted(prefix, s)
-                    low[low == len(prefix)] = 0
-                    for p in np.flatnonzero(prefix[low] == s).tolist():
-                        for j in range(int(low[p]), int(np.searchsorted(prefix, s[p], "right"))):
-                            offset, window, ids = rows[j]
-                            begin = p - offset
-                            if begin < 0 or begin + len(window) > len(words):
-                                continue
-                            if tuple(words[begin : begin + len(window)]) == window:
-                                spans.add((begin, begin + len(window)))
-                                items_here.update(ids)
+            for n, (prefix, rows) in sent.value.items():
+                s = _keys(h, n)
+                low = np.searchsorted(prefix, s)
+                low[low == len(prefix)] = 0
+                for p in np.flatnonzero(prefix[low] == s).tolist():
+                    for j in range(int(low[p]), int(np.searchsorted(prefix, s[p], "right"))):
+                        offset, window, ids = rows[j]
+                        begin = p - offset
+                        if begin < 0 or begin + len(window) > len(words):
+                            continue
+                        if tuple(words[begin : begin + len(window)]) == window:
+                            spans.add((begin, begin + len(window)))
+                            items_here.update(ids)
             yield len(words), _merged(spans), sorted(items_here)
 
     return find
 
 
+def _print(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _passing(docs: DataFrame, keys: DataFrame, out, schema: str) -> DataFrame:
+    """``out(words, places, keys)`` rows of each text, for the places of shingles that may be in the long column of ``keys``."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(keys, keys.count()).words)
+
+    def run(batches):
+        cache, listed = WordHashes(), BlockedBloom(sent.value)
+        for b in batches:
+            rows = []
+            for text in column(b, "text"):
+                words = words_alnum(text)
+                h = cache.of(words)
+                for n in range(1, SHINGLE + 1):
+                    k = _keys(h, n)
+                    at = np.flatnonzero(listed.may_hold(k))
+                    rows += out(words, at.tolist(), k[at].view(np.int64).tolist())
+            yield pa.RecordBatch.from_pylist(rows, _arrow(schema))
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(c, kinds[t]) for c, t in (f.split() for f in schema.split(", "))])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(fp, hits, items) of the texts, by their words' digest, in which windows of ``items`` lie: joins by shuffles."""
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, " ".join(w.decode() for w in window)) for i, t in zip(column(b, "item_id"), column(b, "text"), strict=True) for window in _windows([(i, t)])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["item_id", "window"])
+
+    def shingled(batches):
+        for b in batches:
+            rows = [(w, int(k), o) for w in column(b, "window") for o, k in enumerate(_parts(tuple(w.encode().split())).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["window", "key", "offset"])
+
+    windows = written(items.mapInArrow(cut, "item_id string, window string").distinct(), "windows")
+    parts = written(windows.select("window").distinct().mapInArrow(shingled, "window string, key long, offset long"), "shingles")
+    count = _passing(docs, parts.select("key").distinct(), lambda words, at, keys: [{"key": k} for k in keys], "key long")
+    times = count.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key", "offset")).alias("r")
+    prefix = parts.join(times, "key", "left").groupBy("window").agg(rarest).select("window", "r.key", "r.offset", F.size(F.split("window", " ")).alias("n"))
+    prefix = written(prefix, "prefixes")
+
+    def around(words, at, keys):
+        fp, size = _print(words), len(words)
+        reach = WINDOW - 1
+        return [
+            {"fp": fp, "key": k, "at": p, "size": size, "first": max(0, p - reach), "near": [w.decode() for w in words[max(0, p - reach) : p + reach + 1]]}
+            for p, k in zip(at, keys, strict=True)
+        ]
+
+    places = _passing(docs, prefix.select("key").distinct(), around, "fp binary, key long, at long, size long, first long, near array<string>")
+    begin = F.col("at") - F.col("offset")
+    met = places.join(prefix, "key").withColumn("begin", begin).filter("begin >= 0 and begin + n <= size")
+    met = met.filter(F.array_join(F.slice("near", (F.col("begin") - F.col("first") + 1).cast("int"), F.col("n")), " ") == F.col("window"))
+    hits = written(met.select("fp", "window", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct(), "hits")
+
+    def merge(batches):
+        for b in batches:
+            spans = [_merged({(s["begin"], s["end"]) for s in row}) for row in column(b, "spans")]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["fp", "hits"])
+
+    spans = hits.groupBy("fp").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).mapInArrow(merge, "fp binary, hits array<array<long>>")
+    found = hits.select("fp", "window").distinct().join(windows, "window").groupBy("fp").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return spans.join(found, "fp")
+
+
+def _with_prints(docs: DataFrame) -> DataFrame:
+    """``docs`` with the digest and the number of each text's words as __fp and __n."""
+
+    def run(batches):
+        for b in batches:
+            words = [words_alnum(t) for t in column(b, "text")]
+            more = [pa.array([_print(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__fp", "__n"])
+
+    schema = docs.withColumns({"__fp": F.lit(b""), "__n": F.lit(0).cast("long")}).schema
+    return docs.mapInArrow(run, schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, hits (begin and end of the hit words), items (sorted ids of the items with windows here)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    find = _finder(docs, benchmark)
+    items, few = _items(benchmark)
+    if not few:
+        found = _joined(docs, items).withColumnRenamed("fp", "__fp")
+        out = _with_prints(docs).select("doc_id", "__fp", F.col("__n").alias("n_words")).join(found, "__fp", "left")
+        return out.select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<array<long>>"), ("items", "array<string>"))))
+    find = _finder(docs, items)
 
     def run(batches):
         cache = WordHashes()
@@ -162,7 +260,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, less those with hits in at least one of ``share`` words."""
-    find = _finder(docs, benchmark)
+    items, few = _items(benchmark)
+    if not few:
+        prints = _with_prints(docs)
+        hit = _joined(docs, items).withColumn("__hit", n_hit()).select(F.col("fp").alias("__fp"), "__hit")
+        return prints.join(hit, "__fp", "left").filter(F.coalesce(share * F.col("__hit") < F.col("__n"), F.lit(True))).select(*docs.columns)
+    find = _finder(docs, items)
 
     def run(batches):
         cache = WordHashes()

@@ -180,9 +180,13 @@ def test_equal_stretches_have_equal_anchors():
             assert seen.setdefault(tuple(tokens[p : p + 9].tolist()), name[p]) == name[p]
 
 
-def test_decontaminate(spark, docs, rows):
+@pytest.mark.parametrize("broadcast_bytes", [2_000_000, 0])
+def test_decontaminate(spark, docs, rows, monkeypatch, broadcast_bytes):
+    """A benchmark that goes to the tasks, and one that is joined by shuffles."""
+    from pixelframe.llm import decontaminate as module
     from pixelframe.llm.decontaminate import clean, decontaminate
 
+    monkeypatch.setattr(module, "BROADCAST_BYTES", broadcast_bytes)
     passage = rows[0][1].split()
     items = [("a", " ".join(passage[-30:])), ("b", "X"), ("c", None), ("d", "..."), ("a2", " ".join(passage[:13])), ("e", "x, y-z"), ("e", "x, y-z"), ("f", "nothing like it")]
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
