@@ -6,31 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _tiles(df: DataFrame, key: str) -> DataFrame:
-    whole = F.lit(df.count() // 1024 * 1024)
-    k = F.col(key)
-    at = [F.floor(k / 1024).cast("int").alias("image_id"), F.floor(k % 1024 / 32).cast("int").alias("y"), (k % 32).cast("int").alias("x")]
-    return df.filter(k < whole).select(*at, "*")
+def _tiles(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """Rows by their key's place in images of this size; places without a row are there too, with nulls."""
+    k, size = F.col("_k"), width * height
+    n = ((df.agg(F.max(key)).first()[0] or 0) // size + 1) * size if df.head(1) else 0
+    at = [F.floor(k / size).cast("int").alias("image_id"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x")]
+    return df.sparkSession.range(n).withColumnRenamed("id", "_k").join(df, F.col("_k") == F.col(key), "left").select(*at, "*")
 
 
-def _code(c):
-    return (c % 256).cast("int")
+def _code(c, missing: int = 0):
+    return F.coalesce((c % 256).cast("int"), F.lit(missing))
 
 
 def orders_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 x 32, opaque."""
-    t = _tiles(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    return _orders(spark, sf_dir, 32, 32)
+
+
+def wide_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2500 x 6, opaque."""
+    return _orders(spark, sf_dir, 2500, 6)
+
+
+def _orders(spark: SparkSession, sf_dir: str, width: int, height: int) -> DataFrame:
+    t = _tiles(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", width, height)
     rgb = [_code(F.floor("o_totalprice")), _code(F.col("o_orderkey") * 37), _code(F.col("o_custkey") * 11)]
     return t.select("image_id", "y", "x", *(c.alias(f"{n}8") for n, c in zip("rgb", rgb, strict=True)), F.lit(255).alias("a8"))
 
 
 def events_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32 x 32, with alpha; no image at the smallest scale."""
-    t = _tiles(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value"), "event_id")
+    """32 x 32, with alpha."""
+    t = _tiles(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value"), "event_id", 32, 32)
     rgba = [_code(F.floor(F.col("value") * 10)), _code(F.col("user_id") * 53), _code(F.col("event_id") * 29), _code(F.col("user_id") * 7)]
     return t.select("image_id", "y", "x", *(c.alias(f"{n}8") for n, c in zip("rgba", rgba, strict=True)))
 
 
+def big_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1792 x 1400, opaque: each order is a run of 128 pixels, 14 of them a line."""
+    t = _tiles(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 14, 1400)
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("p"))
+    rgb = [_code(F.floor("o_totalprice") + F.col("p")), _code(F.col("o_orderkey") * 37 + F.col("p") * 2), _code(F.col("o_custkey") * 11 + F.col("y"))]
+    return t.select("image_id", "y", (F.col("x") * 128 + F.col("p")).alias("x"), *(c.alias(f"{n}8") for n, c in zip("rgb", rgb, strict=True)), F.lit(255).alias("a8"))
+
+
 def emb_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 x 50, opaque, from the embeddings' values."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))

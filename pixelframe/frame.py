@@ -54,6 +54,11 @@ def from_codes(df: DataFrame, width: int, height: int, space: str = SRGB) -> Pix
     return PixelFrame(df.select(*KEY, *rgba, (F.col("a8") / F.lit(255.0)).alias("a")), width, height, space)
 
 
+def from_channels(df: DataFrame, width: int, height: int, space: str = SRGB) -> PixelFrame:
+    """From columns r, g, b, a on 0..1 of sRGB values, as 16-bit files have them."""
+    return PixelFrame(df.select(*KEY, *"rgba"), width, height).to(space)
+
+
 def codes(p: PixelFrame) -> DataFrame:
     """Columns r8, g8, b8, a8 of the sRGB code values."""
     p = p.to(SRGB)

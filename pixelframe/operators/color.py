@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..frame import LINEAR, SRGB, PixelFrame
 from ..functions import numeric as N
+from . import kernels as K
 
 
 def _c(name: str) -> Column:
@@ -198,35 +199,46 @@ def lut(p: PixelFrame, cube, strength=1.0) -> PixelFrame:
     p = p.to(SRGB)
     if not strength:
         return p
-    low, high, n = cube.domain_min, cube.domain_max, cube.size
-    where = {f"_v{i}": N.clamp((_c(c) - low[i]) / (high[i] - low[i])) for i, c in enumerate(N.CHANNELS)}
-    p0, p = p, p.with_columns(where)
-    if not cube.is_3d:
-        target = [N.lerp([row[i] for row in cube.rows], _c(f"_v{i}")) for i in range(3)]
-    else:
-        p = p.with_columns({f"_i{i}": F.least(F.floor(_c(f"_v{i}") * float(n - 1)), F.lit(n - 1)).cast("int") for i in range(3)})
-        p = p.with_columns({f"_f{i}": _c(f"_v{i}") * float(n - 1) - _c(f"_i{i}") for i in range(3)} | {f"_j{i}": F.least(_c(f"_i{i}") + 1, F.lit(n - 1)) for i in range(3)})
-        dr, dg, db = (_c(f"_f{i}") for i in range(3))
-        flat = [N.table([row[i] for row in cube.rows]) for i in range(3)]
-        # the corners passed on the way from the cube's low corner to its high one, by the fractions' order
-        orders = [((dr > dg) & (dg > db), "rgb"), ((dr > dg) & (dr > db), "rbg"), (dr > dg, "brg"), (db > dg, "bgr"), (db > dr, "gbr"), (F.lit(True), "grb")]
-
-        def node(upper: str, i: int) -> Column:
-            r, g, b = (_c(f"_j{k}") if c in upper else _c(f"_i{k}") for k, c in enumerate("rgb"))
-            return F.element_at(flat[i], (b * n + g) * n + r + 1)
-
-        def value(i: int) -> Column:
-            out = None
-            for test, order in orders:
-                w = [_c(f"_f{'rgb'.index(c)}") for c in order]
-                c0, c1, c2, c3 = (node(order[:k], i) for k in range(4))
-                v = c0 + w[0] * (c1 - c0) + w[1] * (c2 - c1) + w[2] * (c3 - c2)
-                out = F.when(test, v) if out is None else out.when(test, v)
-            return out
-
-        target = [value(i) for i in range(3)]
-    new = {c: _c(c) + (N.clamp(target[i]) - _c(c)) * float(strength) for i, c in enumerate(N.CHANNELS)}
-    return p.with_columns(new).select(*p0.df.columns)
+    if cube.is_3d:
+        return K.per_batch(p, _tetrahedral(p.df.sparkSession.sparkContext.broadcast(np.array(cube.rows)), cube, float(strength)))
+    low, high = cube.domain_min, cube.domain_max
+    where = [N.clamp((_c(c) - low[i]) / (high[i] - low[i])) for i, c in enumerate(N.CHANNELS)]
+    target = [N.lerp([row[i] for row in cube.rows], v) for i, v in enumerate(where)]
+    return p.with_columns({c: _c(c) + (N.clamp(target[i]) - _c(c)) * float(strength) for i, c in enumerate(N.CHANNELS)})
+
+
+#: Corners on the way from a cell's low corner to its high one, by the order of the fractions: their tests, and the channels in order.
+PATHS = (
+    (lambda r, g, b: (r > g) & (g > b), (0, 1, 2)), (lambda r, g, b: (r > g) & (r > b), (0, 2, 1)), (lambda r, g, b: r > g, (2, 0, 1)),
+    (lambda r, g, b: b > g, (2, 1, 0)), (lambda r, g, b: b > r, (1, 2, 0)), (lambda r, g, b: np.ones(len(r), bool), (1, 0, 2)),
+)
+
+
+def _tetrahedral(sent, cube, strength: float):
+    """A function from colours (n, 3) to their values in a broadcast three-dimensional table (129 nodes a side at most)."""
+    low, span, n = np.array(cube.domain_min), np.subtract(cube.domain_max, cube.domain_min), cube.size
+
+    def run(rgb: np.ndarray) -> np.ndarray:
+        at = np.clip((rgb - low) / span, 0.0, 1.0) * float(n - 1)
+        cell = np.minimum(np.floor(at), n - 1).astype(np.int64)
+        f, step = at - cell, np.minimum(cell + 1, n - 1) - cell
+        strides = np.array([1, n, n * n])
+        out, left = np.empty_like(rgb), np.ones(len(rgb), bool)
+        for test, order in PATHS:
+            rows = np.flatnonzero(left & test(*f.T))
+            left[rows] = False
+            node = cell[rows] @ strides
+            before = sent.value[node]
+            value = before.copy()
+            for c in order:
+                node = node + step[rows, c] * strides[c]
+                after = sent.value[node]
+                value += f[rows, c, None] * (after - before)
+                before = after
+            out[rows] = value
+        return rgb + (np.clip(out, 0.0, 1.0) - rgb) * strength
+
+    return run
 
 
 def histogram(p: PixelFrame, value: Column) -> PixelFrame:
@@ -234,14 +246,18 @@ def histogram(p: PixelFrame, value: Column) -> PixelFrame:
     return p.df.groupBy("image_id", F.floor(value * 255.0 + 0.5).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bounds(bins, keys: list[str], clip_percent: float):
+    """(*keys, lo, hi): the first bins from either end whose running counts exceed the clipped share."""
+    up = Window.partitionBy(*keys).orderBy("bin")
+    down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
+    limit = F.sum("n").over(Window.partitionBy(*keys)) * float(clip_percent) / 100.0
+    run = bins.select(*keys, "bin", (F.sum("n").over(up) > limit).alias("from_low"), (F.sum("n").over(down) > limit).alias("from_high"))
+    return run.groupBy(*keys).agg(F.min(F.when(_c("from_low"), _c("bin"))).alias("lo"), F.max(F.when(_c("from_high"), _c("bin"))).alias("hi"))
+
+
 def level_bounds(p: PixelFrame, value: Column, clip_percent: float):
-    """(image_id, lo, hi): the first bins from either end whose running counts exceed the clipped share."""
-    bins = histogram(p, value)
-    up = Window.partitionBy("image_id").orderBy("bin")
-    down = Window.partitionBy("image_id").orderBy(F.desc("bin"))
-    limit = F.sum("n").over(Window.partitionBy("image_id")) * float(clip_percent) / 100.0
-    run = bins.select("image_id", "bin", (F.sum("n").over(up) > limit).alias("from_low"), (F.sum("n").over(down) > limit).alias("from_high"))
-    return run.groupBy("image_id").agg(F.min(F.when(_c("from_low"), _c("bin"))).alias("lo"), F.max(F.when(_c("from_high"), _c("bin"))).alias("hi"))
+    """(image_id, lo, hi) of one value."""
+    return _bounds(histogram(p, value), ["image_id"], clip_percent)
 
 
 def auto_levels(p: PixelFrame, clip_percent=0.5, per_channel=False) -> PixelFrame:
@@ -249,9 +265,12 @@ def auto_levels(p: PixelFrame, clip_percent=0.5, per_channel=False) -> PixelFram
     df = p.df
     # one row for an image: the tables of bounds are small beside the pixels, and Spark broadcasts them below its threshold
     sources = {c: _c(c) for c in N.CHANNELS} if per_channel else {"all": N.luma_709(_c("r"), _c("g"), _c("b"))}
-    for name, value in sources.items():
-        bounds = level_bounds(p, value, clip_percent).select("image_id", (_c("lo") / 255.0).alias(f"_lo_{name}"), (_c("hi") / 255.0).alias(f"_hi_{name}"))
-        df = df.join(bounds, "image_id", "left")
+    # the bins of all sources in one pass over the pixels
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("of"), F.floor(v * 255.0 + 0.5).cast("int").alias("bin")) for n, v in sources.items())))
+    bins = df.select("image_id", each.alias("_e")).groupBy("image_id", "_e.of", "_e.bin").agg(F.count(F.lit(1)).alias("n"))
+    bounds = _bounds(bins, ["image_id", "of"], clip_percent).groupBy("image_id")
+    ends = [F.max(F.when(_c("of") == n, _c(k) / 255.0)).alias(f"_{k}_{n}") for n in sources for k in ("lo", "hi")]
+    df = df.join(bounds.agg(*ends), "image_id", "left")
 
     def stretched(c: str) -> Column:
         lo, hi = (_c(f"_{k}_{c if per_channel else 'all'}") for k in ("lo", "hi"))

@@ -1,4 +1,4 @@
-"""Neighbourhood operators. Small footprints are window expressions, larger ones numpy kernels on whole images."""
+"""Neighbourhood operators. Small footprints are window expressions, larger ones numpy kernels on tiles."""
 
 from __future__ import annotations
 
@@ -51,7 +51,7 @@ def unpremultiplied(p: PixelFrame) -> PixelFrame:
 def blur(p: PixelFrame, sigma: float) -> PixelFrame:
     p, weights = p.to(LINEAR), N.gaussian_weights(sigma)
     if len(weights) // 2 > WINDOW_RADIUS:
-        return K.per_image(p, lambda v: K.blurred(v, weights))
+        return K.per_tile(p, lambda v: K.blurred(v, weights), len(weights) // 2)
     p = premultiplied(p)
     for axis in ("x", "y"):
         p = taps(p, weights, axis, list("rgba"))
@@ -62,7 +62,7 @@ def median(p: PixelFrame, radius: int) -> PixelFrame:
     """The middle value of each channel in a square; for radius 1 as arrays of window values."""
     p = p.to(LINEAR)
     if radius > 1:
-        return K.per_image(p, lambda v: K.median(v, radius))
+        return K.per_tile(p, lambda v: K.median(v, radius), radius)
     rows = p.with_columns({f"_{c}": F.array(*(neighbour(c, k, "x") for k in (-1, 0, 1))) for c in "rgba"})
     new = {c: F.element_at(F.array_sort(F.concat(*(neighbour(f"_{c}", k, "y") for k in (-1, 0, 1)))), 5) for c in "rgba"}
     return rows.with_columns(new).select(*p.df.columns)
@@ -127,7 +127,9 @@ def heal(p: PixelFrame, src_x: int, src_y: int, dest_x: int, dest_y: int, radius
     p = p.to(LINEAR)
     reach = min(radius, math.ceil(math.hypot(p.width, p.height)))
     weights = N.gaussian_weights(max(reach / 3.0, 0.1))
-    return K.per_image(p, lambda v: K.healed(v, (src_x, src_y), (dest_x, dest_y), radius, feather_px, weights))
+    disc = K.healed(p, (src_x, src_y), (dest_x, dest_y), radius, feather_px, weights)
+    both = p.df.join(disc.select("image_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgba")), ["image_id", "y", "x"], "left")
+    return PixelFrame(both.select("image_id", "y", "x", *(F.coalesce(f"_{c}", c).alias(c) for c in "rgba")), p.width, p.height, p.space, p.matrix)
 
 
 def pixelate(p: PixelFrame, block_size: int, region=None) -> PixelFrame:

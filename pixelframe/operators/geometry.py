@@ -110,14 +110,20 @@ def crop(p: PixelFrame, aspect_ratio=None, rect=None, anchor="center", mode="cro
     return cropped(p, *slack, w, h)
 
 
-def source_rect(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
-    """The box, in current coordinates, around a rectangle of source coordinates."""
+def source_box(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
+    """Left, top, right and bottom, in current coordinates, of the box around a rectangle of source coordinates."""
     corners = np.array(p.matrix) @ np.array([[x, x + w, x, x + w], [y, y, y + h, y + h], [1, 1, 1, 1]], float)
     if (corners[2] <= 0).any():
         raise ValueError("crop rect reaches the horizon")
     xs, ys = corners[:2] / corners[2]
     x0, x1 = (int(N.half_away(v)) for v in (xs.min(), xs.max()))
     y0, y1 = (int(N.half_away(v)) for v in (ys.min(), ys.max()))
+    return x0, y0, x1, y1
+
+
+def source_rect(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
+    """That box's part inside the image, as place and size."""
+    x0, y0, x1, y1 = source_box(p, x, y, w, h)
     x0, y0, x1, y1 = max(x0, 0), max(y0, 0), min(x1, p.width), min(y1, p.height)
     if x0 >= x1 or y0 >= y1:
         raise ValueError("crop rect is empty")
@@ -167,39 +173,59 @@ def resize(p: PixelFrame, width=None, height=None, fit="cover", without_enlargem
 
 
 def inscribed(width: int, height: int, angle: float) -> tuple[int, int]:
-    """The largest upright rectangle inside a turned one."""
+    """The largest upright rectangle inside a turned one.
+
+    A rectangle (a, b) lies inside if a c + b s <= width and a s + b c <= height. Under one of these alone the area is
+    greatest where both terms are equal; if the other one holds there, that is the answer, else both are tight.
+    """
     s, c = abs(math.sin(math.radians(angle))), abs(math.cos(math.radians(angle)))
-    long, short = max(width, height), min(width, height)
-    if short <= 2 * s * c * long or abs(s - c) < 1e-10:
-        half = short / 2
-        w, h = (half / s, half / c) if width >= height else (half / c, half / s)
+    for a, b in ((height / 2 / s, height / 2 / c), (width / 2 / c, width / 2 / s)):
+        if a * c + b * s <= width * (1 + 1e-12) and a * s + b * c <= height * (1 + 1e-12):
+            break
     else:
-        d = c * c - s * s
-        w, h = (width * c - height * s) / d, (height * c - width * s) / d
-    return max(1, int(w + 1e-9)), max(1, int(h + 1e-9))
+        a, b = (width * c - height * s) / (c * c - s * s), (height * c - width * s) / (c * c - s * s)
+    return min(max(1, int(a + 1e-9)), width), min(max(1, int(b + 1e-9)), height)
+
+
+def rotation(width: int, height: int, angle: float, crop="largest_inscribed_rect") -> tuple[np.ndarray, tuple[int, int, int, int]]:
+    """The step of a turn, and the part of its canvas that is kept: all of a larger canvas, or the inscribed rectangle of one
+    as large as the image. The turn is about the pixel at (width / 2, height / 2), counted from pixel centres."""
+    a = math.radians(angle)
+    s, c = math.sin(a), math.cos(a)
+    w, h = width, height
+    if crop == "full":
+        w, h = (math.ceil(width * abs(c) + height * abs(s) - 1e-9), math.ceil(width * abs(s) + height * abs(c) - 1e-9))
+    to = np.array([[1, 0, w / 2 + 0.5], [0, 1, h / 2 + 0.5], [0, 0, 1]])
+    back = np.array([[1, 0, -width / 2 - 0.5], [0, 1, -height / 2 - 0.5], [0, 0, 1]])
+    step = to @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ back
+    if crop == "full":
+        return step, (0, 0, w, h)
+    iw, ih = inscribed(width, height, angle)
+    return step, ((w - iw) // 2, (h - ih) // 2, iw, ih)
+
+
+def rotation_loss(width: int, height: int, angle: float) -> float:
+    """Per cent of the pixels that a turn with the inscribed crop removes."""
+    if angle % 90 == 0:
+        return 0.0
+    w, h = inscribed(width, height, angle)
+    return (1 - w * h / (width * height)) * 100
 
 
 def rotate(p: PixelFrame, angle_degrees: float, crop="largest_inscribed_rect") -> PixelFrame:
-    """Clockwise. Quarter turns are exact; other angles resample on a canvas that holds the whole image."""
+    """Clockwise. Quarter turns are exact; other angles resample."""
     if angle_degrees % 90 == 0:
         return quarter(p, int(angle_degrees // 90))
+    step, (x, y, w, h) = rotation(p.width, p.height, angle_degrees, crop)
     p = p.to(LINEAR)
-    a = math.radians(angle_degrees)
-    s, c = math.sin(a), math.cos(a)
-    w, h = (math.ceil(p.width * abs(c) + p.height * abs(s) - 1e-9), math.ceil(p.width * abs(s) + p.height * abs(c) - 1e-9))
-    step = np.array([[1, 0, w / 2], [0, 1, h / 2], [0, 0, 1]]) @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ np.array([[1, 0, -p.width / 2], [0, 1, -p.height / 2], [0, 0, 1]])
-    q = warp(p, step, w, h, (1.0, 1.0, 1.0, 1.0))
     if crop == "full":
-        return q
-    iw, ih = inscribed(p.width, p.height, angle_degrees)
-    iw, ih = min(iw, w), min(ih, h)
-    return cropped(q, (w - iw) // 2, (h - ih) // 2, iw, ih)
+        return warp(p, step, w, h, (1.0, 1.0, 1.0, 1.0))
+    return cropped(warp(p, step, p.width, p.height, (1.0, 1.0, 1.0, 1.0)), x, y, w, h)
 
 
 def warp(p: PixelFrame, step: np.ndarray, width: int, height: int, border) -> PixelFrame:
-    inverse = np.linalg.inv(step)
-    q = K.per_image(p, lambda v: K.warped(v, inverse, width, height, border))
-    return replace(q, width=width, height=height, matrix=then(p.matrix, step))
+    df = K.per_window(p, np.linalg.inv(step), width, height, border)
+    return replace(p, df=df, width=width, height=height, matrix=then(p.matrix, step))
 
 
 def homography(quad, width: int, height: int) -> np.ndarray:
@@ -233,6 +259,18 @@ def perspective(p: PixelFrame, quad=None, vertical_degrees=None, horizontal_degr
     return warp(p.to(LINEAR), step, w, h, border)
 
 
+def padding_share(width: int, height: int, step: np.ndarray, to_width: int, to_height: int) -> float:
+    """The same share for one size, in lines, without any image."""
+    m, out = np.linalg.inv(step), 0
+    x = np.arange(to_width) + 0.5
+    for y in np.arange(to_height) + 0.5:
+        with np.errstate(all="ignore"):
+            d = m[2, 0] * x + m[2, 1] * y + m[2, 2]
+            u, v = ((m[i, 0] * x + m[i, 1] * y + m[i, 2]) / d for i in (0, 1))
+        out += np.count_nonzero(~((d > 0) & (u >= 0) & (v >= 0) & (u < width) & (v < height)))
+    return out / (to_width * to_height)
+
+
 def padding_ratio(p: PixelFrame, step: np.ndarray, width: int, height: int):
     """(image_id, ratio): the share of output pixels whose source lies outside the image."""
     m = [[F.lit(float(v)) for v in row] for row in np.linalg.inv(step)]

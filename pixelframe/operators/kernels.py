@@ -1,6 +1,7 @@
-"""Neighbourhood operators with large footprints, as numpy kernels on one image at a time.
+"""Neighbourhood operators with large footprints, as numpy kernels on tiles of an image with what lies around them.
 
-A group is one image, whose size the plan bounds (100 million pixels); images are spread over tasks by id.
+A group is one tile, so a task's memory does not depend on the size of images; (image_id, ty, tx) spreads large images
+over tasks. Only what needs an image in one piece, as a file does, takes it so.
 """
 
 from __future__ import annotations
@@ -9,28 +10,110 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..frame import PixelFrame
 
 SCHEMA = "image_id int, y int, x int, r double, g double, b double, a double"
+#: Pixels along a tile's side, and along the side of the blocks by which tiles of a warp get their sources.
+TILE, BLOCK = 1024, 256
 
 
-def per_image(p: PixelFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> PixelFrame:
-    """``kernel`` maps an array (height, width, 4) to another one; who changes the size says so in the result."""
-    size = p.height, p.width
+def _pixels(table: pa.Table, x0: int, y0: int, width: int, height: int) -> np.ndarray:
+    """The array (height, width, 4) of the rows of a table, by their place from (x0, y0)."""
+    out = np.zeros((height, width, 4))
+    y, x = table.column("y").to_numpy() - y0, table.column("x").to_numpy() - x0
+    for i, c in enumerate("rgba"):
+        out[y, x, i] = table.column(c).to_numpy()
+    return out
+
+
+def _table(image: int, out: np.ndarray, x0: int, y0: int) -> pa.Table:
+    ys, xs = np.indices(out.shape[:2])
+    columns = {"image_id": pa.array(np.full(ys.size, image), pa.int32()), "y": pa.array((ys + y0).ravel(), pa.int32()), "x": pa.array((xs + x0).ravel(), pa.int32())}
+    return pa.table(columns | {c: pa.array(out[..., i].ravel()) for i, c in enumerate("rgba")})
+
+
+def per_batch(p: PixelFrame, f: Callable[[np.ndarray], np.ndarray]) -> PixelFrame:
+    """``f`` maps colours (n, 3) to others, pixel by pixel."""
+
+    def run(batches):
+        for b in batches:
+            rgb = f(np.stack([b.column(c).to_numpy() for c in "rgb"], 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("image_id", "y", "x")), *(pa.array(rgb[:, i]) for i in range(3)), b.column("a")], [*("image_id", "y", "x"), *"rgba"])
+
+    return PixelFrame(p.df.select("image_id", "y", "x", *"rgba").mapInArrow(run, SCHEMA), p.width, p.height, p.space, p.matrix)
+
+
+def per_tile(p: PixelFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> PixelFrame:
+    """``kernel`` maps an array (height, width, 4) to one of the same size, in which a pixel depends on those at most
+    ``halo`` away along either axis; beyond the image's edges it sees what it does beyond the array's."""
+    width, height, side = p.width, p.height, TILE
+
+    def tiles(c: str, size: int):
+        last = (size - 1) // side
+        return F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / side)), F.least(F.lit(last), F.floor((F.col(c) + halo) / side)))
 
     def run(table: pa.Table) -> pa.Table:
-        pixels = np.zeros((*size, 4))
+        ty, tx = (int(table.column(c)[0].as_py()) for c in ("ty", "tx"))
+        x0, y0 = max(0, tx * side - halo), max(0, ty * side - halo)
+        x1, y1 = min(width, (tx + 1) * side + halo), min(height, (ty + 1) * side + halo)
+        out = kernel(_pixels(table, x0, y0, x1 - x0, y1 - y0))
+        out = out[ty * side - y0 :, tx * side - x0 :][:side, :side]
+        return _table(table.column("image_id")[0].as_py(), out, tx * side, ty * side)
+
+    df = p.df.select("image_id", "y", "x", *"rgba", F.explode(tiles("y", height)).alias("ty"))
+    df = df.select("*", F.explode(tiles("x", width)).alias("tx"))
+    return PixelFrame(df.groupBy("image_id", "ty", "tx").applyInArrow(run, SCHEMA), width, height, p.space, p.matrix)
+
+
+def source_box(inverse: np.ndarray, x0: int, y0: int, x1: int, y1: int, width: int, height: int) -> tuple[int, int, int, int]:
+    """Source pixels (left, top, right, bottom) that the taps of an output window reach; all if the window meets the horizon."""
+    corners = inverse @ np.array([[x0, x1, x0, x1], [y0, y0, y1, y1], [1, 1, 1, 1]], float)
+    if (corners[2] <= 1e-9).any():
+        return 0, 0, width, height
+    u, v = corners[:2] / corners[2]
+    box = np.clip([u.min() - 4, u.max() + 4], 0, width).astype(int), np.clip([v.min() - 4, v.max() + 4], 0, height).astype(int)
+    return int(box[0][0]), int(box[1][0]), int(box[0][1]), int(box[1][1])
+
+
+def per_window(p: PixelFrame, inverse: np.ndarray, width: int, height: int, border: tuple[float, ...]) -> DataFrame:
+    """Pixels of a warp's result: each output tile with the source pixels that it reaches."""
+    size, side = (p.width, p.height), TILE
+    boxes = {
+        (ty, tx): source_box(inverse, tx * side, ty * side, min(width, (tx + 1) * side), min(height, (ty + 1) * side), *size)
+        for ty in range(-(-height // side)) for tx in range(-(-width // side))
+    }
+    rows = [
+        (by, bx, ty, tx)
+        for (ty, tx), (x0, y0, x1, y1) in boxes.items() if x0 < x1 and y0 < y1
+        for by in range(y0 // BLOCK, (y1 - 1) // BLOCK + 1) for bx in range(x0 // BLOCK, (x1 - 1) // BLOCK + 1)
+    ]
+    spark = p.df.sparkSession
+    reach = spark.createDataFrame(rows, "by int, bx int, ty int, tx int")
+    # images are bounded at 100 million pixels, which is 1,526 blocks; few tiles reach one block
+    reach = F.broadcast(reach) if len(rows) <= 100_000 else reach
+    pixels = p.df.select("image_id", "y", "x", *"rgba", F.floor(F.col("y") / BLOCK).cast("int").alias("by"), F.floor(F.col("x") / BLOCK).cast("int").alias("bx"))
+    held = pixels.join(reach, ["by", "bx"]).select("image_id", "y", "x", *"rgba", "ty", "tx")
+    # a tile that reaches no pixel is all border; one row without a place stands for each tile
+    names = F.array(*(F.struct(F.lit(ty).alias("ty"), F.lit(tx).alias("tx")) for ty, tx in boxes))
+    marks = p.df.select("image_id").distinct().select("image_id", F.explode(names).alias("t"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("y", "x")] + [F.lit(0.0).alias(c) for c in "rgba"]
+    held = held.unionByName(marks.select("image_id", *none, "t.ty", "t.tx"))
+
+    def run(table: pa.Table) -> pa.Table:
+        image = table.column("image_id")[0].as_py()
+        ty, tx = (int(table.column(c)[0].as_py()) for c in ("ty", "tx"))
+        x0, y0, x1, y1 = boxes[ty, tx]
+        table = table.filter(table.column("y").is_valid())
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        for i, c in enumerate("rgba"):
-            pixels[y, x, i] = table.column(c).to_numpy()
-        out = kernel(pixels)
-        ys, xs = np.indices(out.shape[:2])
-        columns = {"image_id": pa.array(np.full(ys.size, table.column("image_id")[0].as_py()), pa.int32()), "y": pa.array(ys.ravel(), pa.int32()), "x": pa.array(xs.ravel(), pa.int32())}
-        return pa.table(columns | {c: pa.array(out[..., i].ravel()) for i, c in enumerate("rgba")})
+        table = table.filter(pa.array((y >= y0) & (y < y1) & (x >= x0) & (x < x1)))
+        source = _pixels(table, x0, y0, x1 - x0, y1 - y0)
+        window = tx * side, ty * side, min(width, (tx + 1) * side), min(height, (ty + 1) * side)
+        return _table(image, warped(source, inverse, window, (x0, y0), size, border), *window[:2])
 
-    df = p.df.select("image_id", "y", "x", *"rgba").groupBy("image_id").applyInArrow(run, SCHEMA)
-    return PixelFrame(df, p.width, p.height, p.space, p.matrix)
+    return held.groupBy("image_id", "ty", "tx").applyInArrow(run, SCHEMA)
 
 
 def premultiplied(v: np.ndarray) -> np.ndarray:
@@ -77,21 +160,25 @@ def _cubic(t: np.ndarray) -> np.ndarray:
     return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
 
 
-def warped(v: np.ndarray, inverse: np.ndarray, width: int, height: int, border: tuple[float, ...]) -> np.ndarray:
-    """Bicubic gather: output pixel centres go through ``inverse`` to source coordinates; outside lies the border."""
+def warped(v: np.ndarray, inverse: np.ndarray, window: tuple[int, int, int, int], origin: tuple[int, int], size: tuple[int, int], border: tuple[float, ...]) -> np.ndarray:
+    """Bicubic gather for a window of the result: output pixel centres go through ``inverse`` to source coordinates; outside
+    lies the border. ``v`` is the part of a source of ``size`` that begins at ``origin``."""
+    x0, y0, x1, y1 = window
     src = premultiplied(v)
     edge = np.array([*(b * border[3] for b in border[:3]), border[3]])
-    ys, xs = np.indices((height, width)) + 0.5
+    ys, xs = np.indices((y1 - y0, x1 - x0)) + 0.5
+    ys, xs = ys + y0, xs + x0
     d = inverse[2][0] * xs + inverse[2][1] * ys + inverse[2][2]
     u = (inverse[0][0] * xs + inverse[0][1] * ys + inverse[0][2]) / d - 0.5
     w = (inverse[1][0] * xs + inverse[1][1] * ys + inverse[1][2]) / d - 0.5
     iu, iw = np.floor(u).astype(int), np.floor(w).astype(int)
-    out = np.zeros((height, width, 4))
+    out = np.zeros((y1 - y0, x1 - x0, 4))
     for j in range(-1, 3):
         for i in range(-1, 3):
             x, y = iu + i, iw + j
-            inside = (x >= 0) & (x < v.shape[1]) & (y >= 0) & (y < v.shape[0])
-            tap = np.where(inside[..., None], src[np.clip(y, 0, v.shape[0] - 1), np.clip(x, 0, v.shape[1] - 1)], edge)
+            inside = (x >= 0) & (x < size[0]) & (y >= 0) & (y < size[1])
+            tap = np.broadcast_to(edge, out.shape).copy()
+            tap[inside] = src[y[inside] - origin[1], x[inside] - origin[0]]
             out += (_cubic(u - x) * _cubic(w - y))[..., None] * tap
     return unpremultiplied(np.clip(out, 0, 1))
 
@@ -104,17 +191,34 @@ def disc_weights(xs, ys, cx: int, cy: int, radius: int, feather: float) -> np.nd
     return np.floor(w * 1e6 + 0.5) / 1e6
 
 
-def healed(v: np.ndarray, src: tuple[int, int], dest: tuple[int, int], radius: int, feather: float, weights: list[float]) -> np.ndarray:
-    h, w, _ = v.shape
+def healed(p: PixelFrame, src: tuple[int, int], dest: tuple[int, int], radius: int, feather: float, weights: list[float]) -> DataFrame:
+    """(image_id, y, x, r, g, b, a) of the pixels of the disc at ``dest``, from the two patches alone."""
+    w, h = p.width, p.height
     radius = min(radius, int(np.ceil(np.hypot(w, h))))
-    patch = lambda c: v[np.clip(np.arange(c[1] - radius, c[1] + radius + 1), 0, h - 1)][:, np.clip(np.arange(c[0] - radius, c[0] + radius + 1), 0, w - 1)]
-    a, b = patch(src), patch(dest)
-    mixed = np.clip(a - blurred(a, weights) + blurred(b, weights), 0, 1)
-    out = v.copy()
-    ys, xs = np.indices(mixed.shape[:2])
-    ys, xs = ys + dest[1] - radius, xs + dest[0] - radius
-    weight = disc_weights(xs, ys, *dest, radius, feather)
-    inside = (weight > 0) & (ys >= 0) & (ys < h) & (xs >= 0) & (xs < w)
-    y, x, k = ys[inside], xs[inside], weight[inside][:, None]
-    out[y, x] = v[y, x] + (mixed[inside] - v[y, x]) * k
-    return out
+    # beyond an edge a patch holds the edge's pixels, so what it needs lies in a box inside the image
+    boxes = [[int(np.clip(v, 0, n - 1)) for v, n in ((x - radius, w), (y - radius, h), (x + radius, w), (y + radius, h))] for x, y in (src, dest)]
+    near = None
+    for x0, y0, x1, y1 in boxes:
+        part = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+        near = part if near is None else near | part
+
+    def run(table: pa.Table) -> pa.Table:
+        image, patches = table.column("image_id")[0].as_py(), []
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        for (x0, y0, x1, y1), (cx, cy) in zip(boxes, (src, dest), strict=True):
+            part = _pixels(table.filter(pa.array((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))), x0, y0, x1 - x0 + 1, y1 - y0 + 1)
+            rows, columns = (np.clip(np.arange(c - radius, c + radius + 1), 0, n - 1) - at for c, n, at in ((cy, h, y0), (cx, w, x0)))
+            patches.append(part[rows][:, columns])
+        a, b = patches
+        mixed = np.clip(a - blurred(a, weights) + blurred(b, weights), 0, 1)
+        ys, xs = np.indices(mixed.shape[:2])
+        weight = disc_weights(xs + dest[0] - radius, ys + dest[1] - radius, *dest, radius, feather)
+        inside = (weight > 0) & (ys + dest[1] >= radius) & (ys + dest[1] - radius < h) & (xs + dest[0] >= radius) & (xs + dest[0] - radius < w)
+        out = b[inside] + (mixed[inside] - b[inside]) * weight[inside][:, None]
+        y, x = ys[inside] + dest[1] - radius, xs[inside] + dest[0] - radius
+        columns = {"image_id": pa.array(np.full(len(y), image), pa.int32()), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32())}
+        return pa.table(columns | {c: pa.array(out[:, i]) for i, c in enumerate("rgba")})
+
+    return p.df.select("image_id", "y", "x", *"rgba").filter(near).groupBy("image_id").applyInArrow(run, SCHEMA)
+
+

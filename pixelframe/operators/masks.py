@@ -47,7 +47,7 @@ def plane(p: PixelFrame, width: int, height: int, invert=False, feather_px=0.0)
             from . import kernels as K
 
             four = q.select(*KEY, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a"))
-            q = K.per_image(four, lambda v: K.convolved(K.convolved(v, weights, 1), weights, 0)).select(*KEY, F.col("r").alias("w"))
+            q = K.per_tile(four, lambda v: K.convolved(K.convolved(v, weights, 1), weights, 0), len(weights) // 2).select(*KEY, F.col("r").alias("w"))
         df = q.df
     return df.withColumn("w", N.clamp(F.col("w")))
 
@@ -66,7 +66,7 @@ def linear_gradient(p: PixelFrame, angle_degrees=0.0, start=0.0, end=1.0) -> Dat
     return _codes(p, _ramp_down(0.5 + (xn * dx + yn * dy) / (abs(dx) + abs(dy)), start, end))
 
 
-def radial_gradient(p: PixelFrame, center_x=0.5, center_y=0.5, radius=0.5, feather=0.5) -> DataFrame:
+def radial_gradient(p: PixelFrame, center_x=0.5, center_y=0.5, radius=0.5, feather=0.25) -> DataFrame:
     """1 within ``radius``, 0 beyond ``radius + feather``, in half diagonals from a centre."""
     dx, dy = F.col("x") + 0.5 - center_x * p.width, F.col("y") + 0.5 - center_y * p.height
     half = N.q6(0.5 * math.sqrt(float(p.width) ** 2 + float(p.height) ** 2))
@@ -78,7 +78,7 @@ def _luma_codes() -> Column:
     return r * 0.2126 + g * 0.7152 + b * 0.0722
 
 
-def luminosity_range(p: PixelFrame, low=0, high=255, feather=0.0) -> DataFrame:
+def luminosity_range(p: PixelFrame, low=0, high=255, feather=16.0) -> DataFrame:
     """1 where the luma, in code values, lies within the range; ``feather`` code values outside it fall to 0."""
     v = _luma_codes()
     p = p.to(SRGB)
@@ -109,5 +109,42 @@ def _codes(p: PixelFrame, w: Column) -> DataFrame:
     return p.df.select(*KEY, (F.floor(N.clamp(N.col_q6(w)) * 255.0 + 0.5) / 255.0).alias("w"))
 
 
+class MaskError(ValueError):
+    """``code`` says what is wrong with a mask's description."""
+
+    def __init__(self, code: str, text: str):
+        super().__init__(text)
+        self.code = code
+
+
+#: Generators by kind, with the fields each takes and their ranges.
+KINDS = {
+    "linear_gradient": (linear_gradient, {"angle_degrees": (-360, 360), "start": (0, 1), "end": (0, 1)}),
+    "radial_gradient": (radial_gradient, {"center_x": (0, 1), "center_y": (0, 1), "radius": (0, 1), "feather": (0, 1)}),
+    "luminosity_range": (luminosity_range, {"min": (0, 255), "max": (0, 255), "feather": (0, 255)}),
+    "color_range": (color_range, {"hue_center": (0, 360), "hue_width": (1, 180), "feather": (0, 180)}),
+}
+
+
+def generate(p: PixelFrame, kind: str, **fields: float | None) -> DataFrame:
+    """A mask by its kind and fields; what is not given has its default, and nothing that does not belong is passed over."""
+    if kind not in KINDS:
+        raise MaskError("invalid_mask_kind", f"unknown kind {kind!r}; known: {', '.join(KINDS)}")
+    make, ranges = KINDS[kind]
+    given = {k: v for k, v in fields.items() if v is not None}
+    if odd := sorted(set(given) - set(ranges)):
+        raise MaskError("unexpected_mask_param", f"{kind} does not take {', '.join(odd)}; it takes {', '.join(ranges)}")
+    if kind == "color_range" and "hue_center" not in given:
+        raise MaskError("missing_mask_param", "color_range needs hue_center, in degrees")
+    for name, v in given.items():
+        low, high = ranges[name]
+        if not low <= v <= high:  # not a number is out of range too
+            raise MaskError("invalid_mask_param", f"{name} is {v}, must be within {low}..{high}")
+    for first, last, from_, to in (("start", "end", 0.0, 1.0), ("min", "max", 0, 255)):
+        if first in ranges and given.get(last, to) < given.get(first, from_):
+            raise MaskError("invalid_mask_param", f"{last} must not lie below {first}")
+    return make(p, **{{"min": "low", "max": "high"}.get(k, k): v for k, v in given.items()})
+
+
 def mean_weight(mask: DataFrame) -> DataFrame:
     return mask.groupBy("image_id").agg(N.col_q6(F.avg("w")).alias("mean_weight"))

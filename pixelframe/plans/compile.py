@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..frame import LINEAR, SRGB, PixelFrame, from_codes
+from ..frame import LINEAR, SRGB, PixelFrame, from_channels, from_codes
 from ..operators import color, composite, filters, geometry, masks
 from .presets import recipe_of
 from .recipe import MASKED, parse, recipe_hash, validate
@@ -58,6 +58,7 @@ class Planner:
     def __init__(self, assets: Mapping[str, Any] | None = None):
         self.assets = assets or {}
         self.planes: dict[tuple, DataFrame] = {}
+        self.warnings: list[str] = []
 
     def asset(self, revision_id: str):
         if revision_id not in self.assets:
@@ -70,6 +71,21 @@ class Planner:
             self.planes[key] = masks.plane(self.asset(mask["revision_id"]), width, height, mask["invert"], mask["feather_px"])
         return self.planes[key]
 
+    def warn(self, p: PixelFrame, name: str, params: Mapping) -> None:
+        """What an operation loses or adds, told before it runs."""
+        if name == "rotate" and params.get("crop", "largest_inscribed_rect") != "full" and (lost := geometry.rotation_loss(p.width, p.height, params["angle_degrees"])):
+            w, h = geometry.inscribed(p.width, p.height, params["angle_degrees"])
+            self.warnings.append(f"rotation crop (largest_inscribed_rect) removed {lost:.1f}% of pixels ({p.width}x{p.height} -> {w}x{h})")
+        elif name == "perspective":
+            quad = {k: v for k, v in params.items() if k != "pad_color"}
+            step, w, h = geometry.perspective_step(p.width, p.height, **quad)
+            if padded := geometry.padding_share(p.width, p.height, step, w, h):
+                self.warnings.append(f"{padded * 100:.1f}% of the {w}x{h} output is padding")
+        elif name == "crop" and params.get("rect") and params.get("coordinate_space") == "source":
+            x0, y0, x1, y1 = geometry.source_box(p, *(int(params["rect"][k]) for k in ("x", "y", "width", "height")))
+            if x0 < 0 or y0 < 0 or x1 > p.width or y1 > p.height:
+                self.warnings.append(f"crop: the source rectangle reaches beyond the {p.width}x{p.height} image and was clamped")
+
     def operation(self, p: PixelFrame, op: Mapping) -> PixelFrame:
         name, params = op["op"], {k: v for k, v in op.items() if k not in ("op", "mask")}
         if name in ("auto_orient", "encode", "strip_metadata"):
@@ -82,6 +98,7 @@ class Planner:
                 top = geometry.resize(top, params.get("width"), params.get("height"), "fill", False)
             return composite.over(p, top, params["blend_mode"], params["opacity"], at=(params["x"], params["y"]))
         else:
+            self.warn(p, name, params)
             after = RUN[name](p, **params)
         if name in MASKED and "mask" in op:
             after = composite.masked(p, after, self.plane(op["mask"], after.width, after.height))
@@ -104,18 +121,23 @@ class Planner:
         return composite.fold(stack)
 
 
-def execute(recipe: dict | str, relation: DataFrame, width: int, height: int, assets: Mapping[str, Any] | None = None, source_format: str = "png") -> Output:
-    """Plan a recipe (or a preset's name) over images of one size, given by code values r8, g8, b8, a8."""
+def plan_of(recipe: dict | str) -> dict:
+    """A recipe, as text or tree, or a preset's name, parsed and checked."""
     if isinstance(recipe, str) and not recipe.lstrip().startswith("{"):
         recipe = recipe_of(recipe)
-    parsed = validate(parse(recipe))
+    return validate(parse(recipe))
+
+
+def execute(recipe: dict | str, relation: DataFrame, width: int, height: int, assets: Mapping[str, Any] | None = None, source_format: str = "png") -> Output:
+    """Plan a recipe (or a preset's name) over images of one size, given by code values r8, g8, b8, a8 or channels r, g, b, a."""
+    parsed = plan_of(recipe)
     planner = Planner(assets)
-    p = from_codes(relation, width, height, first_space(parsed))
+    p = (from_codes if "r8" in relation.columns else from_channels)(relation, width, height, first_space(parsed))
     if parsed.get("layers"):
         p = planner.layers(p, parsed["layers"])
     p = planner.chain(p, parsed["operations"]).to(SRGB)
     encode = next((o for o in parsed["operations"] if o["op"] == "encode"), {})
-    out = Output(p, recipe_hash(parsed), encode.get("format", source_format), encode.get("quality"), encode.get("bit_depth", 8))
+    out = Output(p, recipe_hash(parsed), encode.get("format", source_format), encode.get("quality"), encode.get("bit_depth", 8), planner.warnings)
     if not encode and source_format not in FORMATS:
         out.format = "jpeg"
         out.warnings.append(f"no encoder for {source_format}: jpeg is written")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures, sql
@@ -15,12 +15,12 @@ from .operators import color, compare, composite, filters, geometry, masks, tilt
 from .plans.compile import execute
 from .plans.presets import PRESETS
 from .plans.recipe import recipe_hash
-from .sources import images, store
+from .sources import images, store, svg
 from .sources.cube import Cube
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-LOAD = {"orders": fixtures.orders_px, "events": fixtures.events_px, "emb": fixtures.emb_px}
+LOAD = {"orders": fixtures.orders_px, "events": fixtures.events_px, "emb": fixtures.emb_px, "wide": fixtures.wide_px, "big": fixtures.big_px}
 
 
 def frame(spark: SparkSession, sf: str, relation: str, space: str = "srgb") -> PixelFrame:
@@ -72,11 +72,15 @@ px("px_pixelate_region", "orders", lambda p: filters.pixelate(p, 4, {"x": 3, "y"
 px("px_blur_sigma1", "events", lambda p: filters.blur(p, 1.0), lambda c: c.blur(1.0), "linear")
 px("px_unsharp", "emb", lambda p: filters.unsharp_mask(p, 0.8, 0.9, 3), lambda c: c.unsharp_mask(0.8, 0.9, 3), "linear")
 px("px_median1", "events", lambda p: filters.median(p, 1), lambda c: c.median1(), "linear")
-px("px_convolve3", "events", lambda p: filters.convolve(p, SHARP, 3, 1.5, 4), lambda c: c.convolve3(SHARP, 1.5, 4), "linear")
+px("px_convolve3", "events", lambda p: filters.convolve(p, SHARP, 3, 1.5, 4), lambda c: c.convolve(SHARP, 3, 1.5, 4), "linear")
+for _size in (5, 7, 9):
+    _kernel = [(i * 7 % 5) - 1 for i in range(_size * _size)]
+    px(f"px_convolve{_size}", "emb", lambda p, k=_kernel, n=_size: filters.convolve(p, k, n, 2.0 * n * n, 3), lambda c, k=_kernel, n=_size: c.convolve(k, n, 2.0 * n * n, 3), "linear")
 px("px_clone", "emb", lambda p: filters.clone(p, 12, 10, 40, 30, 9, 4.0), lambda c: c.clone(12, 10, 40, 30, 9, 4.0), "linear")
-px("px_heal", "emb", lambda p: filters.heal(p, 12, 10, 40, 30, 9, 4.0), None, "linear")
-px("px_blur_kernel", "emb", lambda p: filters.blur(p, 4.0), None, "linear")
-px("px_median_kernel", "orders", lambda p: filters.median(p, 2), None, "linear")
+px("px_heal", "emb", lambda p: filters.heal(p, 12, 10, 40, 30, 9, 4.0), lambda c: c.heal(12, 10, 40, 30, 9, 4.0), "linear")
+px("px_heal_edge", "emb", lambda p: filters.heal(p, 3, 45, 60, 2, 7), lambda c: c.heal(3, 45, 60, 2, 7), "linear")
+px("px_blur_kernel", "emb", lambda p: filters.blur(p, 4.0), lambda c: c.blur(4.0), "linear")
+px("px_median_kernel", "orders", lambda p: filters.median(p, 2), lambda c: c.median(2), "linear")
 px("px_flip_h", "emb", lambda p: geometry.flip(p, "horizontal"), lambda c: c.moved("63 - x", "y", 64, 50))
 px("px_flip_v", "emb", lambda p: geometry.flip(p, "vertical"), lambda c: c.moved("x", "49 - y", 64, 50))
 TURNS = {1: ("49 - y", "x", 50, 64), 2: ("63 - x", "49 - y", 64, 50), 3: ("y", "63 - x", 50, 64)}
@@ -92,8 +96,10 @@ px("px_crop_source_space", "emb", lambda p: geometry.crop(geometry.quarter(p, 1)
 px("px_resize_lanczos", "emb", lambda p: geometry.resize(p, 24, 20, "fill"), lambda c: c.resize(24, 20), "linear")
 px("px_resize_cover", "emb", lambda p: geometry.resize(p, 32, 32), lambda c: c.resize(41, 32).crop(4, 0, 32, 32), "linear")
 px("px_resize_alpha", "events", lambda p: geometry.resize(p, 48, fit="contain", without_enlargement=False), lambda c: c.resize(48, 48), "linear")
-px("px_rotate_bicubic", "emb", lambda p: geometry.rotate(p, 10.0), None, "linear")
-px("px_perspective_keystone", "emb", lambda p: geometry.perspective(p, vertical_degrees=8.0), None, "linear")
+px("px_rotate_bicubic", "emb", lambda p: geometry.rotate(p, 10.0), lambda c: c.rotate(10.0), "linear")
+px("px_perspective_keystone", "emb", lambda p: geometry.perspective(p, vertical_degrees=8.0), lambda c: c.perspective(vertical_degrees=8.0), "linear")
+QUAD = [[4, 3], [60, 6], [57, 46], [2, 41]]
+px("px_perspective_quad", "emb", lambda p: geometry.perspective(p, QUAD), lambda c: c.perspective(quad=QUAD), "linear")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -139,8 +145,24 @@ add("px_layers_three", _three, _three_sql())
 add("px_masked_curves", lambda s, d: codes(composite.masked(p := frame(s, d, "orders"), color.curves(p, **S_CURVE), masks.plane(frame(s, d, "events"), 32, 32))), sql.Chain("orders").masked(lambda c: c.curves(**S_CURVE), sql.Chain("events", prefix="k").as_mask()).codes())
 add("px_mask_invert", lambda s, d: _rounded(masks.plane(frame(s, d, "events"), 32, 32, True), "w"), sql.Chain("events").as_mask(True).sql("select image_id, y, x, round(w, 6) w from {p}"))
 add("px_mask_feather", lambda s, d: _rounded(masks.plane(frame(s, d, "events"), 32, 32, False, 1.5), "w"), sql.Chain("events").as_mask(False, 1.5).sql("select image_id, y, x, round(w, 6) w from {p}"))
+add("px_mask_resized", lambda s, d: _rounded(masks.plane(frame(s, d, "events"), 48, 20), "w"), sql.Chain("events").as_mask().resized_mask(48, 20).sql(f"select image_id, y, x, round({sql.clamp('w')}, 6) w from {{p}}"))
 add("px_flatten_white", lambda s, d: composite.flattened(frame(s, d, "events")), f"with p as ({sql.EVENTS}) select image_id, y, x, " + ", ".join(f"(({c}8 * a8 + 255 * (255 - a8) + 127) // 255)::INT {c}8" for c in "rgb") + " from p")
 
+LOGO = '<svg xmlns="http://www.w3.org/2000/svg" width="12" height="10"><rect width="8" height="10" fill="#ff8800" fill-opacity="0.5"/><rect x="8" y="2" width="4" height="6" fill="#003366"/></svg>'
+
+
+def _stamped(s: SparkSession, d: str) -> DataFrame:
+    drawn = svg.rasterise(LOGO)[0]
+    pixels = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), *(F.lit(float(v)).alias(c) for v, c in zip(drawn[y, x], "rgba", strict=True))) for y in range(10) for x in range(12)))
+    logo = frame(s, d, "emb").df.select("image_id").distinct().select("image_id", F.explode(pixels).alias("p")).select("image_id", "p.*")
+    recipe = {"operations": [{"op": "svg_overlay", "svg_revision_id": "rev_logo", "x": 5, "y": 7, "opacity": 0.8, "blend_mode": "multiply"}]}
+    return codes(execute(recipe, LOAD["emb"](s, d), 64, 50, {"rev_logo": PixelFrame(logo, 12, 10)}).frame)
+
+
+_at = "case when y between 7 and 16 and x between 5 and 12 then {0} when y between 9 and 14 and x between 13 and 16 then {1} else 0::DOUBLE end"
+_logo = sql.Chain("emb", prefix="s").add(f"select image_id, y, x, {', '.join(f'{_at.format(sql.d(u), sql.d(v))} {c}' for c, u, v in (('r', 1, 0), ('g', 0x88 / 255, 0x33 / 255), ('b', 0, 0x66 / 255), ('a', 0.5, 1)))} from {{p}}")
+add("px_svg_overlay", _stamped, sql.Chain("emb").over(_logo, "multiply", 0.8).codes())
+
 # masks
 _q6 = lambda e: f"(round(({e}) * {sql.d(1e6)}) / {sql.d(1e6)})"
 _code = lambda e: f"round(floor({sql.clamp(_q6(e))} * {sql.d(255)} + {sql.d(0.5)}) / {sql.d(255)}, 6) w"
@@ -160,6 +182,10 @@ _range = f"case when l < 80 then {_down(f'80 - l', 0, 40)} when l > 150 then {_d
 add("mask_luminosity", lambda s, d: _rounded(masks.luminosity_range(frame(s, d, "emb"), 80, 150, 40.0), "w"), sql.Chain("emb").add(f"select {', '.join(KEY)}, {_luma8} l from {{p}}").sql(f"select image_id, y, x, {_code(_range)} from {{p}}"))
 _hue = "60::DOUBLE * case when hi = r then (g - b) / (hi - lo) when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end"
 add("mask_color_range", lambda s, d: _rounded(masks.color_range(frame(s, d, "orders"), 200.0, 30.0, 20.0), "w"), sql.Chain("orders").add("select *, greatest(r, g, b) hi, least(r, g, b) lo from {p}").add(f"select *, case when hi - lo <= 0 or hi <= 0 then 0 when {_hue} < 0 then {_hue} + 360 else {_hue} end h, case when hi - lo <= 0 or hi <= 0 then 0 else (hi - lo) / hi end s from {{p}}").add(f"select *, case when abs(h - {sql.d(200)}) % 360 > 180 then 360 - abs(h - {sql.d(200)}) % 360 else abs(h - {sql.d(200)}) % 360 end o from {{p}}").sql(f"select image_id, y, x, {_code(f'({_down("o", 30, 50)}) * {sql.clamp(f"s / {sql.d(0.1)}")}')} from {{p}}"))
+_far = _q6(f"sqrt((x + {sql.d(0.5)} - {sql.d(32)}) * (x + {sql.d(0.5)} - {sql.d(32)}) + (y + {sql.d(0.5)} - {sql.d(25)}) * (y + {sql.d(0.5)} - {sql.d(25)})) / {sql.d(N.q6(0.5 * float(np.sqrt(64.0**2 + 50.0**2))))}")
+add("mask_radial_defaults", lambda s, d: _rounded(masks.generate(frame(s, d, "emb"), "radial_gradient"), "w"), sql.Chain("emb").sql(f"select image_id, y, x, {_code(_down(_far, 0.5, 0.75))} from {{p}}"))
+_range16 = f"case when l < 90 then {_down('90 - l', 0, 16)} when l > 140 then {_down('l - 140', 0, 16)} else 1 end"
+add("mask_luminosity_defaults", lambda s, d: _rounded(masks.generate(frame(s, d, "emb"), "luminosity_range", min=90, max=140), "w"), sql.Chain("emb").add(f"select {', '.join(KEY)}, {_luma8} l from {{p}}").sql(f"select image_id, y, x, {_code(_range16)} from {{p}}"))
 add("mask_mean_weight", lambda s, d: masks.mean_weight(masks.luminosity_range(frame(s, d, "emb"), 80, 150, 40.0)), f"select image_id, round(avg(w) * 1e6) / 1e6 mean_weight from ({ORACLES['mask_luminosity'].replace('round(floor', '(floor').replace(f'/ {sql.d(255)}, 6) w', f'/ {sql.d(255)}) w')}) group by image_id")
 
 # comparisons and guides
@@ -174,6 +200,7 @@ def _heat(i: int) -> str:
 
 add("px_diff_heatmap", lambda s, d: compare.diff_heatmap(frame(s, d, "orders"), frame(s, d, "events")), _pair + f"select image_id, y, x, {_heat(0)} r8, {_heat(1)} g8, {_heat(2)} b8 from k")
 add("px_side_by_side", lambda s, d: compare.beside(frame(s, d, "orders"), frame(s, d, "emb")), f"with a as ({sql.ORDERS}), b as ({sql.EMB}), m as (select image_id, y + 9 y, x, r8, g8, b8 from a union all select image_id, y, x + 40, r8, g8, b8 from b), i as (select image_id from a union select image_id from b) select i.image_id, gy::INT y, gx::INT x, coalesce(r8, 222) r8, coalesce(g8, 222) g8, coalesce(b8, 222) b8 from i cross join range(50) b(gy) cross join range(104) a(gx) left join m on m.image_id = i.image_id and m.y = gy and m.x = gx")
+add("px_stacked", lambda s, d: compare.beside(frame(s, d, "orders"), frame(s, d, "emb"), stacked=True), f"with a as ({sql.ORDERS}), b as ({sql.EMB}), m as (select image_id, y, x + 16 x, r8, g8, b8 from a union all select image_id, y + 40, x, r8, g8, b8 from b), i as (select image_id from a union select image_id from b) select i.image_id, gy::INT y, gx::INT x, coalesce(r8, 222) r8, coalesce(g8, 222) g8, coalesce(b8, 222) b8 from i cross join range(90) b(gy) cross join range(64) a(gx) left join m on m.image_id = i.image_id and m.y = gy and m.x = gx")
 for _kind, _n in (("grid", 8), ("thirds", 3), ("horizon", 12)):
     _row = f"y in ({', '.join(str(i * 50 // _n) for i in range(1, _n))})"
     _col = "false" if _kind == "horizon" else f"x in ({', '.join(str(i * 64 // _n) for i in range(1, _n))})"
@@ -235,8 +262,22 @@ def preset(name: str, relation: str = "orders") -> Callable[[SparkSession, str],
 
 for _name, (_space, _chain) in PRESET_SQL.items():
     add(f"preset_{_name}", preset(_name), _chain(sql.Chain("orders", _space)).codes())
-add("preset_web_optimize", preset("web_optimize", "emb"), sql.Chain("emb").codes())
-add("preset_hero_2400", preset("hero_2400", "emb"), sql.Chain("emb").codes())
+add("preset_web_optimize", preset("web_optimize", "wide"), sql.Chain("wide", "linear").resize(2000, 5).codes())
+add("preset_hero_2400", preset("hero_2400", "wide"), sql.Chain("wide", "linear").resize(2400, 6).codes())
+#: Of the presets that cut and scale: the cut's size and the result's.
+SOCIAL = {
+    "eyecatch_16_9": ((1792, 1008), (1600, 900)), "instagram_portrait_4_5": ((1120, 1400), (1080, 1350)), "instagram_square_1080": ((1400, 1400), (1080, 1080)),
+    "og_1200x630": ((1792, 941), (1200, 630)), "thumbnail_square": ((1400, 1400), (800, 800)), "x_wide_16_9": ((1792, 1008), (1600, 900)),
+    "youtube_thumb_1280x720": ((1792, 1008), (1280, 720)),
+}
+
+
+def _social(cut: tuple[int, int], size: tuple[int, int]) -> str:
+    return sql.Chain("big", "linear").crop((1792 - cut[0]) // 2, (1400 - cut[1]) // 2, *cut).resize(*size).codes()
+
+
+for _name, _sizes in SOCIAL.items():
+    add(f"preset_{_name}", preset(_name, "big"), _social(*_sizes))
 
 # the ledger's operations on the driver's tables
 DOCS = "select doc_id, coalesce(text, '') as text from documents"
@@ -247,9 +288,10 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 add("store_import_dedup", lambda s, d: store.first_by(_docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("byte_size")), "sha256", "doc_id"), f"select sha256(text) sha256, min(doc_id) doc_id, any_value(strlen(text)) byte_size from ({DOCS}) group by 1")
-add("store_sniff", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", images.sniff(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).alias("kind")), r"select page_id, case when ends_with(lower(coalesce(url, '')), '.cube') or regexp_matches(substr(coalesce(html, ''), 1, 65536), '(?m)^\s*LUT_[13]D_SIZE\s') then 'lut' when ends_with(lower(coalesce(url, '')), '.svg') or contains(substr(coalesce(html, ''), 1, 4096), '<svg') then 'svg' else 'raster' end kind from pages")
+_LINES = r"list_filter(list_transform(string_split_regex(substr(coalesce(html, ''), 1, 65536), '\r?\n'), lambda x: upper(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '' and not starts_with(x, '#'))[1:16]"
+add("store_sniff", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", images.sniff(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).alias("kind")), f"select page_id, case when ends_with(lower(coalesce(url, '')), '.cube') or len(list_filter({_LINES}, lambda x: starts_with(x, 'LUT_1D_SIZE') or starts_with(x, 'LUT_3D_SIZE'))) > 0 then 'lut' when ends_with(lower(coalesce(url, '')), '.svg') or contains(substr(coalesce(html, ''), 1, 4096), '<svg') then 'svg' else 'raster' end kind from pages")
 add("store_object_path", lambda s, d: _docs(s, d).select("doc_id", store.object_path(F.sha2("text", 256), F.when(F.col("doc_id") % 2 == 0, "image/png").otherwise("text/plain")).alias("rel_path")), f"select doc_id, 'objects/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || case when doc_id % 2 = 0 then '.png' else '.bin' end rel_path from ({DOCS})")
-add("store_preview_key", lambda s, d: _docs(s, d).select("doc_id", F.substring(F.sha2(F.concat(F.lit("rev_"), F.col("doc_id").cast("string"), F.lit("\0"), F.sha2("text", 256), F.lit("\0grid\0")), 256), 1, 32).alias("preview_key")), f"select doc_id, substr(sha256('rev_' || doc_id || chr(0) || sha256(text) || chr(0) || 'grid' || chr(0)), 1, 32) preview_key from ({DOCS})")
+add("store_preview_key", lambda s, d: _docs(s, d).select("doc_id", store.preview_key(F.concat(F.lit("rev_"), F.col("doc_id").cast("string")), F.sha2("text", 256), "grid").alias("preview_key")), f"select doc_id, substr(sha256('rev_' || doc_id || chr(0) || sha256(text) || chr(0) || 'grid' || chr(0)), 1, 32) preview_key from ({DOCS})")
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -279,8 +321,8 @@ add("store_memo_hits", _memo_hits, f"select source_revision_id, min(revision_id)
 
 
 def _list_order(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.row_number().over(w).alias("place"))
+    rows = s.read.parquet(f"{d}/events.parquet").select("user_id", F.col("user_id").alias("asset_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("ledger_seq"))
+    return store.placed(rows).select(F.col("ledger_seq").alias("event_id"), "user_id", "place")
 
 
 add("store_list_order", _list_order, "select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) place from events")

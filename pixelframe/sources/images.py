@@ -11,106 +11,281 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jpeg import jpeg
+
 MOST_BYTES, MOST_PIXELS = 128 << 20, 100_000_000
 PIXELS = "image_id int, y int, x int, r8 int, g8 int, b8 int, a8 int"
-HEADER = "path string, mime string, width int, height int, orientation int, has_alpha boolean, byte_size long, error string"
+HEADER = (
+    "path string, mime string, width int, height int, oriented_width int, oriented_height int, orientation int, has_alpha boolean, bit_depth int,"
+    " has_icc_profile boolean, has_gps boolean, exif map<string,string>, byte_size long, error string"
+)
 
 
 class ImageError(ValueError):
     code = "decode_failed"
 
 
+#: Lines of a text, without blank ones and comments, among which a table's size must stand.
+SNIFFED_LINES = 16
+
+
 def sniff(content: Column, path: Column) -> Column:
     """lut, svg or raster, by name or by the text's beginning; a table wins over a drawing."""
-    head = F.substring(content, 1, 65536)
-    lut = F.lower(path).endswith(".cube") | head.rlike(r"(?m)^\s*LUT_[13]D_SIZE\s")
-    return F.when(lut, "lut").when(F.lower(path).endswith(".svg") | F.substring(content, 1, 4096).contains("<svg"), "svg").otherwise("raster")
+    lines = F.transform(F.split(F.substring(content, 1, 65536).cast("string"), r"\r?\n"), lambda x: F.upper(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    told = F.slice(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), 1, SNIFFED_LINES)
+    lut = F.lower(path).endswith(".cube") | F.exists(told, lambda x: x.startswith("LUT_1D_SIZE") | x.startswith("LUT_3D_SIZE"))
+    return F.when(lut, "lut").when(F.lower(path).endswith(".svg") | F.substring(content, 1, 4096).cast("string").contains("<svg"), "svg").otherwise("raster")
 
 
 def header(data: bytes) -> dict:
-    """Type, size, EXIF orientation and alpha of PNG, JPEG, GIF and BMP files."""
+    """What a file's header tells of PNG, JPEG, GIF, BMP, WebP and AVIF files, without decoding pixels."""
     if not data:
         raise ImageError("empty input")
     if len(data) > MOST_BYTES:
         raise ImageError("input is larger than 128 MiB")
+    out = {"orientation": 1, "has_alpha": False, "bit_depth": 8, "has_icc_profile": False, "has_gps": False, "exif": {}}
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        w, h, _, kind = struct.unpack(">IIBB", data[16:26])
-        out = {"mime": "image/png", "width": w, "height": h, "has_alpha": kind in (4, 6), "orientation": 1}
+        w, h, depth, kind = struct.unpack(">IIBB", data[16:26])
+        out |= {"mime": "image/png", "width": w, "height": h, "has_alpha": kind in (4, 6), "bit_depth": max(8, depth)}
+        for name, part in png_chunks(data):
+            out["has_alpha"] |= name == b"tRNS"
+            out["has_icc_profile"] |= name == b"iCCP"
+            if name == b"eXIf":
+                out |= exif(part)
     elif data[:2] == b"\xff\xd8":
-        out = {"mime": "image/jpeg", "has_alpha": False, "orientation": 1, "width": 0, "height": 0}
+        out |= {"mime": "image/jpeg", "width": 0, "height": 0}
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
             marker, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
             if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                out["orientation"] = _orientation(data[at + 10 : at + 2 + n])
+                out |= exif(data[at + 10 : at + 2 + n])
+            out["has_icc_profile"] |= marker == 0xE2 and data[at + 4 : at + 16] == b"ICC_PROFILE\0"
             if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 out["height"], out["width"] = struct.unpack(">HH", data[at + 5 : at + 9])
                 break
             at += 2 + n
     elif data[:4] == b"GIF8":
         w, h = struct.unpack("<HH", data[6:10])
-        out = {"mime": "image/gif", "width": w, "height": h, "has_alpha": True, "orientation": 1}
+        out |= {"mime": "image/gif", "width": w, "height": h, "has_alpha": True}
     elif data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
-        out = {"mime": "image/bmp", "width": w, "height": abs(h), "has_alpha": False, "orientation": 1}
+        out |= {"mime": "image/bmp", "width": w, "height": abs(h)}
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        out |= {"mime": "image/webp"} | _webp(data)
+    elif data[4:12] in (b"ftypavif", b"ftypavis"):
+        at = data.find(b"ispe", 0, 1 << 16)
+        if at < 0:
+            raise ImageError("AVIF file without a size")
+        w, h = struct.unpack(">II", data[at + 8 : at + 16])
+        out |= {"mime": "image/avif", "width": w, "height": h}
     else:
         raise ImageError("no known image type")
-    if out["width"] * out["height"] > MOST_PIXELS:
+    w, h = out["width"], out["height"]
+    if not w or not h:
+        raise ImageError("no size found")
+    if w * h > MOST_PIXELS:
         raise ImageError("image has more than 100 million pixels")
-    if out["orientation"] >= 5:
-        out["width"], out["height"] = out["height"], out["width"]
+    out["oriented_width"], out["oriented_height"] = (h, w) if out["orientation"] >= 5 else (w, h)
     return out
 
 
-def _orientation(tiff: bytes) -> int:
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 8
+    while at + 8 <= len(data):
+        n = int.from_bytes(data[at : at + 4])
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
+def _webp(data: bytes) -> dict:
+    kind = data[12:16]
+    if kind == b"VP8X":
+        return {"has_alpha": bool(data[20] & 0x10), "has_icc_profile": bool(data[20] & 0x20), "width": 1 + int.from_bytes(data[24:27], "little"), "height": 1 + int.from_bytes(data[27:30], "little")}
+    if kind == b"VP8L":
+        bits = int.from_bytes(data[21:25], "little")
+        return {"has_alpha": bool(bits >> 28 & 1), "width": 1 + (bits & 0x3FFF), "height": 1 + (bits >> 14 & 0x3FFF)}
+    w, h = struct.unpack("<HH", data[26:30])
+    return {"width": w & 0x3FFF, "height": h & 0x3FFF}
+
+
+# EXIF tags and the names under which their values are told.
+EXIF_TAGS = {
+    0x010F: "camera_make", 0x0110: "camera_model", 0xA434: "lens_model", 0x9003: "datetime_original", 0x0132: "datetime", 0x829A: "exposure_time",
+    0x829D: "f_number", 0x8827: "iso", 0x920A: "focal_length", 0x0131: "software",
+}
+
+
+def exif(tiff: bytes) -> dict:
+    """Orientation, whether there is a place, and a summary of other fields, of an EXIF block; damaged ones tell what can be read."""
+    out: dict = {"orientation": 1, "has_gps": False, "exif": {}}
     order = "<" if tiff[:2] == b"II" else ">"
-    try:
-        at = struct.unpack(order + "I", tiff[4:8])[0]
+
+    def directory(at: int) -> None:
         for i in range(struct.unpack(order + "H", tiff[at : at + 2])[0]):
-            tag, _, _, value = struct.unpack(order + "HHIH", tiff[at + 2 + 12 * i : at + 12 + 12 * i])
-            if tag == 0x0112:
-                return value if 1 <= value <= 8 else 1
-    except struct.error:
+            entry = tiff[at + 2 + 12 * i : at + 14 + 12 * i]
+            tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+            if tag == 0x8769:
+                directory(struct.unpack(order + "I", entry[8:12])[0])
+            elif tag == 0x8825:
+                out["has_gps"] = True
+            elif tag == 0x0112 and 1 <= (v := struct.unpack(order + "H", entry[8:10])[0]) <= 8:
+                out["orientation"] = v
+                out["exif"]["orientation"] = str(v)
+            elif tag in EXIF_TAGS and (text := _told(EXIF_TAGS[tag], kind, n, entry[8:12])):
+                out["exif"].setdefault(EXIF_TAGS[tag], text)
+
+    def _told(name: str, kind: int, n: int, inside: bytes) -> str:
+        place = struct.unpack(order + "I", inside)[0]
+        if kind == 2:
+            return (inside if n <= 4 else tiff[place : place + n])[:n].split(b"\0")[0].decode("utf-8", "replace").strip()
+        if kind == 3:
+            return str(struct.unpack(order + "H", inside[:2])[0])
+        if kind == 5:
+            a, b = struct.unpack(order + "II", tiff[place : place + 8])
+            if not b:
+                return ""
+            if name == "exposure_time":
+                return f"1/{b / a:g} s" if 0 < a < b else f"{a / b:g} s"
+            return {"f_number": f"f/{a / b:g}", "focal_length": f"{a / b:g} mm"}.get(name, f"{a / b:g}")
+        return ""
+
+    try:
+        directory(struct.unpack(order + "I", tiff[4:8])[0])
+    except (struct.error, RecursionError):
         pass
-    return 1
+    return out
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """Headers of all files under a path, unreadable ones with an error."""
+    names = [f.split()[0] for f in HEADER.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in HEADER.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                row = dict.fromkeys(names) | {"path": p, "byte_size": len(data)}
                 try:
-                    h = header(data)
-                    rows.append((p, h["mime"], h["width"], h["height"], h["orientation"], h["has_alpha"], len(data), None))
-                except (ImageError, struct.error) as e:
-                    rows.append((p, None, None, None, None, None, len(data), str(e)))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]
-            names = ["path", "mime", "width", "height", "orientation", "has_alpha", "byte_size", "error"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    row |= header(data)
+                    row["exif"] = list(row["exif"].items())
+                except (ImageError, struct.error, IndexError) as e:
+                    row["error"] = str(e)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, HEADER)
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of files that Spark's image source reads (8-bit PNG, JPEG, GIF, BMP), keyed by path."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def oriented(v: np.ndarray, orientation: int) -> np.ndarray:
+    """An array (height, width, channels) the way up that its EXIF orientation asks for."""
+    if orientation >= 5:
+        v = v.transpose(1, 0, 2)
+    turned = {2: (1,), 3: (0, 1), 4: (0,), 6: (1,), 7: (0, 1), 8: (0,)}.get(orientation, ())
+    return np.flip(v, turned) if turned else v
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """(height, width, 4) of uint16: a PNG file with 16 bits a channel."""
+    w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
+    if depth != 16 or interlaced or kind not in (0, 2, 4, 6):
+        raise ImageError("not a plain PNG file of 16 bits")
+    n = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
+    line = w * n * 2
+    try:
+        raw = zlib.decompressobj().decompress(b"".join(p for c, p in png_chunks(data) if c == b"IDAT"), h * (line + 1))
+    except zlib.error as e:
+        raise ImageError(str(e)) from None
+    if len(raw) < h * (line + 1):
+        raise ImageError("PNG file is cut short")
+    rows = np.frombuffer(raw, np.uint8).reshape(h, line + 1)
+    out, up, step = np.empty((h, line), np.uint8), np.zeros(line, np.uint8), 2 * n
+    for y in range(h):
+        how, x = rows[y, 0], rows[y, 1:]
+        if how == 1:
+            up = np.cumsum(x.reshape(-1, step), 0, dtype=np.uint8).ravel()
+        elif how == 2:
+            up = x + up
+        elif how in (3, 4):
+            up = np.frombuffer(_unfiltered(x.tolist(), up.tolist(), step, how == 4), np.uint8)
+        else:
+            up = x
+        out[y] = up
+    v = out.reshape(h, w, n, 2).astype(np.uint16)
+    v = v[..., 0] << 8 | v[..., 1]
+    rgb = v[..., :3] if n >= 3 else np.repeat(v[..., :1], 3, -1)
+    alpha = v[..., -1:] if n in (2, 4) else np.full((h, w, 1), 65535, np.uint16)
+    return np.concatenate([rgb, alpha], -1)
+
+
+def _unfiltered(x: list[int], up: list[int], step: int, paeth: bool) -> bytes:
+    """A line whose bytes were told by their difference to the mean, or to the nearest, of their neighbours."""
+    out = [0] * step + x
+    above = [0] * step + up
+    for i in range(step, len(out)):
+        a, b = out[i - step], above[i]
+        if paeth:
+            c = above[i - step]
+            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+        else:
+            guess = (a + b) // 2
+        out[i] = (out[i] + guess) & 255
+    return bytes(out[step:])
+
+
+def _located(c: str) -> Column:
+    """Paths as one form of them, whoever tells them."""
+    return F.regexp_replace(c, "^file:/+", "file:/")
+
+
+def read_channels(spark: SparkSession, path: str, orient: bool = True) -> DataFrame:
+    """(path, y, x, r, g, b, a) on 0..1 of the files under a path, the way up that EXIF asks for; ``orient=False``, as masks
+    are read, as they are stored. Headers are read first: files that are too large or unreadable are not decoded."""
+    heads = inspect(spark, path).filter("error is null")
+    # the paths, which Spark holds on the driver in listing files too
+    good = [(r.path, r.bit_depth) for r in heads.select("path", "bit_depth").toLocalIterator()]
+    schema = "path string, y int, x int, r double, g double, b double, a double"
+    turns = heads.select(_located("path").alias("path"), "orientation")
+    out = spark.createDataFrame([], schema)
+
+    def rows(name: str, v: np.ndarray, most: float, orientation: int) -> Iterator[pa.RecordBatch]:
+        v = oriented(v, orientation if orient else 1)
+        ys, xs = (i.ravel() for i in np.indices(v.shape[:2]))
+        for at in range(0, ys.size, 1 << 18):
+            part = slice(at, at + (1 << 18))
+            rgba = v.reshape(-1, 4)[part] / most
+            columns = [pa.array([name] * len(rgba)), pa.array(ys[part], pa.int32()), pa.array(xs[part], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(rgba[:, i]) for i in range(4))], ["path", "y", "x", *"rgba"])
+
+    def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                flat = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]).astype(np.int32)
                 n = r["nChannels"]
-                rgba = [flat[..., k] for k in ((2, 1, 0) if n >= 3 else (0, 0, 0))] + [flat[..., 3] if n == 4 else np.full(flat.shape[:2], 255, np.int32)]
-                ys, xs = np.indices(flat.shape[:2])
-                for at in range(0, ys.size, 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    columns = [pa.array([r["origin"]] * len(ys.ravel()[part])), pa.array(ys.ravel()[part], pa.int32()), pa.array(xs.ravel()[part], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.ravel()[part], pa.int32()) for c in rgba)], ["path", "y", "x", "r8", "g8", "b8", "a8"])
+                flat = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], n)
+                bgr = flat[..., 2::-1] if n >= 3 else np.repeat(flat[..., :1], 3, -1)
+                alpha = flat[..., 3:] if n == 4 else np.full((*flat.shape[:2], 1), 255, np.uint8)
+                yield from rows(r["path"], np.concatenate([bgr, alpha], -1), 255.0, r["orientation"])
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from rows(r["path"], png_pixels(r["content"]), 65535.0, r["orientation"])
+
+    if few := [p for p, depth in good if depth == 8]:
+        images = spark.read.format("image").option("dropInvalid", True).load(few).select(_located("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+        out = out.unionByName(images.join(turns, "path").mapInArrow(shallow, schema))
+    if many := [p for p, depth in good if depth == 16]:
+        files = spark.read.format("binaryFile").load(many).select(_located("path").alias("path"), "content")
+        out = out.unionByName(files.join(turns, "path").mapInArrow(deep, schema))
+    return out
 
-    return rows.mapInArrow(run, PIXELS.replace("image_id int", "path string"))
+
+def read_pixels(spark: SparkSession, path: str, orient: bool = True) -> DataFrame:
+    """The same as code values of 8 bits."""
+    code = lambda c: F.floor(F.col(c) * 255.0 + 0.5).cast("int").alias(f"{c}8")
+    return read_channels(spark, path, orient).select("path", "y", "x", *(code(c) for c in "rgba"))
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -123,24 +298,40 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 2 if n == 3 else 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
 
 
-def encoded(p, fmt: str = "png", bit_depth: int = 8) -> DataFrame:
-    """(image_id, content): one file an image. Only PNG has an encoder here."""
-    if fmt != "png":
+#: Lines of an image that go to a file's task as one row.
+BAND = 64
+
+
+def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8) -> DataFrame:
+    """(image_id, content): one file an image, as PNG or, on white, as JPEG. Lines are packed into bands first, so that the
+    task which writes a file holds its bytes and not a row for each pixel."""
+    if fmt not in ("png", "jpeg"):
         raise ImageError(f"encode_failed: no encoder for {fmt} in this environment")
     from ..frame import codes
     from ..functions.numeric import to_u16
+    from ..operators.composite import flattened
 
-    height, width, channels = p.height, p.width, ("r", "g", "b", "a")
-    if bit_depth == 16:
-        df = p.to("srgb").df.select("image_id", "y", "x", *(to_u16(F.col(c)).alias(c) for c in channels))
+    height, width = p.height, p.width
+    if fmt == "jpeg":
+        df, kind, channels = flattened(p), np.uint8, ("r8", "g8", "b8")
+    elif bit_depth == 16:
+        df, kind, channels = p.to("srgb").df.select("image_id", "y", "x", *(to_u16(F.col(c)).alias(c) for c in "rgba")), np.uint16, tuple("rgba")
     else:
-        df = codes(p).select("image_id", "y", "x", *(F.col(f"{c}8").alias(c) for c in channels))
+        df, kind, channels = codes(p), np.uint8, ("r8", "g8", "b8", "a8")
 
-    def run(table: pa.Table) -> pa.Table:
-        out = np.zeros((height, width, 4), np.uint16 if bit_depth == 16 else np.uint8)
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+    def band(table: pa.Table) -> pa.Table:
+        k = table.column("band")[0].as_py()
+        out = np.zeros((min(BAND, height - k * BAND), width, len(channels)), kind)
+        y, x = table.column("y").to_numpy() - k * BAND, table.column("x").to_numpy()
         for i, c in enumerate(channels):
             out[y, x, i] = table.column(c).to_numpy()
-        return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([png(out)], pa.binary())})
+        return pa.table({"image_id": table.column("image_id")[:1], "band": table.column("band")[:1], "data": pa.array([out.tobytes()], pa.binary())})
+
+    def file(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("band").to_pylist(), table.column("data").to_pylist(), strict=True))
+        pixels = np.frombuffer(b"".join(d for _, d in parts), kind).reshape(height, width, len(channels))
+        data = png(pixels) if fmt == "png" else jpeg(pixels, quality or 85)
+        return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([data], pa.binary())})
 
-    return df.groupBy("image_id").applyInArrow(run, "image_id int, content binary")
+    bands = df.withColumn("band", F.floor(F.col("y") / BAND).cast("int")).groupBy("image_id", "band").applyInArrow(band, "image_id int, band int, data binary")
+    return bands.groupBy("image_id").applyInArrow(file, "image_id int, content binary")

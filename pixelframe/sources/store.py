@@ -6,10 +6,12 @@ One writer appends at a time; should two have appended the same content, readers
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -38,7 +40,11 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias(order), F.min_by(F.struct(*rest), order).alias("_f")).select(key, order, "_f.*")
 
 
-def preview_key(source: str, recipe_hash: str, overlay: str = "", mask: str = "") -> str:
+def preview_key(source: Column | str, recipe_hash: Column | str, overlay: str = "", mask: str = ""):
+    """A preview's name by what it shows, as a Column or a string."""
+    if isinstance(source, Column):
+        told = F.concat_ws("\0", source, recipe_hash, F.lit(overlay), F.lit(mask))
+        return F.substring(F.sha2(told, 256), 1, 32)
     return hashlib.sha256("\0".join((source, recipe_hash, overlay, mask)).encode()).hexdigest()[:32]
 
 
@@ -104,19 +110,55 @@ class Ledger:
 
     def revisions(self, asset_id: str | None = None) -> DataFrame:
         rows = self.rows() if asset_id is None else self.rows().filter(F.col("asset_id") == asset_id)
-        return rows.orderBy("created_at", "ledger_seq")
+        return placed(rows).orderBy("created_at", "ledger_seq")
 
     def lineage(self, revision_id: str) -> DataFrame:
         """(revision_id, source_revision_id, depth): a revision and what it was made from, step by step."""
         return lineage(self.rows().select("revision_id", "source_revision_id"), revision_id)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of a ledger with each one's place among its asset's revisions, by time and then by order of writing."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("asset_id").orderBy("created_at", "ledger_seq")))
+
+
 def memo(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Of requests (source_revision_id, recipe_hash) those that this engine has a result of among a ledger's rows, the first one."""
     made = rows.filter(F.col("engine_version") == ENGINE_VERSION).filter("source_revision_id is not null").groupBy("source_revision_id", "recipe_hash")
     return requests.join(made.agg(F.min_by("revision_id", "ledger_seq").alias("revision_id")), ["source_revision_id", "recipe_hash"])
 
 
+def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a ledger kept as lines of JSON; blank lines are passed over, and a line that is no row fails with its number."""
+    names = [f.split()[0] for f in SCHEMA.replace("string,string", "string;string").split(", ")]
+    required = ("asset_id", "revision_id", "width", "height", "mime_type", "byte_size", "sha256", "rel_path", "created_at")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for file, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                for number, line in enumerate(data.decode().split("\n"), 1):
+                    if not line.strip():
+                        continue
+                    try:
+                        row = json.loads(line)
+                        missing = [n for n in required if row.get(n) is None]
+                    except (ValueError, AttributeError) as e:
+                        raise StoreError(f"{file}: line {number}: {e}") from None
+                    if missing:
+                        raise StoreError(f"{file}: line {number}: without {', '.join(missing)}")
+                    if isinstance(row.get("recipe"), dict):
+                        row["recipe"] = json.dumps(row["recipe"], sort_keys=True, separators=(",", ":"))
+                    row["origin"] = [(k, str(v)) for k, v in (row.get("origin") or {}).items()]
+                    rows.append({"ledger_seq": number - 1} | row)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names)
+
+    kinds = {n: pa.string() for n in names} | {"width": pa.int32(), "height": pa.int32(), "byte_size": pa.int64(), "ledger_seq": pa.int64(), "origin": pa.map_(pa.string(), pa.string())}
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = files.mapInArrow(run, SCHEMA.replace("created_at timestamp", "created_at string"))
+    return read.withColumn("created_at", F.to_timestamp("created_at")).select(*names)
+
+
 def lineage(edges: DataFrame, revision_id: str) -> DataFrame:
     name = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(name)

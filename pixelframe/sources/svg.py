@@ -21,6 +21,19 @@ def _length(text: str | None, default: float = 0.0) -> float:
     return float(m[1]) if m else default
 
 
+def size_of(text: str) -> tuple[int, int]:
+    """A drawing's own size; 0 x 0 if it has none or is damaged."""
+    try:
+        root = ElementTree.fromstring(text) if "<!ENTITY" not in text else None
+    except ElementTree.ParseError:
+        root = None
+    if root is None:
+        return 0, 0
+    box = [float(v) for v in re.findall(r"-?[\d.]+", root.get("viewBox", ""))]
+    w, h = (_length(root.get(k), box[i] if len(box) == 4 else 0.0) for k, i in (("width", 2), ("height", 3)))
+    return (round(w), round(h)) if w > 0 and h > 0 else (0, 0)
+
+
 def rasterise(text: str, width: int | None = None, height: int | None = None) -> tuple[np.ndarray, list[str]]:
     """(height, width, 4) on 0..1, and warnings about what is not drawn."""
     if len(text) > MOST_BYTES:

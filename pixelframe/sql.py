@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from .functions import numeric as N
-from .operators import color, tilt
+from .operators import color, geometry, tilt
+
+def tiles(table: str, key: str, width: int, height: int) -> str:
+    """Rows by their key's place in images of this size; places without a row are there too, with nulls."""
+    size = width * height
+    places = f"(select unnest(range((max({key}) // {size} + 1) * {size})) k from {table})"
+    return f"(select (k // {size})::INT image_id, (k % {size} // {width})::INT y, (k % {width})::INT x, {table}.* from {places} left join {table} on k = {key})"
+
+
+def _orders(width: int, height: int) -> str:
+    return f"""select image_id, y, x, coalesce((floor(o_totalprice)::BIGINT % 256)::INT, 0) r8, coalesce(((o_orderkey * 37) % 256)::INT, 0) g8,
+  coalesce(((o_custkey * 11) % 256)::INT, 0) b8, 255 a8 from {tiles("orders", "o_orderkey", width, height)}"""
+
 
-ORDERS = """select (o_orderkey // 1024)::INT image_id, ((o_orderkey % 1024) // 32)::INT y, (o_orderkey % 32)::INT x,
-  (floor(o_totalprice)::BIGINT % 256)::INT r8, ((o_orderkey * 37) % 256)::INT g8, ((o_custkey * 11) % 256)::INT b8, 255 a8
-  from orders where o_orderkey < (select count(*) from orders) // 1024 * 1024"""
-EVENTS = """select (event_id // 1024)::INT image_id, ((event_id % 1024) // 32)::INT y, (event_id % 32)::INT x,
-  (floor(value * 10)::BIGINT % 256)::INT r8, ((user_id * 53) % 256)::INT g8, ((event_id * 29) % 256)::INT b8, ((user_id * 7) % 256)::INT a8
-  from events where event_id < (select count(*) from events) // 1024 * 1024"""
+ORDERS, WIDE = _orders(32, 32), _orders(2500, 6)
+EVENTS = f"""select image_id, y, x, coalesce((floor(value * 10)::BIGINT % 256)::INT, 0) r8, coalesce(((user_id * 53) % 256)::INT, 0) g8,
+  coalesce(((event_id * 29) % 256)::INT, 0) b8, coalesce(((user_id * 7) % 256)::INT, 0) a8 from {tiles("events", "event_id", 32, 32)}"""
+BIG = f"""select image_id, y, (x * 128 + p)::INT x, coalesce(((floor(o_totalprice)::BIGINT + p) % 256)::INT, 0) r8, coalesce(((o_orderkey * 37 + p * 2) % 256)::INT, 0) g8,
+  coalesce(((o_custkey * 11 + y) % 256)::INT, 0) b8, 255 a8 from {tiles("orders", "o_orderkey", 14, 1400)}, range(128) t(p)"""
 
 
 def d(v: float) -> str:
@@ -25,8 +38,8 @@ def _q(i: int) -> str:
 
 
 EMB = f"select (vec_id // 50)::INT image_id, (vec_id % 50)::INT y, p::INT x, {_q(0)} r8, {_q(21)} g8, {_q(42)} b8, 255 a8 from embeddings, range(64) t(p)"
-SIZES = {"orders": (32, 32), "events": (32, 32), "emb": (64, 50)}
-RELATIONS = {"orders": ORDERS, "events": EVENTS, "emb": EMB}
+SIZES = {"orders": (32, 32), "events": (32, 32), "emb": (64, 50), "wide": (2500, 6), "big": (1792, 1400)}
+RELATIONS = {"orders": ORDERS, "events": EVENTS, "emb": EMB, "wide": WIDE, "big": BIG}
 KEY = "image_id, y, x"
 CLAMP = "least(greatest({0}, 0::DOUBLE), 1::DOUBLE)"
 
@@ -284,11 +297,12 @@ class Chain:
         mid = lambda c: f"list_sort(list_concat(list_concat({self.near(c, -1, 'y')}, {c}), {self.near(c, 1, 'y')}))[5]"
         return self.add(f"select {KEY}, {', '.join(f'{mid(c)} {c}' for c in 'rgba')} from {{p}}{self.WINDOWS}")
 
-    def convolve3(self, kernel, divisor=1.0, offset=0.0) -> Chain:
+    def convolve(self, kernel, size, divisor=1.0, offset=0.0) -> Chain:
         self.to("linear").add(f"select *, r * a pr, g * a pg, b * a pb from {{p}}")
-        row = lambda c, j: " + ".join(f"{self.near(f'p{c}', i - 1, 'x')} * {d(kernel[3 * j + i])}" for i in range(3))
-        self.add(f"select {KEY}, a, {', '.join(f'{row(c, j)} {c}{j}' for c in 'rgb' for j in range(3))} from {{p}}{self.WINDOWS}")
-        total = lambda c: " + ".join(self.near(f"{c}{j}", j - 1, "y") for j in range(3))
+        half = size // 2
+        row = lambda c, j: " + ".join(f"{self.near(f'p{c}', i - half, 'x')} * {d(kernel[size * j + i])}" for i in range(size))
+        self.add(f"select {KEY}, a, {', '.join(f'{row(c, j)} {c}{j}' for c in 'rgb' for j in range(size))} from {{p}}{self.WINDOWS}")
+        total = lambda c: " + ".join(self.near(f"{c}{j}", j - half, "y") for j in range(size))
         return self.rgb(lambda c: clamp(f"case when a < {d(1e-6)} then 0 else ({total(c)}) / {d(divisor)} / a end + {d(offset / 255)}"), self.WINDOWS)
 
     def pixelate(self, block, region=None) -> Chain:
@@ -300,13 +314,75 @@ class Chain:
 
     def clone(self, sx, sy, dx, dy, radius, feather=0.0) -> Chain:
         core = max(radius - feather, 0.0)
-        far = f"sqrt((({'x'} - {dx}) * (x - {dx}) + (y - {dy}) * (y - {dy}))::DOUBLE)"
+        far = f"sqrt(((x - {dx}) * (x - {dx}) + (y - {dy}) * (y - {dy}))::DOUBLE)"
         t = clamp(f"({d(radius)} - {far}) / {d(radius - core)}") if radius > core else "1::DOUBLE"
         w = f"round(case when {far} <= {d(core)} then 1 when {far} > {d(radius)} then 0 else {t} * {t} * ({d(3)} - {d(2)} * {t}) end * {d(1e6)}) / {d(1e6)}"
-        self.to("linear").add(f"select p.*, {w.replace('x -', 'p.x -').replace('y -', 'p.y -')} w, q.r qr, q.g qg, q.b qb, q.a qa from {{p}} p left join {{p}} q on p.image_id = q.image_id and q.x + {dx - sx} = p.x and q.y + {dy - sy} = p.y and abs(q.x - {sx}) <= {radius} and abs(q.y - {sy}) <= {radius}")
+        self.to("linear").add(f"select *, {w} w from {{p}}")
+        moved = f"(select image_id, (y + {dy - sy})::INT y, (x + {dx - sx})::INT x, r qr, g qg, b qb, a qa from {{p}} where abs(x - {sx}) <= {radius} and abs(y - {sy}) <= {radius})"
+        self.add(f"select * from {{p}} left join {moved} using (image_id, y, x)")
         new = lambda c: f"case when qr is null or w <= 0 then {c} else {c} + (q{c} - {c}) * w end"
         return self.rgb(new, "", new("a"))
 
+    def median(self, radius) -> Chain:
+        """Each pixel's neighbours as rows, edges held; the middle one by rank."""
+        side, w, h = 2 * radius + 1, self.width, self.height
+        self.to("linear").add(f"select image_id, y, x, least(greatest(y + j, 0), {h - 1}) v, least(greatest(x + i, 0), {w - 1}) u from {{p}}, range({-radius}, {radius + 1}) a(i), range({-radius}, {radius + 1}) b(j)")
+        pixels = self.parts[-2] and f"{self.prefix}{len(self.parts) - 2}"
+        mid = ", ".join(f"list_sort(list(q.{c}))[{side * side // 2 + 1}] {c}" for c in "rgba")
+        return self.add(f"select p.image_id, p.y, p.x, {mid} from {{p}} p join {pixels} q on p.image_id = q.image_id and p.v = q.y and p.u = q.x group by p.image_id, p.y, p.x")
+
+    def bicubic(self, step, width: int, height: int, border) -> Chain:
+        """A gather through the inverse of ``step``: sixteen neighbours of each place, outside the image the border."""
+        m = [[d(v) for v in row] for row in np.linalg.inv(np.array(step)).tolist()]
+        self.to("linear").add(f"select {KEY}, r * a r, g * a g, b * a b, a from {{p}}")
+        pixels = self.last
+        x, y = f"(gx + {d(0.5)})", f"(gy + {d(0.5)})"
+        line = lambda k: f"({m[k][0]} * {x} + {m[k][1]} * {y} + {m[k][2]})"
+        self.add(f"select image_id, gy::INT y, gx::INT x, {line(0)} / {line(2)} - {d(0.5)} u, {line(1)} / {line(2)} - {d(0.5)} v from (select distinct image_id from {{p}}), range({height}) b(gy), range({width}) a(gx)")
+        t = lambda e: f"case when abs({e}) <= 1 then {d(1.5)} * abs({e}) ** 3 - {d(2.5)} * abs({e}) ** 2 + 1 when abs({e}) < 2 then {d(-0.5)} * abs({e}) ** 3 + {d(2.5)} * abs({e}) ** 2 - {d(4)} * abs({e}) + 2 else 0 end"
+        self.add("select *, (floor(u) + i)::INT su, (floor(v) + j)::INT sv from {p}, range(-1, 3) a(i), range(-1, 3) b(j)")
+        self.add(f"select *, ({t('(u - su)')}) * ({t('(v - sv)')}) k from {{p}}")
+        edge = dict(zip("rgba", [*(c * border[3] for c in border[:3]), border[3]], strict=True))
+        total = ", ".join(f"{clamp(f'sum(k * coalesce(q.{c}, {d(edge[c])}))')} {c}" for c in "rgba")
+        self.add(f"select p.image_id, p.y, p.x, {total} from {{p}} p left join {pixels} q on p.image_id = q.image_id and p.sv = q.y and p.su = q.x group by p.image_id, p.y, p.x")
+        self.width, self.height = width, height
+        return self.rgb(self.plain)
+
+    def rotate(self, angle) -> Chain:
+        step, (x, y, w, h) = geometry.rotation(self.width, self.height, angle)
+        return self.bicubic(step, self.width, self.height, (1.0, 1.0, 1.0, 1.0)).crop(x, y, w, h)
+
+    def perspective(self, **k) -> Chain:
+        return self.bicubic(*geometry.perspective_step(self.width, self.height, **k), (1.0, 1.0, 1.0, 1.0))
+
+    def heal(self, sx, sy, dx, dy, radius, feather=0.0) -> Chain:
+        """Both patches with edges held, blurred; the source's detail on the target's ground, mixed in by the disc."""
+        reach = min(radius, math.ceil(math.hypot(self.width, self.height)))
+        weights = N.gaussian_weights(max(reach / 3.0, 0.1))
+        self.to("linear")
+        pixels = self.last
+        span = f"range({-reach}, {reach + 1})"
+        for name, (cx, cy) in (("s", (sx, sy)), ("t", (dx, dy))):
+            self.add(
+                f"select image_id, j::INT y, i::INT x, r * a r, g * a g, b * a b, a from (select image_id, i, j, least(greatest(i + {cx}, 0), {self.width - 1})::INT u, least(greatest(j + {cy}, 0), {self.height - 1})::INT v"
+                f" from (select distinct image_id from {pixels}), {span} a(i), {span} b(j)) join (select image_id, y v, x u, r, g, b, a from {pixels}) using (image_id, v, u)"
+            )
+            flat = self.last
+            for axis in "xy":
+                self.taps(weights, axis, list("rgba"))
+            self.add(f"select p.image_id, p.y, p.x, {', '.join(f'{self.plain(f"p.{c}", "p.a")} l{c}' for c in 'rgb')}, p.a la, {', '.join(f'{self.plain(f"f.{c}", "f.a")} {c}' for c in 'rgb')}, f.a a from {{p}} p join {flat} f using (image_id, y, x)")
+            if name == "s":
+                source = self.last
+        mixed = ", ".join(f"{clamp(f's.{c} - s.l{c} + t.l{c}')} n{c}" for c in "rgba")
+        self.add(f"select image_id, t.y + {dy} y, t.x + {dx} x, {mixed} from {{p}} t join {source} s using (image_id, y, x)")
+        core = max(radius - feather, 0.0)
+        far = f"sqrt(((x - {dx}) * (x - {dx}) + (y - {dy}) * (y - {dy}))::DOUBLE)"
+        t = clamp(f"({d(radius)} - {far}) / {d(radius - core)}") if radius > core else "1::DOUBLE"
+        w = f"floor(case when {far} <= {d(core)} then 1 when {far} > {d(radius)} then 0 else {t} * {t} * ({d(3)} - {d(2)} * {t}) end * {d(1e6)} + {d(0.5)}) / {d(1e6)}"
+        self.add(f"select *, {w} w from {pixels} left join {{p}} using (image_id, y, x)")
+        new = lambda c: f"case when n{c} is null or w <= 0 then {c} else {c} + (n{c} - {c}) * w end"
+        return self.rgb(new, "", new("a"))
+
     def moved(self, x: str, y: str, width: int, height: int, where: str = "true") -> Chain:
         self.width, self.height = width, height
         return self.add(f"select image_id, ({y})::INT y, ({x})::INT x, r, g, b, a from {{p}} where {where}")
@@ -380,6 +456,19 @@ class Chain:
                 self.taps(N.gaussian_weights(feather), axis, ["w"])
         return self.add(f"select {KEY}, {clamp('w')} w from {{p}}")
 
+    def resized_mask(self, w: int, h: int) -> Chain:
+        """Bilinear between pixel centres, one axis after the other."""
+        for axis, size, out in (("x", self.width, w), ("y", self.height, h)):
+            rows = []
+            for o in range(out):
+                at = min(max((o + 0.5) * size / out - 0.5, 0.0), size - 1.0)
+                f = N.q6(at - int(at))
+                rows += [f"({int(at)}, {o}, {d(1.0 - f)})", f"({min(int(at) + 1, size - 1)}, {o}, {d(f)})"]
+            other = "y" if axis == "x" else "x"
+            self.add(f"select image_id, {other}, o {axis}, sum(w * k) w from {{p}} join (values {', '.join(rows)}) v(s, o, k) on {axis} = s group by image_id, {other}, o")
+        self.width, self.height = w, h
+        return self
+
     def masked(self, op, mask: Chain) -> Chain:
         """``op`` adds steps to this chain; the result is mixed with what was there before by the mask."""
         before = self.last
