@@ -46,35 +46,36 @@ def id_hashes(ids: np.ndarray) -> np.ndarray:
     return mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def bloom_of(hashes: DataFrame, keys: int) -> BlockedBloom:
-    """The filter of all values of the one long column of ``hashes``; each task sends the blocks it set."""
-    name, out = hashes.columns[0], BlockedBloom.empty(keys)
+def bloom_of(keys: DataFrame, count: int, hashes) -> BlockedBloom:
+    """The filter of all values, nulls aside, of the one column of ``keys``; each task sends the blocks it set.
+    ``hashes``: 64-bit hashes of an Arrow column."""
+    out = BlockedBloom.empty(count)
     n = len(out.words)
 
     def part(batches):
         own = BlockedBloom(np.zeros((n, 8), np.uint64))
         for b in batches:
-            own.add(b.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
+            own.add(hashes(b.column(0).drop_null()))
         used = np.flatnonzero(own.words.any(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used)] + [pa.array(own.words[used, i].view(np.int64)) for i in range(8)], ["block", *(f"w{i}" for i in range(8))]
         )
 
-    rows = hashes.select(F.col(name)).mapInArrow(part, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
+    rows = keys.mapInArrow(part, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
     for r in rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).collect():
         out.words[r[0]] = np.array(r[1:], np.int64).view(np.uint64)
     return out
 
 
-def sent_bloom(ids: DataFrame, count: int):
-    """A broadcast of the words of the filter of the one long column of ``ids``."""
+def longs(column: pa.Array) -> np.ndarray:
+    """Values of a long column as they are, for keys that are hashes."""
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
-    def hashes(batches):
-        for b in batches:
-            h = id_hashes(b.column(0).drop_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    return ids.sparkSession.sparkContext.broadcast(bloom_of(ids.mapInArrow(hashes, "h long"), count).words)
+def sent_bloom(ids: DataFrame, count: int):
+    """A broadcast of the words of the filter of the one long column of ``ids``."""
+    words = bloom_of(ids, count, lambda column: id_hashes(column.to_numpy(zero_copy_only=False))).words
+    return ids.sparkSession.sparkContext.broadcast(words)
 
 
 def passes(ids: DataFrame, count: int, key):

@@ -7,7 +7,10 @@ bytes, so no task holds more than a few of them, whatever the input's size.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import re
+import time
 import uuid
 
 import numpy as np
@@ -173,6 +176,49 @@ def loosen_text(data: bytes) -> list[bytes]:
     return [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
+_rested = [0.0]
+
+
+def rest() -> None:
+    """Give memory that a Python worker no longer uses back to the system. Workers outlive their tasks and many idle ones
+    share a machine, so what one stage has freed must not be missing in the next."""
+    if time.monotonic() - _rested[0] < 0.5:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    _rested[0] = time.monotonic()
+
+
+def tidy(run):
+    """``run`` for mapInArrow or applyInArrow, with ``rest`` after it."""
+    if inspect.isgeneratorfunction(run):
+
+        def rows(batches):
+            yield from run(batches)
+            rest()
+
+        return rows
+
+    if len(inspect.signature(run).parameters) == 2:  # Spark counts a function's parameters
+
+        def both(left, right):
+            out = run(left, right)
+            rest()
+            return out
+
+        return both
+
+    def group(table):
+        out = run(table)
+        rest()
+        return out
+
+    return group
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> list:
     return batch.column(name).to_pylist()
 
@@ -208,7 +254,7 @@ PLAIN, LOWER, ALNUM = None, _LOWER, _WORDS_ASCII
 _SEED = np.uint64(0x27D4EB2F165667C5)
 
 
-def word_hashes(texts: list, table: bytes | None = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list, table: bytes | None = PLAIN, seed: np.uint64 = _SEED) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of texts (str, bytes or None), and where each text's words begin and end.
 
     Words are what stands between white space after bytes went through ``table``. All texts are hashed at once,
@@ -224,7 +270,7 @@ def word_hashes(texts: list, table: bytes | None = PLAIN) -> tuple[np.ndarray, n
     end = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
     size = end - begin
     lanes = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    h = size.astype(np.uint64) * _BASE + _SEED
+    h = size.astype(np.uint64) * _BASE + seed
     at, left, rows = begin, size, None
     while len(at):
         lane = lanes[at]

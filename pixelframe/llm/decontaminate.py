@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BlockedBloom, bloom_of
-from .common import WordHashes, column, hashed, mixed, rolling, words_alnum, written
+from .bloom import BlockedBloom, bloom_of, longs
+from .common import WordHashes, column, hashed, mixed, rolling, small_batches, tidy, words_alnum, written
 
 WINDOW, SHINGLE = 13, 3
 #: UTF-8 bytes of all items up to which the benchmark's windows go to the tasks; about 70 bytes in memory for each.
@@ -72,7 +72,7 @@ def _rarity(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarra
                 [pa.array(np.full(len(used), n)), pa.array(used), pa.array(c[used])], ["n", "at", "times"]
             )
 
-    rows = docs.select("text").mapInArrow(count, "n long, at long, times long")
+    rows = docs.select("text").mapInArrow(tidy(count), "n long, at long, times long")
     out = {n: np.zeros(len(k), np.int64) for n, k in keys.items()}
     for n, at, times in rows.groupBy("n", "at").agg(F.sum("times")).collect():
         out[n][at] = times
@@ -106,6 +106,7 @@ def _merged(spans: set[tuple[int, int]]) -> list[list[int]]:
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
     """item_id and text of the items, and whether they are few enough for ``_finder``."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("text is not null").distinct()
     return items, (items.select(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
 
@@ -150,7 +151,7 @@ def _print(words: list[bytes]) -> bytes:
 
 def _passing(docs: DataFrame, keys: DataFrame, out, schema: str) -> DataFrame:
     """``out(words, places, keys)`` rows of each text, for the places of shingles that may be in the long column of ``keys``."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(keys, keys.count()).words)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(keys, keys.count(), longs).words)
 
     def run(batches):
         cache, listed = WordHashes(), BlockedBloom(sent.value)
@@ -165,7 +166,7 @@ def _passing(docs: DataFrame, keys: DataFrame, out, schema: str) -> DataFrame:
                     rows += out(words, at.tolist(), k[at].view(np.int64).tolist())
             yield pa.RecordBatch.from_pylist(rows, _arrow(schema))
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(tidy(run), schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -228,7 +229,7 @@ def _with_prints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__fp", "__n"])
 
     schema = docs.withColumns({"__fp": F.lit(b""), "__n": F.lit(0).cast("long")}).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "hits", "items"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, hits array<array<long>>, items array<string>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_words long, hits array<array<long>>, items array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
@@ -273,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
             hit = [(n, sum(e - s for s, e in spans)) for n, spans, _ in find(column(b, "text"), cache)]
             yield b.filter(pa.array([not (k and share * k >= n) for n, k in hit], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def n_hit():

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import loosen, shuffle_parts, squeeze, written
+from .common import loosen, shuffle_parts, small_batches, squeeze, tidy, written
 from .perfect_hash import PerfectHash
 
 #: Distinct digests in one shard of the index, about; 48 bytes each.
@@ -36,8 +36,9 @@ def digests(docs: DataFrame) -> DataFrame:
             out = [hashlib.sha256(t.as_buffer() or b"").digest() for t in text]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "digest"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, digest binary"
+        tidy(run), "doc_id long, digest binary"
     )
 
 

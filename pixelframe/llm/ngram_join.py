@@ -48,17 +48,19 @@ from .common import (
     input_bytes,
     loosen,
     mixed,
+    rest,
     rolling,
     shuffle_parts,
     small_batches,
     squeeze,
+    tidy,
     word_hashes,
     written,
 )
 from .components import components
 
 #: N-grams that a task gathers before it deals them to buckets, and n-grams in one bucket, about.
-BATCH_GRAMS, BUCKET_GRAMS = 4_000_000, 4_000_000
+BATCH_GRAMS, BUCKET_GRAMS = 1_500_000, 4_000_000
 #: Ranges of hash values whose counts the suffix filter compares.
 RANGES = 32
 #: What a document counts besides its n-grams, and what one block of a cluster holds, about.
@@ -105,7 +107,7 @@ def sizes(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "fp"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, fp binary")
 
 
 def _ascending(values: np.ndarray) -> np.ndarray:
@@ -129,6 +131,7 @@ def _asked(ids: list[int], prints: list[bytes], sets: list[np.ndarray], n_bucket
     own = list(first.values())
     size = np.array([len(sets[k]) for k in own], np.int64)
     gram = np.concatenate([sets[k] for k in own])
+    sets.clear()  # from here on the batch has its n-grams in one array
     owner = np.repeat(np.arange(len(own), dtype=np.uint64), size)
     low, bits = np.uint64(0xFFFFFFFF), np.uint64(max(1, (len(own) - 1).bit_length()))
     key = (gram >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32) << np.uint64(32) | gram & low
@@ -178,7 +181,7 @@ def asked(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
         if ids:
             yield rows()
 
-    return docs.mapInArrow(run, _ASKED)
+    return docs.mapInArrow(tidy(run), _ASKED)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +225,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record(names, types, rows)
 
 
+def _tidy_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _answer(batches)
+    rest()
+
+
 def _pick(percent: int):
     def pick(table: pa.Table) -> pa.Table:
         """The documents of a batch whose prefix holds n-grams that others have, with these, rare ones first."""
@@ -270,8 +278,8 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, fp, n, singles, last_times, heads of documents whose prefix holds n-grams that others have: the size of the
     set, how many of its n-grams no other has, those of the prefix that others have, how many have the last of these."""
     n_buckets = max(shuffle_parts(docs.sparkSession), input_bytes(docs) // (3 * BUCKET_GRAMS))
-    answers = asked(docs, n, n_buckets).groupBy("bucket").applyInArrow(_answer, "batch long, kind int, bucket int, data binary")
-    return answers.groupBy("batch").applyInArrow(_pick(percent), _PICKED)
+    answers = asked(docs, n, n_buckets).groupBy("bucket").applyInArrow(_tidy_answer, "batch long, kind int, bucket int, data binary")
+    return answers.groupBy("batch").applyInArrow(tidy(_pick(percent)), _PICKED)
 
 
 def size_class(n, percent: int):
@@ -432,9 +440,9 @@ def linked(docs: DataFrame, members: DataFrame, n: int, percent: int, every: boo
             out += _found(table.take(pa.array(rows)).to_pydict(), n, percent, every)
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("fp", pa.binary()), ("more", pa.int64())))})
 
-    held = docs.mapInArrow(texts, "doc_id long, z binary")
+    held = docs.mapInArrow(tidy(texts), "doc_id long, z binary")
     groups = blocks(members, percent).join(held, F.col("node") == F.col("doc_id")).drop("doc_id", "singles")
-    return groups.groupBy("key", "c0", "i0", "c1", "i1").applyInArrow(verify, _LINKED)
+    return groups.groupBy("key", "c0", "i0", "c1", "i1").applyInArrow(tidy(verify), _LINKED)
 
 
 def _linked(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches, tidy
 
 MARK = "▁"
 #: Words in the younger of two generations that a Python worker remembers, and compatible or incompatible pairs.
-WORDS_KEPT, PAIRS_KEPT = 200_000, 1 << 20
+WORDS_KEPT, PAIRS_KEPT = 100_000, 1 << 20
 #: Characters that the automaton over columns knows, and the longest words that it takes, how many at once.
 ALPHABET, LONGEST, TOGETHER = 224, 40, 1 << 16
 #: Code points of text that are encoded together.
@@ -136,6 +136,8 @@ class Columns:
                 b = back[at]
                 self.shorter[at] = b if token[b] >= 0 else self.shorter[b]
         self.longest = np.where(self.token >= 0, np.arange(len(children)), self.shorter)
+        if len(children) <= 1 << 16:
+            self.after = self.after.astype(np.uint16)
 
     def encode(self, words: list[str], pairs: Pairs) -> list[list[int] | None]:
         """Ids of each word; None for one with a character beyond the alphabet or of more than ``LONGEST``."""
@@ -301,6 +303,7 @@ class PieceModel:
                 text = MARK + self.decode(ids) if ids[0] not in self.bytes and w[0] == MARK else self.decode(ids)
             else:
                 text = "".join([names[i] for i in ids])
+                text = w if text == w else text  # one string instead of two
             self.young[w] = (len(ids), ",".join([told[i] for i in ids]), text)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -313,6 +316,10 @@ class PieceModel:
     def _cut(self, text: str | None) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def forget(self) -> None:
+        """Leave a worker that waits for its next task without words."""
+        self.young, self.old = {}, {}
+
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Of each text the number of ids, and SHA-256 of the ids as text and of the decoded text."""
         cut = [self._cut(t) for t in texts]
@@ -367,7 +374,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             ids = [i for part in _parts(column(b, "text")) for i in model.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
@@ -381,7 +388,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(i) if i else "" for i in column(b, "ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
@@ -398,7 +405,10 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if key in _models:
+            _models[key].forget()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

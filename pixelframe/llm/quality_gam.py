@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches, tidy
 
 TRAIN_ROWS, FOLDS = 20_000, 5
 BINS, PAIR_BINS, LEAVES = 64, 12, 4
@@ -183,6 +183,7 @@ def fold() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on the features of up to ``TRAIN_ROWS`` labelled rows outside the held-out fold, one row for each doc_id."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id is not null and quality in (0, 1)")
     known = known.filter(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("y"))
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     # the sample's bound is TRAIN_ROWS; only its documents' texts go to Python
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row"))
+    got = texts.mapInArrow(tidy(run), "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row"))
     got = sorted((i, y, x) for i, (y, x) in got.collect())
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return QualityModel.fit(x, np.array([r[1] for r in got], float))
@@ -213,7 +214,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(_matrix(b)))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
@@ -224,7 +225,7 @@ def accepted(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(sent.value.score(_matrix(b)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

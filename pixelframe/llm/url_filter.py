@@ -46,7 +46,7 @@ def url_filter(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     listed = listed.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"))
     listed = listed.select(F.col("key").alias("rule"), F.when(F.col("block"), "block").otherwise("allow").alias("listed"))
     n = listed.count()
-    sent = spark.sparkContext.broadcast(bloom_of(listed.select("rule").mapInArrow(_key_hashes, "h long"), n).words)
+    sent = spark.sparkContext.broadcast(bloom_of(listed.select("rule"), n, _key_hashes).words)
 
     def candidates(batches):
         filter_ = BlockedBloom(sent.value)
@@ -81,6 +81,5 @@ def url_filter(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     return none.unionByName(found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed", F.lit("allow")).alias("verdict")))
 
 
-def _key_hashes(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([hashed(k.encode()) for k in column(b, "rule")], np.uint64).view(np.int64))], ["h"])
+def _key_hashes(keys: pa.Array) -> np.ndarray:
+    return np.array([hashed(k.encode()) for k in keys.to_pylist()], np.uint64)
