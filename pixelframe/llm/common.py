@@ -72,11 +72,6 @@ def input_bytes(df: DataFrame) -> int:
     return df.select(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"))).first()[0] or 0
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts."""
-    return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
 def hashed(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 

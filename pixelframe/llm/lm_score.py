@@ -18,7 +18,8 @@ Words are 64-bit hashes, and so are the keys of what is counted.
 
 Defined results: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a null or empty text is its end alone and has 0
 tokens; rows with a null doc_id count in the background; repeated rows count and are scored each; without target
-rows the target model is the smoothing alone.
+rows the target model is the smoothing alone; texts of any length are counted and scored whole; an empty table gives an
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_bucket, column, loosen, mixed, rolling, small_batches, squeeze, text_bytes, word_hashes
-from .substring_dedup import _PACKED, LEAST_GROUPS, _chunk, _rows, _texts, _unpacked
+from .common import LOWER, by_bucket, column, input_bytes, loosen, mixed, rolling, shuffle_parts, small_batches, squeeze, tidy, word_hashes
+from .substring_dedup import _PACKED, _chunk, _rows, _texts, _unpacked
 
 MASS = 100.0
-CHUNK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
+#: Bytes of text in one chunk, and those for whose entries there is one bucket, about: ten bytes an entry. There are at least
+#: as many chunks and buckets as the session has shuffle partitions.
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 24_000_000
 #: What stands for a text's end among the hashes of words; the key of the number of all tokens.
 END, TOKENS = np.uint64(0x3C79AC492BA7B653), np.uint64(0x1C69B3F74AC4AE35)
 _REPLY = "bucket int, kind int, data binary"
@@ -47,7 +50,7 @@ def _labels(target: DataFrame, n_chunks: int) -> DataFrame:
             for k, rows in by_bucket(_chunk(ids, n_chunks), n_chunks):
                 yield from _rows([(k, 2, squeeze(ids[rows]))])
 
-    return target.select(F.col("doc_id").cast("long")).mapInArrow(pack, _PACKED)
+    return target.select(F.col("doc_id").cast("long")).mapInArrow(tidy(pack), _PACKED)
 
 
 class _Chunk:
@@ -100,8 +103,8 @@ def lm_score(docs: DataFrame, target: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = text_bytes(docs)
-    n_chunks, n_buckets = max(LEAST_GROUPS, size // CHUNK_BYTES), max(LEAST_GROUPS, size // (8 * BUCKET_ENTRIES))
+    size, least = 2 * input_bytes(docs), shuffle_parts(spark)  # files are compressed
+    n_chunks, n_buckets = max(least, size // CHUNK_BYTES), max(least, size // BUCKET_BYTES)
     chunks = _texts(docs, n_chunks).union(_labels(target, n_chunks))
 
     def ask(table: pa.Table) -> pa.Table:
@@ -145,10 +148,10 @@ def lm_score(docs: DataFrame, target: DataFrame) -> DataFrame:
             losses.append(np.bincount(here.text, loss[here.back], n) / (here.sizes + 1))
         return _scores(here.docs, here.sizes, *losses)
 
-    asked = chunks.groupBy("bucket").applyInArrow(ask, _REPLY)
-    answered = asked.groupBy("bucket").applyInArrow(answer, _REPLY)
+    asked = chunks.groupBy("bucket").applyInArrow(tidy(ask), _REPLY)
+    answered = asked.groupBy("bucket").applyInArrow(tidy(answer), _REPLY)
     return chunks.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(
-        score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+        tidy(score), "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )
 
 
