@@ -7,7 +7,9 @@ third of all rows is one key there. Each key is looked up in its shard and its d
 byte: members raise their slot's winner and count, nonmembers form groups of their own.
 
 Defined results: a null text counts as empty; equal rows are copies; rows with a null doc_id take part
-and lose against any number; an empty table gives an empty result; further columns are ignored.
+and lose against any number; texts of any length are hashed whole; an empty table gives an empty result; further columns
+are ignored, whatever their names. Digests are taken in Arrow batches rather than by ``sha2`` and ``translate``, which
+lower-cases by a map, a character at a time.
 """
 
 from __future__ import annotations

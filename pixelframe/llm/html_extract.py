@@ -9,8 +9,9 @@ The potentials are relative frequencies in labelled pages, with ``PRIOR`` added
 come with the tables, so ``labelled_pages`` writes them: sites of many layouts, from a seed, each block marked with its state.
 
 Defined results: a null or empty page, or one without article text, has an empty text; white space of any kind inside
-a block becomes one space, a line break element too; blocks are joined by one line feed; repeated rows each get a row;
-pages of any length and depth are read whole.
+a block becomes one space, a line break element too; blocks are joined by one line feed; a block whose marginal is exactly
+one half stays; repeated rows each get a row; pages of any length and depth are read whole; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches, tidy
 from .html_tree import Node, attributes, tree
 
 FRAME, ARTICLE, REST = range(3)
@@ -229,11 +230,15 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[lis
 
     def page():
         body = el("h1", ARTICLE, prose(2, 10)) if chance(0.8) else ""
+        if body and chance(0.15):
+            body = el("header", ARTICLE, body, pick(("", 'class="entry-header"', 'class="article-header"')))
         for _ in range(rng.randint(1, 12)):
             body += block()
             if chance(0.2):
                 body += rest(pick(("advert", "sidebar", "share", "form", "notice")))
-        if chance(0.6):
+        if chance(0.1):
+            pass  # an article without an element of its own
+        elif chance(0.6):
             body = el("article", ARTICLE, body, named("article") if chance(0.4) else "")
         else:
             body = el(pick(("div", "section", "main")), ARTICLE, body, f'{pick(("class", "id"))}="{pick(HINTS["article"].split())}"' if chance(0.8) else "")
@@ -275,4 +280,5 @@ def html_extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    small_batches(pages.sparkSession)
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")

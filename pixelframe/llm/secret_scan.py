@@ -7,7 +7,8 @@ search: nothing but a keyword can begin one. Hex runs have no keyword; their pre
 ``registry``) count only if their checksum holds; they are additional spans and never replace others.
 
 Defined results: a null text is empty and has no span; spans are in code points, end exclusive; texts of
-any length are scanned whole; repeated rows each get a row; further columns are ignored.
+any length are scanned whole; repeated rows each get a row; of spans that begin at one place all are told, in the order of
+``KINDS``; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches, tidy
 
 HEX_LEAST, ACCESS_LEAST, ASSIGN_LEAST = 24, 20, 6
 KINDS = ("assign", "access", "hex", "forge", "registry")
@@ -105,8 +106,9 @@ def secret_scan(docs: DataFrame) -> DataFrame:
             )
 
     KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, spans array<struct<start: long, end: long, kind: string>>"
+        tidy(run), "doc_id long, spans array<struct<start: long, end: long, kind: string>>"
     )
 
 

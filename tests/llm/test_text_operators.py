@@ -246,6 +246,10 @@ def test_secret_scan(spark):
         assert [s for s in out[i] if s[2] in ("assign", "access", "hex")] == want
         assert digest(out[i]) == sha(",".join(f"{k}:{s}:{e}" for s, e, k in want))
     assert [s for s in out[8] if s[2] in ("forge", "registry")] == [(3, 43, "forge")]
+    twice = spark.createDataFrame([(1, texts[4]), (1, texts[4]), (None, texts[4])], "doc_id long, text string")
+    assert [len(r.spans) for r in secret_scan(twice).collect()] == [len(out[4])] * 3 and secret_scan(twice.filter("false")).count() == 0
+    tie = spark.createDataFrame([(1, "token=" + "0af9" * 8)], "doc_id long, text string")
+    assert [tuple(s) for s in secret_scan(tie).first().spans] == [(0, 38, "assign"), (6, 38, "hex")]
 
 
 def test_piece_codec(spark, docs, rows):
@@ -342,3 +346,29 @@ def test_quality_gam(spark):
     assert accepted(docs, train(docs, known), 0.3).columns == docs.columns
     assert {r.score for r in quality(docs, known.filter("false")).collect()} == {0.5}
     assert quality(empty(docs), known).count() == 0
+    odd = spark.createDataFrame([(1, "word " * 200_000), (2, "###!! " * 50_000), (3, None)], "doc_id long, text string")
+    assert [0 <= r.score <= 1 for r in quality(odd, known).collect()] == [True] * 3
+    # several texts under one labelled doc_id are one row to learn from
+    many = docs.union(spark.createDataFrame([(1, f"other {i}", "clash") for i in range(50)], docs.schema))
+    train(many, known)
+
+
+def test_quality_on_the_given_labels(spark):
+    """Held-out accuracy, and scores by brute force from the model's tables."""
+    from pixelframe.llm.quality_gam import features, quality, train
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    out = {r.doc_id: r for r in quality(docs, labels).collect()}
+    held = [i for i in truth if out[i].held_out]
+    assert len(held) > 30 and np.mean([(out[i].score >= 0.3) == truth[i] for i in held]) >= 0.95
+    model = train(docs, labels)
+    for r in docs.limit(40).collect():
+        x = features(r.text)
+        total = model.bias
+        for v, edges, table in zip(x, model.edges, model.tables, strict=True):
+            total += table[sum(e <= v for e in edges)]
+        for i, j, table in model.pairs:
+            total += table[sum(e <= x[i] for e in model.pair_edges[i]), sum(e <= x[j] for e in model.pair_edges[j])]
+        assert np.isclose(out[r.doc_id].score, 1 / (1 + np.exp(-total)))
