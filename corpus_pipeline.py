@@ -26,12 +26,20 @@ LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels outside the held-out fold, gives at least ``LEAST_QUALITY``."""
+    """Documents that the classifier, trained on the labels outside the held-out fold, gives at least ``LEAST_QUALITY``.
+
+    Null and empty texts and rows without a doc_id are scored like others, texts of any length whole; repeated rows stay or go
+    together; a score of exactly ``LEAST_QUALITY`` stays; an empty table stays empty; further columns are kept as they are.
+    """
     return accepted(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), LEAST_QUALITY)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for the case of A-Z, the one with the largest doc_id."""
+    """Of documents that are equal but for the case of A-Z, the one with the largest doc_id.
+
+    A null text counts as empty; repeated rows of the document that stays all stay; texts of any length count whole; an empty
+    table stays empty; further columns are kept as they are.
+    """
     gone = written(exact_dedup(docs).filter("not kept").select("doc_id", "digest"), "gone")
     out = without(docs, gone.filter("doc_id is not null").select("doc_id"))
     unnamed = gone.filter("doc_id is null").select(F.lower(F.hex("digest")).alias("__digest")).distinct()
@@ -43,7 +51,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the document with the smallest doc_id."""
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the document with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay; a similarity of exactly 0.8 links; texts of any length count whole;
+    an empty table stays empty; further columns are kept as they are.
+    """
     unnamed = docs.filter("doc_id is null")
     if unnamed.isEmpty():
         return without(docs, written(ngram_join(docs).filter("doc_id <> component_id").select("doc_id"), "gone"))
@@ -59,12 +71,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lies in benchmark passages."""
+    """Documents of whose words less than a twentieth lies in benchmark passages.
+
+    Exactly a twentieth goes. Texts without words stay; repeated rows stay or go together; texts of any length are read whole;
+    an empty table stays empty; further columns are kept as they are.
+    """
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of ids, and digests of the ids and of the text that they decode to."""
+    """doc_id, number of ids, and digests of the ids and of the text that they decode to.
+
+    A null or empty text has no ids and decodes to an empty text; every row gets a row, repeated ones and those without a doc_id
+    too; texts of any length are encoded whole; an empty table gives an empty result; further columns are ignored.
+    """
     import public_tokenizers
 
     return round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
