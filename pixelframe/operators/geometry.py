@@ -172,18 +172,26 @@ def resize(p: PixelFrame, width=None, height=None, fit="cover", without_enlargem
     return p
 
 
-def inscribed(width: int, height: int, angle: float) -> tuple[int, int]:
+def inside(width: int, height: int, angle: float) -> tuple[float, float]:
     """The largest upright rectangle inside a turned one.
 
     A rectangle (a, b) lies inside if a c + b s <= width and a s + b c <= height. Under one of these alone the area is
     greatest where both terms are equal; if the other one holds there, that is the answer, else both are tight.
     """
+    if angle % 90 == 0:
+        return (width, height) if angle % 180 == 0 else (height, width)
     s, c = abs(math.sin(math.radians(angle))), abs(math.cos(math.radians(angle)))
     for a, b in ((height / 2 / s, height / 2 / c), (width / 2 / c, width / 2 / s)):
         if a * c + b * s <= width * (1 + 1e-12) and a * s + b * c <= height * (1 + 1e-12):
             break
     else:
         a, b = (width * c - height * s) / (c * c - s * s), (height * c - width * s) / (c * c - s * s)
+    return a, b
+
+
+def inscribed(width: int, height: int, angle: float) -> tuple[int, int]:
+    """That rectangle in whole pixels, at most as large as the image."""
+    a, b = inside(width, height, angle)
     return min(max(1, int(a + 1e-9)), width), min(max(1, int(b + 1e-9)), height)
 
 

@@ -1,10 +1,10 @@
-"""Tilt estimation as a dataflow: gradients, edge families, line votes, local maxima, angle histogram, projection profile.
+"""Tilt estimation as a dataflow: smoothing, gradients, Canny edges, line votes, local maxima, angle histogram, profiles.
 
-Gradients come from 3x3 neighbourhoods. An edge point belongs to the horizontal or vertical family by its gradient and
-votes, for each of ``ANGLES`` tilt angles, for the line through it. Votes and profiles are counted map-side before they are
-shuffled; the table of angles is fixed in size and broadcast. ``detect`` shrinks images by a join with taps and then takes
-all steps of the estimate, Canny and the fusion of lines with profiles among them, as a numpy kernel on one small image
-at a time (``tilt_kernels``).
+Gradients come from 3x3 neighbourhoods of smoothed values. An edge point belongs to the nearly level or the nearly upright
+family by its gradient and votes, for each of ``ANGLES`` tilt angles, for the line through it. Votes and profiles are counted
+map-side before they are shuffled; the table of angles is a literal of fixed size. Tracing edges along weak neighbours and
+picking the few peaks of a histogram work on one image at a time. ``detect`` shrinks images by a join with taps and then
+takes all steps, the fusion of lines with profiles among them, as a numpy kernel on one small image (``tilt_kernels``).
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import KEY, SRGB, PixelFrame
 from ..functions import numeric as N
 from . import tilt_kernels as T
-from .filters import neighbour
+from .filters import neighbour, taps
 
-STEP, SPAN = 0.1, 15.0
-ANGLES = [round(-SPAN + STEP * i, 1) for i in range(301)]
+STEP, SPAN = T.STEP, 15.0
+ANGLES = T.angle_grid(SPAN).tolist()
 #: Degrees beyond the largest tilt that an edge's normal may be off its axis.
 SLACK = 6.0
 
@@ -42,70 +42,173 @@ def sobel(p: PixelFrame) -> DataFrame:
     return q.df.select(*KEY, F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
 
 
-def edge_points(gradients: DataFrame, least: float, max_angle: float = SPAN) -> DataFrame:
-    """(image_id, y, x, family) of points with a gradient of at least ``least`` near either axis."""
+def smoothed(p: PixelFrame) -> PixelFrame:
+    """The column v under a Gaussian, as whole code values."""
+    r = math.ceil(2 * T.SIGMA)
+    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * T.SIGMA * T.SIGMA))
+    weights = (weights / weights.sum()).tolist()
+    for axis in ("x", "y"):
+        p = taps(p, weights, axis, ["v"])
+    return p.with_columns({"v": F.least(F.floor(F.col("v") + 0.5), F.lit(255)).cast("double")}).select(*KEY, "v")
+
+
+def canny_thresholds(gradients: DataFrame) -> DataFrame:
+    """(image_id, low, high): from the bin in which nine tenths of an image's gradients are reached."""
+    bins = gradients.select("image_id", F.least(F.floor(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))), F.lit(1140)).alias("bin"))
+    bins = bins.groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    run = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("image_id").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("image_id")))
+    high = run.groupBy("image_id").agg(F.min(F.when(F.col("upto") >= F.floor(F.col("all") * 0.9), F.col("bin"))).cast("double").alias("b"))
+    high = high.select("image_id", F.greatest(F.lit(40.0), F.least(F.lit(500.0), "b")).alias("high"))
+    return high.select("image_id", (F.col("high") * 0.4).alias("low"), "high")
+
+
+def canny_edges(gradients: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, y, x, gx, gy) of edge points; a task holds one image of the working size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gx, gy = np.zeros((height, width)), np.zeros((height, width))
+        at = table.column("y").to_numpy(), table.column("x").to_numpy()
+        gx[at], gy[at] = table.column("gx").to_numpy(), table.column("gy").to_numpy()
+        y, x = np.nonzero(T.canny(gx, gy, *T.thresholds(gx, gy)))
+        image = pa.array(np.full(len(y), table.column("image_id")[0].as_py()), pa.int32())
+        return pa.table({"image_id": image, "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "gx": pa.array(gx[y, x]), "gy": pa.array(gy[y, x])})
+
+    return gradients.select(*KEY, "gx", "gy").groupBy("image_id").applyInArrow(run, "image_id int, y int, x int, gx double, gy double")
+
+
+def edge_points(gradients: DataFrame, max_angle: float = SPAN) -> DataFrame:
+    """(image_id, y, x, family, strength) of points whose gradient lies near either axis."""
     limit = math.tan(math.radians(max_angle + SLACK))
     ax, ay = F.abs("gx"), F.abs("gy")
-    family = F.when((ay > ax) & (ax <= limit * ay), "h").when((ay <= ax) & (ay <= limit * ax), "v")
-    strong = gradients.filter(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) >= float(least))
-    return strong.select(*KEY, family.alias("family")).filter("family is not null")
+    family = F.when((ay > ax) & (ax <= limit * ay), "h").when((ay <= ax) & (ay <= limit * ax) & (ax > 0), "v")
+    return gradients.select(*KEY, family.alias("family"), (ax + ay).alias("strength")).filter("family is not null")
 
 
-def _angles(df: DataFrame) -> DataFrame:
-    rows = [(i, a, N.q9(math.sin(math.radians(a))), N.q9(math.cos(math.radians(a)))) for i, a in enumerate(ANGLES)]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "ai int, phi double, s double, c double"))
+def _angles(column) -> Column:
+    """Each of ``ANGLES`` with ``column`` of its radians, as an array to explode."""
+    return F.array(*(F.struct(F.lit(i).alias("ai"), *(F.lit(float(v)).alias(k) for k, v in column(math.radians(a)).items())) for i, a in enumerate(ANGLES)))
 
 
-def _offset(width: int, height: int):
-    dx, dy = F.col("x") + 0.5 - width / 2.0, F.col("y") + 0.5 - height / 2.0
-    return F.when(F.col("family") == "h", -dx * F.col("s") + dy * F.col("c")).otherwise(dx * F.col("c") + dy * F.col("s"))
+def _centred(df: DataFrame, width: int, height: int) -> DataFrame:
+    return df.withColumns({"dx": F.col("x") - (width - 1) / 2.0, "dy": F.col("y") - (height - 1) / 2.0})
 
 
 def hough_votes(points: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance."""
-    every = points.join(_angles(points))
-    return every.groupBy("image_id", "family", "ai", F.floor(_offset(width, height) + 0.5).cast("int").alias("ri")).agg(F.count(F.lit(1)).alias("votes"))
-
+    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance from the centre."""
+    each = _angles(lambda phi: {"s": math.sin(phi), "c": math.cos(phi)})
+    every = _centred(points, width, height).select("image_id", "family", "dx", "dy", F.explode(each).alias("a"))
+    r = F.when(F.col("family") == "h", -F.col("dx") * F.col("a.s") + F.col("dy") * F.col("a.c")).otherwise(F.col("dx") * F.col("a.c") + F.col("dy") * F.col("a.s"))
+    rounded = F.when(r < 0, -F.floor(0.5 - r)).otherwise(F.floor(r + 0.5)).cast("int")
+    return every.groupBy("image_id", "family", F.col("a.ai").alias("ai"), rounded.alias("ri")).agg(F.count(F.lit(1)).alias("votes"))
+
+
+def lines(votes: DataFrame, width: int, height: int, floor: float = 24.0, most: int = T.MOST_LINES) -> DataFrame:
+    """(image_id, family, phi, votes, rank) of the strongest lines: those with votes enough for their image's size and their
+    family's points that are greatest nearby (ties: the smaller angle, then distance), the angle between those tried."""
+    reach = math.ceil(math.hypot(width, height) / 2) + 2
+    # every point votes once for each angle
+    points = votes.filter("ai = 0").groupBy("image_id", "family").agg(F.sum("votes").alias("points"))
+    least = points.select("image_id", "family", F.greatest(F.lit(0.12 * max(width, height)), 5.0 * F.col("points") / (2 * reach + 1), F.lit(float(floor))).alias("least"))
+    strong = votes.join(least, ["image_id", "family"]).filter("votes >= least").drop("least")
+    # a line meets only those of its own and the eight blocks around, which are as large as what is near
+    block = lambda c, n: F.floor(F.col(c) / n)
+    around = lambda c, n: F.explode(F.array(*(block(c, n) + k for k in (-1, 0, 1))))
+    other = strong.select("image_id", "family", F.col("ai").alias("a2"), F.col("ri").alias("r2"), F.col("votes").alias("v2"), around("ai", 6).alias("ba"))
+    other = other.select("*", around("r2", 7).alias("br"))
+    mine = strong.select("*", block("ai", 6).alias("ba"), block("ri", 7).alias("br"))
+    better = F.expr("abs(a2 - ai) <= 5 and abs(r2 - ri) <= 6 and (v2 > votes or v2 = votes and (a2 < ai or a2 = ai and r2 < ri))")
+    keys = ["image_id", "family", "ba", "br"]
+    other = other.withColumnRenamed("ai", "_")
+    alone = mine.alias("p").join(other.alias("q"), [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys] + [better], "left_anti").drop("ba", "br")
+    beside = lambda k, name: votes.select("image_id", "family", (F.col("ai") - k).alias("ai"), "ri", F.col("votes").alias(name))
+    alone = alone.join(beside(-1, "l"), ["image_id", "family", "ai", "ri"], "left").join(beside(1, "u"), ["image_id", "family", "ai", "ri"], "left").fillna(0, ["l", "u"])
+    bend = F.col("l") - 2.0 * F.col("votes") + F.col("u")
+    inside = (F.col("ai") > 0) & (F.col("ai") < len(ANGLES) - 1) & (bend < 0)
+    off = F.when(inside, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("l") - F.col("u")) / F.nullif(bend, F.lit(0.0))))).otherwise(0.0)
+    phi = F.element_at(F.array(*(F.lit(float(a)) for a in T.angle_grid(SPAN))), F.col("ai") + 1) + off * STEP
+    ranked = alone.withColumn("phi", phi).withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "phi", "family", "ri")))
+    return ranked.filter(F.col("rank") <= most).select("image_id", "family", "phi", "votes", "rank")
+
+
+def angle_histogram(found: DataFrame) -> DataFrame:
+    """(image_id, ai, mass): lines' votes spread over neighbouring angles by a Gaussian."""
+    spread = T.SPREAD / STEP
+    reach = math.ceil(3 * spread)
+    at = (F.col("phi") + SPAN) / STEP
+    middle = F.floor(at + 0.5)
+    each = found.select("image_id", "votes", at.alias("at"), F.explode(F.sequence(middle - reach, middle + reach)).alias("ai"))
+    each = each.filter(F.col("ai").between(0, len(ANGLES) - 1))
+    z = (F.col("ai") - F.col("at")) / spread
+    return each.groupBy("image_id", F.col("ai").cast("int").alias("ai")).agg(F.sum(F.col("votes") * F.exp(-0.5 * z * z)).alias("mass"))
 
-def peaks(votes: DataFrame, least: float, angle_reach: int = 5, distance_reach: int = 6, most: int = 200) -> DataFrame:
-    """Lines with at least ``least`` votes that are greatest nearby (ties: the smaller angle, then distance); top ``most`` an image."""
-    strong = votes.filter(F.col("votes") >= float(least))
-    other = strong.select("image_id", "family", F.col("ai").alias("a2"), F.col("ri").alias("r2"), F.col("votes").alias("v2"))
-    better = F.expr("v2 > votes or v2 = votes and (a2 < ai or a2 = ai and r2 < ri)")
-    near = F.expr(f"a2 between ai - {angle_reach} and ai + {angle_reach} and r2 between ri - {distance_reach} and ri + {distance_reach}")
-    alone = strong.join(other, (strong.image_id == other.image_id) & (strong.family == other.family) & near & better, "left_anti")
-    ranked = alone.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "family", "ai", "ri")))
-    return ranked.filter(F.col("rank") <= most).select("image_id", "family", "ai", "ri", "votes", "rank")
 
+def histogram_peaks(masses: DataFrame) -> DataFrame:
+    """(image_id, place, phi, share): the strongest maxima at least a degree apart, and the share of the mass around each."""
 
-def angle_histogram(lines: DataFrame, sigma: float = 0.25, reach: int = 8) -> DataFrame:
-    """(image_id, ai, mass): lines' votes spread over neighbouring angles by a Gaussian."""
-    weights = [(k, N.q9(math.exp(-((k * STEP) ** 2) / (2 * sigma * sigma)))) for k in range(-reach, reach + 1)]
-    table = F.broadcast(lines.sparkSession.createDataFrame(weights, "k int, w double"))
-    spread = lines.join(table).select("image_id", (F.col("ai") + F.col("k")).alias("ai"), (F.col("votes") * F.col("w")).alias("m"))
-    return spread.filter(F.col("ai").between(0, len(ANGLES) - 1)).groupBy("image_id", "ai").agg(F.sum("m").alias("mass"))
+    def run(table: pa.Table) -> pa.Table:
+        values = np.zeros(len(ANGLES))
+        values[table.column("ai").to_numpy()] = table.column("mass").to_numpy()
+        tops = T.histogram_peaks(values, SPAN)
+        share = [min(T.mass_near(values, SPAN, p) / values.sum(), 1.0) for p in tops]
+        image = table.column("image_id")[0].as_py()
+        return pa.table({"image_id": pa.array([image] * len(tops), pa.int32()), "place": pa.array(range(1, len(tops) + 1), pa.int32()), "phi": pa.array(tops, pa.float64()), "share": pa.array(share, pa.float64())})
+
+    return masses.groupBy("image_id").applyInArrow(run, "image_id int, place int, phi double, share double")
+
+
+def line_support(found: DataFrame, tops: DataFrame) -> DataFrame:
+    """(image_id, phi, n, h, v, confidence): lines near the first peak, their mean angle, that of each family, and how far
+    to trust them."""
+    near = found.join(tops.filter("place = 1").select("image_id", F.col("phi").alias("top"), "share"), "image_id").filter(F.abs(F.col("phi") - F.col("top")) <= T.PEAK_RADIUS)
+    mean = lambda of: F.sum(F.when(of, F.col("phi") * F.col("votes"))) / F.sum(F.when(of, F.col("votes")))
+    out = near.groupBy("image_id", "share").agg(mean(F.lit(True)).alias("phi"), F.count(F.lit(1)).alias("n"), *(mean(F.col("family") == f).alias(f) for f in "hv"))
+    agree = F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("h") - F.col("v"))), F.lit(0.65))
+    base = 0.40 * F.col("share") + 0.35 * F.least(F.col("n") / 6, F.lit(1.0)) + 0.25 * agree
+    return out.select("image_id", "phi", "n", "h", "v", (base * F.least(F.col("n") / T.LEAST_LINES, F.lit(1.0))).alias("confidence"))
+
+
+def strong_points(points: DataFrame) -> DataFrame:
+    """The points that profiles are made of: the strongest of an image, by thresholds from the counts of their strengths."""
+    bins = points.groupBy("image_id", F.least(F.floor("strength"), F.lit(2048)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    run = bins.withColumns({"above": F.sum("n").over(Window.partitionBy("image_id").orderBy(F.desc("bin"))), "all": F.sum("n").over(Window.partitionBy("image_id"))})
+    keep = F.least(F.greatest(F.floor(F.col("all") * T.KEEP_SHARE), F.lit(1)), F.lit(T.MOST_POINTS))
+    top = F.greatest(F.ceil(F.col("all") * 0.005), F.lit(1))
+    least = run.groupBy("image_id").agg(F.max(F.when(F.col("above") >= keep, F.col("bin"))).alias("k"), F.max(F.when(F.col("above") >= top, F.col("bin"))).alias("t"))
+    least = least.select("image_id", F.greatest(F.lit(T.LEAST_GRADIENT), F.col("k"), T.STRONG_SHARE * F.col("t")).alias("least"))
+    return points.join(least, "image_id").filter("strength >= least").drop("least")
 
 
 def projection_scores(points: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, family, ai, score): how sharp the points' profile across each angle is, sum b^2 / (sum b)^2."""
-    every = points.join(_angles(points)).select("image_id", "family", "ai", _offset(width, height).alias("t"))
-    low = F.floor("t")
-    two = every.select("image_id", "family", "ai", F.explode(F.array(F.struct(low.alias("bin"), (1.0 - (F.col("t") - low)).alias("w")), F.struct((low + 1).alias("bin"), (F.col("t") - low).alias("w")))).alias("e"))
-    bins = two.groupBy("image_id", "family", "ai", F.col("e.bin").alias("bin")).agg(F.sum("e.w").alias("b"))
-    return bins.groupBy("image_id", "family", "ai").agg((F.sum(F.col("b") * F.col("b")) / (F.sum("b") * F.sum("b"))).alias("score"))
+    """(image_id, family, ai, score): how sharp the points' smoothed profile across each angle is, sum b^2 / (sum b)^2."""
+    tan = math.tan(math.radians(SPAN))
+    half = {"h": (height - 1) / 2 + tan * (width - 1) / 2, "v": (width - 1) / 2 + tan * (height - 1) / 2}
+    by = lambda f: F.when(F.col("family") == "h", F.lit(f(half["h"]))).otherwise(F.lit(f(half["v"])))
+    each = _angles(lambda phi: {"t": math.tan(phi)})
+    every = _centred(points, width, height).select("image_id", "family", "strength", "dx", "dy", F.explode(each).alias("a"))
+    t = F.when(F.col("family") == "h", F.col("dy") - F.col("dx") * F.col("a.t")).otherwise(F.col("dx") + F.col("dy") * F.col("a.t")) + by(lambda h: math.ceil(h) + 2.0)
+    every = every.select("image_id", "family", F.col("a.ai").alias("ai"), "strength", t.alias("t"))
+    part, n = F.col("t") - F.floor("t"), by(lambda h: math.ceil(2 * (math.ceil(h) + 2.0)) + 1)
+    every = every.filter((F.col("t") >= 0) & (F.floor("t") + 1 < n))
+    ends = F.array(F.struct(F.floor("t").alias("bin"), (F.col("strength") * (1.0 - part)).alias("w")), F.struct((F.floor("t") + 1).alias("bin"), (F.col("strength") * part).alias("w")))
+    key = ["image_id", "family", "ai"]
+    bins = every.select(*key, F.explode(ends).alias("e")).groupBy(*key, F.col("e.bin").alias("bin")).agg(F.sum("e.w").alias("b"))
+    for _ in range(2):
+        wide = F.array(*(F.struct((F.col("bin") + k).alias("bin"), (F.col("b") * v).alias("w")) for k, v in ((-1, 0.25), (0, 0.5), (1, 0.25))))
+        bins = bins.select(*key, F.explode(wide).alias("e")).filter((F.col("e.bin") >= 0) & (F.col("e.bin") < n)).groupBy(*key, F.col("e.bin").alias("bin")).agg(F.sum("e.w").alias("b"))
+    return bins.groupBy(*key).agg((F.sum(F.col("b") * F.col("b")) / (F.sum("b") * F.sum("b"))).alias("score"))
 
 
 def triangle_taps(size: int, out: int) -> list[list[tuple[int, float]]]:
     """For each place of a shorter axis, the places it is made of and their weights."""
-    ratio, taps = size / out, []
+    ratio, every = size / out, []
     reach = max(ratio, 1.0)
     for o in range(out):
         centre = (o + 0.5) * ratio
         low = min(max(math.floor(centre - reach), 0), size - 1)
         places = range(low, min(max(math.ceil(centre + reach), low + 1), size))
         weights = [max(0.0, 1.0 - abs((i + 0.5 - centre) / reach)) for i in places]
-        taps.append([(i, N.q9(w / sum(weights))) for i, w in zip(places, weights, strict=True) if w])
-    return taps
+        every.append([(i, N.q9(w / sum(weights))) for i, w in zip(places, weights, strict=True) if w])
+    return every
 
 
 def shrunk(p: PixelFrame, long_edge: int) -> PixelFrame:

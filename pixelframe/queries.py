@@ -212,26 +212,23 @@ _inv = np.linalg.inv(_step).tolist()
 _lin = lambda r: f"({sql.d(r[0])} * (gx + {sql.d(0.5)}) + {sql.d(r[1])} * (gy + {sql.d(0.5)}) + {sql.d(r[2])})"
 add("px_perspective_padding", lambda s, d: _rounded(geometry.padding_ratio(frame(s, d, "emb"), _step, _w, _h), "ratio"), f"with p as (select distinct image_id from ({sql.EMB})), g as (select image_id, {_lin(_inv[2])} dd, {_lin(_inv[0])} / {_lin(_inv[2])} u, {_lin(_inv[1])} / {_lin(_inv[2])} v from p, range({_h}) b(gy), range({_w}) a(gx)) select image_id, round(avg(case when dd <= 0 or u < 0 or v < 0 or u >= 64 or v >= 50 then 1.0::DOUBLE else 0 end), 6) ratio from g group by image_id")
 
-# tilt
-_LEAST = 400.0
-_points = lambda s, d: tilt.edge_points(tilt.sobel(tilt.gray(frame(s, d, "emb"))), _LEAST)
-_votes = lambda s, d: tilt.hough_votes(_points(s, d), 64, 50)
-add("tilt_sobel", lambda s, d: tilt.sobel(tilt.gray(frame(s, d, "emb"))), sql.sobel("emb").sql("select image_id, y, x, gx, gy from {p}"))
-add("tilt_edge_family", lambda s, d: _points(s, d), sql.edges("emb", _LEAST).sql("select image_id, y, x, family from {p}"))
-add("tilt_hough_votes", lambda s, d: _votes(s, d), sql.votes("emb", _LEAST).sql("select image_id, family, ai, ri, votes from {p}"))
-_NMS = "p.image_id = q.image_id and p.family = q.family and q.ai between p.ai - 5 and p.ai + 5 and q.ri between p.ri - 6 and p.ri + 6 and (q.votes > p.votes or q.votes = p.votes and (q.ai < p.ai or q.ai = p.ai and q.ri < p.ri))"
-
-
-def _peaks_sql() -> sql.Chain:
-    c = sql.votes("emb", _LEAST).add("select * from {p} where votes >= 14")
-    c.add(f"select p.* from {{p}} p where not exists (select 1 from {{p}} q where {_NMS})")
-    return c.add("select * from (select *, row_number() over (partition by image_id order by votes desc, family, ai, ri)::INT rank from {p}) where rank <= 200")
-
-
-add("tilt_nms", lambda s, d: tilt.peaks(_votes(s, d), 14), _peaks_sql().sql("select image_id, family, ai, ri, votes, rank from {p}"))
-_spread = ", ".join(f"({k}, {N.q9(float(np.exp(-((k * tilt.STEP) ** 2) / (2 * 0.25 * 0.25))))!r}::DOUBLE)" for k in range(-8, 9))
-add("tilt_angle_hist", lambda s, d: _rounded(tilt.angle_histogram(tilt.peaks(_votes(s, d), 14)), "mass"), _peaks_sql().sql(f"select image_id, (ai + k)::INT ai, round(sum(votes * w), 6) mass from {{p}}, (values {_spread}) v(k, w) where ai + k between 0 and 300 group by image_id, ai + k"))
-add("tilt_projection_score", lambda s, d: _rounded(tilt.projection_scores(_points(s, d), 64, 50), "score"), sql.edges("emb", _LEAST).add(f"select image_id, family, ai, {sql.offset('emb')} t from {{p}}, {sql.angles()}").add("select image_id, family, ai, floor(t) bin, 1::DOUBLE - (t - floor(t)) w from {p} union all select image_id, family, ai, floor(t) + 1, t - floor(t) from {p}").add("select image_id, family, ai, bin, sum(w) b from {p} group by all").sql("select image_id, family, ai, round(sum(b * b) / (sum(b) * sum(b)), 6) score from {p} group by image_id, family, ai"))
+# tilt: each step of the estimate
+_FLOOR = 10.0  # of votes; the images are small
+_gradients = lambda s, d: tilt.sobel(tilt.smoothed(tilt.gray(frame(s, d, "emb"))))
+_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50)
+_votes = lambda s, d: tilt.hough_votes(tilt.edge_points(_edges(s, d)), 64, 50)
+_lines = lambda s, d: tilt.lines(_votes(s, d), 64, 50, _FLOOR)
+_tops = lambda s, d: tilt.histogram_peaks(tilt.angle_histogram(_lines(s, d)))
+add("tilt_sobel", _gradients, sql.sobel("emb").sql("select image_id, y, x, gx, gy from {p}"))
+add("tilt_canny_thresholds", lambda s, d: tilt.canny_thresholds(_gradients(s, d)), sql.thresholds("emb").sql("select image_id, low, high from {p}"))
+add("tilt_canny", _edges, sql.canny("emb").sql("select image_id, y, x, gx, gy from {p}"))
+add("tilt_edge_family", lambda s, d: tilt.edge_points(_edges(s, d)), sql.points(sql.canny("emb")).sql("select image_id, y, x, family, strength from {p}"))
+add("tilt_hough_votes", _votes, sql.votes("emb").sql("select image_id, family, ai, ri, votes from {p}"))
+add("tilt_nms", lambda s, d: _rounded(_lines(s, d), "phi"), sql.lines("emb", _FLOOR).sql("select image_id, family, round(phi, 6) phi, votes, rank from {p}"))
+add("tilt_angle_hist", lambda s, d: _rounded(tilt.angle_histogram(_lines(s, d)), "mass"), sql.angle_histogram("emb", _FLOOR).sql("select image_id, ai, round(mass, 6) mass from {p}"))
+add("tilt_peaks", lambda s, d: _rounded(_tops(s, d), "phi", "share"), sql.histogram_peaks("emb", _FLOOR).sql("select image_id, place, round(phi, 6) phi, round(share, 6) share from {p}"))
+add("tilt_support", lambda s, d: _rounded(tilt.line_support(_lines(s, d), _tops(s, d)), "phi", "h", "v", "confidence"), sql.line_support("emb", _FLOOR).sql("select image_id, n, round(phi, 6) phi, round(h, 6) h, round(v, 6) v, round(confidence, 6) confidence from {p}"))
+add("tilt_projection_score", lambda s, d: _rounded(tilt.projection_scores(tilt.strong_points(tilt.edge_points(_gradients(s, d))), 64, 50), "score"), sql.projection_scores("emb").sql("select image_id, family, ai, round(score, 6) score from {p}"))
 add("tilt_detect", lambda s, d: tilt.detect(frame(s, d, "emb")), None)
 
 # presets whose operations are all expressible

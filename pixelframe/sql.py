@@ -478,32 +478,133 @@ class Chain:
         return self.add(f"select p.image_id, p.y, p.x, {', '.join(f'{new(c)} {c}' for c in 'rgba')} from {{p}} p join {before} o using (image_id, y, x) join {mask.last} m using (image_id, y, x)")
 
 
-def angles() -> str:
-    rows = ", ".join(f"({i}, {N.q9(math.sin(math.radians(a)))!r}::DOUBLE, {N.q9(math.cos(math.radians(a)))!r}::DOUBLE)" for i, a in enumerate(tilt.ANGLES))
-    return f"(values {rows}) angles(ai, s, c)"
+def angles(**columns) -> str:
+    """All tilt angles' numbers with functions of their radians, as a table."""
+    rows = ", ".join(f"({i}, {', '.join(d(f(math.radians(a))) for f in columns.values())})" for i, a in enumerate(tilt.ANGLES))
+    return f"(values {rows}) angles(ai, {', '.join(columns)})"
 
 
 def sobel(relation: str) -> Chain:
+    """Gradients of gray values under a Gaussian that are whole code values."""
     c = Chain(relation)
-    c.add(f"select {KEY}, {u8(f'(r * {d(0.2126)} + g * {d(0.7152)} + b * {d(0.0722)})')}::DOUBLE gx from {{p}}").add("select *, gx gy from {p}")
+    c.add(f"select {KEY}, {u8(f'(r * {d(0.2126)} + g * {d(0.7152)} + b * {d(0.0722)})')}::DOUBLE gx from {{p}}")
+    r = math.ceil(2 * 1.4)
+    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * 1.4 * 1.4))
+    for axis in "xy":
+        c.taps((weights / weights.sum()).tolist(), axis, ["gx"])
+    c.add(f"select {KEY}, least(floor(gx + {d(0.5)}), 255)::DOUBLE gx from {{p}}").add("select *, gx gy from {p}")
     w = lambda col, taps, axis: "0::DOUBLE + " + " + ".join(f"{c.near(col, k - 1, axis)} * {d(v)}" for k, v in enumerate(taps) if v)
     c.add(f"select {KEY}, {w('gx', (-1, 0, 1), 'x')} gx, {w('gy', (1, 2, 1), 'x')} gy from {{p}}{c.WINDOWS}")
     return c.add(f"select {KEY}, {w('gx', (1, 2, 1), 'y')} gx, {w('gy', (-1, 0, 1), 'y')} gy from {{p}}{c.WINDOWS}")
 
 
-def edges(relation: str, least: float) -> Chain:
-    limit = d(math.tan(math.radians(tilt.SPAN + tilt.SLACK)))
-    c = sobel(relation).add(f"select {KEY}, case when abs(gy) > abs(gx) and abs(gx) <= {limit} * abs(gy) then 'h' when abs(gy) <= abs(gx) and abs(gy) <= {limit} * abs(gx) then 'v' end family from {{p}} where sqrt(gx * gx + gy * gy) >= {d(least)}")
-    return c.add("select * from {p} where family is not null")
+def thresholds(relation: str) -> Chain:
+    """From the bin in which nine tenths of an image's gradients are reached."""
+    c = sobel(relation).add("select image_id, least(floor(sqrt(gx * gx + gy * gy)), 1140) bin, count(*) n from {p} group by all")
+    c.add("select *, sum(n) over (partition by image_id order by bin) upto, sum(n) over (partition by image_id) whole from {p}")
+    c.add(f"select image_id, greatest(40, least(500, min(bin) filter (upto >= floor(whole * {d(0.9)}))))::DOUBLE high from {{p}} group by image_id")
+    return c.add(f"select image_id, high * {d(0.4)} low, high from {{p}}")
+
+
+def canny(relation: str) -> Chain:
+    """Gradients that are greatest across the edge, and of these the weak ones that strong ones reach."""
+    gradients, c = sobel(relation).last, thresholds(relation)
+    least, (w, h) = c.last, SIZES[relation]
+    c.add(f"select *, sqrt(gx * gx + gy * gy) g, degrees(atan2(gy, gx)) + case when atan2(gy, gx) < 0 then 180 else 0 end angle from {gradients}")
+    every = c.last
+    kind = lambda *v: "case " + " ".join(f"when angle >= {lo} and angle < {lo + 45} then {k}" for lo, k in zip((22.5, 67.5, 112.5), v, strict=False)) + f" else {v[3]} end"
+    c.add(f"select *, {kind(1, -1, 1, 0)} dy, {kind(1, 0, -1, -1)} dx from {{p}}")
+    c.add(
+        f"select p.image_id, p.y, p.x, p.gx, p.gy, p.g, high from {{p}} p join {least} using (image_id) join {every} a on a.image_id = p.image_id and a.y = p.y + p.dy and a.x = p.x + p.dx"
+        f" join {every} b on b.image_id = p.image_id and b.y = p.y - p.dy and b.x = p.x - p.dx where p.g >= a.g and p.g >= b.g and p.y between 1 and {h - 2} and p.x between 1 and {w - 2} and p.g >= low"
+    )
+    weak, me = c.last, f"{c.prefix}{len(c.parts)}"
+    c.add(
+        f"select image_id, y, x from {weak} where g >= high union select q.image_id, q.y, q.x from"
+        f" (select image_id, y + i y, x + j x from {me}, range(-1, 2) a(i), range(-1, 2) b(j)) e join {weak} q on q.image_id = e.image_id and q.y = e.y and q.x = e.x"
+    )
+    return c.add(f"select image_id, y, x, gx, gy from {{p}} join {weak} using (image_id, y, x)")
 
 
-def offset(relation: str) -> str:
-    w, h = SIZES[relation]
-    dx, dy = f"(x + {d(0.5)} - {d(w / 2)})", f"(y + {d(0.5)} - {d(h / 2)})"
-    return f"case when family = 'h' then -{dx} * s + {dy} * c else {dx} * c + {dy} * s end"
+def points(c: Chain) -> Chain:
+    """Points whose gradient lies near either axis, with coordinates from the image's centre."""
+    limit = d(math.tan(math.radians(tilt.SPAN + tilt.SLACK)))
+    c.add(f"select {KEY}, abs(gx) + abs(gy) strength, case when abs(gy) > abs(gx) and abs(gx) <= {limit} * abs(gy) then 'h' when abs(gy) <= abs(gx) and abs(gy) <= {limit} * abs(gx) and abs(gx) > 0 then 'v' end family from {{p}}")
+    return c.add(f"select *, x - {d((c.width - 1) / 2)} dx, y - {d((c.height - 1) / 2)} dy from {{p}} where family is not null")
 
 
-def votes(relation: str, least: float) -> Chain:
-    return edges(relation, least).add(f"select image_id, family, ai, floor({offset(relation)} + {d(0.5)})::INT ri, count(*) votes from {{p}}, {angles()} group by all")
+def votes(relation: str) -> Chain:
+    c = points(canny(relation))
+    c.add(f"select *, case when family = 'h' then -dx * s + dy * c else dx * c + dy * s end r from {{p}}, {angles(s=math.sin, c=math.cos)}")
+    return c.add(f"select image_id, family, ai, (case when r < 0 then -floor({d(0.5)} - r) else floor(r + {d(0.5)}) end)::INT ri, count(*) votes from {{p}} group by all")
 
 
+def lines(relation: str, floor: float) -> Chain:
+    c = votes(relation)
+    all_votes, bins = c.last, 2 * (math.ceil(math.hypot(c.width, c.height) / 2) + 2) + 1
+    c.add(f"select image_id, family, greatest({d(0.12 * max(c.width, c.height))}, 5::DOUBLE * sum(votes) / {bins}, {d(floor)}) least from {{p}} where ai = 0 group by all")
+    c.add(f"select v.* from {all_votes} v join {{p}} using (image_id, family) where votes >= least")
+    c.add(
+        "select p.* from {p} p where not exists (select 1 from {p} q where q.image_id = p.image_id and q.family = p.family and abs(q.ai - p.ai) <= 5 and abs(q.ri - p.ri) <= 6"
+        " and (q.votes > p.votes or q.votes = p.votes and (q.ai < p.ai or q.ai = p.ai and q.ri < p.ri)))"
+    )
+    beside = lambda k, n: f"left join (select image_id, family, ai + {k} ai, ri, votes {n} from {all_votes}) {n} using (image_id, family, ai, ri)"
+    c.add(f"select p.*, coalesce(l, 0) l, coalesce(u, 0) u from {{p}} p {beside(1, 'l')} {beside(-1, 'u')}")
+    c.add(f"select *, case when ai between 1 and {len(tilt.ANGLES) - 2} and l - 2 * votes + u < 0 then greatest({d(-0.5)}, least({d(0.5)}, {d(0.5)} * (l - u) / (l - {d(2)} * votes + u))) else 0 end off from {{p}}")
+    c.add(f"select image_id, family, ri, votes, ({nodes(tilt.ANGLES)})[ai + 1] + off * {d(tilt.STEP)} phi from {{p}}")
+    return c.add(f"select * from (select *, row_number() over (partition by image_id order by votes desc, phi, family, ri)::INT rank from {{p}}) where rank <= {tilt.T.MOST_LINES}")
+
+
+def angle_histogram(relation: str, floor: float) -> Chain:
+    c, spread = lines(relation, floor), tilt.T.SPREAD / tilt.STEP
+    reach = math.ceil(3 * spread)
+    c.add(f"select image_id, votes, (phi + {d(tilt.SPAN)}) / {d(tilt.STEP)} pos from {{p}}")
+    c.add(f"select image_id, votes, pos, (floor(pos + {d(0.5)}) + k)::INT ai from {{p}}, range({-reach}, {reach + 1}) t(k)")
+    return c.add(f"select image_id, ai, sum(votes * exp({d(-0.5)} * ((ai - pos) / {d(spread)}) * ((ai - pos) / {d(spread)}))) mass from {{p}} where ai between 0 and {len(tilt.ANGLES) - 1} group by all")
+
+
+def histogram_peaks(relation: str, floor: float) -> Chain:
+    """Three times the best maximum that lies a degree from those before."""
+    c = angle_histogram(relation, floor)
+    masses, grid = c.last, f"({nodes(tilt.ANGLES)})"
+    c.add(f"select i.image_id, k.ai::INT ai, coalesce(mass, 0) mass from (select distinct image_id from {masses}) i cross join range({len(tilt.ANGLES)}) k(ai) left join {masses} m on m.image_id = i.image_id and m.ai = k.ai")
+    dense = c.last
+    c.add("select *, coalesce(lag(mass) over (partition by image_id order by ai), 0) l, coalesce(lead(mass) over (partition by image_id order by ai), 0) u from {p}")
+    c.add(f"select image_id, mass, {grid}[ai + 1] + {d(tilt.STEP)} * case when l - 2 * mass + u < 0 then greatest({d(-0.5)}, least({d(0.5)}, {d(0.5)} * (l - u) / (l - {d(2)} * mass + u))) else 0 end phi from {{p}} where mass > 0 and mass > l and mass >= u")
+    tops, taken = c.last, None
+    for place in (1, 2, 3):
+        far = f"where not exists (select 1 from {taken} t where t.image_id = p.image_id and abs(t.phi - p.phi) < 1)" if taken else ""
+        c.add(f"select image_id, {place} place, phi from (select p.*, row_number() over (partition by image_id order by mass desc, phi) k from {tops} p {far}) where k = 1" + (f" union all select * from {taken}" if taken else ""))
+        taken = c.last
+    return c.add(f"select t.image_id, place, phi, least(sum(mass) filter (abs({grid}[ai + 1] - phi) <= {d(tilt.T.PEAK_RADIUS)}) / sum(mass), 1) share from {{p}} t join {dense} using (image_id) group by all")
+
+
+def line_support(relation: str, floor: float) -> Chain:
+    c = histogram_peaks(relation, floor)
+    found = lines(relation, floor).last
+    c.add(f"select l.*, share from {found} l join (select image_id, phi top, share from {{p}} where place = 1) using (image_id) where abs(phi - top) <= {d(tilt.T.PEAK_RADIUS)}")
+    mean = lambda of: f"sum(phi * votes) filter ({of}) / sum(votes) filter ({of})"
+    means = ", ".join(f"{mean(f"family = '{f}'")} {f}" for f in "hv")
+    c.add(f"select image_id, share, {mean('true')} phi, count(*) n, {means} from {{p}} group by image_id, share")
+    base = f"({d(0.4)} * share + {d(0.35)} * least(n / {d(6)}, 1) + {d(0.25)} * coalesce(greatest(0, 1 - abs(h - v)), {d(0.65)}))"
+    return c.add(f"select image_id, phi, n, h, v, {base} * least(n / {d(2)}, 1) confidence from {{p}}")
+
+
+def projection_scores(relation: str) -> Chain:
+    """Profiles of the strongest points, smoothed twice."""
+    c = points(sobel(relation))
+    every = c.last
+    c.add("select image_id, least(floor(strength), 2048) bin, count(*) n from {p} group by all")
+    c.add("select *, sum(n) over (partition by image_id order by bin desc) above, sum(n) over (partition by image_id) whole from {p}")
+    c.add(f"select image_id, greatest({d(12)}, max(bin) filter (above >= least(greatest(floor(whole * {d(0.15)}), 1), 40000)), {d(0.15)} * max(bin) filter (above >= greatest(ceil(whole * {d(0.005)}), 1))) least from {{p}} group by image_id")
+    tan = math.tan(math.radians(tilt.SPAN))
+    half = {"h": (c.height - 1) / 2 + tan * (c.width - 1) / 2, "v": (c.width - 1) / 2 + tan * (c.height - 1) / 2}
+    by = lambda f: f"case family when 'h' then {d(f(half['h']))} else {d(f(half['v']))} end"
+    n = by(lambda v: math.ceil(2 * (math.ceil(v) + 2.0)) + 1)
+    c.add(f"select e.image_id, family, ai, strength, (case when family = 'h' then dy - dx * t else dx + dy * t end) + {by(lambda v: math.ceil(v) + 2.0)} t from {every} e join {{p}} using (image_id), {angles(t=math.tan)} where strength >= least")
+    c.add(f"select * from {{p}} where t >= 0 and floor(t) + 1 < {n}")
+    c.add("select image_id, family, ai, floor(t) bin, strength * (1::DOUBLE - (t - floor(t))) w from {p} union all select image_id, family, ai, floor(t) + 1, strength * (t - floor(t)) from {p}")
+    c.add("select image_id, family, ai, bin, sum(w) b from {p} group by all")
+    for _ in range(2):
+        c.add(f"select image_id, family, ai, bin + k bin, sum(b * v) b from {{p}}, (values (-1, {d(0.25)}), (0, {d(0.5)}), (1, {d(0.25)})) s(k, v) where bin + k >= 0 and bin + k < {n} group by image_id, family, ai, bin + k")
+    return c.add("select image_id, family, ai, sum(b * b) / (sum(b) * sum(b)) score from {p} group by image_id, family, ai")

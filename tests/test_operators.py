@@ -165,7 +165,7 @@ def test_tilt_of_a_synthetic_grid(spark, angle):
     gray = np.clip(255 * (1 - np.clip(1.5 - lines, 0, 1)), 0, 255).astype(int)
     p = from_codes(relation(spark, np.dstack([gray, gray, gray, np.full_like(gray, 255)])), w, h)
     out = tilt.detect(p).first()
-    assert abs(out.tilt - angle) <= 0.3 and out.n_lines >= 2
+    assert abs(out.tilt - angle) <= 0.1 and out.n_lines >= 2
 
 
 def test_image_files(spark, tmp_path, image, pixels):

@@ -63,3 +63,50 @@ def test_nothing_to_be_found(spark):
     stripes, _ = turned(160, 120, 45.0, 45.0)
     assert found(spark, 255 * np.clip(np.abs((stripes + 400) % 20 - 10) - 0.5, 0, 1)).recommended is None
     assert found(spark, np.zeros((12, 80))).warnings == ["image too small for tilt detection"]
+
+
+@pytest.mark.parametrize("angle", [-12.0, -6.5, -2.4, 0.0, 0.7, 3.3, 9.0])
+def test_accuracy_on_a_grid(angle):
+    from pixelframe.operators.tilt_kernels import estimate
+
+    out = estimate(np.round(grid(640, 480, angle, angle, 48)), (640, 480), 0.5, 15.0)
+    assert abs(out["recommended"] + angle) <= 0.1 and out["confidence"] >= 0.5
+
+
+def test_stages_agree_with_the_kernel(spark):
+    """The dataflow's steps on one image against the numpy functions that the estimate is made of."""
+    from pixelframe.operators import tilt_kernels as T
+
+    v = np.round(grid(96, 72, 4.0, 3.0, 14) * np.random.default_rng(4).uniform(0.6, 1.0, (72, 96)))
+    p = tilt.gray(from_codes(relation(spark, np.dstack([v.astype(int)] * 3 + [np.full(v.shape, 255)])), 96, 72))
+    gx, gy = T.sobel(T.blurred(v))
+    gradients = tilt.sobel(tilt.smoothed(p)).cache()
+    got = {(r.y, r.x): (r.gx, r.gy) for r in gradients.collect()}
+    assert all(got[y, x] == (gx[y, x], gy[y, x]) for y in range(72) for x in range(96))
+    low, high = T.thresholds(gx, gy)
+    assert tuple(tilt.canny_thresholds(gradients).first())[1:] == (low, high)
+    edges = T.canny(gx, gy, low, high)
+    found = tilt.canny_edges(gradients, 96, 72).cache()
+    assert {(r.y, r.x) for r in found.collect()} == {tuple(i) for i in np.argwhere(edges)}
+    votes = tilt.hough_votes(tilt.edge_points(found), 96, 72).cache()
+    lines = tilt.lines(votes, 96, 72)
+    want = T.hough_lines(edges, gx, gy, tilt.SPAN)
+    rows = lines.orderBy("rank").collect()
+    assert len(rows) == len(want) > 3
+    assert np.allclose(sorted((r.votes, r.phi, "hv".index(r.family)) for r in rows), sorted((v, phi, f) for phi, v, f in want))
+    values, masses = T.histogram(want, tilt.SPAN), np.zeros(len(tilt.ANGLES))
+    hist = tilt.angle_histogram(lines)
+    for r in hist.collect():
+        masses[r.ai] = r.mass
+    assert np.allclose(masses, values)
+    tops = tilt.histogram_peaks(hist)
+    peaks = T.histogram_peaks(values, tilt.SPAN)
+    assert np.allclose([r.phi for r in tops.orderBy("place").collect()], peaks)
+    phi, n, each = T.support(want, peaks[0])
+    r = tilt.line_support(lines, tops).first()
+    share = min(T.mass_near(values, tilt.SPAN, peaks[0]) / values.sum(), 1.0)
+    assert r.n == n and np.isclose(r.phi, phi) and np.isclose(r.confidence, T.line_confidence(share, n, each))
+    profile = T.Projection(gx, gy, tilt.SPAN)
+    scores = tilt.projection_scores(tilt.strong_points(tilt.edge_points(gradients)), 96, 72).collect()
+    for f, name in zip(profile.families, "hv", strict=True):
+        assert np.allclose([r.score for r in sorted((r for r in scores if r.family == name), key=lambda r: r.ai)], f.scores)
