@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -17,8 +18,29 @@ from ..operators.composite import MODES
 
 
 class RecipeError(ValueError):
+    """What is wrong with a recipe, and where: the layer's and the operation's place and name, if it is about one."""
+
     code = "invalid_recipe"
-    recovery = "Correct the named parameter; explain_operation lists ranges and defaults."
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        at = re.search(r"operations\[(\d+)\](?: \((\w+)\))?", text)
+        layer = re.search(r"layers\[(\d+)\]", text)
+        self.operation_index, self.op = (int(at[1]), at[2]) if at else (None, None)
+        self.layer_index = int(layer[1]) if layer else None
+
+    @property
+    def recovery(self) -> str:
+        if "unknown operation" in str(self):
+            return "Call list_operations for the names of operations."
+        if "missing field" in str(self) or "must not be empty" in str(self):
+            return "Add what is missing; explain_operation lists required fields."
+        if self.op:
+            return f"Correct the parameter; explain_operation({self.op!r}) lists ranges and defaults."
+        return "Correct the named field; a recipe has operations and, optionally, layers."
+
+    def details(self) -> dict:
+        return {"code": self.code, "message": str(self), "operation_index": self.operation_index, "op": self.op, "layer_index": self.layer_index, "recovery": self.recovery}
 
 
 REQUIRED, OMITTED = object(), object()

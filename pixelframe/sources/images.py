@@ -89,6 +89,26 @@ def header(data: bytes) -> dict:
     return out
 
 
+def icc_profile(data: bytes) -> bytes:
+    """The colour profile that a JPEG or PNG file holds, empty if none."""
+    if data[:2] == b"\xff\xd8":
+        parts, at = [], 2
+        while at + 4 < len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            n = int.from_bytes(data[at + 2 : at + 4])
+            if data[at + 1] == 0xE2 and data[at + 4 : at + 16] == b"ICC_PROFILE\0":
+                parts.append((data[at + 16], data[at + 18 : at + 2 + n]))
+            at += 2 + n
+        return b"".join(p for _, p in sorted(parts))
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        for name, part in png_chunks(data):
+            if name == b"iCCP":
+                try:
+                    return zlib.decompressobj().decompress(part.split(b"\0", 1)[1][1:], 16 << 20)
+                except zlib.error:
+                    return b""
+    return b""
+
+
 def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     at = 8
     while at + 8 <= len(data):
@@ -302,8 +322,8 @@ def png(pixels: np.ndarray) -> bytes:
 BAND = 64
 
 
-def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8) -> DataFrame:
-    """(image_id, content): one file an image, as PNG or, on white, as JPEG. Lines are packed into bands first, so that the
+def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8, icc: bytes = b"") -> DataFrame:
+    """(image_id, content): one file an image, as PNG or, on white and with a colour profile if one is given, as JPEG. Lines are packed into bands first, so that the
     task which writes a file holds its bytes and not a row for each pixel."""
     if fmt not in ("png", "jpeg"):
         raise ImageError(f"encode_failed: no encoder for {fmt} in this environment")
@@ -330,7 +350,7 @@ def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8)
     def file(table: pa.Table) -> pa.Table:
         parts = sorted(zip(table.column("band").to_pylist(), table.column("data").to_pylist(), strict=True))
         pixels = np.frombuffer(b"".join(d for _, d in parts), kind).reshape(height, width, len(channels))
-        data = png(pixels) if fmt == "png" else jpeg(pixels, quality or 85)
+        data = png(pixels) if fmt == "png" else jpeg(pixels, quality or 85, icc)
         return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([data], pa.binary())})
 
     bands = df.withColumn("band", F.floor(F.col("y") / BAND).cast("int")).groupBy("image_id", "band").applyInArrow(band, "image_id int, band int, data binary")

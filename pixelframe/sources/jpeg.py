@@ -119,8 +119,8 @@ def _packed(values: np.ndarray, bits: np.ndarray) -> bytes:
     return np.packbits(flat).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-def jpeg(pixels: np.ndarray, quality: int = 85) -> bytes:
-    """A file of an array (height, width, 3) of uint8."""
+def jpeg(pixels: np.ndarray, quality: int = 85, icc: bytes = b"") -> bytes:
+    """A file of an array (height, width, 3) of uint8, with a colour profile if one is given."""
     h, w, _ = pixels.shape
     wide = np.pad(pixels, ((0, -h % 8), (0, -w % 8), (0, 0)), "edge").astype(np.float64)
     planes = wide @ _YCC.T
@@ -148,6 +148,9 @@ def jpeg(pixels: np.ndarray, quality: int = 85) -> bytes:
         segments += segment(0xC4, bytes([(k % 2) << 4 | k // 2]) + table)
     values, lengths = np.stack([codes, extra], 1).ravel(), np.stack([sizes, bits], 1).ravel()
     out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+    profile = [icc[at : at + 65000] for at in range(0, len(icc), 65000)]
+    for k, part in enumerate(profile, 1):
+        out += segment(0xE2, b"ICC_PROFILE\0" + bytes([k, len(profile)]) + part)
     for i, t in enumerate(tables):
         out += segment(0xDB, bytes([i]) + bytes(t[ZIGZAG].tolist()))
     out += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"\1\x11\0\2\x11\1\3\x11\1") + segments

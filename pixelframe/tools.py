@@ -161,7 +161,15 @@ class Workspace:
             return {"revision_id": made.revision_id, "recipe_hash": wanted, "reused": True, "warnings": []}
         source = self.frame(revision_id)
         out = execute(parsed, source.df, source.width, source.height, _Assets(self), row.mime_type.split("/")[1])
-        content = bytes(images.encoded(out.frame, out.format, out.quality, out.bit_depth).first().content)
+        head, icc = images.header(data := self.read(revision_id)), images.icc_profile(data)
+        scopes = {o["scope"] for o in parsed["operations"] if o["op"] == "strip_metadata"}
+        if head["exif"] or head["has_gps"]:
+            out.warnings.append("EXIF data is dropped when a file is written again")
+        if "all" in scopes or out.format != "jpeg":
+            if icc and "all" not in scopes:
+                out.warnings.append(f"the colour profile is dropped: {out.format} files are written without one")
+            icc = b""
+        content = bytes(images.encoded(out.frame, out.format, out.quality, out.bit_depth, icc).first().content)
         mime = MIMES[out.format]
         made = self._store(revision_id, canonical(parsed), wanted, content, mime, out.frame.width, out.frame.height)
         return {"revision_id": made, "recipe_hash": wanted, "reused": False, "warnings": out.warnings}

@@ -5,6 +5,7 @@ from pixelframe.plans.compile import preview
 from pixelframe.plans.presets import PRESETS, recipe_of
 from pixelframe.plans.recipe import MASKED, OPS, RecipeError, canonical, parse, recipe_hash, validate
 
+# Recipes whose hashes are pinned.
 FULL = """{"operations":[{"op":"auto_orient"},{"op":"rotate","angle_degrees":-1.8,"crop":"largest_inscribed_rect"},{"op":"crop","aspect_ratio":"16:9","anchor":"center"},
 {"op":"resize","width":800,"fit":"cover"},{"op":"adjust","brightness":0.05,"contrast":0.02,"saturation":0.03,"sharpness":0.2},{"op":"encode","format":"jpeg","quality":85}]}"""
 HEAL = """{"operations":[{"op":"resize","width":320,"height":240,"fit":"cover"},{"op":"clone","src_x":80,"src_y":60,"dest_x":220,"dest_y":170,"radius":24,"feather_px":6.0},
@@ -65,3 +66,21 @@ def test_encode_comes_last_and_once():
     with pytest.raises(RecipeError):
         validate(parse({"operations": [encode, {"op": "auto_orient"}]}))
     assert [o["op"] for o in preview({"operations": [{"op": "vignette", "strength": 0.1}, encode]})["operations"]] == ["vignette", "resize", "encode"]
+
+
+def test_errors_tell_where_and_how_to_go_on():
+    for recipe, index, op, layer in (
+        ({"operations": [{"op": "flip", "direction": "horizontal"}, {"op": "vignette", "strength": 7.0}]}, 1, "vignette", None),
+        ({"operations": [], "layers": [{"source": "base"}, {"source": "base", "opacity": 2.0}]}, None, None, 1),
+        ({"operations": []}, None, None, None),
+    ):
+        with pytest.raises(RecipeError) as e:
+            validate(parse(recipe))
+        told = e.value.details()
+        assert (told["operation_index"], told["op"], told["layer_index"]) == (index, op, layer) and told["recovery"]
+
+
+def test_every_operation_is_explained():
+    from pixelframe.plans.catalog import ABOUT
+
+    assert set(ABOUT) == set(OPS) and all(explain_operation(o)["about"] for o in OPS)

@@ -144,6 +144,20 @@ def test_a_transform_is_made_once(work):
     assert e.value.code == "not_an_image"
 
 
+def test_colour_profiles_stay_in_jpeg_files(work, tmp_path):
+    w, rows, _ = work
+    profile = bytes(range(256)) * 300
+    (tmp_path / "p.jpg").write_bytes(with_exif(jpeg(gradient(), 90, profile), ISO))
+    source = w.import_files(str(tmp_path / "p.jpg")).first().revision_id
+    assert w.inspect(source)["has_icc_profile"] and images.icc_profile(w.read(source)) == profile
+    kept = w.apply_transform(source, "sepia")
+    assert images.icc_profile(w.read(kept["revision_id"])) == profile and any("EXIF" in x for x in kept["warnings"])
+    bare = w.apply_transform(source, {"operations": [{"op": "strip_metadata", "scope": "all"}]})
+    assert images.icc_profile(w.read(bare["revision_id"])) == b""
+    flat = w.apply_transform(source, {"operations": [{"op": "encode", "format": "png"}]})
+    assert any("profile" in x for x in flat["warnings"])
+
+
 def test_previews_comparisons_and_masks(work):
     w, rows, _ = work
     a = rows["a.png"].revision_id
