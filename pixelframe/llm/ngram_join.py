@@ -60,7 +60,7 @@ from .common import (
 from .components import components
 
 #: N-grams that a task gathers before it deals them to buckets, and n-grams in one bucket, about.
-BATCH_GRAMS, BUCKET_GRAMS = 1_500_000, 4_000_000
+BATCH_GRAMS, BUCKET_GRAMS = 1_000_000, 4_000_000
 #: Ranges of hash values whose counts the suffix filter compares.
 RANGES = 32
 #: What a document counts besides its n-grams, and what one block of a cluster holds, about.

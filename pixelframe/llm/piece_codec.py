@@ -36,11 +36,11 @@ from .common import column, small_batches, tidy
 
 MARK = "▁"
 #: Words in the younger of two generations that a Python worker remembers, and compatible or incompatible pairs.
-WORDS_KEPT, PAIRS_KEPT = 100_000, 1 << 20
+WORDS_KEPT, PAIRS_KEPT = 100_000, 1 << 19
 #: Characters that the automaton over columns knows, and the longest words that it takes, how many at once.
-ALPHABET, LONGEST, TOGETHER = 224, 40, 1 << 16
+ALPHABET, LONGEST, TOGETHER = 224, 40, 1 << 15
 #: Code points of text that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 
