@@ -25,8 +25,8 @@ def resized_plane(df: DataFrame, width: int, height: int, to_width: int, to_heig
             f = N.q6(at - i)
             rows += [(i, o, 1.0 - f), (min(i + 1, size - 1), o, f)]
         other = "y" if axis == "x" else "x"
-        table = F.broadcast(spark.createDataFrame(rows, f"{axis} int, _o int, _k double"))
-        df = df.join(table, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.sum(F.col("w") * F.col("_k")).alias("w"))
+        table = spark.createDataFrame(rows, f"{axis} int, _o int, _k double")
+        df = df.join(F.broadcast(table) if len(rows) <= 500_000 else table, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.sum(F.col("w") * F.col("_k")).alias("w"))
     return df.select(*KEY, "w")
 
 
