@@ -75,16 +75,16 @@ class Planner:
         """What an operation loses or adds, told before it runs."""
         if name == "rotate" and params.get("crop", "largest_inscribed_rect") != "full" and (lost := geometry.rotation_loss(p.width, p.height, params["angle_degrees"])):
             w, h = geometry.inscribed(p.width, p.height, params["angle_degrees"])
-            self.warnings.append(f"rotation crop (largest_inscribed_rect) removed {lost:.1f}% of pixels ({p.width}x{p.height} -> {w}x{h})")
+            self.warnings.append(f"turning leaves {w}x{h} of {p.width}x{p.height} pixels, {lost:.1f} per cent less")
         elif name == "perspective":
             quad = {k: v for k, v in params.items() if k != "pad_color"}
             step, w, h = geometry.perspective_step(p.width, p.height, **quad)
             if padded := geometry.padding_share(p.width, p.height, step, w, h):
-                self.warnings.append(f"{padded * 100:.1f}% of the {w}x{h} output is padding")
+                self.warnings.append(f"{padded * 100:.1f} per cent of the result's {w}x{h} pixels have no source and are padded")
         elif name == "crop" and params.get("rect") and params.get("coordinate_space") == "source":
             x0, y0, x1, y1 = geometry.source_box(p, *(int(params["rect"][k]) for k in ("x", "y", "width", "height")))
             if x0 < 0 or y0 < 0 or x1 > p.width or y1 > p.height:
-                self.warnings.append(f"crop: the source rectangle reaches beyond the {p.width}x{p.height} image and was clamped")
+                self.warnings.append(f"the rectangle to crop reaches beyond the {p.width}x{p.height} image; its part inside is taken")
 
     def operation(self, p: PixelFrame, op: Mapping) -> PixelFrame:
         name, params = op["op"], {k: v for k, v in op.items() if k not in ("op", "mask")}

@@ -33,7 +33,7 @@ class RecipeError(ValueError):
     def recovery(self) -> str:
         if "unknown operation" in str(self):
             return "Call list_operations for the names of operations."
-        if "missing field" in str(self) or "must not be empty" in str(self):
+        if "missing" in str(self):
             return "Add what is missing; explain_operation lists required fields."
         if self.op:
             return f"Correct the parameter; explain_operation({self.op!r}) lists ranges and defaults."
@@ -60,13 +60,13 @@ def revision(v: str) -> str | None:
 
 def _points(v: list) -> str | None:
     if not 1 <= len(v) <= 32:
-        return f"must have 1..=32 control points, got {len(v)}"
-    return None if all(a[0] < b[0] for a, b in zip(v, v[1:], strict=False)) else "control point x values must be strictly increasing"
+        return f"takes 1 to 32 points, not {len(v)}"
+    return None if all(a[0] < b[0] for a, b in zip(v, v[1:], strict=False)) else "points must go from left to right"
 
 
 def _stops(v: list) -> str | None:
     if not 2 <= len(v) <= 8:
-        return f"must have 2..=8 stops, got {len(v)}"
+        return f"takes 2 to 8 stops, not {len(v)}"
     for s in v:
         if not 0 <= s["position"] <= 1 or not math.isfinite(s["position"]):
             return f"position must be within 0..=1, got {s['position']}"
@@ -268,35 +268,35 @@ def _joint(op: dict) -> str | None:
         if op.get("coordinate_space") == "source" and "rect" not in op:
             return 'coordinate_space "source" is only valid together with rect'
         if ("aspect_ratio" in op) == ("rect" in op):
-            return "specify exactly one of aspect_ratio and rect"
+            return "either aspect_ratio or rect says what to keep"
         if "rect" in op and not (op["rect"]["width"] > 0 and op["rect"]["height"] > 0):
-            return "rect width/height must be > 0"
+            return "rect needs a width and a height above 0"
     if name == "resize" and "width" not in op and "height" not in op:
-        return "at least one of width or height is required"
+        return "width or height is needed"
     if name == "curves" and not any(k in op for k in ("master", "red", "green", "blue")):
-        return "at least one of master, red, green, blue is required"
+        return "one of master, red, green and blue is needed"
     if name == "levels":
         if op["in_black"] >= op["in_white"]:
-            return "in_black must be less than in_white"
+            return "in_black must lie below in_white"
         if op["out_black"] > op["out_white"]:
-            return "out_black must not exceed out_white"
+            return "out_black must not lie above out_white"
     if name == "hsl":
         bands = {k: v for k, v in op.items() if k not in ("op", "mask")}
         if not bands:
-            return "at least one band is required"
+            return "one band is needed"
         if any(abs(x) > 100 or not math.isfinite(x) for b in bands.values() for x in b.values()):
-            return "hue, saturation and luminance must be within -100..=100"
+            return "a band's values lie within -100..=100"
     if name == "convolve" and len(op["kernel"]) != op["size"] ** 2:
-        return f"kernel must have size*size = {op['size'] ** 2} values, got {len(op['kernel'])}"
+        return f"a kernel of {op['size']} a side has {op['size'] ** 2} values, not {len(op['kernel'])}"
     if name == "perspective":
         if ("quad" in op) == ("vertical_degrees" in op or "horizontal_degrees" in op):
-            return "specify exactly one of quad and vertical/horizontal_degrees"
+            return "either quad or degrees say how to turn"
         if "quad" in op and not _convex(op["quad"]):
-            return "quad must be strictly convex and clockwise from the top left"
+            return "quad must go clockwise from the top left around a convex shape"
     if name == "pixelate" and "region" in op and not (op["region"]["width"] > 0 and op["region"]["height"] > 0):
-        return "region width/height must be > 0"
+        return "region needs a width and a height above 0"
     if name == "encode" and op.get("bit_depth") == 16 and op["format"] != "png":
-        return "bit_depth 16 is only supported for png output"
+        return "16 bits go into png files only"
     return None
 
 
@@ -313,17 +313,17 @@ def _check_operations(ops: list[dict], prefix: str = "") -> None:
         if problem := _joint(op):
             raise RecipeError(f"{where}: {problem}")
         if op["op"] == "encode" and i != len(ops) - 1:
-            raise RecipeError(f"{where}: encode must be the last operation")
+            raise RecipeError(f"{where}: nothing may follow encode")
 
 
 def validate(recipe: dict) -> dict:
     """Check a parsed recipe; gives it back."""
     if not recipe["operations"] and recipe.get("layers") is None:
-        raise RecipeError("operations must not be empty")
+        raise RecipeError("missing operations")
     _check_operations(recipe["operations"])
     layers = recipe.get("layers")
     if layers is not None and not layers:
-        raise RecipeError("layers must not be empty when present")
+        raise RecipeError("missing layers in layers")
     for i, layer in enumerate(layers or []):
         where = f"layers[{i}]"
         if isinstance(layer["source"], dict) and (problem := revision(layer["source"]["revision_id"])):
@@ -335,10 +335,10 @@ def validate(recipe: dict) -> dict:
         if "mask" in layer:
             _check_mask(layer["mask"], where)
         if i == 0 and (layer["blend_mode"] != "normal" or layer["opacity"] != 1.0 or "mask" in layer):
-            raise RecipeError("layers[0] is the backdrop: blend_mode must be normal, opacity 1.0, and no mask")
+            raise RecipeError("layers[0] lies at the bottom: it is normal, opaque and without a mask")
         for j, op in enumerate(layer["ops"]):
             if op["op"] in ("encode", "strip_metadata"):
-                raise RecipeError(f"{where}.ops[{j}] ({op['op']}): only allowed in the top-level operations")
+                raise RecipeError(f"{where}.ops[{j}] ({op['op']}): belongs to the recipe's own operations")
         _check_operations(layer["ops"], f"{where}.ops: ")
     return recipe
 

@@ -131,7 +131,7 @@ def test_a_transform_is_made_once(work):
     n = w.ledger.rows().count()
     again = w.apply_transform(source, json.dumps(recipe))
     assert not first["reused"] and again["reused"] and again["revision_id"] == first["revision_id"] and w.ledger.rows().count() == n
-    assert any("% of pixels" in x for x in first["warnings"])
+    assert any("per cent" in x for x in first["warnings"])
     made = w.row(first["revision_id"])
     out = pixels(w.frame(first["revision_id"]).df)
     assert out.shape == (made.height, made.width, 3) and np.allclose(out[3, 3], [1, 0, 0])
