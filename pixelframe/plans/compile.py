@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..frame import LINEAR, SRGB, PixelFrame, from_channels, from_codes
 from ..operators import color, composite, filters, geometry, masks
+from ..sources.svg import Drawing
 from .presets import recipe_of
 from .recipe import MASKED, parse, recipe_hash, validate
 
@@ -53,7 +54,7 @@ def first_space(recipe: dict) -> str:
 
 
 class Planner:
-    """``assets``: revision_id -> PixelFrame (rasters and rasterised drawings) or sources.cube.Cube."""
+    """``assets``: revision_id -> PixelFrame, sources.svg.Drawing or sources.cube.Cube."""
 
     def __init__(self, assets: Mapping[str, Any] | None = None):
         self.assets = assets or {}
@@ -68,7 +69,9 @@ class Planner:
     def plane(self, mask: Mapping, width: int, height: int) -> DataFrame:
         key = (mask["revision_id"], mask["invert"], mask["feather_px"], width, height)
         if key not in self.planes:
-            self.planes[key] = masks.plane(self.asset(mask["revision_id"]), width, height, mask["invert"], mask["feather_px"])
+            # masks are read as they are stored, whatever way up they are to be shown
+            read = getattr(self.assets, "mask", self.asset)
+            self.planes[key] = masks.plane(read(mask["revision_id"]), width, height, mask["invert"], mask["feather_px"])
         return self.planes[key]
 
     def warn(self, p: PixelFrame, name: str, params: Mapping) -> None:
@@ -94,7 +97,10 @@ class Planner:
             after = color.lut(p, self.asset(params["lut_revision_id"]), params["strength"])
         elif name == "svg_overlay":
             top = self.asset(params["svg_revision_id"])
-            if "width" in params or "height" in params:
+            if isinstance(top, Drawing):
+                self.warnings += [f"svg_overlay: {w}" for w in top.warnings()]
+                top = top.frame(p.df.sparkSession, params.get("width"), params.get("height"))
+            elif "width" in params or "height" in params:
                 top = geometry.resize(top, params.get("width"), params.get("height"), "fill", False)
             return composite.over(p, top, params["blend_mode"], params["opacity"], at=(params["x"], params["y"]))
         else:

@@ -9,10 +9,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
+from ..frame import PixelFrame, from_channels
 from ..functions.numeric import hex_color
 
 MOST_BYTES, MOST_EDGE = 16 << 20, 32768
@@ -398,6 +402,36 @@ def rasterise(text: str, width: int | None = None, height: int | None = None) ->
     return out, warnings
 
 
+@dataclass(frozen=True)
+class Drawing:
+    """An SVG text, drawn at the size that it is asked for."""
+
+    text: str
+
+    def warnings(self) -> list[str]:
+        return rasterise(self.text)[1]
+
+    def frame(self, spark: SparkSession, width: int | None = None, height: int | None = None) -> PixelFrame:
+        """Image 0: one task draws, and hands pixels on in parts."""
+        w0, h0 = size_of(self.text)
+        if not w0 and not (width and height):
+            raise SvgError("drawing has no size")
+        w, h = width or (round(w0 * height / h0) if height else w0), height or (round(h0 * width / w0) if width else h0)
+        text = self.text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                rgba = rasterise(text, w, h)[0].reshape(-1, 4)
+                ys, xs = (i.ravel() for i in np.indices((h, w)))
+                for at in range(0, len(rgba), 1 << 18):
+                    part = slice(at, at + (1 << 18))
+                    key = [pa.array(np.zeros(len(rgba[part]), np.int32)), pa.array(ys[part], pa.int32()), pa.array(xs[part], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*key, *(pa.array(rgba[part, i]) for i in range(4))], ["image_id", "y", "x", *"rgba"])
+
+        pixels = spark.range(1, numPartitions=1).mapInArrow(run, "image_id int, y int, x int, r double, g double, b double, a double")
+        return from_channels(pixels, w, h)
+
+
 def _walk(e, inherited, matrix, opacity, by_id, warnings, depth: int = 0) -> Iterator[tuple]:
     """Shapes below an element in order: with their tags, styles, matrices and opacities."""
     if not isinstance(e.tag, str) or depth > 64:

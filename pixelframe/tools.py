@@ -7,7 +7,6 @@ import os
 from collections.abc import Iterator, Mapping
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +27,6 @@ MIMES = {"png": "image/png", "jpeg": "image/jpeg"}
 #: Long edges of previews and of compared images.
 PREVIEW_EDGE, COMPARED_EDGE = 768, 640
 OVERLAYS = ("grid", "thirds", "horizon", "mask")
-_CHANNELS = "image_id int, y int, x int, r double, g double, b double, a double"
 
 
 class ToolError(ValueError):
@@ -45,11 +43,14 @@ class _Assets(Mapping):
     def __init__(self, workspace: Workspace):
         self.workspace, self.known = workspace, {}
 
-    def __getitem__(self, revision_id: str) -> PixelFrame | Cube:
+    def __getitem__(self, revision_id: str) -> PixelFrame | Cube | svg.Drawing:
         if revision_id not in self.known:
             self.known[revision_id] = self.workspace.asset(revision_id)
         return self.known[revision_id]
 
+    def mask(self, revision_id: str) -> PixelFrame:
+        return self.workspace.frame(revision_id, orient=False)
+
     def __contains__(self, revision_id: object) -> bool:
         return self.workspace.row(str(revision_id)) is not None
 
@@ -125,30 +126,15 @@ class Workspace:
             width, height = head.width, head.height
         return from_channels(pixels, width, height)
 
-    def asset(self, revision_id: str) -> PixelFrame | Cube:
+    def asset(self, revision_id: str) -> PixelFrame | Cube | svg.Drawing:
         row = self.row(revision_id)
         if row is None:
             raise StoreError(f"unknown revision {revision_id}")
         if row.mime_type == LUT_MIME:
             return parse_cube(self.read(revision_id).decode("utf-8", "replace"))
-        if row.mime_type != SVG_MIME:
-            return self.frame(revision_id)
-        text = self.read(revision_id).decode()
-        drawn, _ = svg.rasterise(text)
-        height, width = drawn.shape[:2]
-
-        def run(batches):
-            for _ in batches:
-                rgba = svg.rasterise(text)[0].reshape(-1, 4)
-                ys, xs = (i.ravel() for i in np.indices((height, width)))
-                for at in range(0, len(rgba), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(len(rgba[part]), np.int32)), pa.array(ys[part], pa.int32()), pa.array(xs[part], pa.int32()), *(pa.array(rgba[part, i]) for i in range(4))],
-                        ["image_id", "y", "x", *"rgba"],
-                    )
-
-        return from_channels(self.spark.range(1, numPartitions=1).mapInArrow(run, _CHANNELS), width, height)
+        if row.mime_type == SVG_MIME:
+            return svg.Drawing(self.read(revision_id).decode())
+        return self.frame(revision_id)
 
     # transforms
 

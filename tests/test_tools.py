@@ -139,6 +139,11 @@ def test_a_transform_is_made_once(work):
     row = w.row(gray["revision_id"])
     assert (row.mime_type, row.width, row.height) == ("image/jpeg", 21, 34)
     assert [r.depth for r in w.ledger.lineage(first["revision_id"]).orderBy("depth").collect()] == [0, 1]
+    large = w.apply_transform(source, {"operations": [{"op": "svg_overlay", "svg_revision_id": rows["logo.svg"].revision_id, "x": 0, "y": 0, "width": 12, "height": 8}]})
+    assert np.allclose(pixels(w.frame(large["revision_id"]).df)[:8, :12], [1, 0, 0])
+    # a mask is read as it is stored: b.jpg is 34 x 21 before it is turned
+    masked = w.apply_transform(source, {"operations": [{"op": "adjust", "brightness": 0.5, "mask": {"revision_id": rows["b.jpg"].revision_id}}]})
+    assert w.row(masked["revision_id"]).width == 34
     with pytest.raises(ToolError) as e:
         w.apply_transform(rows["look.txt"].revision_id, "grayscale")
     assert e.value.code == "not_an_image"
