@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 #: Code points of text, as UTF-8 bytes, that a task gathers before it packs a batch.
 BATCH_BYTES = 4_000_000
-#: Distinct words whose hashes a Python worker remembers.
-WORDS_KEPT = 300_000
 
 _WORDS_ASCII = bytes(
     b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256)
@@ -76,29 +74,6 @@ def hashed(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed on a miss; forgets everything when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def words_plain(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text."""
-    return text.encode().split() if text else []
-
-
-def words_lower(text: str | None) -> list[bytes]:
-    """The same words after lower-casing A-Z only."""
-    return text.encode().lower().split() if text else []
-
-
 def words_alnum(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z only."""
     return text.encode().translate(_WORDS_ASCII).split() if text else []
@@ -233,6 +208,18 @@ def batches_of(source, limit: int = BATCH_BYTES):
         yield ids, texts
 
 
+def parts_of(texts: list, limit: int):
+    """Consecutive texts of about ``limit`` code points together; a longer one is a part of its own."""
+    low = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= limit:
+            yield texts[low : i + 1]
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield texts[low:]
+
+
 def by_bucket(bucket: np.ndarray, n: int):
     """(bucket, rows of it) for each bucket that has rows."""
     order = np.argsort(bucket, kind="stable")

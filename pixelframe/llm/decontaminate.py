@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom, bloom_of, longs
-from .common import WordHashes, column, hashed, mixed, rolling, small_batches, tidy, words_alnum, written
+from .common import ALNUM, BATCH_BYTES, column, mixed, parts_of, rolling, small_batches, tidy, word_hashes, words_alnum, written
 
 WINDOW, SHINGLE = 13, 3
 #: UTF-8 bytes of all items up to which the benchmark's windows go to the tasks; about 70 bytes in memory for each.
@@ -48,8 +48,13 @@ def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _parts(window: tuple[bytes, ...]) -> np.ndarray:
-    h = np.array([hashed(w) for w in window], np.uint64)
-    return _keys(h, min(SHINGLE, len(window)))
+    return _keys(word_hashes([b" ".join(window)], ALNUM)[0], min(SHINGLE, len(window)))
+
+
+def _shingles(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all runs of n words of some texts, and which of these lie in one text."""
+    s = _keys(h, n)
+    return s, owner[: len(s)] == owner[n - 1 : n - 1 + len(s)]
 
 
 def _rarity(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -57,15 +62,16 @@ def _rarity(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarra
     sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches):
-        cache, own = WordHashes(), {n: np.zeros(len(k), np.int64) for n, k in sent.value.items()}
+        own = {n: np.zeros(len(k), np.int64) for n, k in sent.value.items()}
         for b in batches:
-            for text in column(b, "text"):
-                h = cache.of(words_alnum(text))
+            for texts in parts_of(column(b, "text"), BATCH_BYTES):
+                h, edges = word_hashes(texts, ALNUM)
+                owner = np.repeat(np.arange(len(texts)), np.diff(edges))
                 for n, k in sent.value.items():
-                    s = _keys(h, n)
+                    s, inside = _shingles(h, owner, n)
                     at = np.searchsorted(k, s)
                     at[at == len(k)] = 0
-                    own[n] += np.bincount(at[k[at] == s], minlength=len(k))
+                    own[n] += np.bincount(at[inside & (k[at] == s)], minlength=len(k))
         for n, c in own.items():
             used = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays(
@@ -122,25 +128,32 @@ def _finder(docs: DataFrame, items: DataFrame):
     rarity = _rarity(docs.select(F.col("text").cast("string")), keys) if keys else {}
     sent = spark.sparkContext.broadcast(_table(windows, rarity, keys))
 
-    def find(texts, cache):
-        for text in texts:
-            words = words_alnum(text)
-            h = cache.of(words)
-            spans, items_here = set(), set()
+    def find(every):
+        for texts in parts_of(every, BATCH_BYTES):
+            h, edges = word_hashes(texts, ALNUM)
+            sizes = np.diff(edges)
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            spans: dict[int, set] = {}
+            found: dict[int, set] = {}
+            words: dict[int, list[bytes]] = {}
             for n, (prefix, rows) in sent.value.items():
-                s = _keys(h, n)
+                s, inside = _shingles(h, owner, n)
                 low = np.searchsorted(prefix, s)
                 low[low == len(prefix)] = 0
-                for p in np.flatnonzero(prefix[low] == s).tolist():
+                for p in np.flatnonzero(inside & (prefix[low] == s)).tolist():
+                    i = int(owner[p])
                     for j in range(int(low[p]), int(np.searchsorted(prefix, s[p], "right"))):
                         offset, window, ids = rows[j]
-                        begin = p - offset
-                        if begin < 0 or begin + len(window) > len(words):
+                        begin = p - int(edges[i]) - offset
+                        if begin < 0 or begin + len(window) > sizes[i]:
                             continue
-                        if tuple(words[begin : begin + len(window)]) == window:
-                            spans.add((begin, begin + len(window)))
-                            items_here.update(ids)
-            yield len(words), _merged(spans), sorted(items_here)
+                        if i not in words:
+                            words[i] = words_alnum(texts[i])
+                        if tuple(words[i][begin : begin + len(window)]) == window:
+                            spans.setdefault(i, set()).add((begin, begin + len(window)))
+                            found.setdefault(i, set()).update(ids)
+            for i, size in enumerate(sizes.tolist()):
+                yield size, _merged(spans.get(i, set())), sorted(found.get(i, ()))
 
     return find
 
@@ -154,12 +167,12 @@ def _passing(docs: DataFrame, keys: DataFrame, out, schema: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom_of(keys, keys.count(), longs).words)
 
     def run(batches):
-        cache, listed = WordHashes(), BlockedBloom(sent.value)
+        listed = BlockedBloom(sent.value)
         for b in batches:
             rows = []
             for text in column(b, "text"):
                 words = words_alnum(text)
-                h = cache.of(words)
+                h, _ = word_hashes([text], ALNUM)
                 for n in range(1, SHINGLE + 1):
                     k = _keys(h, n)
                     at = np.flatnonzero(listed.may_hold(k))
@@ -243,9 +256,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     find = _finder(docs, items)
 
     def run(batches):
-        cache = WordHashes()
         for b in batches:
-            got = list(find(column(b, "text"), cache))
+            got = list(find(column(b, "text")))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -269,9 +281,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     find = _finder(docs, items)
 
     def run(batches):
-        cache = WordHashes()
         for b in batches:
-            hit = [(n, sum(e - s for s, e in spans)) for n, spans, _ in find(column(b, "text"), cache)]
+            hit = [(n, sum(e - s for s, e in spans)) for n, spans, _ in find(column(b, "text"))]
             yield b.filter(pa.array([not (k and share * k >= n) for n, k in hit], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, tidy
+from .common import column, parts_of, small_batches, tidy
 
 MARK = "▁"
 #: Words in the younger of two generations that a Python worker remembers, and compatible or incompatible pairs.
@@ -139,8 +139,9 @@ class Columns:
         if len(children) <= 1 << 16:
             self.after = self.after.astype(np.uint16)
 
-    def encode(self, words: list[str], pairs: Pairs) -> list[list[int] | None]:
-        """Ids of each word; None for one with a character beyond the alphabet or of more than ``LONGEST``."""
+    def encode(self, words: list[str], pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words that this can encode, their ids one after the other, and where and how many each one's are.
+        Left out are words with a character beyond the alphabet and those of more than ``LONGEST``."""
         flat = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size) - size
@@ -165,17 +166,17 @@ class Columns:
                 node, rest = self.shorter[node[~fits]], rest[~fits]
                 node, rest = node[node > 0], rest[node > 0]
         # read the ids backwards, the last ones of all words first
-        ids, at = np.full((n, LONGEST), -1, np.int32), size.copy()
-        count, left = np.zeros(n, np.int64), np.arange(n)
+        at, count, left, steps = size.copy(), np.zeros(n, np.int64), np.arange(n), []
         while len(left):
-            ids[left, count[left]] = last[left, at[left]]
+            steps.append((left, last[left, at[left]]))
             count[left] += 1
             at[left] -= width[left, at[left]]
             left = left[at[left] > 0]
-        out: list[list[int] | None] = [None] * len(words)
-        for r, row, m in zip(rows.tolist(), ids.tolist(), count.tolist(), strict=True):
-            out[r] = row[:m][::-1]
-        return out
+        begin = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), np.int32)
+        for k, (left, t) in enumerate(steps):
+            ids[begin[left] + count[left] - 1 - k] = t
+        return rows, ids, begin, count
 
 
 class PieceModel:
@@ -218,7 +219,8 @@ class PieceModel:
         chars = sorted((c for c in common if c in self.whole), key=lambda c: (ord(c) > 127, -common[c], c))[:ALPHABET]
         self.columns = Columns(self.whole, chars)
         self.pairs = Pairs(self._fits)
-        self.ids_told = {i: str(i) for i in self.names}
+        self.ids_told = np.array([str(i) for i in range(len(spec.pieces))], object)
+        self.pieces = np.array([self.names[i] for i in range(len(spec.pieces))], object)
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
@@ -281,30 +283,37 @@ class PieceModel:
         out: list[list[int]] = []
         for low in range(0, len(words), TOGETHER):
             part = words[low : low + TOGETHER]
-            out += [self.encode_word(w) if i is None else i for w, i in zip(part, self.columns.encode(part, self.pairs), strict=True)]
+            rows, ids, begin, count = self.columns.encode(part, self.pairs)
+            each = dict(zip(rows.tolist(), np.split(ids, begin[1:]), strict=True)) if len(rows) else {}
+            out += [each[i].tolist() if i in each else self.encode_word(w) for i, w in enumerate(part)]
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """See to it that ``young`` holds these words."""
+        """See to it that ``young`` holds these words: number of ids, ids as text, and what they decode to."""
         if len(self.young) >= WORDS_KEPT:
             self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         new = []
-        for w in words:
-            if w not in self.young:
-                got = self.old.get(w)
-                if got is None:
-                    new.append(w)
-                else:
-                    self.young[w] = got
-        told, names = self.ids_told, self.names
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            if any(i in self.bytes for i in ids):
-                # decode() drops the mark that a text begins with; a word's is put back
-                text = MARK + self.decode(ids) if ids[0] not in self.bytes and w[0] == MARK else self.decode(ids)
+        for w in words - young.keys():
+            got = old.get(w)
+            if got is None:
+                new.append(w)
             else:
-                text = "".join([names[i] for i in ids])
-                text = w if text == w else text  # one string instead of two
-            self.young[w] = (len(ids), ",".join([told[i] for i in ids]), text)
+                young[w] = got
+        for low in range(0, len(new), TOGETHER):
+            part = new[low : low + TOGETHER]
+            rows, ids, begin, count = self.columns.encode(part, self.pairs)
+            told, names = self.ids_told[ids].tolist(), self.pieces[ids].tolist()
+            for r, a, n in zip(rows.tolist(), begin.tolist(), count.tolist(), strict=True):
+                w, b = part[r], a + n
+                text = "".join(names[a:b])
+                young[w] = (n, ",".join(told[a:b]), w if text == w else text)  # one string instead of two
+            for w in part if len(rows) < len(part) else ():
+                if w not in young:
+                    ids = self.encode_word(w)
+                    # decode() drops the mark that a text begins with; a word's is put back
+                    text = MARK + self.decode(ids) if ids[0] not in self.bytes and w[0] == MARK else self.decode(ids)
+                    young[w] = (len(ids), ",".join(map(str, ids)), text)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text."""
@@ -326,10 +335,10 @@ class PieceModel:
         self._learn(set().union(*cut))
         known, out = self.young, []
         for words in cut:
-            got = [known[w] for w in words]
-            decoded = "".join([g[2] for g in got])
+            n, told, parts = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+            decoded = "".join(parts)
             decoded = (decoded[1:] if decoded[:1] == MARK else decoded).replace(MARK, " ")
-            out.append((sum([g[0] for g in got]), _sha(",".join([g[1] for g in got])), _sha(decoded)))
+            out.append((sum(n), _sha(",".join(told)), _sha(decoded)))
         return out
 
 
@@ -352,17 +361,6 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _parts(texts: list[str | None]):
-    """Consecutive texts of about ``BATCH_CHARS`` together."""
-    low = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= BATCH_CHARS:
-            yield texts[low : i + 1]
-            low, chars = i + 1, 0
-    yield texts[low:]
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids. The model file, under 1 MB, is read on the driver and goes to the tasks."""
     data = _model_bytes(model_path)
@@ -371,7 +369,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = model_at(key, data)
         for b in batches:
-            ids = [i for part in _parts(column(b, "text")) for i in model.encode(part)]
+            ids = [i for part in parts_of(column(b, "text"), BATCH_CHARS) for i in model.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
@@ -399,7 +397,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = model_at(key, data)
         for b in batches:
-            got = [g for part in _parts(column(b, "text")) for g in model.digests(part)]
+            got = [g for part in parts_of(column(b, "text"), BATCH_CHARS) for g in model.digests(part)]
             n, ids, texts = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
