@@ -18,7 +18,7 @@ from .plans.recipe import canonical, recipe_hash
 from .sources import images, svg
 from .sources.cube import MOST_BYTES as CUBE_BYTES
 from .sources.cube import Cube, parse_cube
-from .sources.sinks import preview_path, write_objects
+from .sources.sinks import export_file, preview_path, write_objects
 from .sources.store import Ledger, StoreError, object_path, preview_key
 
 LUT_MIME, SVG_MIME = "application/x-cube-lut", "image/svg+xml"
@@ -222,6 +222,13 @@ class Workspace:
     def inspect(self, revision_id: str) -> dict[str, Any]:
         return images.inspect(self.spark, self.path(self._raster(revision_id))).head().asDict(True)
 
+    def export(self, revision_id: str, target: str, overwrite: bool = False) -> str:
+        """Copy a revision's file out of the workspace; gives the path that was written."""
+        row = self.row(revision_id)
+        if row is None:
+            raise StoreError(f"unknown revision {revision_id}")
+        return export_file(self.path(row), target, self.folder, overwrite)
+
     def list_assets(self) -> DataFrame:
         return self.ledger.revisions()
 

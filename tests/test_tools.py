@@ -179,6 +179,18 @@ def test_previews_comparisons_and_masks(work):
     assert (w.compare_revisions(a, turned).width, w.compare_revisions(a, turned, "stacked").height) == (34 * 2 + 8, 21 * 2 + 8)
     assert w.compare_revisions(a, turned, "diff").df.count() == 34 * 21
     assert w.inspect(a)["mime"] == "image/png" and w.list_assets().count() >= 6
+    found = w.detect_tilt(a)
+    assert set(found) >= {"tilt", "confidence", "recommended", "method", "warnings"}
+
+
+def test_export_leaves_the_workspace(work, tmp_path):
+    w, rows, files = work
+    out = w.export(rows["a.png"].revision_id, str(tmp_path / "out.png"))
+    with open(out, "rb") as f:
+        assert f.read() == (files / "a.png").read_bytes()
+    with pytest.raises(StoreError):
+        w.export(rows["a.png"].revision_id, str(tmp_path / "out.png"))
+    assert w.export(rows["a.png"].revision_id, str(tmp_path / "out.png"), overwrite=True) == out
 
 
 def test_ledger_lines(spark, tmp_path):
