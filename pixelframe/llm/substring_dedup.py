@@ -80,6 +80,11 @@ def _hashes(texts: list, seed: np.uint64 | None = None) -> list[np.ndarray]:
     return np.split(h, edges[1:-1]) if texts else []
 
 
+def window_hashes(words: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of a text the hash that it meets others by, and the one that has to agree too."""
+    return rolling(words, WINDOW), rolling(checks, WINDOW)
+
+
 def parsed(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every window of texts, given as word hashes: text, place, anchor's name, anchor's ordinal in its text."""
     long = [i for i, h in enumerate(words) if len(h) >= WINDOW]
@@ -244,7 +249,8 @@ def repeated_windows(texts: DataFrame, told: DataFrame, n_buckets: int) -> DataF
                     continue
                 begin = np.searchsorted(mine, known[d])
                 at = at[np.isin(name[rows], name[rows][begin[begin < len(mine)]])]
-                columns.append((np.full(len(at), d, np.int64), rolling(words[i], WINDOW)[at], rolling(checks[i], WINDOW)[at], at.astype(np.uint32)))
+                key, check = window_hashes(words[i], checks[i])
+                columns.append((np.full(len(at), d, np.int64), key[at], check[at], at.astype(np.uint32)))
             here.clear()
 
         size = 0

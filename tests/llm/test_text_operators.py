@@ -166,6 +166,18 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup(empty(docs)).count() == 0
 
 
+def test_substring_dedup_tells_colliding_windows_apart(docs, rows, monkeypatch):
+    """The hash by which windows meet has sixteen values; the second one keeps different windows apart."""
+    from pixelframe.llm import substring_dedup as module
+    from pixelframe.llm.common import rolling
+
+    want = got(module.substring_dedup(docs))
+    monkeypatch.setattr(module, "window_hashes", lambda words, checks: (rolling(words, 13) % np.uint64(16), rolling(checks, 13)))
+    assert got(module.substring_dedup(docs)) == want
+    monkeypatch.setattr(module, "window_hashes", lambda words, checks: (rolling(words, 13) % np.uint64(16), rolling(checks, 13) * np.uint64(0)))
+    assert got(module.substring_dedup(docs)) != want  # without it they are not
+
+
 def test_equal_stretches_have_equal_anchors():
     from pixelframe.llm.recompression import anchors
 
