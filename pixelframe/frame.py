@@ -55,8 +55,9 @@ def from_codes(df: DataFrame, width: int, height: int, space: str = SRGB) -> Pix
 
 
 def from_channels(df: DataFrame, width: int, height: int, space: str = SRGB) -> PixelFrame:
-    """From columns r, g, b, a on 0..1 of sRGB values, as 16-bit files have them."""
-    return PixelFrame(df.select(*KEY, *"rgba"), width, height).to(space)
+    """From columns r, g, b, a on 0..1 of sRGB code values, as files of 8 and 16 bits have them."""
+    p = PixelFrame(df.select(*KEY, *"rgba"), width, height)
+    return replace(p.rgb(N.codes_to_linear), space=LINEAR) if space == LINEAR else p
 
 
 def codes(p: PixelFrame) -> DataFrame:

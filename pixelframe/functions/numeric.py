@@ -86,6 +86,11 @@ def to_linear(c: Column) -> Column:
     return lerp(eotf_nodes(), c)
 
 
+def codes_to_linear(c: Column) -> Column:
+    """Of code values on 0..1, 8 or 16 bits deep: what a table of all of them has, without one of 65,536 entries in the plan."""
+    return F.round(F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))) * 1e9) / 1e9
+
+
 def to_srgb(c: Column) -> Column:
     return lerp(oetf_nodes(), c)
 

@@ -102,6 +102,11 @@ QUAD = [[4, 3], [60, 6], [57, 46], [2, 41]]
 px("px_perspective_quad", "emb", lambda p: geometry.perspective(p, QUAD), lambda c: c.perspective(quad=QUAD), "linear")
 
 
+_NOTHING = {"operations": [{"op": "auto_orient"}, {"op": "strip_metadata", "scope": "all"}, {"op": "encode", "format": "png"}]}
+QUERIES["px_no_pixel_ops"] = lambda s, d: codes(execute(_NOTHING, LOAD["events"](s, d), 32, 32).frame)
+ORACLES["px_no_pixel_ops"] = sql.EVENTS
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *(F.round(c, 6).alias(c) for c in columns))
 
@@ -212,6 +217,18 @@ _inv = np.linalg.inv(_step).tolist()
 _lin = lambda r: f"({sql.d(r[0])} * (gx + {sql.d(0.5)}) + {sql.d(r[1])} * (gy + {sql.d(0.5)}) + {sql.d(r[2])})"
 add("px_perspective_padding", lambda s, d: _rounded(geometry.padding_ratio(frame(s, d, "emb"), _step, _w, _h), "ratio"), f"with p as (select distinct image_id from ({sql.EMB})), g as (select image_id, {_lin(_inv[2])} dd, {_lin(_inv[0])} / {_lin(_inv[2])} u, {_lin(_inv[1])} / {_lin(_inv[2])} v from p, range({_h}) b(gy), range({_w}) a(gx)) select image_id, round(avg(case when dd <= 0 or u < 0 or v < 0 or u >= 64 or v >= 50 then 1.0::DOUBLE else 0 end), 6) ratio from g group by image_id")
 
+def _loss(s: SparkSession, d: str) -> DataFrame:
+    """What turns of a part's size by an angle from its key lose."""
+    loss = F.udf(lambda w, a: geometry.rotation_loss(w, 40, a), "double")
+    t = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") + 20).cast("int").alias("w"), (F.col("p_partkey") % 89 + 0.5).cast("double").alias("a"))
+    return t.select("p_partkey", F.round(loss("w", "a"), 6).alias("loss"))
+
+
+_turned = f"select p_partkey, (p_size + 20)::DOUBLE w, {sql.d(40)} h, sin(radians(p_partkey % 89 + {sql.d(0.5)})) s, cos(radians(p_partkey % 89 + {sql.d(0.5)})) c from part"
+_fits = lambda a, b: f"{a} * c + {b} * s <= w * (1 + {sql.d(1e-12)}) and {a} * s + {b} * c <= h * (1 + {sql.d(1e-12)})"
+_side = lambda one, two, both: f"case when {_fits('(h / 2 / s)', '(h / 2 / c)')} then {one} when {_fits('(w / 2 / c)', '(w / 2 / s)')} then {two} else {both} end"
+add("geo_rotation_loss", _loss, f"with t as ({_turned}), r as (select p_partkey, w, h, {_side('h / 2 / s', 'w / 2 / c', '(w * c - h * s) / (c * c - s * s)')} a, {_side('h / 2 / c', 'w / 2 / s', '(h * c - w * s) / (c * c - s * s)')} b from t) select p_partkey, round((1 - least(greatest(1, floor(a + {sql.d(1e-9)})), w) * least(greatest(1, floor(b + {sql.d(1e-9)})), h) / (w * h)) * 100, 6) loss from r")
+
 # tilt: each step of the estimate
 _FLOOR = 10.0  # of votes; the images are small
 _gradients = lambda s, d: tilt.sobel(tilt.smoothed(tilt.gray(frame(s, d, "emb"))))

@@ -39,6 +39,15 @@ def test_transfer_round_trip_on_all_code_values():
         assert int(N.half_away(v * 255)) == i
 
 
+def test_code_values_of_any_depth_are_read_exactly(spark):
+    from pyspark.sql import functions as F
+
+    deep = spark.range(65536).select((F.col("id") / 65535).alias("v")).select("v", N.codes_to_linear(F.col("v")).alias("l"))
+    assert all(abs(r.l - N.q9(N.srgb_to_linear_exact(r.v))) < 1.5e-9 for r in deep.collect())
+    few = spark.range(256).select(N.codes_to_linear(F.col("id") / 255).alias("l"))
+    assert tuple(r.l for r in few.collect()) == N.eotf_u8()
+
+
 def test_identities(image):
     before = array(image)
     for after in (
