@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits for each key, and the most blocks of 64 bytes: 8 MB. Beyond it only more keys pass in vain.
-KEY_BITS, MOST_BLOCKS = 16, 1 << 17
+#: Bits for each key, and the most blocks of 64 bytes: 64 MB. Beyond 33 million keys a key has fewer bits, and more pass in vain.
+KEY_BITS, MOST_BLOCKS = 16, 1 << 20
 
 _SALTS = np.array([2 * i * 0x47B6137B + 0x44974D91 for i in range(8)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
