@@ -59,6 +59,11 @@ WINDOW, TOKEN = 13, 5
 #: Bytes of text in one chunk and in one batch, and those for whose entries there is one bucket, about: 30 bytes an entry.
 #: There are at least as many chunks and buckets as the session has shuffle partitions.
 CHUNK_BYTES, PACKED_BYTES, BUCKET_BYTES = 16_000_000, 8_000_000, 64_000_000
+#: Buckets or chunks to which one batch sends rows at most. Of more than these, neighbours are sent to together, and a second
+#: shuffle takes them apart: else rows of a batch and a bucket would hold ever fewer entries, the larger the input.
+FAN = 4096
+#: Entries that a task gathers before it sends them to their buckets, in that second shuffle.
+SPLIT_ENTRIES = 2_000_000
 #: What sets the second hash of words apart from the first.
 CHECK_SEED = np.uint64(0x5851F42D4C957F2D)
 _PACKED = "bucket int, kind int, data binary"
@@ -118,19 +123,58 @@ def _grouped(doc: np.ndarray, *key: np.ndarray):
     return order, first, first[group], d[last][group]
 
 
-def _bucketed(key: np.ndarray, n: int, *columns: np.ndarray):
-    """Rows of kind 0: for each bucket its entries, sorted by key."""
-    for b, rows in by_bucket((key >> np.uint64(20)).astype(np.int64) % n, n):
+def _width(n: int) -> int:
+    """How many buckets are sent to together."""
+    return -(-n // FAN)
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return (key >> np.uint64(20)).astype(np.int64) % n
+
+
+def _bucketed(key: np.ndarray, n: int, width: int, *columns: np.ndarray):
+    """Rows of kind 0: for each bucket, or ``width`` neighbouring ones, its entries, sorted by key."""
+    for b, rows in by_bucket(_bucket(key, n) // width, -(-n // width)):
         yield b, 0, squeeze(key[rows], *(c[rows] for c in columns))
 
 
-def _told(doc: np.ndarray, at: np.ndarray, buckets: int, salt: int):
+def _told(doc: np.ndarray, at: np.ndarray, buckets: int, width: int, salt: int):
     """Rows of kind 1: what a batch knows about its documents, handed through any bucket."""
     for i in range(0, len(doc), 500_000):
-        yield (salt + i) % buckets, 1, squeeze(doc[i : i + 500_000], at[i : i + 500_000])
+        yield (salt + i) % buckets // width, 1, squeeze(doc[i : i + 500_000], at[i : i + 500_000])
+
+
+def _split(rows: DataFrame, n: int, place, width: int) -> DataFrame:
+    """Rows that ``width`` neighbouring buckets of ``n`` share, each entry to its own: ``place`` gives buckets of the first column."""
+    if width == 1:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, turn = [], 0, 0
+
+        def flush():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            for k, at in by_bucket(place(columns[0], n), n):
+                yield k, 0, squeeze(*(c[at] for c in columns))
 
+        for b in batches:
+            for together, kind, data in zip(*(column(b, c) for c in ("bucket", "kind", "data")), strict=True):
+                if kind:
+                    turn += 1
+                    yield from _rows([(min(together * width + turn % width, n - 1), 1, data)])
+                    continue
+                parts.append(loosen(data))
+                size += len(parts[-1][0])
+                if size >= SPLIT_ENTRIES:
+                    yield from _rows(flush())
+                    parts, size = [], 0
+        if parts:
+            yield from _rows(flush())
 
-def shared_anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
+    return rows.groupBy("bucket").applyInArrow(run, _PACKED)
+
+
+def shared_anchors(docs: DataFrame, n_buckets: int, width: int = 1) -> DataFrame:
     """Packed entries: the anchors of each batch's documents."""
 
     def pack(batches):
@@ -152,15 +196,15 @@ def shared_anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
                 several = last != doc[head]
                 # one entry tells of an anchor that several documents here share; they know already
                 send = ~several | (np.arange(len(doc)) == head)
-                yield from _bucketed(name[send], n_buckets, doc[send], ordinal[send], several[send])
-                yield from _told(doc[several], ordinal[several], n_buckets, int(doc_ids[0]) % n_buckets)
+                yield from _bucketed(name[send], n_buckets, width, doc[send], ordinal[send], several[send])
+                yield from _told(doc[several], ordinal[several], n_buckets, width, int(doc_ids[0]) % n_buckets)
 
         yield from _rows(items())
 
     return docs.mapInArrow(tidy(pack), _PACKED)
 
 
-def _meet(n_chunks: int, by_first: bool):
+def _meet(n_chunks: int, width: int, by_first: bool):
     """What buckets tell the chunks: entries that meet another document's or, ``by_first``, a smaller document's."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +231,7 @@ def _meet(n_chunks: int, by_first: bool):
             docs.append(doc[told])
             at.append(place[told])
         doc, place = np.concatenate(docs), np.concatenate(at)
-        for k, rows in by_bucket(_chunk(doc, n_chunks), n_chunks):
+        for k, rows in by_bucket(_chunk(doc, n_chunks) // width, -(-n_chunks // width)):
             yield from _rows([(k, 0, squeeze(doc[rows], place[rows]))])
 
     return meet
@@ -229,7 +273,7 @@ def _told_by_doc(table: pa.Table) -> dict[int, np.ndarray]:
     return dict(zip(doc[first].tolist(), np.split(at, first[1:]), strict=True))
 
 
-def repeated_windows(texts: DataFrame, told: DataFrame, n_buckets: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, told: DataFrame, n_buckets: int, width: int = 1) -> DataFrame:
     """Packed entries: all windows of the stretches that are told to have shared anchors."""
 
     def pack(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -269,8 +313,8 @@ def repeated_windows(texts: DataFrame, told: DataFrame, n_buckets: int) -> DataF
             order, _, head, _ = _grouped(doc, key, check)
             doc, key, check, place = doc[order], key[order], check[order], place[order]
             later = doc > doc[head]
-            out += _bucketed(key[~later], n_buckets, doc[~later], place[~later], check[~later])
-            out += _told(doc[later], place[later], n_buckets, int(doc[0]) % n_buckets)
+            out += _bucketed(key[~later], n_buckets, width, doc[~later], place[~later], check[~later])
+            out += _told(doc[later], place[later], n_buckets, width, int(doc[0]) % n_buckets)
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in out], pa.int32()),
@@ -298,9 +342,14 @@ def _applied(docs: DataFrame, whole: bool) -> DataFrame:
     size, least = 2 * input_bytes(docs), shuffle_parts(docs.sparkSession)  # files are compressed
     n_chunks, n_buckets = max(least, size // CHUNK_BYTES), max(least, size // BUCKET_BYTES)
     texts = _texts(docs, n_chunks)
-    told = shared_anchors(docs, n_buckets).groupBy("bucket").applyInArrow(_meet(n_chunks, False), _PACKED)
-    windows = repeated_windows(texts, told, n_buckets)
-    verdicts = windows.groupBy("bucket").applyInArrow(_meet(n_chunks, True), _PACKED)
+    wide, long = _width(n_buckets), _width(n_chunks)
+
+    def met(entries: DataFrame, by_first: bool) -> DataFrame:
+        answers = _split(entries, n_buckets, _bucket, wide).groupBy("bucket").applyInArrow(_meet(n_chunks, long, by_first), _PACKED)
+        return _split(answers, n_chunks, _chunk, long)
+
+    told = met(shared_anchors(docs, n_buckets, wide), False)
+    verdicts = met(repeated_windows(texts, told, n_buckets, wide), True)
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         known = _told_by_doc(right)

@@ -166,6 +166,16 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup(empty(docs)).count() == 0
 
 
+def test_substring_dedup_with_a_second_shuffle(docs, rows, monkeypatch):
+    """More buckets and chunks than a batch sends rows to."""
+    from pixelframe.llm import substring_dedup as module
+
+    want = got(module.substring_dedup(docs))
+    for name, value in (("FAN", 3), ("CHUNK_BYTES", 2000), ("BUCKET_BYTES", 1500), ("SPLIT_ENTRIES", 40), ("input_bytes", lambda df: 20_000)):
+        monkeypatch.setattr(module, name, value)
+    assert got(module.substring_dedup(docs)) == want
+
+
 def test_substring_dedup_tells_colliding_windows_apart(docs, rows, monkeypatch):
     """The hash by which windows meet has sixteen values; the second one keeps different windows apart."""
     from pixelframe.llm import substring_dedup as module
