@@ -58,7 +58,7 @@ from .recompression import anchors
 WINDOW, TOKEN = 13, 5
 #: Bytes of text in one chunk and in one batch, and those for whose entries there is one bucket, about: 30 bytes an entry.
 #: There are at least as many chunks and buckets as the session has shuffle partitions.
-CHUNK_BYTES, PACKED_BYTES, BUCKET_BYTES = 16_000_000, 8_000_000, 64_000_000
+CHUNK_BYTES, PACKED_BYTES, BUCKET_BYTES = 8_000_000, 5_000_000, 64_000_000
 #: Buckets or chunks to which one batch sends rows at most. Of more than these, neighbours are sent to together, and a second
 #: shuffle takes them apart: else rows of a batch and a bucket would hold ever fewer entries, the larger the input.
 FAN = 4096
