@@ -165,5 +165,95 @@ d as (select c.*, rh || rp as rule, verdict, row_number() over (partition by rn
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from d where k = 1
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_html_extract": op2_html_extract, "op3_piece_codec": op3_piece_codec, "op4_lm_score": op4_lm_score, "op5_quality_gam": op5_quality_gam, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    out = filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+OP11_SQL = r"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from texts),
+flags as (
+  select part, quality, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(words.doc_id > least, false)] as f
+  from words left join labels on words.doc_id = labels.doc_id),
+cases as (select part, f, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as bad from flags group by all),
+k as (select unnest(range(1, 6)) as i),
+orders as (select [a.i, b.i, c.i, d.i, e.i] as o from k a, k b, k c, k d, k e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps as (select o, step, o[step] as i, o[1:step - 1] as earlier, list_filter([1, 2, 3, 4, 5], lambda x: x <> o[step]) as others from orders, (select unnest(range(1, 6)) as step)),
+told as (
+  select part, o, step, i, cast(sum(n) filter (where not f[i] and not list_has_any(earlier, bad_at)) as bigint) as kept,
+    cast(sum(n) filter (where f[i] and not list_has_any(earlier, bad_at)) as bigint) as removed,
+    cast(sum(n) filter (where f[i] and list_has_any(earlier, bad_at)) as bigint) as redundant,
+    cast(sum(n) filter (where f[i] and not list_has_any(others, bad_at)) as bigint) as unique_fails,
+    cast(sum(good) filter (where f[i] and not list_has_any(earlier, bad_at)) as bigint) as good_lost,
+    cast(sum(bad) filter (where f[i] and not list_has_any(earlier, bad_at)) as bigint) as toxic_lost
+  from (select *, list_filter([1, 2, 3, 4, 5], lambda x: f[x]) as bad_at from cases), steps group by all)
+select part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') as filter_order, cast(step as integer) as step, coalesce(kept, 0) as kept, coalesce(removed, 0) as removed,
+  coalesce(redundant, 0) as redundant, coalesce(unique_fails, 0) as unique_fails, coalesce(good_lost, 0) as good_lost, coalesce(toxic_lost, 0) as toxic_lost,
+  cast(sum(coalesce(removed, 0)) over (partition by part, i) as bigint) as shapley
+from told
+"""
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import conversations_of, read_back
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    out = read_back(conversations_of(rows.unionByName(more)))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP12_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+escaped as (
+  select *, replace(replace(replace(role, '\', '\\'), '<turn>', '\b'), '</turn>', '\e') as r,
+    replace(replace(replace(text, '\', '\\'), '<turn>', '\b'), '</turn>', '\e') as t from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<turn>' || replace(r, chr(10), '\r') || chr(10) || t || '</turn>')) as bigint) as formatted_chars
+from escaped group by conv_id
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_middle, rebuilt
+
+    out = rebuilt(fill_middle(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+with texts as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+units as (
+  select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, cast(('0x' || h[1:8]) as ubigint) as h1, cast(('0x' || h[9:16]) as ubigint) as h2,
+    cast(('0x' || h[17:24]) as ubigint) as h3, cast(('0x' || h[25:32]) as ubigint) as h4 from texts),
+cuts as (select *, len(u) as n, cast(least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as bigint) as a, cast(greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as bigint) as b from units),
+parts as (
+  select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from cuts)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(p || m || s) as restored_sha256
+from parts
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_html_extract": op2_html_extract, "op3_piece_codec": op3_piece_codec, "op4_lm_score": op4_lm_score, "op5_quality_gam": op5_quality_gam, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter, "op11_filter_audit": op11_filter_audit, "op12_chat_format": op12_chat_format, "op13_fill_middle": op13_fill_middle}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_fill_middle": OP13_SQL}
