@@ -224,14 +224,17 @@ def conversations_of(rows: DataFrame, key: str = "conv_id", order: str = "turn",
     place = F.col(f"`{order}`").cast("long") if order in rows.columns else F.lit(None).cast("long")
     kept = rows.withColumns({"_key": F.col(f"`{key}`"), "_place": place}) if {"_key", "_place"}.isdisjoint(rows.columns) else rows.select(F.col(f"`{key}`").alias("_key"), place.alias("_place"), *[c for c in rows.columns if c not in ("_key", "_place")])
     turns = chat_turns(kept, layouts).select("_key", "_place", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()).alias("_own"), F.posexplode("turns").alias("_at", "_turn"))
+    _, _, whole = _piece(F.col("_turn"), template)
+    sized = turns.select("_key", "_own", "_place", "_at", "_turn", F.length(whole).cast("long").alias("_size"))
+    before = Window.partitionBy("_key", "_own").orderBy("_place", "_at", "_turn.role", "_turn.text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("_start", F.sum("_size").over(before) - F.col("_size"))
     head, text, whole = _piece(F.col("_turn"), template)
-    pieces = turns.select("_key", "_own", "_place", "_at", F.col("_turn.role").alias("_role"), head.alias("_head"), text.alias("_text"), whole.alias("_whole"))
-    size = F.length("_whole").cast("long")
-    before = Window.partitionBy("_key", "_own").orderBy("_place", "_at", "_role", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = pieces.select("_key", "_own", "_role", "_whole", (F.sum(size).over(before) - size).alias("_start"), F.length("_head").alias("_lead"), F.length("_text").alias("_chars"))
-    first = F.col("_start") + F.col("_lead")
-    loss = F.when(F.col("_role") == loss_role, F.struct(first.alias("start"), (first + F.col("_chars")).alias("end")))
-    found = placed.groupBy("_key", "_own").agg(F.sort_array(F.collect_list(F.struct("_start", "_whole"))).alias("_pieces"), F.sort_array(F.collect_list(loss)).alias("loss"))
+    first = F.col("_start") + F.length(head)
+    placed = placed.select(
+        "_key", "_own", "_start", whole.alias("_whole"),
+        F.when(F.col("_turn.role") == loss_role, F.struct(first.alias("start"), (first + F.length(text)).alias("end"))).alias("_loss"),
+    )
+    found = placed.groupBy("_key", "_own").agg(F.sort_array(F.collect_list(F.struct("_start", "_whole"))).alias("_pieces"), F.sort_array(F.collect_list("_loss")).alias("loss"))
     return found.select(F.col("_key").alias(key), F.array_join(F.transform("_pieces", lambda p: p["_whole"]), "").alias("formatted"), "loss")
 
 
