@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -130,13 +131,13 @@ def vignette(p: PixelFrame, strength: float, radius=0.7, feather=0.5) -> PixelFr
     p = p.to(LINEAR)
     if not strength:
         return p
-    gain = vignette_gain(p.width, p.height, strength, radius, feather)
+    gain = vignette_gain(p, strength, radius, feather)
     return p.rgb(lambda c: c * gain)
 
 
-def vignette_gain(width: int, height: int, strength: float, radius: float, feather: float) -> Column:
-    dx, dy = _c("x") + 0.5 - width / 2.0, _c("y") + 0.5 - height / 2.0
-    d = F.sqrt(dx * dx + dy * dy) / (math.sqrt(width * width + height * height) / 2.0)
+def vignette_gain(p: PixelFrame, strength: float, radius: float, feather: float) -> Column:
+    dx, dy = _c("x") + 0.5 - p.pick(lambda e: e.width / 2.0), _c("y") + 0.5 - p.pick(lambda e: e.height / 2.0)
+    d = F.sqrt(dx * dx + dy * dy) / p.pick(lambda e: math.sqrt(e.width * e.width + e.height * e.height) / 2.0)
     t = N.clamp((d - float(radius)) / float(feather)) if feather else F.when(d > float(radius), 1.0).otherwise(0.0)
     return N.col_q6(1.0 - float(strength) * N.smoothstep(t))
 
@@ -276,4 +277,4 @@ def auto_levels(p: PixelFrame, clip_percent=0.5, per_channel=False) -> PixelFram
         lo, hi = (_c(f"_{k}_{c if per_channel else 'all'}") for k in ("lo", "hi"))
         return F.when(hi > lo, N.clamp((_c(c) - lo) / (hi - lo))).otherwise(_c(c))
 
-    return PixelFrame(df.withColumns({c: stretched(c) for c in N.CHANNELS}).select(*columns), p.width, p.height, SRGB, p.matrix)
+    return replace(p, df=df.withColumns({c: stretched(c) for c in N.CHANNELS}).select(*columns))

@@ -86,9 +86,12 @@ def over(back: PixelFrame, source: PixelFrame, mode="normal", opacity=1.0, mask:
     """``source`` over ``back`` in sRGB code values. ``mask``: (image_id, y, x, w). With ``at`` the source may be smaller."""
     back, source = back.to(SRGB), source.to(SRGB)
     x0, y0 = at or (0, 0)
-    top = source.df.select("image_id", (F.col("y") + y0).cast("int").alias("y"), (F.col("x") + x0).cast("int").alias("x"), *(N.clamp(F.col(c)).alias(f"s_{c}") for c in "rgba"))
-    df = back.df.select(*KEY, *(N.clamp(F.col(c)).alias(f"b_{c}") for c in "rgba"))
+    top = source.df.select("image_id", (F.col("y") + y0).cast("int").alias("y"), (F.col("x") + x0).cast("int").alias("x"), *(N.clamp(F.col(c)).alias(f"s_{c}") for c in "rgba"), source.w.alias("_sw"), source.h.alias("_sh"))
+    df = back.df.select(*back.keys, *(N.clamp(F.col(c)).alias(f"b_{c}") for c in "rgba"))
     df = df.join(top, list(KEY), "inner" if at is None else "left")
+    if at is None and (back.mixed or source.mixed):
+        alike = (F.col("_sw") == back.w) & (F.col("_sh") == back.h)
+        df = df.withColumn("s_a", F.when(alike, F.col("s_a")).otherwise(F.raise_error(F.lit("a layer's size differs from the backdrop's")).cast("double")))
     if mask is not None:
         df = df.join(mask.select(*KEY, F.col("w").alias("_w")), list(KEY), "left")
     p = replace(back, df=df.withColumn("_as", F.coalesce(F.col("s_a"), F.lit(0.0)) * float(opacity) * (F.coalesce("_w", F.lit(0.0)) if mask is not None else F.lit(1.0))))
@@ -100,14 +103,14 @@ def over(back: PixelFrame, source: PixelFrame, mode="normal", opacity=1.0, mask:
         F.when(sa <= 0.0, F.col(f"b_{c}")).otherwise(N.clamp((sa * (1.0 - ba) * F.col(f"s_{c}") + sa * ba * m + (1.0 - sa) * ba * F.col(f"b_{c}")) / F.nullif(ao, F.lit(0.0)))).alias(c)
         for c, m in zip(N.CHANNELS, mixed, strict=True)
     ]
-    return p.select(*KEY, *rgb, F.when(sa <= 0.0, ba).otherwise(ao).alias("a"))
+    return p.select(*p.keys, *rgb, F.when(sa <= 0.0, ba).otherwise(ao).alias("a"))
 
 
 def fold(layers: Sequence[tuple[PixelFrame, str, float, DataFrame | None]]) -> PixelFrame:
     """Layers from bottom to top; the first is the backdrop. Each: (frame, blend mode, opacity, mask)."""
     out = layers[0][0].to(SRGB)
     for frame, mode, opacity, mask in layers[1:]:
-        if (frame.width, frame.height) != (out.width, out.height):
+        if not (frame.mixed or out.mixed) and (frame.width, frame.height) != (out.width, out.height):
             raise ValueError("a layer's size differs from the backdrop's")
         out = over(out, frame, mode, opacity, mask)
     return out
@@ -115,12 +118,12 @@ def fold(layers: Sequence[tuple[PixelFrame, str, float, DataFrame | None]]) -> P
 
 def masked(before: PixelFrame, after: PixelFrame, mask: DataFrame) -> PixelFrame:
     """``after`` where the mask is 1, ``before`` where it is 0, and between them otherwise."""
-    if (before.width, before.height) != (after.width, after.height):
+    if before.each(lambda e: (e.width, e.height)) != after.each(lambda e: (e.width, e.height)):
         raise ValueError("a masked operation must keep the image's size")
     old = before.to(after.space).df.select(*KEY, *(F.col(c).alias(f"_{c}") for c in "rgba"))
     df = after.df.join(old, list(KEY)).join(mask.select(*KEY, "w"), list(KEY))
     new = [F.when(F.col("w") == 1.0, F.col(c)).when(F.col("w") == 0.0, F.col(f"_{c}")).otherwise(F.col(f"_{c}") + (F.col(c) - F.col(f"_{c}")) * F.col("w")).alias(c) for c in "rgba"]
-    return replace(after, df=df.select(*KEY, *new))
+    return replace(after, df=df.select(*after.keys, *new))
 
 
 def flattened(p: PixelFrame) -> DataFrame:
@@ -128,4 +131,4 @@ def flattened(p: PixelFrame) -> DataFrame:
     from ..frame import codes
 
     on_white = lambda c: F.floor((F.col(c) * F.col("a8") + 255 * (255 - F.col("a8")) + 127) / 255).cast("int").alias(c)
-    return codes(p).select(*KEY, *(on_white(f"{c}8") for c in N.CHANNELS))
+    return codes(p).select(*p.keys, *(on_white(f"{c}8") for c in N.CHANNELS))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import LINEAR, PixelFrame
 from ..functions import numeric as N
 from . import kernels as K
 
-#: The largest radius of a filter that runs as a window expression.
-WINDOW_RADIUS = 8
+#: The largest radius of a filter, and of a square kernel, that runs as a window expression.
+WINDOW_RADIUS, CONVOLVE_RADIUS = 8, 1
 
 
 def neighbour(column: str | Column, offset: int, axis: str) -> Column:
@@ -75,14 +76,17 @@ def unsharp_mask(p: PixelFrame, amount: float, radius: float, threshold=0) -> Pi
         soft = blur(p.with_columns({f"_o{c}": F.col(c) for c in "rgba"}), radius)
         both = soft.with_columns({f"_{c}": F.col(c) for c in "rgba"} | {c: F.col(f"_o{c}") for c in "rgba"}).df
     else:
-        both = p.df.join(blur(p, radius).df.select("image_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgba")), ["image_id", "y", "x"])
+        weights = N.gaussian_weights(radius)
+        return K.per_tile(p, lambda v: K.sharpened(v, weights, float(amount), threshold / 255.0), len(weights) // 2)
     diff = {c: F.col(c) - F.col(f"_{c}") for c in "rgba"}
     sharp = {c: F.when(F.abs(d) > threshold / 255.0, N.clamp(F.col(c) + float(amount) * d)).otherwise(F.col(c)) for c, d in diff.items()}
-    return PixelFrame(both.withColumns(sharp).select(*p.df.columns), p.width, p.height, p.space, p.matrix)
+    return replace(p, df=both.withColumns(sharp).select(*p.df.columns))
 
 
 def convolve(p: PixelFrame, kernel: Sequence[float], size: int, divisor=1.0, offset=0.0) -> PixelFrame:
     p, r = p.to(LINEAR), size // 2
+    if r > CONVOLVE_RADIUS:
+        return K.per_tile(p, lambda v: K.correlated(v, kernel, size, float(divisor), offset / 255.0, N.ALPHA_LEAST), r)
     base = p.with_columns({f"_{c}": F.col(c) * F.col("a") for c in N.CHANNELS})
     # each row of the kernel is one pass along x; the rows then meet along y
     for c in N.CHANNELS:
@@ -105,40 +109,47 @@ def convolve(p: PixelFrame, kernel: Sequence[float], size: int, divisor=1.0, off
     return base.with_columns(new).select(*p.df.columns)
 
 
-def disc_weight(cx: int, cy: int, radius: int, feather: float) -> Column:
-    dx, dy = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy)
-    d, core = F.sqrt((dx * dx + dy * dy).cast("double")), max(radius - float(feather), 0.0)
-    t = N.clamp((float(radius) - d) / (radius - core)) if radius > core else F.lit(1.0)
-    return N.col_q6(F.when(d <= core, 1.0).when(d > float(radius), 0.0).otherwise(N.smoothstep(t)))
+def disc_weight(cx: int, cy: int, radius: Column, feather: float) -> Column:
+    dx, dy, radius = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy), radius.cast("double")
+    d, core = F.sqrt((dx * dx + dy * dy).cast("double")), F.greatest(radius - float(feather), F.lit(0.0))
+    t = N.clamp((radius - d) / F.nullif(radius - core, F.lit(0.0)))
+    return N.col_q6(F.when(d <= core, 1.0).when(d > radius, 0.0).otherwise(N.smoothstep(t)))
+
+
+def _onto_disc(p: PixelFrame, patch: DataFrame, cx: int, cy: int, radius: Column, feather: float) -> PixelFrame:
+    """``patch`` over the disc's pixels by their weight. Only the square around the disc is joined; all other pixels pass by."""
+    square = F.col("x").between(F.lit(cx) - radius, F.lit(cx) + radius) & F.col("y").between(F.lit(cy) - radius, F.lit(cy) + radius)
+    both = p.df.filter(square).join(patch.select(*p.keys, *(F.col(c).alias(f"_{c}") for c in "rgba")), list(p.keys), "left").withColumn("_w", disc_weight(cx, cy, radius, feather))
+    new = {c: F.when(F.col("_r").isNull() | (F.col("_w") <= 0.0), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_w")) for c in "rgba"}
+    rows = both.select(*p.keys, *(e.alias(c) for c, e in new.items()))
+    return replace(p, df=rows.unionByName(p.df.filter(~square).select(*p.keys, *"rgba")))
 
 
 def clone(p: PixelFrame, src_x: int, src_y: int, dest_x: int, dest_y: int, radius: int, feather_px=0.0) -> PixelFrame:
     """Pixels of a disc from elsewhere in the same image: a join of the disc with itself, moved."""
     p = p.to(LINEAR)
-    dx, dy = dest_x - src_x, dest_y - src_y
-    near = (F.abs(F.col("x") - src_x) <= radius) & (F.abs(F.col("y") - src_y) <= radius)
-    source = p.df.filter(near).select("image_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), *(F.col(c).alias(f"_{c}") for c in "rgba"))
-    both = p.df.join(source, ["image_id", "y", "x"], "left").withColumn("_w", disc_weight(dest_x, dest_y, radius, feather_px))
-    new = {c: F.when(F.col("_r").isNull() | (F.col("_w") <= 0.0), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_w")) for c in "rgba"}
-    return PixelFrame(both.select("image_id", "y", "x", *(e.alias(c) for c, e in new.items())), p.width, p.height, p.space, p.matrix)
+    near = F.col("x").between(src_x - radius, src_x + radius) & F.col("y").between(src_y - radius, src_y + radius)
+    moved = lambda c, by: (F.col(c) + by).cast("int").alias(c)
+    source = p.df.filter(near).select("image_id", moved("y", dest_y - src_y), moved("x", dest_x - src_x), *p.ids[1:], *"rgba")
+    return _onto_disc(p, source, dest_x, dest_y, F.lit(radius), feather_px)
 
 
 def heal(p: PixelFrame, src_x: int, src_y: int, dest_x: int, dest_y: int, radius: int, feather_px=0.0) -> PixelFrame:
+    """A disc with the detail of another: both patches, the blurred source taken away and the blurred target added."""
     p = p.to(LINEAR)
-    reach = min(radius, math.ceil(math.hypot(p.width, p.height)))
-    weights = N.gaussian_weights(max(reach / 3.0, 0.1))
-    disc = K.healed(p, (src_x, src_y), (dest_x, dest_y), radius, feather_px, weights)
-    both = p.df.join(disc.select("image_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgba")), ["image_id", "y", "x"], "left")
-    return PixelFrame(both.select("image_id", "y", "x", *(F.coalesce(f"_{c}", c).alias(c) for c in "rgba")), p.width, p.height, p.space, p.matrix)
+    reach = p.each(lambda e: min(radius, math.ceil(math.hypot(e.width, e.height))))
+    patch = K.healed(p, (src_x, src_y), (dest_x, dest_y), reach, [N.gaussian_weights(max(r / 3.0, 0.1)) for r in reach])
+    return _onto_disc(p, patch, dest_x, dest_y, p.pick(reach), feather_px)
 
 
 def pixelate(p: PixelFrame, block_size: int, region=None) -> PixelFrame:
     """Block means of premultiplied colour, over blocks that start at the region's corner."""
     p = p.to(LINEAR)
-    x0, y0, w, h = (region[k] for k in ("x", "y", "width", "height")) if region else (0, 0, p.width, p.height)
-    x1, y1 = min(x0 + w, p.width), min(y0 + h, p.height)
-    if x0 >= x1 or y0 >= y1:
+    x0, y0 = (region["x"], region["y"]) if region else (0, 0)
+    ends = p.each(lambda e: (min(x0 + region["width"], e.width), min(y0 + region["height"], e.height)) if region else (e.width, e.height))
+    if any(x0 >= x1 or y0 >= y1 for x1, y1 in ends):
         raise ValueError("the region lies outside the image")
+    x1, y1 = (p.pick([e[i] for e in ends]) for i in (0, 1))
     inside = F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1)
     block = lambda c, o: F.floor((F.col(c) - o) / block_size)
     w_ = Window.partitionBy("image_id", inside, block("y", y0), block("x", x0))

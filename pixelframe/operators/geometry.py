@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import KEY, LINEAR, PixelFrame, grid
+from ..frame import LINEAR, Extent, PixelFrame, grid
 from ..functions import numeric as N
 from . import kernels as K
 
@@ -19,27 +22,28 @@ def then(matrix, step) -> tuple:
     return tuple(map(tuple, (m / m[2, 2] if m[2, 2] else m).tolist()))
 
 
-def _moved(p: PixelFrame, x, y, width: int, height: int, step) -> PixelFrame:
-    df = p.df.select("image_id", y.cast("int").alias("y"), x.cast("int").alias("x"), *"rgba")
-    return PixelFrame(df, width, height, p.space, then(p.matrix, step))
+def _moved(p: PixelFrame, x, y, to: Callable[[Extent], tuple]) -> PixelFrame:
+    """Pixels at new places; ``to`` maps an extent to (width, height, step)."""
+    df = p.df.select("image_id", y.cast("int").alias("y"), x.cast("int").alias("x"), *p.ids[1:], *"rgba")
+    return p.sized(df, [Extent(w, h, then(e.matrix, step)) for e in p.shapes for w, h, step in [to(e)]])
 
 
 def flip(p: PixelFrame, direction: str) -> PixelFrame:
-    x, y, w, h = F.col("x"), F.col("y"), p.width, p.height
+    x, y = F.col("x"), F.col("y")
     if direction == "horizontal":
-        return _moved(p, w - 1 - x, y, w, h, ((-1, 0, w), (0, 1, 0), (0, 0, 1)))
-    return _moved(p, x, h - 1 - y, w, h, ((1, 0, 0), (0, -1, h), (0, 0, 1)))
+        return _moved(p, p.w - 1 - x, y, lambda e: (e.width, e.height, ((-1, 0, e.width), (0, 1, 0), (0, 0, 1))))
+    return _moved(p, x, p.h - 1 - y, lambda e: (e.width, e.height, ((1, 0, 0), (0, -1, e.height), (0, 0, 1))))
 
 
 def quarter(p: PixelFrame, turns: int) -> PixelFrame:
     """Clockwise quarter turns."""
     for _ in range(turns % 4):
-        p = _moved(p, p.height - 1 - F.col("y"), F.col("x"), p.height, p.width, ((0, -1, p.height), (1, 0, 0), (0, 0, 1)))
+        p = _moved(p, p.h - 1 - F.col("y"), F.col("x"), lambda e: (e.height, e.width, ((0, -1, e.height), (1, 0, 0), (0, 0, 1))))
     return p
 
 
 def transpose(p: PixelFrame) -> PixelFrame:
-    return _moved(p, F.col("y"), F.col("x"), p.height, p.width, ((0, 1, 0), (1, 0, 0), (0, 0, 1)))
+    return _moved(p, F.col("y"), F.col("x"), lambda e: (e.height, e.width, ((0, 1, 0), (1, 0, 0), (0, 0, 1))))
 
 
 def orient(p: PixelFrame, orientation: int) -> PixelFrame:
@@ -51,20 +55,36 @@ def orient(p: PixelFrame, orientation: int) -> PixelFrame:
     return steps[orientation](p) if orientation in steps else p
 
 
-def cropped(p: PixelFrame, x: int, y: int, width: int, height: int) -> PixelFrame:
-    inside = F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)
-    q = replace(p, df=p.df.filter(inside))
-    return _moved(q, F.col("x") - x, F.col("y") - y, width, height, ((1, 0, -x), (0, 1, -y), (0, 0, 1)))
+def cropped(p: PixelFrame, boxes: Sequence[tuple[int, int, int, int]]) -> PixelFrame:
+    """Of each extent its box (x, y, width, height)."""
+    if all((x, y, w, h) == (0, 0, e.width, e.height) for (x, y, w, h), e in zip(boxes, p.shapes, strict=True)):
+        return p
+    x0, y0, x1, y1 = (p.pick(v) for v in zip(*((x, y, x + w - 1, y + h - 1) for x, y, w, h in boxes), strict=True))
+    inside = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+    box = iter(boxes)
 
+    def to(e: Extent):
+        x, y, w, h = next(box)
+        return w, h, ((1, 0, -x), (0, 1, -y), (0, 0, 1))
 
-def padded(p: PixelFrame, x: int, y: int, width: int, height: int, color=(255, 255, 255, 255)) -> PixelFrame:
-    """The image at (x, y) on a canvas of one colour."""
-    moved = _moved(p, F.col("x") + x, F.col("y") + y, width, height, ((1, 0, x), (0, 1, y), (0, 0, 1)))
+    return _moved(replace(p, df=p.df.filter(inside)), F.col("x") - x0, F.col("y") - y0, to)
+
+
+def padded(p: PixelFrame, places: Sequence[tuple[int, int, int, int]], color=(255, 255, 255, 255)) -> PixelFrame:
+    """Each extent at (x, y) on a canvas of one colour, of (x, y, width, height)."""
+    x, y = (p.pick([v[i] for v in places]) for i in (0, 1))
+    place = iter(places)
+
+    def to(e: Extent):
+        x, y, w, h = next(place)
+        return w, h, ((1, 0, x), (0, 1, y), (0, 0, 1))
+
+    moved = _moved(p, F.col("x") + x, F.col("y") + y, to)
     fill = [c / 255.0 for c in color]
     if p.space == LINEAR:
         fill = [*(N.q9(N.srgb_to_linear_exact(c)) for c in fill[:3]), fill[3]]
-    canvas = grid(p.df.select("image_id").distinct(), width, height)
-    df = canvas.join(moved.df, list(KEY), "left").select(*KEY, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zip("rgba", fill, strict=True)))
+    canvas = grid(p.images(), moved.w, moved.h)
+    df = canvas.join(moved.df, list(p.keys), "left").select(*p.keys, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zip("rgba", fill, strict=True)))
     return replace(moved, df=df)
 
 
@@ -97,20 +117,22 @@ def crop(p: PixelFrame, aspect_ratio=None, rect=None, anchor="center", mode="cro
     if rect is not None:
         x, y, w, h = (int(rect[k]) for k in ("x", "y", "width", "height"))
         if coordinate_space == "source":
-            x, y, w, h = source_rect(p, x, y, w, h)
-        elif x + w > p.width or y + h > p.height or x < 0 or y < 0:
+            return cropped(p, p.each(lambda e: source_rect(e, x, y, w, h)))
+        if any(x + w > e.width or y + h > e.height or x < 0 or y < 0 for e in p.shapes):
             raise ValueError("crop rect lies outside the image")
-        return cropped(p, x, y, w, h)
-    ratio = N.aspect_ratio(aspect_ratio)
-    w, h = aspect_size(p.width, p.height, ratio, mode == "pad")
-    i, j = ANCHORS[anchor]
-    slack = [(0, s // 2, s)[k] for s, k in ((abs(p.width - w), i), (abs(p.height - h), j))]
+        return cropped(p, p.each(lambda e: (x, y, w, h)))
+    ratio, (i, j) = N.aspect_ratio(aspect_ratio), ANCHORS[anchor]
+
+    def place(e: Extent) -> tuple[int, int, int, int]:
+        w, h = aspect_size(e.width, e.height, ratio, mode == "pad")
+        return (*((0, s // 2, s)[k] for s, k in ((abs(e.width - w), i), (abs(e.height - h), j))), w, h)
+
     if mode == "pad":
-        return padded(p, *slack, w, h, N.hex_color(pad_color or "#ffffff"))
-    return cropped(p, *slack, w, h)
+        return padded(p, p.each(place), N.hex_color(pad_color or "#ffffff"))
+    return cropped(p, p.each(place))
 
 
-def source_box(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
+def source_box(p: PixelFrame | Extent, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
     """Left, top, right and bottom, in current coordinates, of the box around a rectangle of source coordinates."""
     corners = np.array(p.matrix) @ np.array([[x, x + w, x, x + w], [y, y, y + h, y + h], [1, 1, 1, 1]], float)
     if (corners[2] <= 0).any():
@@ -121,7 +143,7 @@ def source_box(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int,
     return x0, y0, x1, y1
 
 
-def source_rect(p: PixelFrame, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
+def source_rect(p: PixelFrame | Extent, x: int, y: int, w: int, h: int) -> tuple[int, int, int, int]:
     """That box's part inside the image, as place and size."""
     x0, y0, x1, y1 = source_box(p, x, y, w, h)
     x0, y0, x1, y1 = max(x0, 0), max(y0, 0), min(x1, p.width), min(y1, p.height)
@@ -148,28 +170,62 @@ def resize_plan(width: int, height: int, to_width=None, to_height=None, fit="cov
     return w, h, w, h
 
 
+#: Rows of a table of taps that are made on the driver and sent to every task; larger tables are made in tasks and joined by a shuffle.
+MOST_TAPS = 500_000
+
+
+def _tap_table(spark: SparkSession, pairs: Sequence[tuple[int, int]], axis: str) -> DataFrame:
+    """(_pair, axis, _o, _w): for each pair of sizes the source places and weights of each output place."""
+    schema = f"_pair int, {axis} int, _o int, _w double"
+    taps = lambda k: [(k, s, o, w) for o, each in enumerate(N.lanczos_taps(*pairs[k])) for s, w in each]
+    if sum(6 * max(p) + 8 * p[1] for p in pairs) <= MOST_TAPS:
+        return F.broadcast(spark.createDataFrame([row for k in range(len(pairs)) for row in taps(k)], schema))
+    if len(pairs) == 1:
+        return spark.createDataFrame(taps(0), schema)
+
+    def run(batches):
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                columns = zip(*taps(k), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["_pair", axis, "_o", "_w"])
+
+    return spark.range(0, len(pairs), 1, min(len(pairs), 200)).mapInArrow(run, schema)
+
+
+def _scaled(p: PixelFrame, sizes: Sequence[tuple[int, int]]) -> PixelFrame:
+    """Every extent at another size, in linear light. An axis whose size stays for all extents is not touched."""
+    p = p.to(LINEAR)
+    df = p.df.select(*p.keys, *((F.col(c) * F.col("a")).alias(c) for c in N.CHANNELS), "a")
+    for axis, old, new in (("x", p.each(lambda e: e.width), [w for w, _ in sizes]), ("y", p.each(lambda e: e.height), [h for _, h in sizes])):
+        if old == new:
+            continue
+        pairs = sorted(set(zip(old, new, strict=True)))
+        table = _tap_table(df.sparkSession, pairs, axis)
+        other = "y" if axis == "x" else "x"
+        df = df.withColumn("_pair", p.pick([pairs.index(k) for k in zip(old, new, strict=True)])).join(table, ["_pair", axis])
+        df = df.groupBy(*p.ids, other, F.col("_o").alias(axis)).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in "rgba"))
+    df = df.withColumn("a", N.clamp(F.col("a"))).select(*p.keys, *(N.unpremultiplied(F.col(c), F.col("a")).alias(c) for c in N.CHANNELS), "a")
+    return p.sized(df, [Extent(w, h, then(e.matrix, ((w / e.width, 0, 0), (0, h / e.height, 0), (0, 0, 1)))) for e, (w, h) in zip(p.shapes, sizes, strict=True)])
+
+
 def resize(p: PixelFrame, width=None, height=None, fit="cover", without_enlargement=True) -> PixelFrame:
-    """Lanczos along x and then y. An axis' taps are a table of (place, source place, weight), one row for each tap."""
-    w, h, cw, ch = resize_plan(p.width, p.height, width, height, fit, without_enlargement)
-    if w * h > 100_000_000:
+    """Lanczos along x and then y. An axis' taps are a table of (place, source place, weight), one row for each tap.
+
+    Images whose size stays are not resampled; of a frame of several sizes they are set apart.
+    """
+    plans = p.each(lambda e: resize_plan(e.width, e.height, width, height, fit, without_enlargement))
+    if any(w * h > 100_000_000 for w, h, _, _ in plans):
         raise ValueError("resize target is larger than 100 million pixels")
-    if (w, h) != (p.width, p.height):
-        p = p.to(LINEAR)
-        df, old = p.df.select(*KEY, *((F.col(c) * F.col("a")).alias(c) for c in N.CHANNELS), "a"), (p.width, p.height)
-        spark = df.sparkSession
-        for axis, size, out in (("x", p.width, w), ("y", p.height, h)):
-            if size == out:
-                continue
-            rows = [(s, o, k) for o, each in enumerate(N.lanczos_taps(size, out)) for s, k in each]
-            table = spark.createDataFrame(rows, f"{axis} int, _o int, _w double")
-            other = "y" if axis == "x" else "x"
-            small = F.broadcast(table) if len(rows) <= 500_000 else table
-            df = df.join(small, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in "rgba"))
-        df = df.withColumn("a", N.clamp(F.col("a"))).select(*KEY, *(N.unpremultiplied(F.col(c), F.col("a")).alias(c) for c in N.CHANNELS), "a")
-        p = replace(p, df=df, width=w, height=h, matrix=then(p.matrix, ((w / old[0], 0, 0), (0, h / old[1], 0), (0, 0, 1))))
-    if (cw, ch) != (p.width, p.height):
-        p = cropped(p, (p.width - cw) // 2, (p.height - ch) // 2, cw, ch)
-    return p
+    sizes = [(w, h) for w, h, _, _ in plans]
+    stays = [(e.width, e.height) == s for e, s in zip(p.shapes, sizes, strict=True)]
+    if not all(stays):
+        if any(stays):
+            same = p.pick([int(s) for s in stays]) == 1
+            done = _scaled(replace(p, df=p.df.filter(~same)), sizes)
+            p = replace(done, df=done.df.unionByName(replace(p, df=p.df.filter(same)).to(LINEAR).df.select(*p.keys, *"rgba")))
+        else:
+            p = _scaled(p, sizes)
+    return cropped(p, [((e.width - w) // 2, (e.height - h) // 2, w, h) for e, (_, _, w, h) in zip(p.shapes, plans, strict=True)])
 
 
 def inside(width: int, height: int, angle: float) -> tuple[float, float]:
@@ -224,16 +280,22 @@ def rotate(p: PixelFrame, angle_degrees: float, crop="largest_inscribed_rect") -
     """Clockwise. Quarter turns are exact; other angles resample."""
     if angle_degrees % 90 == 0:
         return quarter(p, int(angle_degrees // 90))
-    step, (x, y, w, h) = rotation(p.width, p.height, angle_degrees, crop)
-    p = p.to(LINEAR)
+    plans = p.each(lambda e: rotation(e.width, e.height, angle_degrees, crop))
+    p, white = p.to(LINEAR), (1.0, 1.0, 1.0, 1.0)
     if crop == "full":
-        return warp(p, step, w, h, (1.0, 1.0, 1.0, 1.0))
-    return cropped(warp(p, step, p.width, p.height, (1.0, 1.0, 1.0, 1.0)), x, y, w, h)
+        return _warped(p, [(step, w, h) for step, (_, _, w, h) in plans], white)
+    turned = _warped(p, [(step, e.width, e.height) for e, (step, _) in zip(p.shapes, plans, strict=True)], white)
+    return cropped(turned, [box for _, box in plans])
 
 
 def warp(p: PixelFrame, step: np.ndarray, width: int, height: int, border) -> PixelFrame:
-    df = K.per_window(p, np.linalg.inv(step), width, height, border)
-    return replace(p, df=df, width=width, height=height, matrix=then(p.matrix, step))
+    return _warped(p, p.each(lambda e: (step, width, height)), border)
+
+
+def _warped(p: PixelFrame, plans: Sequence[tuple[np.ndarray, int, int]], border) -> PixelFrame:
+    """Of each extent (step, width, height)."""
+    df = K.per_window(p, [K.Warp(np.linalg.inv(step), w, h, e.width, e.height) for e, (step, w, h) in zip(p.shapes, plans, strict=True)], border)
+    return p.sized(df, [Extent(w, h, then(e.matrix, step)) for e, (step, w, h) in zip(p.shapes, plans, strict=True)])
 
 
 def homography(quad, width: int, height: int) -> np.ndarray:
@@ -261,10 +323,10 @@ def perspective_step(width: int, height: int, quad=None, vertical_degrees=None,
 
 
 def perspective(p: PixelFrame, quad=None, vertical_degrees=None, horizontal_degrees=None, pad_color=None) -> PixelFrame:
-    step, w, h = perspective_step(p.width, p.height, quad, vertical_degrees, horizontal_degrees)
+    plans = p.each(lambda e: perspective_step(e.width, e.height, quad, vertical_degrees, horizontal_degrees))
     color = [c / 255.0 for c in N.hex_color(pad_color or "#ffffff")]
     border = (*(N.q9(N.srgb_to_linear_exact(c)) for c in color[:3]), color[3])
-    return warp(p.to(LINEAR), step, w, h, border)
+    return _warped(p.to(LINEAR), plans, border)
 
 
 def padding_share(width: int, height: int, step: np.ndarray, to_width: int, to_height: int) -> float:

@@ -1,23 +1,40 @@
 """Neighbourhood operators with large footprints, as numpy kernels on tiles of an image with what lies around them.
 
-A group is one tile, so a task's memory does not depend on the size of images; (image_id, ty, tx) spreads large images
-over tasks. Only what needs an image in one piece, as a file does, takes it so.
+Pixels travel packed: a task sends, for each tile that some of its pixels belong to or lie near, one row with their places and
+values, so that no pixel is a row of a shuffle. Kernels that follow one another share one exchange: the frame remembers what it
+came from (``Chain``), the halos add up, and each tile runs all kernels in turn, giving up after each the rim that has
+lost its surroundings. A group is one tile and (image_id, ty, tx) spreads large images over tasks, so a task's memory does not depend
+on the size of images. Only what needs an image in one piece, as a file does, takes it so.
+
+Warps cut the result into cells until what a cell reads of the source is bounded too. Healing runs on tiles of the
+patch: source and target pixels come to the tile of their place in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import PixelFrame
+from ..frame import SIZE_ID, PixelFrame
 
-SCHEMA = "image_id int, y int, x int, r double, g double, b double, a double"
-#: Pixels along a tile's side, and along the side of the blocks by which tiles of a warp get their sources.
+#: Pixels along a tile's side, and along the side of the blocks by which cells of a warp get their sources.
 TILE, BLOCK = 1024, 256
+#: Pixels that a task gathers before it packs them.
+GATHER = 1 << 18
+#: A warp's cell reads at most so many tiles' worth of source pixels; cells of at most so many pixels a side are traced exactly.
+MOST_SOURCE, EXACT = 2.5, 64
+
+Kernel = Callable[[np.ndarray, int], np.ndarray]
+
+
+def _schema(p: PixelFrame) -> str:
+    return f"image_id int, y int, x int, {SIZE_ID + ' int, ' if p.mixed else ''}r double, g double, b double, a double"
 
 
 def _pixels(table: pa.Table, x0: int, y0: int, width: int, height: int) -> np.ndarray:
@@ -29,91 +46,232 @@ def _pixels(table: pa.Table, x0: int, y0: int, width: int, height: int) -> np.nd
     return out
 
 
-def _table(image: int, out: np.ndarray, x0: int, y0: int) -> pa.Table:
-    ys, xs = np.indices(out.shape[:2])
-    columns = {"image_id": pa.array(np.full(ys.size, image), pa.int32()), "y": pa.array((ys + y0).ravel(), pa.int32()), "x": pa.array((xs + x0).ravel(), pa.int32())}
+def _table(image: int, size: int | None, out: np.ndarray, x0: int, y0: int) -> pa.Table:
+    ys, xs = np.indices(out.shape[:2], np.int32)
+    columns = {"image_id": pa.array(np.full(ys.size, image, np.int32)), "y": pa.array((ys + y0).ravel(), pa.int32()), "x": pa.array((xs + x0).ravel(), pa.int32())}
+    if size is not None:
+        columns[SIZE_ID] = pa.array(np.full(ys.size, size, np.int32))
     return pa.table(columns | {c: pa.array(out[..., i].ravel()) for i, c in enumerate("rgba")})
 
 
 def per_batch(p: PixelFrame, f: Callable[[np.ndarray], np.ndarray]) -> PixelFrame:
     """``f`` maps colours (n, 3) to others, pixel by pixel."""
+    keys = list(p.keys)
 
     def run(batches):
         for b in batches:
             rgb = f(np.stack([b.column(c).to_numpy() for c in "rgb"], 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("image_id", "y", "x")), *(pa.array(rgb[:, i]) for i in range(3)), b.column("a")], [*("image_id", "y", "x"), *"rgba"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), *(pa.array(rgb[:, i]) for i in range(3)), b.column("a")], [*keys, *"rgba"])
+
+    return replace(p, df=p.df.select(*keys, *"rgba").mapInArrow(run, _schema(p)))
+
+
+# packed tiles
+
+
+def _gathered(batches):
+    """Record batches of about ``GATHER`` rows as dicts of numpy columns."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= GATHER:
+            yield _columns(held)
+            held, n = [], 0
+    if n:
+        yield _columns(held)
+
+
+def _columns(batches: list) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _window(ty: int, tx: int, size: tuple[int, int], side: int, halo: int) -> tuple[int, int, int, int]:
+    """Left, top, right and bottom of a tile with its halo, inside the image."""
+    return max(0, tx * side - halo), max(0, ty * side - halo), min(size[0], (tx + 1) * side + halo), min(size[1], (ty + 1) * side + halo)
 
-    return PixelFrame(p.df.select("image_id", "y", "x", *"rgba").mapInArrow(run, SCHEMA), p.width, p.height, p.space, p.matrix)
+
+def _pieces(c: dict[str, np.ndarray], sizes: np.ndarray, side: int, halo: int):
+    """Rows by the tiles that they belong to or lie near: (image, size, ty, tx, part), and the row numbers of each."""
+    size = c[SIZE_ID]
+    low, high = {}, {}
+    for axis, n in (("y", sizes[size, 1]), ("x", sizes[size, 0])):
+        low[axis] = np.maximum(0, (c[axis] - halo) // side)
+        high[axis] = np.minimum((n - 1) // side, (c[axis] + halo) // side)
+    picked, ty, tx = [], [], []
+    for j in range(int((high["y"] - low["y"]).max()) + 1):
+        for i in range(int((high["x"] - low["x"]).max()) + 1):
+            rows = np.flatnonzero((low["y"] + j <= high["y"]) & (low["x"] + i <= high["x"]))
+            picked.append(rows)
+            ty.append(low["y"][rows] + j)
+            tx.append(low["x"][rows] + i)
+    rows, ty, tx = np.concatenate(picked), np.concatenate(ty), np.concatenate(tx)
+    keys = c["image_id"][rows], size[rows], ty, tx, c["part"][rows]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], 0)])) if len(order) else []
+    for a, b in zip(first, [*first[1:], len(order)], strict=True):
+        yield tuple(int(k[a]) for k in keys), rows[order[a:b]]
+
+
+PIECE = "image_id int, size_id int, ty int, tx int, part int, at binary, data binary"
+
+
+def packed(rows: DataFrame, sizes: Sequence[tuple[int, int]], halo: int) -> DataFrame:
+    """One row for each tile and batch of ``rows`` (image_id, size_id, part, y, x, r, g, b, a): places in the tile's window and values."""
+    side, table = TILE, np.array(sizes, np.int64)
+
+    def run(batches):
+        for c in _gathered(batches):
+            values = np.stack([c[k] for k in "rgba"], 1)
+            for (image, size, ty, tx, part), at in _pieces(c, table, side, halo):
+                x0, y0, x1, _ = _window(ty, tx, sizes[size], side, halo)
+                place = ((c["y"][at] - y0).astype(np.int64) * (x1 - x0) + (c["x"][at] - x0)).astype(np.uint32)
+                yield pa.RecordBatch.from_pydict({
+                    "image_id": pa.array([image], pa.int32()), "size_id": pa.array([size], pa.int32()), "ty": pa.array([ty], pa.int32()), "tx": pa.array([tx], pa.int32()),
+                    "part": pa.array([part], pa.int32()), "at": pa.array([place.tobytes()], pa.binary()), "data": pa.array([values[at].tobytes()], pa.binary()),
+                })
+
+    return rows.select("image_id", SIZE_ID, "part", "y", "x", *"rgba").mapInArrow(run, PIECE)
+
+
+def _tiled(rows: DataFrame, sizes: Sequence[tuple[int, int]], steps: Sequence[tuple[Kernel, int]], schema: str, mixed: bool, parts: int = 1) -> DataFrame:
+    """Kernels over tiles of ``rows``; a kernel gets (height, width, 4 * parts) and the number of the size, and gives (height, width, 4)."""
+    side, halo = TILE, sum(h for _, h in steps)
+
+    def run(table: pa.Table) -> pa.Table:
+        image, size, ty, tx = (int(table.column(c)[0].as_py()) for c in ("image_id", "size_id", "ty", "tx"))
+        x0, y0, x1, y1 = _window(ty, tx, sizes[size], side, halo)
+        v = np.zeros(((y1 - y0) * (x1 - x0), 4 * parts))
+        for part, at, data in zip(*(table.column(c) for c in ("part", "at", "data")), strict=True):
+            k = 4 * part.as_py()
+            v[np.frombuffer(at.as_buffer(), np.uint32), k : k + 4] = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, 4)
+        v = v.reshape(y1 - y0, x1 - x0, 4 * parts)
+        for kernel, rim in steps:
+            v = kernel(v, size)
+            # beside an edge that is not the image's the rim has not seen its surroundings
+            left, top = rim * (x0 > 0), rim * (y0 > 0)
+            right, bottom = rim * (x1 < sizes[size][0]), rim * (y1 < sizes[size][1])
+            v = v[top : v.shape[0] - bottom, left : v.shape[1] - right]
+            x0, y0, x1, y1 = x0 + left, y0 + top, x1 - right, y1 - bottom
+        v = v[ty * side - y0 :, tx * side - x0 :][:side, :side]
+        return _table(image, size if mixed else None, v, tx * side, ty * side)
+
+    return packed(rows, sizes, halo).groupBy("image_id", "size_id", "ty", "tx").applyInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """A frame, and the kernels that lead from it to ``df``."""
+
+    base: PixelFrame
+    steps: tuple[tuple[Kernel, int], ...]
+    df: DataFrame
 
 
 def per_tile(p: PixelFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> PixelFrame:
     """``kernel`` maps an array (height, width, 4) to one of the same size, in which a pixel depends on those at most
-    ``halo`` away along either axis; beyond the image's edges it sees what it does beyond the array's."""
-    width, height, side = p.width, p.height, TILE
+    ``halo`` away along either axis; beyond the image's edges it sees what it does beyond the array's. A kernel right after
+    others is run with them, as long as the halos together are at most half a tile."""
+    before: Any = p.pending if p.pending is not None and p.pending.df is p.df else None
+    if before is not None and sum(h for _, h in before.steps) + halo > TILE // 2:
+        before = None
+    base, steps = (before.base, before.steps) if before is not None else (p, ())
+    steps = (*steps, (lambda v, _: kernel(v), halo))
+    rows = base.df if base.mixed else base.df.withColumn(SIZE_ID, F.lit(0))
+    df = _tiled(rows.withColumn("part", F.lit(0)), base.each(lambda e: (e.width, e.height)), steps, _schema(p), p.mixed)
+    return replace(p, df=df, pending=Chain(base, steps, df))
 
-    def tiles(c: str, size: int):
-        last = (size - 1) // side
-        return F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / side)), F.least(F.lit(last), F.floor((F.col(c) + halo) / side)))
 
-    def run(table: pa.Table) -> pa.Table:
-        ty, tx = (int(table.column(c)[0].as_py()) for c in ("ty", "tx"))
-        x0, y0 = max(0, tx * side - halo), max(0, ty * side - halo)
-        x1, y1 = min(width, (tx + 1) * side + halo), min(height, (ty + 1) * side + halo)
-        out = kernel(_pixels(table, x0, y0, x1 - x0, y1 - y0))
-        out = out[ty * side - y0 :, tx * side - x0 :][:side, :side]
-        return _table(table.column("image_id")[0].as_py(), out, tx * side, ty * side)
-
-    df = p.df.select("image_id", "y", "x", *"rgba", F.explode(tiles("y", height)).alias("ty"))
-    df = df.select("*", F.explode(tiles("x", width)).alias("tx"))
-    return PixelFrame(df.groupBy("image_id", "ty", "tx").applyInArrow(run, SCHEMA), width, height, p.space, p.matrix)
-
-
-def source_box(inverse: np.ndarray, x0: int, y0: int, x1: int, y1: int, width: int, height: int) -> tuple[int, int, int, int]:
-    """Source pixels (left, top, right, bottom) that the taps of an output window reach; all if the window meets the horizon."""
-    corners = inverse @ np.array([[x0, x1, x0, x1], [y0, y0, y1, y1], [1, 1, 1, 1]], float)
-    if (corners[2] <= 1e-9).any():
-        return 0, 0, width, height
+# warps
+
+
+@dataclass(frozen=True)
+class Warp:
+    """From places of a result of this size to places of a source."""
+
+    inverse: np.ndarray
+    width: int
+    height: int
+    source_width: int
+    source_height: int
+
+
+def source_box(w: Warp, x0: int, y0: int, x1: int, y1: int) -> tuple[int, int, int, int] | None:
+    """Source pixels (left, top, right, bottom) that the taps of a cell reach; None if the cell meets the horizon."""
+    corners = w.inverse @ np.array([[x0, x1, x0, x1], [y0, y0, y1, y1], [1, 1, 1, 1]], float)
+    if not ((corners[2] > 1e-9).all() or (corners[2] < -1e-9).all()):
+        return None
     u, v = corners[:2] / corners[2]
-    box = np.clip([u.min() - 4, u.max() + 4], 0, width).astype(int), np.clip([v.min() - 4, v.max() + 4], 0, height).astype(int)
-    return int(box[0][0]), int(box[1][0]), int(box[0][1]), int(box[1][1])
+    left, right = np.clip([u.min() - 4, u.max() + 4], 0, w.source_width).astype(int)
+    top, bottom = np.clip([v.min() - 4, v.max() + 4], 0, w.source_height).astype(int)
+    return int(left), int(top), int(right), int(bottom)
+
+
+def traced_box(w: Warp, x0: int, y0: int, x1: int, y1: int) -> tuple[int, int, int, int]:
+    """The same, pixel by pixel."""
+    u, v = _sources(w.inverse, x0, y0, x1, y1)
+    with np.errstate(invalid="ignore"):
+        reach = (u > -3) & (u < w.source_width + 2) & (v > -3) & (v < w.source_height + 2)
+    if not reach.any():
+        return 0, 0, 0, 0
+    u, v = np.floor(u[reach]), np.floor(v[reach])
+    left, right = np.clip([u.min() - 1, u.max() + 3], 0, w.source_width).astype(int)
+    top, bottom = np.clip([v.min() - 1, v.max() + 3], 0, w.source_height).astype(int)
+    return int(left), int(top), int(right), int(bottom)
+
+
+def cells(w: Warp) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """(left, top, right, bottom) of the result's cells, each with its source box: tiles, cut into four until the box is small enough."""
+    side, most = TILE, MOST_SOURCE * TILE * TILE
+    left = [(x, y, min(w.width, x + side), min(w.height, y + side)) for y in range(0, w.height, side) for x in range(0, w.width, side)]
+    out = []
+    while left:
+        x0, y0, x1, y1 = cell = left.pop()
+        box = source_box(w, *cell)
+        if box is None and max(x1 - x0, y1 - y0) <= EXACT:
+            box = traced_box(w, *cell)
+        if (x1 - x0) * (y1 - y0) == 1 or box is not None and (box[2] - box[0]) * (box[3] - box[1]) <= most:
+            out.append((*cell, *box))
+            continue
+        xs = [x0, (x0 + x1) // 2, x1] if x1 - x0 > 1 else [x0, x1]
+        ys = [y0, (y0 + y1) // 2, y1] if y1 - y0 > 1 else [y0, y1]
+        left += [(a, c, b, d) for a, b in zip(xs, xs[1:], strict=False) for c, d in zip(ys, ys[1:], strict=False)]
+    return out
 
 
-def per_window(p: PixelFrame, inverse: np.ndarray, width: int, height: int, border: tuple[float, ...]) -> DataFrame:
-    """Pixels of a warp's result: each output tile with the source pixels that it reaches."""
-    size, side = (p.width, p.height), TILE
-    boxes = {
-        (ty, tx): source_box(inverse, tx * side, ty * side, min(width, (tx + 1) * side), min(height, (ty + 1) * side), *size)
-        for ty in range(-(-height // side)) for tx in range(-(-width // side))
-    }
+def per_window(p: PixelFrame, warps: Sequence[Warp], border: tuple[float, ...]) -> DataFrame:
+    """Pixels of a warp's result, a warp for each extent: each cell with the source pixels that it reaches."""
+    plans = [cells(w) for w in warps]
     rows = [
-        (by, bx, ty, tx)
-        for (ty, tx), (x0, y0, x1, y1) in boxes.items() if x0 < x1 and y0 < y1
+        (k, by, bx, cell, *box)
+        for k, plan in enumerate(plans) for cell, (*_, x0, y0, x1, y1) in enumerate(plan) if x0 < x1 and y0 < y1
+        for box in [(x0, y0, x1 - 1, y1 - 1)]
         for by in range(y0 // BLOCK, (y1 - 1) // BLOCK + 1) for bx in range(x0 // BLOCK, (x1 - 1) // BLOCK + 1)
     ]
-    spark = p.df.sparkSession
-    reach = spark.createDataFrame(rows, "by int, bx int, ty int, tx int")
-    # images are bounded at 100 million pixels, which is 1,526 blocks; few tiles reach one block
+    spark, mixed, schema = p.df.sparkSession, p.mixed, _schema(p)
+    reach = spark.createDataFrame(rows, f"{SIZE_ID} int, by int, bx int, cell int, x0 int, y0 int, x1 int, y1 int")
+    # an image of 100 million pixels has 1,526 blocks, and few cells reach one block; frames of many sizes may have more rows
     reach = F.broadcast(reach) if len(rows) <= 100_000 else reach
-    pixels = p.df.select("image_id", "y", "x", *"rgba", F.floor(F.col("y") / BLOCK).cast("int").alias("by"), F.floor(F.col("x") / BLOCK).cast("int").alias("bx"))
-    held = pixels.join(reach, ["by", "bx"]).select("image_id", "y", "x", *"rgba", "ty", "tx")
-    # a tile that reaches no pixel is all border; one row without a place stands for each tile
-    names = F.array(*(F.struct(F.lit(ty).alias("ty"), F.lit(tx).alias("tx")) for ty, tx in boxes))
-    marks = p.df.select("image_id").distinct().select("image_id", F.explode(names).alias("t"))
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int").alias(f"b{c}")
+    size = F.col(SIZE_ID) if mixed else F.lit(0).alias(SIZE_ID)
+    held = p.df.select("image_id", size, "y", "x", *"rgba", block("y"), block("x")).join(reach, [SIZE_ID, "by", "bx"])
+    held = held.filter("x between x0 and x1 and y between y0 and y1").select("image_id", SIZE_ID, "y", "x", *"rgba", "cell")
+    # a cell that reaches no pixel is all border; one row without a place stands for each cell
+    counts = p.pick([len(plan) for plan in plans])
+    marks = p.images().select("image_id", size, F.explode(F.sequence(F.lit(0), counts - 1)).alias("cell"))
     none = [F.lit(None).cast("int").alias(c) for c in ("y", "x")] + [F.lit(0.0).alias(c) for c in "rgba"]
-    held = held.unionByName(marks.select("image_id", *none, "t.ty", "t.tx"))
+    held = held.unionByName(marks.select("image_id", SIZE_ID, *none, "cell"))
 
     def run(table: pa.Table) -> pa.Table:
-        image = table.column("image_id")[0].as_py()
-        ty, tx = (int(table.column(c)[0].as_py()) for c in ("ty", "tx"))
-        x0, y0, x1, y1 = boxes[ty, tx]
-        table = table.filter(table.column("y").is_valid())
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        table = table.filter(pa.array((y >= y0) & (y < y1) & (x >= x0) & (x < x1)))
-        source = _pixels(table, x0, y0, x1 - x0, y1 - y0)
-        window = tx * side, ty * side, min(width, (tx + 1) * side), min(height, (ty + 1) * side)
-        return _table(image, warped(source, inverse, window, (x0, y0), size, border), *window[:2])
+        image, k, cell = (int(table.column(c)[0].as_py()) for c in ("image_id", SIZE_ID, "cell"))
+        x0, y0, x1, y1, left, top, right, bottom = plans[k][cell]
+        source = _pixels(table.filter(table.column("y").is_valid()), left, top, right - left, bottom - top)
+        out = warped(source, warps[k].inverse, (x0, y0, x1, y1), (left, top), (warps[k].source_width, warps[k].source_height), border)
+        return _table(image, k if mixed else None, out, x0, y0)
 
-    return held.groupBy("image_id", "ty", "tx").applyInArrow(run, SCHEMA)
+    return held.groupBy("image_id", SIZE_ID, "cell").applyInArrow(run, schema)
 
 
 def premultiplied(v: np.ndarray) -> np.ndarray:
@@ -128,20 +286,49 @@ def unpremultiplied(v: np.ndarray) -> np.ndarray:
     return np.concatenate([rgb, a], -1)
 
 
-def convolved(v: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
-    """One pass of a symmetric-length filter along an axis, edges held."""
-    r = len(weights) // 2
-    pad = [(0, 0)] * v.ndim
-    pad[axis] = (r, r)
-    wide, n = np.pad(v, pad, "edge"), v.shape[axis]
-    out = np.zeros_like(v)
-    for k, w in enumerate(weights):
-        out += w * np.take(wide, range(k, k + n), axis)
-    return out
+def convolved(v: np.ndarray, weights: Sequence[float], axis: int) -> np.ndarray:
+    """One pass of a filter of odd length along an axis, edges held: for each run of places the product of a band of
+    weights, edges folded in, with the values that the run reaches."""
+    n, r = v.shape[axis], len(weights) // 2
+    flat = np.moveaxis(v, axis, 0)
+    rest = flat.shape[1:]
+    flat = np.ascontiguousarray(flat).reshape(n, -1)
+    out, step = np.empty_like(flat), max(64, 2 * r)
+    for at in range(0, n, step):
+        stop = min(n, at + step)
+        low, high = max(0, at - r), min(n, stop + r)
+        band, row = np.zeros((stop - at, high - low)), np.arange(stop - at)
+        for k, w in enumerate(weights):
+            np.add.at(band, (row, np.clip(row + at + k - r, 0, n - 1) - low), w)
+        out[at:stop] = band @ flat[low:high]
+    return np.moveaxis(out.reshape(n, *rest), 0, axis)
+
+
+def blurred(v: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    return unpremultiplied(convolved(convolved(premultiplied(v), weights, 1), weights, 0))
 
 
-def blurred(v: np.ndarray, weights: list[float]) -> np.ndarray:
-    return unpremultiplied(convolved(convolved(premultiplied(v), weights, 1), weights, 0))
+def sharpened(v: np.ndarray, weights: Sequence[float], amount: float, least: float) -> np.ndarray:
+    """Away from the blurred image wherever they differ by more than ``least``."""
+    d = v - blurred(v, weights)
+    return np.where(np.abs(d) > least, np.clip(v + amount * d, 0, 1), v)
+
+
+def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float, offset: float, alpha_least: float) -> np.ndarray:
+    """A square kernel over premultiplied colour; rows of it first, then their sum. Alpha stays."""
+    r = size // 2
+    wide = np.pad(premultiplied(v)[..., :3], [(r, r), (r, r), (0, 0)], "edge")
+    h, w = v.shape[:2]
+    total = np.zeros((h, w, 3))
+    for j in range(size):
+        row, line = np.zeros((h, w, 3)), wide[j : j + h]
+        for i in range(size):
+            if k := float(kernel[j * size + i]):
+                row += line[:, i : i + w] * k
+        total += row
+    a = v[..., 3:]
+    rgb = np.where(a < alpha_least, 0.0, total / divisor / np.where(a < alpha_least, 1.0, a))
+    return np.concatenate([np.clip(rgb + offset, 0, 1), a], -1)
 
 
 def median(v: np.ndarray, radius: int) -> np.ndarray:
@@ -160,18 +347,26 @@ def _cubic(t: np.ndarray) -> np.ndarray:
     return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
 
 
+def _sources(inverse: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pixels of a cell come from, counted from pixel centres."""
+    ys, xs = np.indices((y1 - y0, x1 - x0)) + 0.5
+    ys, xs = ys + y0, xs + x0
+    with np.errstate(all="ignore"):
+        d = inverse[2][0] * xs + inverse[2][1] * ys + inverse[2][2]
+        u = (inverse[0][0] * xs + inverse[0][1] * ys + inverse[0][2]) / d - 0.5
+        w = (inverse[1][0] * xs + inverse[1][1] * ys + inverse[1][2]) / d - 0.5
+    return u, w
+
+
 def warped(v: np.ndarray, inverse: np.ndarray, window: tuple[int, int, int, int], origin: tuple[int, int], size: tuple[int, int], border: tuple[float, ...]) -> np.ndarray:
     """Bicubic gather for a window of the result: output pixel centres go through ``inverse`` to source coordinates; outside
     lies the border. ``v`` is the part of a source of ``size`` that begins at ``origin``."""
     x0, y0, x1, y1 = window
     src = premultiplied(v)
     edge = np.array([*(b * border[3] for b in border[:3]), border[3]])
-    ys, xs = np.indices((y1 - y0, x1 - x0)) + 0.5
-    ys, xs = ys + y0, xs + x0
-    d = inverse[2][0] * xs + inverse[2][1] * ys + inverse[2][2]
-    u = (inverse[0][0] * xs + inverse[0][1] * ys + inverse[0][2]) / d - 0.5
-    w = (inverse[1][0] * xs + inverse[1][1] * ys + inverse[1][2]) / d - 0.5
-    iu, iw = np.floor(u).astype(int), np.floor(w).astype(int)
+    u, w = _sources(inverse, x0, y0, x1, y1)
+    with np.errstate(invalid="ignore"):
+        iu, iw = np.floor(u).astype(int), np.floor(w).astype(int)
     out = np.zeros((y1 - y0, x1 - x0, 4))
     for j in range(-1, 3):
         for i in range(-1, 3):
@@ -183,42 +378,34 @@ def warped(v: np.ndarray, inverse: np.ndarray, window: tuple[int, int, int, int]
     return unpremultiplied(np.clip(out, 0, 1))
 
 
-def disc_weights(xs, ys, cx: int, cy: int, radius: int, feather: float) -> np.ndarray:
-    d = np.sqrt((xs - cx) ** 2 + (ys - cy) ** 2)
-    core = max(radius - feather, 0.0)
-    t = np.clip((radius - d) / (radius - core), 0, 1) if radius > core else (d <= radius).astype(float)
-    w = np.where(d <= core, 1.0, np.where(d > radius, 0.0, t * t * (3 - 2 * t)))
-    return np.floor(w * 1e6 + 0.5) / 1e6
-
-
-def healed(p: PixelFrame, src: tuple[int, int], dest: tuple[int, int], radius: int, feather: float, weights: list[float]) -> DataFrame:
-    """(image_id, y, x, r, g, b, a) of the pixels of the disc at ``dest``, from the two patches alone."""
-    w, h = p.width, p.height
-    radius = min(radius, int(np.ceil(np.hypot(w, h))))
-    # beyond an edge a patch holds the edge's pixels, so what it needs lies in a box inside the image
-    boxes = [[int(np.clip(v, 0, n - 1)) for v, n in ((x - radius, w), (y - radius, h), (x + radius, w), (y + radius, h))] for x, y in (src, dest)]
-    near = None
-    for x0, y0, x1, y1 in boxes:
-        part = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
-        near = part if near is None else near | part
-
-    def run(table: pa.Table) -> pa.Table:
-        image, patches = table.column("image_id")[0].as_py(), []
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        for (x0, y0, x1, y1), (cx, cy) in zip(boxes, (src, dest), strict=True):
-            part = _pixels(table.filter(pa.array((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))), x0, y0, x1 - x0 + 1, y1 - y0 + 1)
-            rows, columns = (np.clip(np.arange(c - radius, c + radius + 1), 0, n - 1) - at for c, n, at in ((cy, h, y0), (cx, w, x0)))
-            patches.append(part[rows][:, columns])
-        a, b = patches
-        mixed = np.clip(a - blurred(a, weights) + blurred(b, weights), 0, 1)
-        ys, xs = np.indices(mixed.shape[:2])
-        weight = disc_weights(xs + dest[0] - radius, ys + dest[1] - radius, *dest, radius, feather)
-        inside = (weight > 0) & (ys + dest[1] >= radius) & (ys + dest[1] - radius < h) & (xs + dest[0] >= radius) & (xs + dest[0] - radius < w)
-        out = b[inside] + (mixed[inside] - b[inside]) * weight[inside][:, None]
-        y, x = ys[inside] + dest[1] - radius, xs[inside] + dest[0] - radius
-        columns = {"image_id": pa.array(np.full(len(y), image), pa.int32()), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32())}
-        return pa.table(columns | {c: pa.array(out[:, i]) for i, c in enumerate("rgba")})
-
-    return p.df.select("image_id", "y", "x", *"rgba").filter(near).groupBy("image_id").applyInArrow(run, SCHEMA)
-
-
+def _places(c: str, centre: int, radius: Column, size: Column) -> Column:
+    """The places of a patch, from 0 to 2 * radius, that hold a pixel's coordinate; beyond an edge a patch holds the edge."""
+    at = F.col(c) - centre + radius
+    low = F.when(F.col(c) == 0, F.lit(0)).otherwise(at)
+    high = F.when(F.col(c) == size - 1, 2 * radius).otherwise(at)
+    low, high = F.greatest(low, F.lit(0)), F.least(high, 2 * radius)
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
+
+
+def healed(p: PixelFrame, src: tuple[int, int], dest: tuple[int, int], radii: Sequence[int], weights: Sequence[Sequence[float]]) -> DataFrame:
+    """(image_id, [size_id,] y, x, r, g, b, a): the target patch with the source's detail, a radius and weights for each extent.
+
+    Both patches are images of 2 * radius + 1 a side, into whose tiles pixels come by their place in the patch, so that a tile
+    holds both patches' pixels and what lies around them.
+    """
+    radius, size = p.pick(radii), F.col(SIZE_ID) if p.mixed else F.lit(0).alias(SIZE_ID)
+    rows = None
+    for part, (cx, cy) in enumerate((src, dest)):
+        placed = p.df.select("image_id", size, F.lit(part).alias("part"), F.explode(_places("y", cy, radius, p.h)).alias("_y"), "x", *"rgba", radius.alias("_radius"))
+        across = _places("x", cx, F.col("_radius"), p.w)
+        placed = placed.select("image_id", SIZE_ID, "part", F.col("_y").alias("y"), F.explode(across).alias("_x"), *"rgba").withColumnRenamed("_x", "x")
+        rows = placed if rows is None else rows.unionByName(placed)
+
+    def kernel(v: np.ndarray, k: int) -> np.ndarray:
+        a, b = v[..., :4], v[..., 4:]
+        return np.clip(a - blurred(a, weights[k]) + blurred(b, weights[k]), 0, 1)
+
+    sides = [(2 * r + 1, 2 * r + 1) for r in radii]
+    out = _tiled(rows, sides, [(kernel, max(len(w) // 2 for w in weights))], _schema(p), p.mixed, 2)
+    back = lambda c, at: (F.col(c) + at - radius).cast("int").alias(c)
+    return out.select("image_id", back("y", dest[1]), back("x", dest[0]), *p.ids[1:], *"rgba")

@@ -3,53 +3,79 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import KEY, SRGB, PixelFrame
+from ..frame import KEY, SIZE_ID, SRGB, Extent, PixelFrame
 from ..functions import numeric as N
 from .filters import WINDOW_RADIUS, taps
 
 
-def resized_plane(df: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
-    """Bilinear between pixel centres: each axis as a table of two taps for each place."""
-    spark = df.sparkSession
-    for axis, size, out in (("x", width, to_width), ("y", height, to_height)):
-        if size == out:
+def _resized(q: PixelFrame, sizes: Sequence[tuple[int, int]]) -> PixelFrame:
+    """Weights of each extent at another size. Bilinear between pixel centres: each axis as a table of two taps for each place."""
+    df = q.df
+    for axis, old, new in (("x", q.each(lambda e: e.width), [w for w, _ in sizes]), ("y", q.each(lambda e: e.height), [h for _, h in sizes])):
+        if old == new:
             continue
+        pairs = sorted(set(zip(old, new, strict=True)))
         rows = []
-        for o in range(out):
-            at = min(max((o + 0.5) * size / out - 0.5, 0.0), size - 1.0)
-            i = int(at)
-            f = N.q6(at - i)
-            rows += [(i, o, 1.0 - f), (min(i + 1, size - 1), o, f)]
+        for k, (size, out) in enumerate(pairs):
+            for o in range(out):
+                at = min(max((o + 0.5) * size / out - 0.5, 0.0), size - 1.0)
+                i = int(at)
+                f = N.q6(at - i)
+                rows += [(k, i, o, 1.0 - f), (k, min(i + 1, size - 1), o, f)]
+        table = df.sparkSession.createDataFrame(rows, f"_pair int, {axis} int, _o int, _k double")
         other = "y" if axis == "x" else "x"
-        table = spark.createDataFrame(rows, f"{axis} int, _o int, _k double")
-        df = df.join(F.broadcast(table) if len(rows) <= 500_000 else table, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.sum(F.col("w") * F.col("_k")).alias("w"))
-    return df.select(*KEY, "w")
-
-
-def plane(p: PixelFrame, width: int, height: int, invert=False, feather_px=0.0) -> DataFrame:
-    """The weights of a mask image at a size: luma, resized, inverted, feathered, clamped."""
-    p = p.to(SRGB)
-    df = p.df.select(*KEY, N.luma_709(F.col("r"), F.col("g"), F.col("b")).alias("w"))
-    df = resized_plane(df, p.width, p.height, width, height)
+        df = df.withColumn("_pair", q.pick([pairs.index(k) for k in zip(old, new, strict=True)])).join(F.broadcast(table) if len(rows) <= 500_000 else table, ["_pair", axis])
+        df = df.groupBy(*q.ids, other, F.col("_o").alias(axis)).agg(F.sum(F.col("w") * F.col("_k")).alias("w"))
+    return q.sized(df.select(*q.keys, "w"), [Extent(w, h) for w, h in sizes])
+
+
+def _fitted(mask: PixelFrame, target: PixelFrame) -> tuple[PixelFrame, list[tuple[int, int]]]:
+    """The mask as a frame whose extents are the pairs of sizes that an image has as mask and as target, and the targets' sizes."""
+    sizes = target.each(lambda e: (e.width, e.height))
+    if not target.mixed:
+        return mask, sizes * len(mask.shapes)
+    own = F.col(SIZE_ID) if mask.mixed else F.lit(0)
+    images = target.images().select("image_id", F.col(SIZE_ID).alias("_target"))
+    rows = mask.df.withColumn("_own", own).drop(SIZE_ID).join(images, "image_id")
+    if mask.mixed:
+        met = mask.images().join(images, "image_id").select(SIZE_ID, "_target").distinct()
+        pairs = sorted((r[0], r[1]) for r in met.toLocalIterator()) or [(0, 0)]
+    else:
+        pairs = [(0, k) for k in range(len(sizes))]
+    table = mask.df.sparkSession.createDataFrame([(k, *pair) for k, pair in enumerate(pairs)], f"{SIZE_ID} int, _own int, _target int")
+    rows = rows.join(F.broadcast(table) if len(pairs) <= 100_000 else table, ["_own", "_target"])
+    extents = tuple(mask.shapes[i] for i, _ in pairs)
+    return PixelFrame(rows.select(*KEY, SIZE_ID, *[c for c in mask.df.columns if c not in mask.keys]), None, None, mask.space, extents=extents), [sizes[k] for _, k in pairs]
+
+
+def plane_for(mask: PixelFrame, target: PixelFrame, invert=False, feather_px=0.0) -> DataFrame:
+    """The weights of mask images, each at the size of its target: luma, resized, inverted, feathered, clamped."""
+    q, sizes = _fitted(mask, target)
+    q = q.to(SRGB)
+    q = _resized(q.select(*q.keys, N.luma_709(F.col("r"), F.col("g"), F.col("b")).alias("w")), sizes)
     if invert:
-        df = df.withColumn("w", 1.0 - F.col("w"))
+        q = q.with_columns({"w": 1.0 - F.col("w")})
     if feather_px > 0:
         weights = N.gaussian_weights(feather_px)
-        q = PixelFrame(df, width, height)
         if len(weights) // 2 <= WINDOW_RADIUS:
             for axis in ("x", "y"):
                 q = taps(q, weights, axis, ["w"])
         else:
             from . import kernels as K
 
-            four = q.select(*KEY, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a"))
+            four = q.select(*q.keys, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a"))
             q = K.per_tile(four, lambda v: K.convolved(K.convolved(v, weights, 1), weights, 0), len(weights) // 2).select(*KEY, F.col("r").alias("w"))
-        df = q.df
-    return df.withColumn("w", N.clamp(F.col("w")))
+    return q.df.select(*KEY, N.clamp(F.col("w")).alias("w"))
+
+
+def plane(p: PixelFrame, width: int, height: int, invert=False, feather_px=0.0) -> DataFrame:
+    """The same at one size."""
+    return plane_for(p, PixelFrame(p.df, width, height), invert, feather_px)
 
 
 def _ramp_down(t: Column, low: float, high: float) -> Column:
@@ -62,14 +88,14 @@ def linear_gradient(p: PixelFrame, angle_degrees=0.0, start=0.0, end=1.0) -> Dat
     """1 before ``start`` and 0 after ``end`` along a direction, on coordinates of 0..1; 0 degrees runs downward."""
     a = math.radians(angle_degrees)
     dx, dy = N.q6(math.sin(a)), N.q6(math.cos(a))
-    xn, yn = (F.col("x") + 0.5) / float(p.width) - 0.5, (F.col("y") + 0.5) / float(p.height) - 0.5
+    xn, yn = (F.col("x") + 0.5) / p.pick(lambda e: float(e.width)) - 0.5, (F.col("y") + 0.5) / p.pick(lambda e: float(e.height)) - 0.5
     return _codes(p, _ramp_down(0.5 + (xn * dx + yn * dy) / (abs(dx) + abs(dy)), start, end))
 
 
 def radial_gradient(p: PixelFrame, center_x=0.5, center_y=0.5, radius=0.5, feather=0.25) -> DataFrame:
     """1 within ``radius``, 0 beyond ``radius + feather``, in half diagonals from a centre."""
-    dx, dy = F.col("x") + 0.5 - center_x * p.width, F.col("y") + 0.5 - center_y * p.height
-    half = N.q6(0.5 * math.sqrt(float(p.width) ** 2 + float(p.height) ** 2))
+    dx, dy = F.col("x") + 0.5 - p.pick(lambda e: center_x * e.width), F.col("y") + 0.5 - p.pick(lambda e: center_y * e.height)
+    half = p.pick(lambda e: N.q6(0.5 * math.sqrt(float(e.width) ** 2 + float(e.height) ** 2)))
     return _codes(p, _ramp_down(N.col_q6(F.sqrt(dx * dx + dy * dy) / half), radius, radius + feather))
 
 
@@ -93,7 +119,7 @@ def color_range(p: PixelFrame, hue_center: float, hue_width=30.0, feather=15.0)
     """1 up to ``hue_width`` degrees from a hue; weak saturation lowers the weight."""
     p = p.to(SRGB)
     r, g, b = (N.to_u8(F.col(c)) / F.lit(255.0) for c in N.CHANNELS)
-    q = p.select(*KEY, r.alias("r"), g.alias("g"), b.alias("b"))
+    q = p.select(*p.keys, r.alias("r"), g.alias("g"), b.alias("b"))
     r, g, b = (F.col(c) for c in N.CHANNELS)
     high, d = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
     flat = (d <= 0.0) | (high <= 0.0)

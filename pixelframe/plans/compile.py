@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..frame import LINEAR, SRGB, PixelFrame, from_channels, from_codes
+from ..frame import LINEAR, SRGB, Extent, PixelFrame, from_channels, from_codes, from_sizes
 from ..operators import color, composite, filters, geometry, masks
 from ..sources.svg import Drawing
 from .presets import recipe_of
@@ -66,28 +66,36 @@ class Planner:
             raise KeyError(f"revision {revision_id} is not known")
         return self.assets[revision_id]
 
-    def plane(self, mask: Mapping, width: int, height: int) -> DataFrame:
-        key = (mask["revision_id"], mask["invert"], mask["feather_px"], width, height)
+    def plane(self, mask: Mapping, p: PixelFrame) -> DataFrame:
+        key = (mask["revision_id"], mask["invert"], mask["feather_px"], *p.each(lambda e: (e.width, e.height)))
         if key not in self.planes:
             # masks are read as they are stored, whatever way up they are to be shown
             read = getattr(self.assets, "mask", self.asset)
-            self.planes[key] = masks.plane(read(mask["revision_id"]), width, height, mask["invert"], mask["feather_px"])
+            self.planes[key] = masks.plane_for(read(mask["revision_id"]), p, mask["invert"], mask["feather_px"])
         return self.planes[key]
 
     def warn(self, p: PixelFrame, name: str, params: Mapping) -> None:
-        """What an operation loses or adds, told before it runs."""
-        if name == "rotate" and params.get("crop", "largest_inscribed_rect") != "full" and (lost := geometry.rotation_loss(p.width, p.height, params["angle_degrees"])):
-            w, h = geometry.inscribed(p.width, p.height, params["angle_degrees"])
-            self.warnings.append(f"turning leaves {w}x{h} of {p.width}x{p.height} pixels, {lost:.1f} per cent less")
-        elif name == "perspective":
+        """What an operation loses or adds, told before it runs; for images of several sizes, of how many, and of the worst."""
+        told = [w for e in p.shapes if (w := self._lost(e, name, params))]
+        if told:
+            self.warnings.append((f"{len(told)} of {len(p.shapes)} sizes, at worst: " if p.mixed else "") + max(told)[1])
+
+    def _lost(self, e: Extent, name: str, params: Mapping) -> tuple[float, str] | None:
+        """A measure, and words for it."""
+        if name == "rotate" and params.get("crop", "largest_inscribed_rect") != "full" and (lost := geometry.rotation_loss(e.width, e.height, params["angle_degrees"])):
+            w, h = geometry.inscribed(e.width, e.height, params["angle_degrees"])
+            return lost, f"turning leaves {w}x{h} of {e.width}x{e.height} pixels, {lost:.1f} per cent less"
+        if name == "perspective":
             quad = {k: v for k, v in params.items() if k != "pad_color"}
-            step, w, h = geometry.perspective_step(p.width, p.height, **quad)
-            if padded := geometry.padding_share(p.width, p.height, step, w, h):
-                self.warnings.append(f"{padded * 100:.1f} per cent of the result's {w}x{h} pixels have no source and are padded")
-        elif name == "crop" and params.get("rect") and params.get("coordinate_space") == "source":
-            x0, y0, x1, y1 = geometry.source_box(p, *(int(params["rect"][k]) for k in ("x", "y", "width", "height")))
-            if x0 < 0 or y0 < 0 or x1 > p.width or y1 > p.height:
-                self.warnings.append(f"the rectangle to crop reaches beyond the {p.width}x{p.height} image; its part inside is taken")
+            step, w, h = geometry.perspective_step(e.width, e.height, **quad)
+            if padded := geometry.padding_share(e.width, e.height, step, w, h):
+                return padded, f"{padded * 100:.1f} per cent of the result's {w}x{h} pixels have no source and are padded"
+        if name == "crop" and params.get("rect") and params.get("coordinate_space") == "source":
+            x0, y0, x1, y1 = geometry.source_box(e, *(int(params["rect"][k]) for k in ("x", "y", "width", "height")))
+            out = max(-x0, -y0, x1 - e.width, y1 - e.height)
+            if out > 0:
+                return out, f"the rectangle to crop reaches beyond the {e.width}x{e.height} image; its part inside is taken"
+        return None
 
     def operation(self, p: PixelFrame, op: Mapping) -> PixelFrame:
         name, params = op["op"], {k: v for k, v in op.items() if k not in ("op", "mask")}
@@ -107,8 +115,8 @@ class Planner:
             self.warn(p, name, params)
             after = RUN[name](p, **params)
         if name in MASKED and "mask" in op:
-            after = composite.masked(p, after, self.plane(op["mask"], after.width, after.height))
-        if after.width * after.height > MOST_PIXELS:
+            after = composite.masked(p, after, self.plane(op["mask"], after))
+        if any(e.width * e.height > MOST_PIXELS for e in after.shapes):
             raise ValueError(f"{name}: the result is larger than {MOST_PIXELS} pixels")
         return after
 
@@ -122,7 +130,7 @@ class Planner:
         for layer in layers:
             source = base if layer["source"] == "base" else self.asset(layer["source"]["revision_id"])
             p = self.chain(source, layer["ops"])
-            mask = self.plane(layer["mask"], p.width, p.height) if "mask" in layer else None
+            mask = self.plane(layer["mask"], p) if "mask" in layer else None
             stack.append((p, layer["blend_mode"], layer["opacity"], mask))
         return composite.fold(stack)
 
@@ -134,11 +142,18 @@ def plan_of(recipe: dict | str) -> dict:
     return validate(parse(recipe))
 
 
-def execute(recipe: dict | str, relation: DataFrame, width: int, height: int, assets: Mapping[str, Any] | None = None, source_format: str = "png") -> Output:
-    """Plan a recipe (or a preset's name) over images of one size, given by code values r8, g8, b8, a8 or channels r, g, b, a."""
+def execute(recipe: dict | str, relation: DataFrame, width: int | None = None, height: int | None = None, assets: Mapping[str, Any] | None = None, source_format: str = "png", sizes: DataFrame | None = None) -> Output:
+    """Plan a recipe (or a preset's name) over images given by code values r8, g8, b8, a8 or channels r, g, b, a.
+
+    Either all have one ``width`` and ``height``, or the relation has such columns and images may differ in size; ``sizes`` may then tell the
+    sizes there are (width, height), as headers do, so that they need not be read from the pixels.
+    """
     parsed = plan_of(recipe)
     planner = Planner(assets)
-    p = (from_codes if "r8" in relation.columns else from_channels)(relation, width, height, first_space(parsed))
+    if width is None or height is None:
+        p = from_sizes(relation, sizes, first_space(parsed))
+    else:
+        p = (from_codes if "r8" in relation.columns else from_channels)(relation, width, height, first_space(parsed))
     if parsed.get("layers"):
         p = planner.layers(p, parsed["layers"])
     p = planner.chain(p, parsed["operations"]).to(SRGB)

@@ -308,6 +308,18 @@ def read_pixels(spark: SparkSession, path: str, orient: bool = True) -> DataFram
     return read_channels(spark, path, orient).select("path", "y", "x", *(code(c) for c in "rgba"))
 
 
+def read_images(spark: SparkSession, path: str, orient: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The images under a path, of whatever sizes, as one relation: (image_id, y, x, r, g, b, a, width, height), and the files
+    (image_id, path, width, height). Numbers follow the order of paths; unreadable files have none."""
+    heads = inspect(spark, path).filter("error is null")
+    turned = F.coalesce("orientation", F.lit(1)) >= 5 if orient else F.lit(False)
+    size = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("width", "height"), ("height", "width"))]
+    found = sorted(heads.select(_located("path").alias("path"), *size).toLocalIterator(), key=lambda r: r.path)
+    files = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "image_id int, path string, width int, height int")
+    pixels = read_channels(spark, path, orient).join(F.broadcast(files) if len(found) <= 100_000 else files, "path")
+    return pixels.select("image_id", "y", "x", *"rgba", "width", "height"), files
+
+
 def png(pixels: np.ndarray) -> bytes:
     """A PNG file of an array (height, width, 3 or 4) of uint8 or uint16."""
     h, w, n = pixels.shape
@@ -331,27 +343,29 @@ def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8,
     from ..functions.numeric import to_u16
     from ..operators.composite import flattened
 
-    height, width = p.height, p.width
+    sizes, size = p.each(lambda e: (e.width, e.height)), F.col("size_id") if p.mixed else F.lit(0).alias("size_id")
     if fmt == "jpeg":
         df, kind, channels = flattened(p), np.uint8, ("r8", "g8", "b8")
     elif bit_depth == 16:
-        df, kind, channels = p.to("srgb").df.select("image_id", "y", "x", *(to_u16(F.col(c)).alias(c) for c in "rgba")), np.uint16, tuple("rgba")
+        df, kind, channels = p.to("srgb").df.select(*p.keys, *(to_u16(F.col(c)).alias(c) for c in "rgba")), np.uint16, tuple("rgba")
     else:
         df, kind, channels = codes(p), np.uint8, ("r8", "g8", "b8", "a8")
 
     def band(table: pa.Table) -> pa.Table:
-        k = table.column("band")[0].as_py()
+        k, (width, height) = table.column("band")[0].as_py(), sizes[table.column("size_id")[0].as_py()]
         out = np.zeros((min(BAND, height - k * BAND), width, len(channels)), kind)
         y, x = table.column("y").to_numpy() - k * BAND, table.column("x").to_numpy()
         for i, c in enumerate(channels):
             out[y, x, i] = table.column(c).to_numpy()
-        return pa.table({"image_id": table.column("image_id")[:1], "band": table.column("band")[:1], "data": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({**{c: table.column(c)[:1] for c in ("image_id", "size_id", "band")}, "data": pa.array([out.tobytes()], pa.binary())})
 
     def file(table: pa.Table) -> pa.Table:
         parts = sorted(zip(table.column("band").to_pylist(), table.column("data").to_pylist(), strict=True))
+        width, height = sizes[table.column("size_id")[0].as_py()]
         pixels = np.frombuffer(b"".join(d for _, d in parts), kind).reshape(height, width, len(channels))
         data = png(pixels) if fmt == "png" else jpeg(pixels, quality or 85, icc)
         return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([data], pa.binary())})
 
-    bands = df.withColumn("band", F.floor(F.col("y") / BAND).cast("int")).groupBy("image_id", "band").applyInArrow(band, "image_id int, band int, data binary")
-    return bands.groupBy("image_id").applyInArrow(file, "image_id int, content binary")
+    bands = df.select("image_id", size, F.floor(F.col("y") / BAND).cast("int").alias("band"), "y", "x", *channels)
+    bands = bands.groupBy("image_id", "size_id", "band").applyInArrow(band, "image_id int, size_id int, band int, data binary")
+    return bands.groupBy("image_id", "size_id").applyInArrow(file, "image_id int, content binary")
