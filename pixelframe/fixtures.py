@@ -41,6 +41,16 @@ def events_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("image_id", "y", "x", *(c.alias(f"{n}8") for n, c in zip("rgba", rgba, strict=True)))
 
 
+#: Sizes of the images of ``sizes_px``, by number modulo three.
+THREE = ((32, 32), (24, 30), (31, 17))
+
+
+def sizes_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of three sizes, with width and height as columns; opaque."""
+    at = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in THREE)), F.col("image_id") % 3 + 1)
+    return orders_px(spark, sf_dir).withColumns({"width": at(0), "height": at(1)}).filter("x < width and y < height")
+
+
 def big_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1792 x 1400, opaque: each order is a run of 128 pixels, 14 of them a line."""
     t = _tiles(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 14, 1400)

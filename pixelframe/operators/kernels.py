@@ -1,7 +1,7 @@
 """Neighbourhood operators with large footprints, as numpy kernels on tiles of an image with what lies around them.
 
 Pixels travel packed: a task sends, for each tile that some of its pixels belong to or lie near, one row with their places and
-values, so that no pixel is a row of a shuffle. Kernels that follow one another share one exchange: the frame remembers what it
+values (``squeezed``), so that no pixel is a row of a shuffle. Kernels that follow one another share one exchange: the frame remembers what it
 came from (``Chain``), the halos add up, and each tile runs all kernels in turn, giving up after each the rim that has
 lost its surroundings. A group is one tile and (image_id, ty, tx) spreads large images over tasks, so a task's memory does not depend
 on the size of images. Only what needs an image in one piece, as a file does, takes it so.
@@ -115,6 +115,51 @@ def _pieces(c: dict[str, np.ndarray], sizes: np.ndarray, side: int, halo: int):
         yield tuple(int(k[a]) for k in keys), rows[order[a:b]]
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Columns of doubles, exactly, in as few bytes as their distinct values allow: a table of them and places in it of one or two bytes,
+    as channels that come from code values have, or else the doubles."""
+    out = []
+    for v in values.T:
+        v = np.ascontiguousarray(v)
+        table = at = None
+        if len(np.unique(v[:2048])) <= 1024:
+            table, at = np.unique(v.view(np.int64), return_inverse=True)
+        if table is None or len(table) * 8 + 2 * len(v) >= 8 * len(v) or len(table) > 65536:
+            out += [np.array([0], np.int64).tobytes(), v.tobytes()]
+        else:
+            out += [np.array([len(table)], np.int64).tobytes(), table.tobytes(), at.astype(np.uint8 if len(table) <= 256 else np.uint16).tobytes()]
+    return b"".join(out)
+
+
+def loosened(data, n: int) -> np.ndarray:
+    """The columns (n, 4) again."""
+    out, at = np.empty((n, 4)), 0
+    for i in range(4):
+        (size,) = np.frombuffer(data, np.int64, 1, at)
+        at += 8
+        if not size:
+            out[:, i] = np.frombuffer(data, np.float64, n, at)
+            at += 8 * n
+            continue
+        table = np.frombuffer(data, np.float64, size, at)
+        at += 8 * int(size)
+        kind = np.dtype(np.uint8 if size <= 256 else np.uint16)
+        out[:, i] = table[np.frombuffer(data, kind, n, at)]
+        at += kind.itemsize * n
+    return out
+
+
+def runs(places: np.ndarray) -> bytes:
+    """Places as runs (first, length) of consecutive ones."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1]))
+    return np.stack([places[first], np.diff(np.append(first, len(places)))], 1).astype(np.uint32).tobytes()
+
+
+def places(data) -> np.ndarray:
+    first, n = np.frombuffer(data, np.uint32).reshape(-1, 2).astype(np.int64).T
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 PIECE = "image_id int, size_id int, ty int, tx int, part int, at binary, data binary"
 
 
@@ -127,10 +172,10 @@ def packed(rows: DataFrame, sizes: Sequence[tuple[int, int]], halo: int) -> Data
             values = np.stack([c[k] for k in "rgba"], 1)
             for (image, size, ty, tx, part), at in _pieces(c, table, side, halo):
                 x0, y0, x1, _ = _window(ty, tx, sizes[size], side, halo)
-                place = ((c["y"][at] - y0).astype(np.int64) * (x1 - x0) + (c["x"][at] - x0)).astype(np.uint32)
+                place = (c["y"][at] - y0).astype(np.int64) * (x1 - x0) + (c["x"][at] - x0)
                 yield pa.RecordBatch.from_pydict({
                     "image_id": pa.array([image], pa.int32()), "size_id": pa.array([size], pa.int32()), "ty": pa.array([ty], pa.int32()), "tx": pa.array([tx], pa.int32()),
-                    "part": pa.array([part], pa.int32()), "at": pa.array([place.tobytes()], pa.binary()), "data": pa.array([values[at].tobytes()], pa.binary()),
+                    "part": pa.array([part], pa.int32()), "at": pa.array([runs(place)], pa.binary()), "data": pa.array([squeezed(values[at])], pa.binary()),
                 })
 
     return rows.select("image_id", SIZE_ID, "part", "y", "x", *"rgba").mapInArrow(run, PIECE)
@@ -145,8 +190,8 @@ def _tiled(rows: DataFrame, sizes: Sequence[tuple[int, int]], steps: Sequence[tu
         x0, y0, x1, y1 = _window(ty, tx, sizes[size], side, halo)
         v = np.zeros(((y1 - y0) * (x1 - x0), 4 * parts))
         for part, at, data in zip(*(table.column(c) for c in ("part", "at", "data")), strict=True):
-            k = 4 * part.as_py()
-            v[np.frombuffer(at.as_buffer(), np.uint32), k : k + 4] = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, 4)
+            k, at = 4 * part.as_py(), places(at.as_buffer())
+            v[at, k : k + 4] = loosened(data.as_buffer(), len(at))
         v = v.reshape(y1 - y0, x1 - x0, 4 * parts)
         for kernel, rim in steps:
             v = kernel(v, size)
@@ -158,7 +203,10 @@ def _tiled(rows: DataFrame, sizes: Sequence[tuple[int, int]], steps: Sequence[tu
         v = v[ty * side - y0 :, tx * side - x0 :][:side, :side]
         return _table(image, size if mixed else None, v, tx * side, ty * side)
 
-    return packed(rows, sizes, halo).groupBy("image_id", "size_id", "ty", "tx").applyInArrow(run, schema)
+    # packed tiles are few bytes and much work: by number, so that they are not put together by their bytes
+    tile = ["image_id", "size_id", "ty", "tx"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed(rows, sizes, halo).repartition(n, *tile).groupBy(*tile).applyInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -102,6 +102,39 @@ QUAD = [[4, 3], [60, 6], [57, 46], [2, 41]]
 px("px_perspective_quad", "emb", lambda p: geometry.perspective(p, QUAD), lambda c: c.perspective(quad=QUAD), "linear")
 
 
+# images of three sizes in one plan; the SQL takes them size by size
+def sizes(name: str, operations: list[dict], chain: Callable[[sql.Chain], sql.Chain], space: str = "linear") -> None:
+    QUERIES[name] = lambda s, d: codes(execute({"operations": operations}, fixtures.sizes_px(s, d)).frame).select(*KEY, "r8", "g8", "b8", "a8")
+    ORACLES[name] = " union all ".join(f"select * from ({chain(sql.Chain('orders', space, prefix=f's{i}_').of_size(i, *size)).codes()})" for i, size in enumerate(fixtures.THREE))
+
+
+def _fit(c: sql.Chain, width: int, height: int) -> sql.Chain:
+    w, h, *_ = geometry.resize_plan(c.width, c.height, width, height, "contain")
+    return c.resize(w, h)
+
+
+def _cut(c: sql.Chain, ratio: str) -> sql.Chain:
+    w, h = geometry.aspect_size(c.width, c.height, N.aspect_ratio(ratio), False)
+    return c.crop((c.width - w) // 2, (c.height - h) // 2, w, h)
+
+
+def _square(c: sql.Chain, fill: list[float]) -> sql.Chain:
+    side = max(c.width, c.height)
+    return c.pad((side - c.width) // 2, (side - c.height) // 2, side, side, fill)
+
+
+sizes(
+    "px_sizes_fit_cut_blur_vignette",
+    [{"op": "resize", "width": 22, "height": 20, "fit": "contain"}, {"op": "crop", "aspect_ratio": "4:3"}, {"op": "blur", "sigma": 3.0}, {"op": "vignette", "strength": 0.5}],
+    lambda c: _cut(_fit(c, 22, 20), "4:3").blur(3.0).vignette(0.5),
+)
+sizes(
+    "px_sizes_turn_square_levels",
+    [{"op": "rotate", "angle_degrees": 10.0}, {"op": "flip", "direction": "horizontal"}, {"op": "crop", "aspect_ratio": "1:1", "mode": "pad", "pad_color": "#000000"}, {"op": "pixelate", "block_size": 3}, {"op": "auto_levels", "clip_percent": 1.0}],
+    lambda c: _square((t := c.rotate(10.0)).moved(f"{t.width} - 1 - x", "y", t.width, t.height), [0, 0, 0, 1]).pixelate(3).auto_levels(1.0),
+)
+
+
 _NOTHING = {"operations": [{"op": "auto_orient"}, {"op": "strip_metadata", "scope": "all"}, {"op": "encode", "format": "png"}]}
 QUERIES["px_no_pixel_ops"] = lambda s, d: codes(execute(_NOTHING, LOAD["events"](s, d), 32, 32).frame)
 ORACLES["px_no_pixel_ops"] = sql.EVENTS

@@ -318,8 +318,11 @@ class Chain:
         t = clamp(f"({d(radius)} - {far}) / {d(radius - core)}") if radius > core else "1::DOUBLE"
         w = f"round(case when {far} <= {d(core)} then 1 when {far} > {d(radius)} then 0 else {t} * {t} * ({d(3)} - {d(2)} * {t}) end * {d(1e6)}) / {d(1e6)}"
         self.to("linear").add(f"select *, {w} w from {{p}}")
-        moved = f"(select image_id, (y + {dy - sy})::INT y, (x + {dx - sx})::INT x, r qr, g qg, b qb, a qa from {{p}} where abs(x - {sx}) <= {radius} and abs(y - {sy}) <= {radius})"
-        self.add(f"select * from {{p}} left join {moved} using (image_id, y, x)")
+        # the square around the source is told twice, the second time where it goes; nothing is joined
+        near = f"abs(x - {sx}) <= {radius} and abs(y - {sy}) <= {radius}"
+        self.add(f"select image_id, (y + k * {dy - sy})::INT y, (x + k * {dx - sx})::INT x, k, r, g, b, a, w from (select *, unnest(case when {near} then [0, 1] else [0] end) k from {{p}})")
+        of = lambda c, k: f"max({c}) filter (k = {k})"
+        self.add(f"select image_id, y, x, {', '.join(f'{of(c, 0)} {c}, {of(c, 1)} q{c}' for c in 'rgba')}, {of('w', 0)} w from {{p}} group by image_id, y, x having count(*) filter (k = 0) > 0")
         new = lambda c: f"case when qr is null or w <= 0 then {c} else {c} + (q{c} - {c}) * w end"
         return self.rgb(new, "", new("a"))
 
@@ -387,6 +390,11 @@ class Chain:
         self.width, self.height = width, height
         return self.add(f"select image_id, ({y})::INT y, ({x})::INT x, r, g, b, a from {{p}} where {where}")
 
+    def of_size(self, kind: int, width: int, height: int) -> Chain:
+        """Of the images of three sizes those of one."""
+        self.width, self.height = width, height
+        return self.add(f"select * from {{p}} where image_id % 3 = {kind} and x < {width} and y < {height}")
+
     def crop(self, x, y, w, h) -> Chain:
         return self.moved(f"x - {x}", f"y - {y}", w, h, f"x between {x} and {x + w - 1} and y between {y} and {y + h - 1}")
 
