@@ -7,10 +7,11 @@ operation's space decides how code values are read. Masks of one id, size and tr
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..frame import LINEAR, SRGB, Extent, PixelFrame, from_channels, from_codes, from_sizes
 from ..operators import color, composite, filters, geometry, masks
@@ -56,22 +57,29 @@ def first_space(recipe: dict) -> str:
 class Planner:
     """``assets``: revision_id -> PixelFrame, sources.svg.Drawing or sources.cube.Cube."""
 
-    def __init__(self, assets: Mapping[str, Any] | None = None):
-        self.assets = assets or {}
+    def __init__(self, assets: Mapping[str, Any] | None = None, images: int = 1):
+        self.assets, self.images = assets or {}, images
         self.planes: dict[tuple, DataFrame] = {}
         self.warnings: list[str] = []
 
+    def shared(self, asset: Any) -> Any:
+        """An asset that is image 0, for each of the images that a recipe runs over."""
+        if self.images == 1 or not isinstance(asset, PixelFrame):
+            return asset
+        each = F.explode(F.sequence(F.lit(0), F.lit(self.images - 1))).alias("image_id")
+        return replace(asset, df=asset.df.filter("image_id = 0").select(each, *[c for c in asset.df.columns if c != "image_id"]))
+
     def asset(self, revision_id: str):
         if revision_id not in self.assets:
             raise KeyError(f"revision {revision_id} is not known")
-        return self.assets[revision_id]
+        return self.shared(self.assets[revision_id])
 
     def plane(self, mask: Mapping, p: PixelFrame) -> DataFrame:
         key = (mask["revision_id"], mask["invert"], mask["feather_px"], *p.each(lambda e: (e.width, e.height)))
         if key not in self.planes:
             # masks are read as they are stored, whatever way up they are to be shown
             read = getattr(self.assets, "mask", self.asset)
-            self.planes[key] = masks.plane_for(read(mask["revision_id"]), p, mask["invert"], mask["feather_px"])
+            self.planes[key] = masks.plane_for(self.shared(read(mask["revision_id"])), p, mask["invert"], mask["feather_px"])
         return self.planes[key]
 
     def warn(self, p: PixelFrame, name: str, params: Mapping) -> None:
@@ -107,7 +115,7 @@ class Planner:
             top = self.asset(params["svg_revision_id"])
             if isinstance(top, Drawing):
                 self.warnings += [f"svg_overlay: {w}" for w in top.warnings()]
-                top = top.frame(p.df.sparkSession, params.get("width"), params.get("height"))
+                top = self.shared(top.frame(p.df.sparkSession, params.get("width"), params.get("height")))
             elif "width" in params or "height" in params:
                 top = geometry.resize(top, params.get("width"), params.get("height"), "fill", False)
             return composite.over(p, top, params["blend_mode"], params["opacity"], at=(params["x"], params["y"]))
@@ -142,14 +150,15 @@ def plan_of(recipe: dict | str) -> dict:
     return validate(parse(recipe))
 
 
-def execute(recipe: dict | str, relation: DataFrame, width: int | None = None, height: int | None = None, assets: Mapping[str, Any] | None = None, source_format: str = "png", sizes: DataFrame | None = None) -> Output:
+def execute(recipe: dict | str, relation: DataFrame, width: int | None = None, height: int | None = None, assets: Mapping[str, Any] | None = None, source_format: str = "png", sizes: DataFrame | None = None, shared: int = 1) -> Output:
     """Plan a recipe (or a preset's name) over images given by code values r8, g8, b8, a8 or channels r, g, b, a.
 
     Either all have one ``width`` and ``height``, or the relation has such columns and images may differ in size; ``sizes`` may then tell the
-    sizes there are (width, height), as headers do, so that they need not be read from the pixels.
+    sizes there are (width, height), as headers do, so that they need not be read from the pixels. Assets have the same images as the
+    relation, or, with ``shared``, one image that is used for all of so many.
     """
     parsed = plan_of(recipe)
-    planner = Planner(assets)
+    planner = Planner(assets, shared)
     if width is None or height is None:
         p = from_sizes(relation, sizes, first_space(parsed))
     else:

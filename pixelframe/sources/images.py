@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jpeg import jpeg
+from .jpeg import jpeg, profiled
 
 MOST_BYTES, MOST_PIXELS = 128 << 20, 100_000_000
 PIXELS = "image_id int, y int, x int, r8 int, g8 int, b8 int, a8 int"
@@ -176,7 +176,7 @@ def exif(tiff: bytes) -> dict:
     return out
 
 
-def inspect(spark: SparkSession, path: str) -> DataFrame:
+def inspect(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Headers of all files under a path, unreadable ones with an error."""
     names = [f.split()[0] for f in HEADER.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
@@ -260,7 +260,7 @@ def _located(c: str) -> Column:
     return F.regexp_replace(c, "^file:/+", "file:/")
 
 
-def read_channels(spark: SparkSession, path: str, orient: bool = True) -> DataFrame:
+def read_channels(spark: SparkSession, path: str | list[str], orient: bool = True) -> DataFrame:
     """(path, y, x, r, g, b, a) on 0..1 of the files under a path, the way up that EXIF asks for; ``orient=False``, as masks
     are read, as they are stored. Headers are read first: files that are too large or unreadable are not decoded."""
     heads = inspect(spark, path).filter("error is null")
@@ -308,18 +308,43 @@ def read_pixels(spark: SparkSession, path: str, orient: bool = True) -> DataFram
     return read_channels(spark, path, orient).select("path", "y", "x", *(code(c) for c in "rgba"))
 
 
-def read_images(spark: SparkSession, path: str, orient: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_images(spark: SparkSession, path: str | list[str], orient: bool = True) -> tuple[DataFrame, DataFrame]:
     """The images under a path, of whatever sizes, as one relation: (image_id, y, x, r, g, b, a, width, height), and the files
-    (image_id, path, width, height). Numbers follow the order of paths; unreadable files have none."""
+    (image_id, path, width, height, has_exif, has_icc). Numbers follow the order of paths; unreadable files have none."""
     heads = inspect(spark, path).filter("error is null")
+    told = [(F.coalesce(F.size("exif") > 0, F.lit(False)) | F.col("has_gps")).alias("has_exif"), F.col("has_icc_profile").alias("has_icc")]
     turned = F.coalesce("orientation", F.lit(1)) >= 5 if orient else F.lit(False)
     size = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("width", "height"), ("height", "width"))]
-    found = sorted(heads.select(_located("path").alias("path"), *size).toLocalIterator(), key=lambda r: r.path)
-    files = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "image_id int, path string, width int, height int")
-    pixels = read_channels(spark, path, orient).join(F.broadcast(files) if len(found) <= 100_000 else files, "path")
+    found = sorted(heads.select(_located("path").alias("path"), *size, *told).toLocalIterator(), key=lambda r: r.path)
+    files = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "image_id int, path string, width int, height int, has_exif boolean, has_icc boolean")
+    numbers = files.select("path", "image_id", "width", "height")
+    pixels = read_channels(spark, path, orient).join(F.broadcast(numbers) if len(found) <= 100_000 else numbers, "path")
     return pixels.select("image_id", "y", "x", *"rgba", "width", "height"), files
 
 
+def profiles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, icc): the colour profiles of the files that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([icc_profile(c) for c in b.column("content").to_pylist()], pa.binary())], ["path", "icc"])
+
+    files = spark.read.format("binaryFile").load(path).select(_located("path").alias("path"), "content")
+    return files.mapInArrow(run, "path string, icc binary").filter("octet_length(icc) > 0")
+
+
+def with_profiles(files: DataFrame, icc: DataFrame) -> DataFrame:
+    """JPEG files (image_id, content, ...) with the profile of their image from (image_id, icc), if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [profiled(c, p) if p else c for c, p in zip(b.column("content").to_pylist(), b.column("icc").to_pylist(), strict=True)]
+            yield b.set_column(b.schema.get_field_index("content"), "content", pa.array(made, pa.binary())).drop_columns(["icc"])
+
+    schema = files.schema
+    return files.join(icc, "image_id", "left").select(*schema.names, "icc").mapInArrow(run, schema)
+
+
 def png(pixels: np.ndarray) -> bytes:
     """A PNG file of an array (height, width, 3 or 4) of uint8 or uint16."""
     h, w, n = pixels.shape
@@ -335,7 +360,7 @@ BAND = 64
 
 
 def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8, icc: bytes = b"") -> DataFrame:
-    """(image_id, content): one file an image, as PNG or, on white and with a colour profile if one is given, as JPEG. Lines are packed into bands first, so that the
+    """(image_id, content, width, height): one file an image, as PNG or, on white and with a colour profile if one is given, as JPEG. Lines are packed into bands first, so that the
     task which writes a file holds its bytes and not a row for each pixel."""
     if fmt not in ("png", "jpeg"):
         raise ImageError(f"encode_failed: no encoder for {fmt} in this environment")
@@ -364,8 +389,8 @@ def encoded(p, fmt: str = "png", quality: int | None = None, bit_depth: int = 8,
         width, height = sizes[table.column("size_id")[0].as_py()]
         pixels = np.frombuffer(b"".join(d for _, d in parts), kind).reshape(height, width, len(channels))
         data = png(pixels) if fmt == "png" else jpeg(pixels, quality or 85, icc)
-        return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([data], pa.binary())})
+        return pa.table({"image_id": table.column("image_id")[:1], "content": pa.array([data], pa.binary()), "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32())})
 
     bands = df.select("image_id", size, F.floor(F.col("y") / BAND).cast("int").alias("band"), "y", "x", *channels)
     bands = bands.groupBy("image_id", "size_id", "band").applyInArrow(band, "image_id int, size_id int, band int, data binary")
-    return bands.groupBy("image_id", "size_id").applyInArrow(file, "image_id int, content binary")
+    return bands.groupBy("image_id", "size_id").applyInArrow(file, "image_id int, content binary, width int, height int")

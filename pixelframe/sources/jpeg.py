@@ -119,6 +119,20 @@ def _packed(values: np.ndarray, bits: np.ndarray) -> bytes:
     return np.packbits(flat).tobytes().replace(b"\xff", b"\xff\x00")
 
 
+def _segment(marker: int, data: bytes) -> bytes:
+    return b"\xff" + bytes([marker]) + struct.pack(">H", len(data) + 2) + data
+
+
+_HEAD = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+
+
+def profiled(data: bytes, icc: bytes) -> bytes:
+    """A file of ``jpeg`` with a colour profile after its head."""
+    parts = [icc[at : at + 65000] for at in range(0, len(icc), 65000)]
+    told = b"".join(_segment(0xE2, b"ICC_PROFILE\0" + bytes([k, len(parts)]) + part) for k, part in enumerate(parts, 1))
+    return data[: len(_HEAD)] + told + data[len(_HEAD) :]
+
+
 def jpeg(pixels: np.ndarray, quality: int = 85, icc: bytes = b"") -> bytes:
     """A file of an array (height, width, 3) of uint8, with a colour profile if one is given."""
     h, w, _ = pixels.shape
@@ -140,18 +154,15 @@ def jpeg(pixels: np.ndarray, quality: int = 85, icc: bytes = b"") -> bytes:
     order = np.lexsort((np.arange(len(block)), plane, block))
     symbol, extra, bits, kind = symbol[order], extra[order], bits[order], kind[order]
     codes, sizes, segments = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64), b""
-    segment = lambda marker, data: b"\xff" + bytes([marker]) + struct.pack(">H", len(data) + 2) + data
+    segment = _segment
     for k in range(4):
         of = kind == k
         code, size, table = huffman(np.bincount(symbol[of], minlength=256))
         codes[of], sizes[of] = code[symbol[of]], size[symbol[of]]
         segments += segment(0xC4, bytes([(k % 2) << 4 | k // 2]) + table)
     values, lengths = np.stack([codes, extra], 1).ravel(), np.stack([sizes, bits], 1).ravel()
-    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
-    profile = [icc[at : at + 65000] for at in range(0, len(icc), 65000)]
-    for k, part in enumerate(profile, 1):
-        out += segment(0xE2, b"ICC_PROFILE\0" + bytes([k, len(profile)]) + part)
+    out = _HEAD
     for i, t in enumerate(tables):
         out += segment(0xDB, bytes([i]) + bytes(t[ZIGZAG].tolist()))
     out += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"\1\x11\0\2\x11\1\3\x11\1") + segments
-    return out + segment(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + _packed(values, lengths) + b"\xff\xd9"
+    return profiled(out + segment(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + _packed(values, lengths) + b"\xff\xd9", icc)

@@ -108,6 +108,20 @@ class Ledger:
         self._append(self.spark.createDataFrame([row], names))
         return revision
 
+    def known(self) -> DataFrame:
+        """Each revision's row; of rows that two writers made of one revision the first."""
+        return first_by(self.rows(), "revision_id", "ledger_seq")
+
+    def merge(self, made: DataFrame) -> None:
+        """Append derivations (source_revision_id, recipe, recipe_hash, mime_type, width, height, byte_size, sha256, rel_path) whose source is known and
+        that have no row yet, each once. Names follow from what was asked, so that a task that runs twice gives the same row."""
+        asked = ["source_revision_id", "recipe_hash"]
+        made = made.withColumn("_key", F.struct(*asked))
+        made = first_by(made, "_key", "sha256").drop("_key")
+        new = made.join(self.memo(made.select(*asked).distinct()).select(*asked), asked, "left_anti")
+        sources = self.known().select(F.col("revision_id").alias("source_revision_id"), "asset_id")
+        self._append(new.join(sources, "source_revision_id").select("*", derived_id(*map(F.col, asked)).alias("revision_id"), F.create_map(F.lit("kind"), F.lit("derived")).alias("origin")))
+
     def revisions(self, asset_id: str | None = None) -> DataFrame:
         rows = self.rows() if asset_id is None else self.rows().filter(F.col("asset_id") == asset_id)
         return placed(rows).orderBy("created_at", "ledger_seq")
@@ -117,6 +131,11 @@ class Ledger:
         return lineage(self.rows().select("revision_id", "source_revision_id"), revision_id)
 
 
+def derived_id(source: Column, recipe_hash: Column) -> Column:
+    """The name of what a recipe makes of a revision."""
+    return F.concat(F.lit("rev_"), F.substring(F.sha2(F.concat_ws("\0", source, recipe_hash, F.lit(ENGINE_VERSION)), 256), 1, 26))
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Rows of a ledger with each one's place among its asset's revisions, by time and then by order of writing."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("asset_id").orderBy("created_at", "ledger_seq")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import uuid
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -18,7 +20,7 @@ from .plans.recipe import canonical, recipe_hash
 from .sources import images, svg
 from .sources.cube import MOST_BYTES as CUBE_BYTES
 from .sources.cube import Cube, parse_cube
-from .sources.sinks import export_file, preview_path, write_objects
+from .sources.sinks import export_file, preview_path, stored, write_objects
 from .sources.store import Ledger, StoreError, object_path, preview_key
 
 LUT_MIME, SVG_MIME = "application/x-cube-lut", "image/svg+xml"
@@ -141,30 +143,101 @@ class Workspace:
     def apply_transform(self, revision_id: str, recipe: dict | str) -> dict[str, Any]:
         """A new revision by a recipe or preset; one that was made before is given back without work."""
         parsed = plan_of(recipe)
-        wanted, row = recipe_hash(parsed), self._raster(revision_id)
-        asked = self.spark.createDataFrame([(revision_id, wanted)], "source_revision_id string, recipe_hash string")
-        if made := self.ledger.memo(asked).head():
-            return {"revision_id": made.revision_id, "recipe_hash": wanted, "reused": True, "warnings": []}
-        source = self.frame(revision_id)
-        out = execute(parsed, source.df, source.width, source.height, _Assets(self), row.mime_type.split("/")[1])
-        head, icc = images.header(data := self.read(revision_id)), images.icc_profile(data)
-        scopes = {o["scope"] for o in parsed["operations"] if o["op"] == "strip_metadata"}
-        if head["exif"] or head["has_gps"]:
-            out.warnings.append("EXIF data is dropped when a file is written again")
-        if "all" in scopes or out.format != "jpeg":
-            if icc and "all" not in scopes:
-                out.warnings.append(f"the colour profile is dropped: {out.format} files are written without one")
-            icc = b""
-        content = bytes(images.encoded(out.frame, out.format, out.quality, out.bit_depth, icc).first().content)
-        mime = MIMES[out.format]
-        made = self._store(revision_id, canonical(parsed), wanted, content, mime, out.frame.width, out.frame.height)
-        return {"revision_id": made, "recipe_hash": wanted, "reused": False, "warnings": out.warnings}
-
-    def _store(self, source: str, recipe: str, wanted: str, content: bytes, mime: str, width: int, height: int) -> str:
-        made = self.ledger.record(source, recipe, wanted, content, mime, width, height)
-        rel_path = self.row(made).rel_path
-        write_objects(self.spark.createDataFrame([(rel_path, bytearray(content))], "rel_path string, content binary"), self.folder)
-        return made
+        self._raster(revision_id)
+        text = recipe if isinstance(recipe, str) else json.dumps(recipe)
+        row = self.apply_transforms(self.spark.createDataFrame([(revision_id, text)], "source_revision_id string, recipe string")).head()
+        if row.revision_id is None:
+            code = next((c for c in ("encode_failed", "decode_failed") if row.error.startswith(c)), "transform_failed")
+            raise ToolError(code, f"{revision_id}: {row.error}", "change the recipe, or import the image again")
+        return {"revision_id": row.revision_id, "recipe_hash": recipe_hash(parsed), "reused": row.reused, "warnings": list(row.warnings)}
+
+    def apply_transforms(self, requests: DataFrame) -> DataFrame:
+        """``requests`` (source_revision_id, recipe as JSON or a preset's name) with recipe_hash, revision_id, reused, warnings and error.
+
+        What the ledger knows is not made again, what is asked for twice is made once. Each distinct recipe is one plan over all its images, of
+        whatever sizes; the tasks that encode files write them, and the ledger is appended to once, at the end. A request that cannot be met
+        has an ``error`` and no revision, and does not keep others from being met; null requests are such. Only recipes and paths go to
+        the driver.
+        """
+        rows = requests.select("source_revision_id", "recipe")
+        plans, told = {}, []
+        for (text,) in rows.select("recipe").distinct().toLocalIterator():
+            try:
+                parsed = plan_of(text or "{}")
+                plans[recipe_hash(parsed)] = parsed
+                told.append((text, recipe_hash(parsed), None))
+            except ValueError as e:
+                told.append((text, None, str(e)))
+        known = self.spark.createDataFrame(told, "_text string, recipe_hash string, _bad string")
+        asked = rows.join(F.broadcast(known) if len(told) <= 10_000 else known, F.col("recipe").eqNullSafe(F.col("_text"))).drop("_text")
+        keys = ["source_revision_id", "recipe_hash"]
+        wanted = asked.filter("recipe_hash is not null").select(*keys).distinct()
+        sources = self.ledger.known().select(F.col("revision_id").alias("source_revision_id"), "mime_type", F.col("rel_path").alias("source_path"))
+        staging = os.path.join(self.folder, f"staging-{uuid.uuid4().hex}")
+        before = f"{staging}/before"
+        self.ledger.memo(wanted).select(*keys).write.parquet(before)
+        new = wanted.join(self.spark.read.parquet(before), keys, "left_anti").join(sources, "source_revision_id").filter(F.col("mime_type").isin(*RASTERS))
+        new.write.parquet(f"{staging}/new")
+        new, made = self.spark.read.parquet(f"{staging}/new"), None
+        # a few at a time would only be more jobs; each plan is written by itself, so that none grows with the number of recipes
+        for wanted_hash, mime in sorted(map(tuple, new.select("recipe_hash", "mime_type").distinct().toLocalIterator())):
+            part = self._made(new.filter((F.col("recipe_hash") == wanted_hash) & (F.col("mime_type") == mime)), plans[wanted_hash], mime)
+            if isinstance(part, DataFrame):
+                stored(part, self.folder).write.mode("append").parquet(f"{staging}/made")
+                made = f"{staging}/made"
+            else:
+                told.append((wanted_hash, mime, part))
+        none = "source_revision_id string, recipe_hash string, warnings array<string>"
+        warned = self.spark.createDataFrame([], none)
+        if made:
+            rows_made = self.spark.read.parquet(made)
+            self.ledger.merge(rows_made.drop("warnings"))
+            warned = rows_made.select(*keys, "warnings").dropDuplicates(keys)
+        failed = self.spark.createDataFrame([t for t in told if t[0] in plans], "recipe_hash string, mime_type string, _failed string")
+        had = self.spark.read.parquet(before).withColumn("reused", F.lit(True))
+        out = asked.join(self.ledger.memo(wanted), keys, "left").join(had, keys, "left").join(warned, keys, "left").join(sources, "source_revision_id", "left").join(failed, ["recipe_hash", "mime_type"], "left")
+        error = (
+            F.when(F.col("_bad").isNotNull(), F.col("_bad"))
+            .when(F.col("mime_type").isNull(), F.concat(F.lit("unknown revision "), F.coalesce("source_revision_id", F.lit("null"))))
+            .when(~F.col("mime_type").isin(*RASTERS), F.concat(F.lit("not an image: "), "mime_type"))
+            .otherwise(F.coalesce("_failed", F.lit("decode_failed: the image cannot be read")))
+        )
+        out = out.select(
+            "source_revision_id", "recipe", "recipe_hash", "revision_id", F.coalesce("reused", F.lit(False)).alias("reused"),
+            F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), F.when(F.col("revision_id").isNull(), error).alias("error"),
+        )
+        out.write.parquet(f"{staging}/answers")
+        return self.spark.read.parquet(f"{staging}/answers")
+
+    def cleanup(self) -> None:
+        """Delete the tables that answers are read from; no answer that is still to be read may be kept."""
+        for name in os.listdir(self.folder):
+            if name.startswith("staging-"):
+                shutil.rmtree(os.path.join(self.folder, name))
+
+    def _made(self, asked: DataFrame, parsed: dict, mime: str) -> DataFrame | str:
+        """The files that one recipe makes of images of one type: what the ledger needs of them, content and warnings; or why there are none."""
+        paths = [os.path.join(self.folder, r.source_path) for r in asked.select("source_path").distinct().toLocalIterator()]
+        pixels, files = images.read_images(self.spark, paths)
+        n = files.count()
+        if not n:
+            return "decode_failed: the image cannot be read"
+        try:
+            out = execute(parsed, pixels, assets=_Assets(self), source_format=mime.split("/")[1], sizes=files, shared=n)
+            content = images.encoded(out.frame, out.format, out.quality, out.bit_depth)
+        except (ValueError, KeyError) as e:
+            return str(e.args[0] if e.args else e)
+        all_goes = any(o["op"] == "strip_metadata" and o["scope"] == "all" for o in parsed["operations"])
+        if out.format == "jpeg" and not all_goes:
+            content = images.with_profiles(content, images.profiles(self.spark, paths).join(files.select("path", "image_id"), "path").select("image_id", "icc"))
+        lost = [F.lit(w) for w in out.warnings]
+        lost.append(F.when(F.col("has_exif"), "EXIF data is dropped when a file is written again"))
+        if out.format != "jpeg" and not all_goes:
+            lost.append(F.when(F.col("has_icc"), f"the colour profile is dropped: {out.format} files are written without one"))
+        name = lambda c: F.substring_index(c, "/", -1)
+        files = files.select("image_id", name("path").alias("_name"), F.array_compact(F.array(*lost)).cast("array<string>").alias("warnings"))
+        asked = asked.select("source_revision_id", "recipe_hash", name("source_path").alias("_name"))
+        return asked.join(files, "_name").join(content, "image_id").select("source_revision_id", F.lit(canonical(parsed)).alias("recipe"), "recipe_hash", F.lit(MIMES[out.format]).alias("mime_type"), "width", "height", "content", "warnings")
 
     def render_preview(self, revision_id: str, recipe: dict | str, overlay: str | None = None, mask_revision_id: str | None = None) -> dict[str, Any]:
         """The path of a JPEG of at most 768 pixels a side, with guide lines or a mask over it; written once."""
@@ -213,8 +286,9 @@ class Workspace:
         if made := self.ledger.memo(asked).head():
             return {"revision_id": made.revision_id, "mean_weight": mean, "reused": True}
         gray = PixelFrame(weights.select(*KEY, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a")), p.width, p.height)
-        content = bytes(images.encoded(gray).first().content)
-        return {"revision_id": self._store(reference_revision_id, text, wanted, content, "image/png", p.width, p.height), "mean_weight": mean, "reused": False}
+        told = {"source_revision_id": reference_revision_id, "recipe": text, "recipe_hash": wanted, "mime_type": "image/png"}
+        self.ledger.merge(stored(images.encoded(gray).select(*(F.lit(v).alias(k) for k, v in told.items()), "width", "height", "content"), self.folder))
+        return {"revision_id": self.ledger.memo(asked).head().revision_id, "mean_weight": mean, "reused": False}
 
     def detect_tilt(self, revision_id: str, **settings) -> dict[str, Any]:
         return tilt.detect(self.frame(revision_id), **settings).head().asDict(True)
