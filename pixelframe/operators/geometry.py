@@ -8,7 +8,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import LINEAR, Extent, PixelFrame, grid
@@ -276,6 +276,28 @@ def rotation_loss(width: int, height: int, angle: float) -> float:
     return (1 - w * h / (width * height)) * 100
 
 
+def inside_columns(width: Column, height: Column, angle: Column) -> tuple[Column, Column]:
+    """``inside`` as expressions, for angles that are no quarter turns."""
+    zero = F.lit(0.0)
+    s, c = (F.nullif(F.abs(f(F.radians(angle))), zero) for f in (F.sin, F.cos))
+    fits = lambda a, b: (a * c + b * s <= width * (1 + 1e-12)) & (a * s + b * c <= height * (1 + 1e-12))
+    flat, steep, even = (height / 2 / s, height / 2 / c), (width / 2 / c, width / 2 / s), F.nullif(c * c - s * s, zero)
+    both = (width * c - height * s) / even, (height * c - width * s) / even
+    return tuple(F.when(fits(*flat), flat[i]).when(fits(*steep), steep[i]).otherwise(both[i]) for i in (0, 1))
+
+
+def loss_percent(width: Column, height: Column, angle: Column) -> Column:
+    """Per cent of the pixels that lie outside the largest upright rectangle inside an image turned by ``angle``."""
+    a, b = inside_columns(width, height, angle)
+    return F.when(angle % 90 == 0, 0.0).otherwise(100.0 * N.clamp(1.0 - a * b / (width * height)))
+
+
+def rotation_loss_columns(width: Column, height: Column, angle: Column) -> Column:
+    """``rotation_loss`` as an expression: the same in whole pixels."""
+    sides = [F.least(F.greatest(F.floor(v + 1e-9), F.lit(1)), n) for v, n in zip(inside_columns(width, height, angle), (width, height), strict=True)]
+    return F.when(angle % 90 == 0, 0.0).otherwise((1 - sides[0] * sides[1] / (width * height)) * 100)
+
+
 def rotate(p: PixelFrame, angle_degrees: float, crop="largest_inscribed_rect") -> PixelFrame:
     """Clockwise. Quarter turns are exact; other angles resample."""
     if angle_degrees % 90 == 0:

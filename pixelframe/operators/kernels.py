@@ -69,7 +69,7 @@ def per_batch(p: PixelFrame, f: Callable[[np.ndarray], np.ndarray]) -> PixelFram
 # packed tiles
 
 
-def _gathered(batches):
+def gathered(batches):
     """Record batches of about ``GATHER`` rows as dicts of numpy columns."""
     held, n = [], 0
     for b in batches:
@@ -168,7 +168,7 @@ def packed(rows: DataFrame, sizes: Sequence[tuple[int, int]], halo: int) -> Data
     side, table = TILE, np.array(sizes, np.int64)
 
     def run(batches):
-        for c in _gathered(batches):
+        for c in gathered(batches):
             values = np.stack([c[k] for k in "rgba"], 1)
             for (image, size, ty, tx, part), at in _pieces(c, table, side, halo):
                 x0, y0, x1, _ = _window(ty, tx, sizes[size], side, halo)

@@ -1,10 +1,14 @@
-"""Tilt estimation as a dataflow: smoothing, gradients, Canny edges, line votes, local maxima, angle histogram, profiles.
+"""Tilt estimation as a dataflow: smoothing, gradients, Canny edges, line votes, local maxima, angle histogram, profiles, fusion.
 
-Gradients come from 3x3 neighbourhoods of smoothed values. An edge point belongs to the nearly level or the nearly upright
-family by its gradient and votes, for each of ``ANGLES`` tilt angles, for the line through it. Votes and profiles are counted
-map-side before they are shuffled; the table of angles is a literal of fixed size. Tracing edges along weak neighbours and
-picking the few peaks of a histogram work on one image at a time. ``detect`` shrinks images by a join with taps and then
-takes all steps, the fusion of lines with profiles among them, as a numpy kernel on one small image (``tilt_kernels``).
+Gradients come from 3x3 neighbourhoods of smoothed values. An edge is where a gradient is greatest across itself; weak edges
+count if they are tied to strong ones, which is told by labels within tiles and by joins over the tiles' borders. An edge point
+belongs to the nearly level or the nearly upright family by its gradient and votes, for each tilt angle of a grid, for
+the line through it; a task counts the votes of its points in one table before anything is shuffled. Profiles are taken of the
+strongest points of an image, of which there is a fixed number at most.
+
+``detect`` goes over the points of profiles twice: for the grid of angles, by which every choice is made, and then for fine
+samples around what was chosen (``centred_means``). All else is joins of tables with a few hundred rows an image.
+Angles are in degrees, clockwise on the screen (``phi``); what levels an image is ``-phi``.
 """
 
 from __future__ import annotations
@@ -19,13 +23,35 @@ from pyspark.sql import functions as F
 
 from ..frame import KEY, SRGB, PixelFrame
 from ..functions import numeric as N
-from . import tilt_kernels as T
+from ..shared import written
+from . import kernels as K
 from .filters import neighbour, taps
+from .geometry import loss_percent
+
+# The estimate's parameters, down to the curve's.
+STEP, SPAN, SIGMA, SLACK = 0.1, 15.0, 1.4, 6.0
+#: Smallest side of an image in which lines are looked for.
+LEAST_SIDE = 16
+#: Degrees around a peak within which lines support it; the histogram's spread.
+PEAK_RADIUS, SPREAD = 0.8, 0.25
+LEAST_LINES, MOST_LINES = 2, 200
+#: Projection points: the strongest share, most, least gradient, least share of the strongest edges, fewest in a family.
+KEEP_SHARE, MOST_POINTS, LEAST_GRADIENT, STRONG_SHARE, FAMILY_POINTS = 0.15, 40_000, 12.0, 0.15, 64
+REFINE_RADIUS, REFINE_SAMPLES = 0.3, 61
+#: Sharpness of a profile that is used at all, and of one that is recommended without lines.
+USABLE, ALONE = 0.25, 0.45
+HOUGH_RADIUS, FAMILY_WINDOW, DISAGREEMENT = 0.5, 1.0, 0.3
+CURVE_FLOOR, CURVE_MOST, CURVE_POINTS = 0.25, 0.999, 300
+
+#: Pixels along the side of the tiles in which edges are labelled.
+EDGE_TILE = 256
+
+
+def angle_grid(limit: float = SPAN) -> list[float]:
+    return [-limit + STEP * i for i in range(int(math.floor(2 * limit / STEP + 0.5)) + 1)]
+
 
-STEP, SPAN = T.STEP, 15.0
-ANGLES = T.angle_grid(SPAN).tolist()
-#: Degrees beyond the largest tilt that an edge's normal may be off its axis.
-SLACK = 6.0
+ANGLES = angle_grid()
 
 
 def gray(p: PixelFrame) -> PixelFrame:
@@ -44,8 +70,8 @@ def sobel(p: PixelFrame) -> DataFrame:
 
 def smoothed(p: PixelFrame) -> PixelFrame:
     """The column v under a Gaussian, as whole code values."""
-    r = math.ceil(2 * T.SIGMA)
-    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * T.SIGMA * T.SIGMA))
+    r = math.ceil(2 * SIGMA)
+    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * SIGMA * SIGMA))
     weights = (weights / weights.sum()).tolist()
     for axis in ("x", "y"):
         p = taps(p, weights, axis, ["v"])
@@ -62,47 +88,130 @@ def canny_thresholds(gradients: DataFrame) -> DataFrame:
     return high.select("image_id", (F.col("high") * 0.4).alias("low"), "high")
 
 
-def canny_edges(gradients: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, y, x, gx, gy) of edge points; a task holds one image of the working size."""
+def canny_edges(gradients: DataFrame, width: int, height: int, side: int = EDGE_TILE) -> DataFrame:
+    """(image_id, y, x, gx, gy) of edge points."""
+    thin = thinned(gradients, width, height).join(canny_thresholds(gradients), "image_id").filter("g >= low")
+    weak = thin.select(*KEY, "gx", "gy", (F.col("g") >= F.col("high")).alias("strong"))
+    return tied_to_strong(weak, width, height, side)
+
+
+def thinned(gradients: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, y, x, gx, gy, g): the points whose gradient none of the two neighbours across the edge exceeds."""
+    angle = F.degrees(F.atan2("gy", "gx"))
+    q = PixelFrame(gradients.select(*KEY, "gx", "gy", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("g"), F.when(angle < 0, angle + 180.0).otherwise(angle).alias("_a")), width, height)
+    q = q.with_columns({"_row": F.array(*(neighbour("g", k, "x") for k in (-1, 0, 1)))})
+    q = q.with_columns({"_above": neighbour("_row", -1, "y"), "_below": neighbour("_row", 1, "y")})
+    above, row, below = (lambda k, c=c: F.element_at(c, k + 2) for c in ("_above", "_row", "_below"))
+    between = lambda low: (F.col("_a") >= low) & (F.col("_a") < low + 45.0)
+    # the neighbours on a line at 45, 90, 135 and 0 degrees
+    two = F.when(between(22.5), F.greatest(above(-1), below(1))).when(between(67.5), F.greatest(above(0), below(0))).when(between(112.5), F.greatest(above(1), below(-1))).otherwise(F.greatest(row(-1), row(1)))
+    inside = F.col("x").between(1, width - 2) & F.col("y").between(1, height - 2)
+    return q.df.filter(inside & (F.col("g") >= two)).select(*KEY, "gx", "gy", "g")
+
+
+def labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of some points the number of the first point to which it is tied by neighbours in eight directions."""
+    y0, x0 = y.min(), x.min()
+    at = np.full((y.max() - y0 + 3, x.max() - x0 + 3), -1, np.int64)
+    at[y - y0 + 1, x - x0 + 1] = np.arange(len(y))
+    links = [np.stack([np.arange(len(y)), at[y - y0 + 1 + dy, x - x0 + 1 + dx]], 1) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    links = np.concatenate([k[k[:, 1] >= 0] for k in links])
+    first = np.arange(len(y))
+    while True:
+        ends = first[links]
+        links, ends = links[ends[:, 0] != ends[:, 1]], ends[ends[:, 0] != ends[:, 1]]
+        if not len(links):
+            return first
+        np.minimum.at(first, ends.max(1), ends.min(1))
+        while (first[first] != first).any():
+            first = first[first]
+
+
+def tied_to_strong(weak: DataFrame, width: int, height: int, side: int = EDGE_TILE) -> DataFrame:
+    """Of points (image_id, y, x, gx, gy, strong) those that neighbours tie to a strong one.
+
+    Points are labelled within tiles. Labels that touch over a border are pairs; from labels with a strong point, pairs lead to
+    further labels, in as many joins as a chain of weak points crosses borders.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        gx, gy = np.zeros((height, width)), np.zeros((height, width))
-        at = table.column("y").to_numpy(), table.column("x").to_numpy()
-        gx[at], gy[at] = table.column("gx").to_numpy(), table.column("gy").to_numpy()
-        y, x = np.nonzero(T.canny(gx, gy, *T.thresholds(gx, gy)))
-        image = pa.array(np.full(len(y), table.column("image_id")[0].as_py()), pa.int32())
-        return pa.table({"image_id": image, "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "gx": pa.array(gx[y, x]), "gy": pa.array(gy[y, x])})
-
-    return gradients.select(*KEY, "gx", "gy").groupBy("image_id").applyInArrow(run, "image_id int, y int, x int, gx double, gy double")
-
-
-def edge_points(gradients: DataFrame, max_angle: float = SPAN) -> DataFrame:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        first = labels(y, x)
+        number = y.astype(np.int64) * width + x
+        anchored = np.zeros(len(y), bool)
+        anchored[first[table.column("strong").to_numpy(zero_copy_only=False)]] = True
+        return table.select([*KEY, "gx", "gy"]).append_column("label", pa.array(number[first])).append_column("anchored", pa.array(anchored[first]))
+
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    known = weak.withColumns({"ty": tile("y"), "tx": tile("x")}).groupBy("image_id", "ty", "tx").applyInArrow(run, "image_id int, y int, x int, gx double, gy double, label long, anchored boolean")
+    edges = [*KEY, "gx", "gy"]
+    if width <= side and height <= side:
+        return known.filter("anchored").select(*edges)
+    known = written(known, "edge-labels")
+    at_border = lambda c: (F.col(c) % side).isin(0, side - 1)
+    border = known.filter(at_border("y") | at_border("x")).select(*KEY, "label")
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx))
+    near = border.select("*", F.explode(steps).alias("s")).select("image_id", "y", "x", (F.col("y") + F.col("s.dy")).alias("y2"), (F.col("x") + F.col("s.dx")).alias("x2"), F.col("label").alias("other"))
+    near = near.filter((F.floor(F.col("y2") / side) != tile("y")) | (F.floor(F.col("x2") / side) != tile("x"))).select("image_id", F.col("y2").alias("y"), F.col("x2").alias("x"), "other")
+    pairs = written(border.join(near, list(KEY)).select("image_id", "label", "other").distinct(), "edge-pairs")
+    reached = front = known.filter("anchored").select("image_id", "label").distinct()
+    while True:
+        more = pairs.join(front.withColumnRenamed("label", "other"), ["image_id", "other"]).select("image_id", "label").distinct()
+        front = written(more.join(reached, ["image_id", "label"], "left_anti"), "edge-front")
+        if front.isEmpty():
+            return known.join(reached, ["image_id", "label"], "left_semi").select(*edges)
+        reached = reached.unionByName(front)
+
+
+def edge_points(gradients: DataFrame, limit: float = SPAN) -> DataFrame:
     """(image_id, y, x, family, strength) of points whose gradient lies near either axis."""
-    limit = math.tan(math.radians(max_angle + SLACK))
+    slope = math.tan(math.radians(limit + SLACK))
     ax, ay = F.abs("gx"), F.abs("gy")
-    family = F.when((ay > ax) & (ax <= limit * ay), "h").when((ay <= ax) & (ay <= limit * ax) & (ax > 0), "v")
+    family = F.when((ay > ax) & (ax <= slope * ay), "h").when((ay <= ax) & (ay <= slope * ax) & (ax > 0), "v")
     return gradients.select(*KEY, family.alias("family"), (ax + ay).alias("strength")).filter("family is not null")
 
 
-def _angles(column) -> Column:
-    """Each of ``ANGLES`` with ``column`` of its radians, as an array to explode."""
-    return F.array(*(F.struct(F.lit(i).alias("ai"), *(F.lit(float(v)).alias(k) for k, v in column(math.radians(a)).items())) for i, a in enumerate(ANGLES)))
-
-
 def _centred(df: DataFrame, width: int, height: int) -> DataFrame:
     return df.withColumns({"dx": F.col("x") - (width - 1) / 2.0, "dy": F.col("y") - (height - 1) / 2.0})
 
 
-def hough_votes(points: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance from the centre."""
-    each = _angles(lambda phi: {"s": math.sin(phi), "c": math.cos(phi)})
-    every = _centred(points, width, height).select("image_id", "family", "dx", "dy", F.explode(each).alias("a"))
-    r = F.when(F.col("family") == "h", -F.col("dx") * F.col("a.s") + F.col("dy") * F.col("a.c")).otherwise(F.col("dx") * F.col("a.c") + F.col("dy") * F.col("a.s"))
-    rounded = F.when(r < 0, -F.floor(0.5 - r)).otherwise(F.floor(r + 0.5)).cast("int")
-    return every.groupBy("image_id", "family", F.col("a.ai").alias("ai"), rounded.alias("ri")).agg(F.count(F.lit(1)).alias("votes"))
+def hough_votes(points: DataFrame, width: int, height: int, limit: float = SPAN) -> DataFrame:
+    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance from the centre. A task
+    adds its points up in tables of angle and distance; no row is made for a point and an angle."""
+    reach = math.ceil(math.hypot(width, height) / 2) + 2
+    turns = [(math.sin(math.radians(a)), math.cos(math.radians(a))) for a in angle_grid(limit)]
+
+    def run(batches):
+        for c in K.gathered(batches):
+            for image in np.unique(c["image_id"]):
+                for upright in (False, True):
+                    rows = (c["image_id"] == image) & (c["upright"] == upright)
+                    if not rows.any():
+                        continue
+                    dx, dy, table = c["dx"][rows], c["dy"][rows], np.empty((len(turns), 2 * reach + 1), np.int64)
+                    for i, (sin, cos) in enumerate(turns):
+                        r = dx * cos + dy * sin if upright else -dx * sin + dy * cos
+                        table[i] = np.bincount((np.trunc(r + np.copysign(0.5, r)) + reach).astype(np.int64), minlength=2 * reach + 1)
+                    ai, ri = np.nonzero(table)
+                    same = [pa.array(np.full(len(ai), image, np.int32)), pa.array(["v" if upright else "h"] * len(ai))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(ai, pa.int32()), pa.array(ri - reach, pa.int32()), pa.array(table[ai, ri])], ["image_id", "family", "ai", "ri", "votes"])
+
+    flat = _centred(points, width, height).select("image_id", (F.col("family") == "v").cast("int").alias("upright"), "dx", "dy")
+    tables = flat.mapInArrow(run, "image_id int, family string, ai int, ri int, votes long")
+    return tables.groupBy("image_id", "family", "ai", "ri").agg(F.sum("votes").alias("votes"))
+
+
+def _between(left: Column, middle: Column, right: Column) -> Column:
+    """How many places a maximum lies off its middle, by the parabola through three values."""
+    bend = left - 2.0 * middle + right
+    return F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (left - right) / F.nullif(bend, F.lit(0.0))))).otherwise(0.0)
+
 
+def _angle(place: Column, limit: float) -> Column:
+    return F.element_at(N.table(angle_grid(limit)), place + 1)
 
-def lines(votes: DataFrame, width: int, height: int, floor: float = 24.0, most: int = T.MOST_LINES) -> DataFrame:
+
+def lines(votes: DataFrame, width: int, height: int, floor: float = 24.0, limit: float = SPAN, most: int = MOST_LINES) -> DataFrame:
     """(image_id, family, phi, votes, rank) of the strongest lines: those with votes enough for their image's size and their
     family's points that are greatest nearby (ties: the smaller angle, then distance), the angle between those tried."""
     reach = math.ceil(math.hypot(width, height) / 2) + 2
@@ -122,80 +231,97 @@ def lines(votes: DataFrame, width: int, height: int, floor: float = 24.0, most:
     alone = mine.alias("p").join(other.alias("q"), [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys] + [better], "left_anti").drop("ba", "br")
     beside = lambda k, name: votes.select("image_id", "family", (F.col("ai") - k).alias("ai"), "ri", F.col("votes").alias(name))
     alone = alone.join(beside(-1, "l"), ["image_id", "family", "ai", "ri"], "left").join(beside(1, "u"), ["image_id", "family", "ai", "ri"], "left").fillna(0, ["l", "u"])
-    bend = F.col("l") - 2.0 * F.col("votes") + F.col("u")
-    inside = (F.col("ai") > 0) & (F.col("ai") < len(ANGLES) - 1) & (bend < 0)
-    off = F.when(inside, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("l") - F.col("u")) / F.nullif(bend, F.lit(0.0))))).otherwise(0.0)
-    phi = F.element_at(F.array(*(F.lit(float(a)) for a in T.angle_grid(SPAN))), F.col("ai") + 1) + off * STEP
+    inside = (F.col("ai") > 0) & (F.col("ai") < len(angle_grid(limit)) - 1)
+    phi = _angle(F.col("ai"), limit) + F.when(inside, _between(F.col("l"), F.col("votes"), F.col("u"))).otherwise(0.0) * STEP
     ranked = alone.withColumn("phi", phi).withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "phi", "family", "ri")))
     return ranked.filter(F.col("rank") <= most).select("image_id", "family", "phi", "votes", "rank")
 
 
-def angle_histogram(found: DataFrame) -> DataFrame:
+def angle_histogram(found: DataFrame, limit: float = SPAN) -> DataFrame:
     """(image_id, ai, mass): lines' votes spread over neighbouring angles by a Gaussian."""
-    spread = T.SPREAD / STEP
+    spread = SPREAD / STEP
     reach = math.ceil(3 * spread)
-    at = (F.col("phi") + SPAN) / STEP
+    at = (F.col("phi") + limit) / STEP
     middle = F.floor(at + 0.5)
     each = found.select("image_id", "votes", at.alias("at"), F.explode(F.sequence(middle - reach, middle + reach)).alias("ai"))
-    each = each.filter(F.col("ai").between(0, len(ANGLES) - 1))
+    each = each.filter(F.col("ai").between(0, len(angle_grid(limit)) - 1))
     z = (F.col("ai") - F.col("at")) / spread
     return each.groupBy("image_id", F.col("ai").cast("int").alias("ai")).agg(F.sum(F.col("votes") * F.exp(-0.5 * z * z)).alias("mass"))
 
 
-def histogram_peaks(masses: DataFrame) -> DataFrame:
-    """(image_id, place, phi, share): the strongest maxima at least a degree apart, and the share of the mass around each."""
-
-    def run(table: pa.Table) -> pa.Table:
-        values = np.zeros(len(ANGLES))
-        values[table.column("ai").to_numpy()] = table.column("mass").to_numpy()
-        tops = T.histogram_peaks(values, SPAN)
-        share = [min(T.mass_near(values, SPAN, p) / values.sum(), 1.0) for p in tops]
-        image = table.column("image_id")[0].as_py()
-        return pa.table({"image_id": pa.array([image] * len(tops), pa.int32()), "place": pa.array(range(1, len(tops) + 1), pa.int32()), "phi": pa.array(tops, pa.float64()), "share": pa.array(share, pa.float64())})
-
-    return masses.groupBy("image_id").applyInArrow(run, "image_id int, place int, phi double, share double")
+def histogram_peaks(masses: DataFrame, limit: float = SPAN, apart: float = 1.0, most: int = 3) -> DataFrame:
+    """(image_id, place, phi, share): the strongest maxima at least ``apart`` degrees from stronger ones, and the share of the mass around
+    each. Of a level stretch the left end is its maximum."""
+    w = Window.partitionBy("image_id").orderBy("ai")
+    beside = lambda f, k: F.when(f("ai").over(w) == F.col("ai") + k, f("mass").over(w)).otherwise(0.0)
+    every = masses.withColumns({"l": beside(F.lag, -1), "u": beside(F.lead, 1)})
+    top = (F.col("mass") > 0) & (F.col("mass") > F.col("l")) & (F.col("mass") >= F.col("u"))
+    phi = _angle(F.col("ai"), limit) + STEP * _between(F.col("l"), F.col("mass"), F.col("u"))
+    tops = F.sort_array(F.collect_list(F.when(top, F.struct((-F.col("mass")).alias("less"), phi.alias("phi")))))
+    image = every.groupBy("image_id").agg(tops.alias("tops"), F.collect_list(F.struct(_angle(F.col("ai"), limit).alias("phi"), "mass")).alias("all"), F.sum("mass").alias("whole"))
+    free = lambda chosen, t: (F.size(chosen) < most) & F.forall(chosen, lambda c: F.abs(c - t["phi"]) >= apart)
+    chosen = F.aggregate("tops", F.array().cast("array<double>"), lambda c, t: F.when(free(c, t), F.concat(c, F.array(t["phi"]))).otherwise(c))
+    out = image.select("image_id", "all", "whole", F.posexplode(chosen).alias("k", "phi"))
+    near = F.aggregate(F.filter("all", lambda a: F.abs(a["phi"] - F.col("phi")) <= PEAK_RADIUS), F.lit(0.0), lambda t, a: t + a["mass"])
+    return out.select("image_id", (F.col("k") + 1).alias("place"), "phi", F.least(near / F.col("whole"), F.lit(1.0)).alias("share"))
 
 
 def line_support(found: DataFrame, tops: DataFrame) -> DataFrame:
     """(image_id, phi, n, h, v, confidence): lines near the first peak, their mean angle, that of each family, and how far
     to trust them."""
-    near = found.join(tops.filter("place = 1").select("image_id", F.col("phi").alias("top"), "share"), "image_id").filter(F.abs(F.col("phi") - F.col("top")) <= T.PEAK_RADIUS)
+    near = found.join(tops.filter("place = 1").select("image_id", F.col("phi").alias("top"), "share"), "image_id").filter(F.abs(F.col("phi") - F.col("top")) <= PEAK_RADIUS)
     mean = lambda of: F.sum(F.when(of, F.col("phi") * F.col("votes"))) / F.sum(F.when(of, F.col("votes")))
     out = near.groupBy("image_id", "share").agg(mean(F.lit(True)).alias("phi"), F.count(F.lit(1)).alias("n"), *(mean(F.col("family") == f).alias(f) for f in "hv"))
     agree = F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("h") - F.col("v"))), F.lit(0.65))
     base = 0.40 * F.col("share") + 0.35 * F.least(F.col("n") / 6, F.lit(1.0)) + 0.25 * agree
-    return out.select("image_id", "phi", "n", "h", "v", (base * F.least(F.col("n") / T.LEAST_LINES, F.lit(1.0))).alias("confidence"))
+    return out.select("image_id", "phi", "n", "h", "v", (base * F.least(F.col("n") / LEAST_LINES, F.lit(1.0))).alias("confidence"))
 
 
 def strong_points(points: DataFrame) -> DataFrame:
     """The points that profiles are made of: the strongest of an image, by thresholds from the counts of their strengths."""
     bins = points.groupBy("image_id", F.least(F.floor("strength"), F.lit(2048)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     run = bins.withColumns({"above": F.sum("n").over(Window.partitionBy("image_id").orderBy(F.desc("bin"))), "all": F.sum("n").over(Window.partitionBy("image_id"))})
-    keep = F.least(F.greatest(F.floor(F.col("all") * T.KEEP_SHARE), F.lit(1)), F.lit(T.MOST_POINTS))
+    keep = F.least(F.greatest(F.floor(F.col("all") * KEEP_SHARE), F.lit(1)), F.lit(MOST_POINTS))
     top = F.greatest(F.ceil(F.col("all") * 0.005), F.lit(1))
     least = run.groupBy("image_id").agg(F.max(F.when(F.col("above") >= keep, F.col("bin"))).alias("k"), F.max(F.when(F.col("above") >= top, F.col("bin"))).alias("t"))
-    least = least.select("image_id", F.greatest(F.lit(T.LEAST_GRADIENT), F.col("k"), T.STRONG_SHARE * F.col("t")).alias("least"))
+    least = least.select("image_id", F.greatest(F.lit(LEAST_GRADIENT), F.col("k"), STRONG_SHARE * F.col("t")).alias("least"))
     return points.join(least, "image_id").filter("strength >= least").drop("least")
 
 
-def projection_scores(points: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, family, ai, score): how sharp the points' smoothed profile across each angle is, sum b^2 / (sum b)^2."""
-    tan = math.tan(math.radians(SPAN))
-    half = {"h": (height - 1) / 2 + tan * (width - 1) / 2, "v": (width - 1) / 2 + tan * (height - 1) / 2}
-    by = lambda f: F.when(F.col("family") == "h", F.lit(f(half["h"]))).otherwise(F.lit(f(half["v"])))
-    each = _angles(lambda phi: {"t": math.tan(phi)})
-    every = _centred(points, width, height).select("image_id", "family", "strength", "dx", "dy", F.explode(each).alias("a"))
-    t = F.when(F.col("family") == "h", F.col("dy") - F.col("dx") * F.col("a.t")).otherwise(F.col("dx") + F.col("dy") * F.col("a.t")) + by(lambda h: math.ceil(h) + 2.0)
-    every = every.select("image_id", "family", F.col("a.ai").alias("ai"), "strength", t.alias("t"))
-    part, n = F.col("t") - F.floor("t"), by(lambda h: math.ceil(2 * (math.ceil(h) + 2.0)) + 1)
-    every = every.filter((F.col("t") >= 0) & (F.floor("t") + 1 < n))
-    ends = F.array(F.struct(F.floor("t").alias("bin"), (F.col("strength") * (1.0 - part)).alias("w")), F.struct((F.floor("t") + 1).alias("bin"), (F.col("strength") * part).alias("w")))
-    key = ["image_id", "family", "ai"]
-    bins = every.select(*key, F.explode(ends).alias("e")).groupBy(*key, F.col("e.bin").alias("bin")).agg(F.sum("e.w").alias("b"))
+def profile(dx: np.ndarray, dy: np.ndarray, w: np.ndarray, upright: bool, phi: float, half: float) -> float:
+    """How sharp the points' smoothed profile across an angle is: sum b^2 / (sum b)^2 over bins a pixel wide, each point
+    in the two beside it."""
+    tan, offset = math.tan(math.radians(phi)), math.ceil(half) + 2.0
+    n = math.ceil(2 * offset) + 1
+    t = (dx + dy * tan if upright else dy - dx * tan) + offset
+    low = np.floor(t).astype(np.int64)
+    ok = (low >= 0) & (low + 1 < n)
+    low, part, w = low[ok], (t - np.floor(t))[ok], w[ok]
+    b = np.bincount(low, w * (1 - part), n) + np.bincount(low + 1, w * part, n)
     for _ in range(2):
-        wide = F.array(*(F.struct((F.col("bin") + k).alias("bin"), (F.col("b") * v).alias("w")) for k, v in ((-1, 0.25), (0, 0.5), (1, 0.25))))
-        bins = bins.select(*key, F.explode(wide).alias("e")).filter((F.col("e.bin") >= 0) & (F.col("e.bin") < n)).groupBy(*key, F.col("e.bin").alias("bin")).agg(F.sum("e.w").alias("b"))
-    return bins.groupBy(*key).agg((F.sum(F.col("b") * F.col("b")) / (F.sum("b") * F.sum("b"))).alias("score"))
+        b = np.convolve(b, [0.25, 0.5, 0.25], "same")
+    return float((b * b).sum() / b.sum() ** 2) if b.sum() > 0 else 0.0
+
+
+def projection_scores(points: DataFrame, width: int, height: int, limit: float = SPAN, samples: DataFrame | None = None) -> DataFrame:
+    """(image_id, family, [part,] ai, score): the sharpness of profiles of ``strong_points`` across the grid's angles, or across those of
+    ``samples`` (image_id, family, part, first, step, n). A task holds one family of one image, of which there are few points."""
+    flat = _centred(points, width, height).select("image_id", "family", "dx", "dy", "strength")
+    if samples is None:
+        flat = flat.select("*", F.lit(0).alias("part"), F.lit(-limit).alias("first"), F.lit(STEP).alias("step"), F.lit(len(angle_grid(limit))).alias("n"))
+    else:
+        flat = flat.join(samples, ["image_id", "family"])
+    tan = math.tan(math.radians(limit))
+    half = {"h": (height - 1) / 2 + tan * (width - 1) / 2, "v": (width - 1) / 2 + tan * (height - 1) / 2}
+
+    def run(table: pa.Table) -> pa.Table:
+        image, family, part, first, step, n = (table.column(c)[0].as_py() for c in ("image_id", "family", "part", "first", "step", "n"))
+        dx, dy, w = (table.column(c).to_numpy() for c in ("dx", "dy", "strength"))
+        scores = [profile(dx, dy, w, family == "v", first + step * k, half[family]) for k in range(n)]
+        return pa.table({"image_id": pa.array([image] * n, pa.int32()), "family": pa.array([family] * n), "part": pa.array([part] * n, pa.int32()), "ai": pa.array(range(n), pa.int32()), "score": pa.array(scores, pa.float64())})
+
+    out = flat.groupBy("image_id", "family", "part").applyInArrow(run, "image_id int, family string, part int, ai int, score double")
+    return out.drop("part") if samples is None else out
 
 
 def triangle_taps(size: int, out: int) -> list[list[tuple[int, float]]]:
@@ -228,31 +354,176 @@ def shrunk(p: PixelFrame, long_edge: int) -> PixelFrame:
     return replace(p, df=df.select(*KEY, F.floor(F.col("v") + 0.5).cast("double").alias("v")), width=w, height=h)
 
 
-_PAIRS = pa.list_(pa.struct([("angle", pa.float64()), ("score", pa.float64())]))
-_FOUND = pa.schema(
-    [("image_id", pa.int32()), ("tilt", pa.float64()), ("confidence", pa.float64()), ("n_lines", pa.int64()), ("recommended", pa.float64()), ("method", pa.string())]
-    + [("n_supporting", pa.int64()), *((f"{f}_{c}", pa.float64()) for f in ("horizontal", "vertical") for c in ("angle", "confidence", "support"))]
-    + [("alternatives", _PAIRS), ("score_curve", _PAIRS), ("warnings", pa.list_(pa.string()))]
-)
+def _sharpness(scores: Column, peak: Column) -> Column:
+    """How far the median lies below the peak."""
+    middle = F.element_at(F.sort_array(scores), F.floor(F.size(scores) / 2).cast("int") + 1)
+    return F.when((F.size(scores) > 2) & (peak > 0), N.clamp((peak - middle) / peak / 0.2)).otherwise(0.0)
+
+
+def family_facts(points: DataFrame, curves: DataFrame) -> DataFrame:
+    """(image_id, family, mass, low, high, sharp, best, weight, part_of): of families with points enough; ``weight`` and ``part_of`` are
+    shares of the image, by mass and sharpness and by mass."""
+    size = points.groupBy("image_id", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("mass")).filter(F.col("n") >= FAMILY_POINTS)
+    curve = curves.groupBy("image_id", "family").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.collect_list("score").alias("_all"), F.max_by("ai", F.struct("score", -F.col("ai"))).alias("best"))
+    out = size.join(curve.withColumn("sharp", _sharpness(F.col("_all"), F.col("high"))).drop("_all"), ["image_id", "family"])
+    pull, image = F.col("mass") * F.greatest("sharp", F.lit(0.1)), Window.partitionBy("image_id")
+    return out.select("image_id", "family", "mass", "low", "high", "sharp", "best", (pull / F.sum(pull).over(image)).alias("weight"), (F.col("mass") / F.sum("mass").over(image)).alias("part_of"))
+
+
+def _stretched(score: str = "score") -> Column:
+    return F.when(F.col("high") > F.col("low"), (F.col(score) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+
+
+def fused_curves(curves: DataFrame, facts: DataFrame) -> DataFrame:
+    """(image_id, ai, both): the families' stretched curves by their weights."""
+    return curves.join(facts, ["image_id", "family"]).groupBy("image_id", "ai").agg(F.sum(F.col("weight") * _stretched()).alias("both"))
+
 
+def fused_facts(fused: DataFrame, facts: DataFrame) -> DataFrame:
+    """(image_id, sharp, top): of the fused curve. Stretched scores are sharp for noise too, so the curve counts at most as its families do."""
+    own = facts.groupBy("image_id").agg((F.sum(F.col("mass") * F.col("sharp")) / F.sum("mass")).alias("own"))
+    image = fused.groupBy("image_id").agg(F.collect_list("both").alias("_all"), F.max("both").alias("peak"), F.max_by("ai", F.struct("both", -F.col("ai"))).alias("top"))
+    return image.join(own, "image_id").select("image_id", F.least(_sharpness(F.col("_all"), F.col("peak")), "own").alias("sharp"), "top")
 
-def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SPAN, working_long_edge: int = 1024) -> DataFrame:
+
+def samples_around(centres: DataFrame, limit: float) -> DataFrame:
+    """Fine samples around ``centre``: first, step and n, inside the limit."""
+    low, high = F.greatest(F.col("centre") - REFINE_RADIUS, F.lit(-limit)), F.least(F.col("centre") + REFINE_RADIUS, F.lit(limit))
+    return centres.select("image_id", "family", "part", low.alias("first"), ((high - low) / (REFINE_SAMPLES - 1)).alias("step"), F.lit(REFINE_SAMPLES).alias("n"))
+
+
+def centred_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, phi, height): of samples (x, w) the mean weighted by what lies above the least, and the value of the sample nearest to it."""
+    all_ = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("s"), F.min("w").alias("least"))
+    above = F.aggregate("s", F.lit(0.0), lambda t, e: t + e["w"] - F.col("least"))
+    moment = F.aggregate("s", F.lit(0.0), lambda t, e: t + (e["w"] - F.col("least")) * e["x"])
+    middle = (F.element_at("s", 1)["x"] + F.element_at("s", -1)["x"]) / 2.0
+    out = all_.withColumn("phi", F.when(above > 0, moment / F.nullif(above, F.lit(0.0))).otherwise(middle))
+    nearest = F.array_min(F.transform("s", lambda e: F.struct(F.abs(e["x"] - F.col("phi")).alias("far"), e["w"].alias("w"))))
+    return out.select(*keys, "phi", nearest["w"].alias("height"))
+
+
+def _round3(c: Column) -> Column:
+    """To thousandths, half away from zero, without a negative zero."""
+    return F.when(c < 0, -F.floor(-c * 1000.0 + 0.5)).otherwise(F.floor(c * 1000.0 + 0.5)).cast("double") / 1000.0 + 0.0
+
+
+_PAIRS = "array<struct<angle: double, score: double>>"
+
+
+def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SPAN, working_long_edge: int = 1024, edge_tile: int = EDGE_TILE) -> DataFrame:
     """One row for each image: tilt, confidence, n_lines, recommended, method, and what speaks for it.
 
     ``tilt`` is the clockwise angle of the image's level lines in degrees, null if nothing was found; ``recommended`` the
     rotation that levels it, null without enough confidence and evidence. ``n_lines`` counts the lines found,
     ``n_supporting`` those near the peak. Each family has its angle (as a rotation), confidence and share of the edges.
+    Tables that several steps read are written to the shared folder.
     """
-    size, small = (p.width, p.height), shrunk(gray(p), max(working_long_edge, 64))
-    shape = small.height, small.width
-
-    def run(table: pa.Table) -> pa.Table:
-        v = np.zeros(shape)
-        v[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("v").to_numpy()
-        found = T.estimate(v, size, min_confidence, max_abs_angle)
-        return pa.Table.from_pylist([{"image_id": table.column("image_id")[0].as_py()} | found], _FOUND)
-
-    pairs = "array<struct<angle: double, score: double>>"
-    schema = ", ".join(f"{f.name} {'int' if f.name == 'image_id' else 'long' if f.type == pa.int64() else 'string' if f.type == pa.string() else 'double'}" for f in list(_FOUND)[:-3])
-    schema += f", alternatives {pairs}, score_curve {pairs}, warnings array<string>"
-    return small.df.select(F.col("image_id").cast("int").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInArrow(run, schema)
+    limit, small = min(max(max_abs_angle, 0.5), 45.0), shrunk(gray(p), max(working_long_edge, 64))
+    size, (w, h) = (p.width, p.height), (small.width, small.height)
+    images = small.df.select(F.col("image_id").cast("int").alias("image_id")).distinct()
+    if min(w, h) < LEAST_SIDE:
+        return _told(images.select("image_id", F.lit(f"sides of at least {LEAST_SIDE} pixels are needed").alias("_small")), min_confidence, size)
+    cast = [F.col(c).cast("int").alias(c) for c in KEY]
+    gradients = written(sobel(smoothed(replace(small, df=small.df.select(*cast, "v")))), "gradients")
+
+    found = written(lines(hough_votes(edge_points(canny_edges(gradients, w, h, edge_tile), limit), w, h, limit), w, h, limit=limit), "lines")
+    masses = angle_histogram(found, limit)
+    tops = written(histogram_peaks(masses, limit), "tops")
+    support = line_support(found, tops).select("image_id", F.col("phi").alias("line_phi"), F.col("n").alias("n_supporting"), F.col("confidence").alias("line_confidence"))
+
+    points = written(strong_points(edge_points(gradients, limit)), "strong-points")
+    curves = written(projection_scores(points, w, h, limit), "curves")
+    facts = family_facts(points, curves)
+    fused = fused_curves(curves, facts)
+    whole = fused_facts(fused, facts).withColumn("usable", F.col("sharp") >= USABLE)
+
+    # what the fine samples lie around: near the lines' angle the fused curve's best place, else the best of all
+    angled = lambda df: df.withColumn("x", _angle(F.col("ai"), limit))
+    near = angled(fused).join(support, "image_id").filter(F.abs(F.col("x") - F.col("line_phi")) <= HOUGH_RADIUS)
+    near = near.groupBy("image_id").agg(F.max_by("x", F.struct("both", -F.col("ai"))).alias("near"))
+    image = images.join(whole, "image_id", "left").join(support, "image_id", "left").join(near, "image_id", "left")
+    best = _angle(F.col("top"), limit)
+    centre = F.when(F.col("usable"), F.coalesce("near", "line_phi", best)).otherwise(F.col("line_phi"))
+    image = written(image.withColumns({"centre": centre, "best": best}), "centres")
+    around = facts.join(image.select("image_id", F.coalesce("centre", "best").alias("centre"), F.col("centre").isNotNull().alias("known")), "image_id")
+    step = Window.partitionBy("image_id", "family").orderBy("ai")
+    peaks = angled(curves).withColumns({"l": F.lag("score").over(step), "u": F.lead("score").over(step)}).filter("score >= l and score >= u")
+    own = peaks.join(around.select("image_id", "family", "centre", "known"), ["image_id", "family"])
+    own = own.filter(~F.col("known") | (F.abs(F.col("x") - F.col("centre")) < FAMILY_WINDOW)).groupBy("image_id", "family").agg(F.max_by("x", F.struct("score", -F.col("ai"))).alias("centre"))
+    wanted = around.select("image_id", "family", F.lit(0).alias("part"), "centre").unionByName(own.select("image_id", "family", F.lit(1).alias("part"), "centre"))
+    asked = samples_around(wanted, limit)
+    fine = projection_scores(points, w, h, limit, asked).join(asked, ["image_id", "family", "part"]).join(facts, ["image_id", "family"])
+    fine = written(fine.select("image_id", "family", "part", (F.col("first") + F.col("step") * F.col("ai")).alias("x"), _stretched().alias("s"), "weight", "sharp"), "samples")
+    both = fine.filter("part = 0").groupBy("image_id", "x").agg(F.sum(F.col("weight") * F.col("s")).alias("w"))
+    both = centred_means(both, ["image_id"]).select("image_id", F.col("phi").alias("fine_phi"))
+    each = centred_means(fine.filter("part = 1").withColumn("w", F.col("s")), ["image_id", "family"]).join(facts, ["image_id", "family"])
+    each = each.join(image.select("image_id", F.col("centre").isNotNull().alias("known")), "image_id")
+    each = each.withColumn("trust", F.when(F.col("known"), N.clamp(F.col("height")) * F.col("sharp")).otherwise(F.col("sharp")))
+    of = lambda f, c: F.max(F.when(F.col("family") == f, F.col(c)))
+    families = facts.select("image_id", "family", "part_of").join(each.select("image_id", "family", "phi", "trust"), ["image_id", "family"], "left")
+    families = families.groupBy("image_id").agg(*(of(f, c).alias(f"{f}_{c}") for f in "hv" for c in ("phi", "trust", "part_of")))
+
+    counts = found.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    pairs = tops.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "phi", "share"))), lambda t: F.struct(_round3(-t["phi"]).alias("angle"), _round3(t["share"]).alias("score"))).alias("tops"))
+    rows = image.join(both, "image_id", "left").join(families, "image_id", "left").join(counts, "image_id", "left").join(pairs, "image_id", "left")
+    return _told(rows.join(_curve(rows, fused, masses, limit), "image_id", "left"), min_confidence, size)
+
+
+def _phi() -> Column:
+    """The angle that an image's rows tell."""
+    return F.when(F.col("usable"), F.col("fine_phi")).otherwise(F.col("line_phi"))
+
+
+def _curve(rows: DataFrame, fused: DataFrame, masses: DataFrame, limit: float) -> DataFrame:
+    """(image_id, score_curve): the fused curve by the levelling angle, lifted where lines are; only the told angle itself has 1."""
+    peak = _round3(-F.coalesce(_phi(), "fine_phi"))
+    most = masses.groupBy("image_id").agg(F.max("mass").alias("most"))
+    every = fused.join(masses, ["image_id", "ai"], "left").join(most, "image_id", "left").join(rows.select("image_id", peak.alias("peak"), _phi().isNotNull().alias("_any")), "image_id")
+    image = Window.partitionBy("image_id")
+    low, high = F.min("both").over(image), F.max("both").over(image)
+    lifted = F.when(F.col("_any") & (F.col("most") > 0), CURVE_FLOOR + (1 - CURVE_FLOOR) * F.coalesce("mass", F.lit(0.0)) / F.col("most")).otherwise(1.0)
+    every = every.withColumn("v", F.when(high > low, (F.col("both") - low) / (high - low)).otherwise(0.0) * lifted)
+    n = len(angle_grid(limit))
+    stride = max(-(-n // (CURVE_POINTS - 1)), 1)
+    top = F.max("v").over(image)
+    every = every.withColumn("score", _round3(F.when(top > 0, N.clamp(F.col("v") * CURVE_MOST / top)).otherwise(0.0)))
+    kept = (F.col("ai") % stride == 0) | (F.col("ai") == n - 1)
+    angle = _round3(-_angle(F.col("ai"), limit))
+    pairs = F.collect_list(F.when(kept & (F.abs(angle - F.col("peak")) >= STEP * 0.5), F.struct(angle.alias("angle"), F.col("score").alias("score"))))
+    out = every.groupBy("image_id", "peak").agg(pairs.alias("pairs"))
+    return out.select("image_id", F.sort_array(F.concat("pairs", F.array(F.struct(F.col("peak").alias("angle"), F.lit(1.0).alias("score"))))).alias("score_curve"))
+
+
+def _told(rows: DataFrame, min_confidence: float, size: tuple[int, int]) -> DataFrame:
+    """The answer for each image from what the steps found; columns that no step made are null."""
+    kinds = {"usable": "boolean", "n_lines": "long", "n_supporting": "long", "tops": _PAIRS, "score_curve": _PAIRS, "_small": "string"}
+    names = ["sharp", "usable", "line_phi", "fine_phi", "line_confidence", "n_supporting", "n_lines", "tops", "score_curve", "_small", *(f"{f}_{c}" for f in "hv" for c in ("phi", "trust", "part_of"))]
+    rows = rows.select("image_id", *((F.col(c) if c in rows.columns else F.lit(None)).cast(kinds.get(c, "double")).alias(c) for c in names))
+    lined, usable, phi = F.col("line_phi").isNotNull(), F.coalesce("usable", F.lit(False)), _phi()
+    apart = F.abs(F.col("h_phi") - F.col("v_phi"))
+    alone = 0.60 * F.col("sharp") + 0.40 * F.coalesce(N.clamp(1.0 - apart), F.lit(0.65))
+    confidence = F.when(lined, F.col("line_confidence")).when(usable, alone).otherwise(0.0)
+    n = F.coalesce("n_supporting", F.lit(0))
+    enough = F.when(lined, n >= LEAST_LINES).when(usable, F.col("sharp") >= ALONE).otherwise(False)
+    rows = rows.withColumns({"phi": phi, "sure": confidence, "enough": enough})
+    good = F.col("enough") & (F.col("sure") >= min_confidence)
+    told = [
+        F.col("_small"),
+        F.when(lined & (n < LEAST_LINES), F.format_string("%d line(s) lie near the peak, which is too little to go by", n)),
+        F.when(~lined & usable & (F.col("sharp") < ALONE), "profiles have no clear peak"),
+        F.when(~lined & ~usable & F.col("_small").isNull(), "neither lines nor profiles show a tilt"),
+        F.when(phi.isNotNull() & (apart > DISAGREEMENT), F.format_string("level lines ask for %+.2f and upright ones for %+.2f degrees, as perspective makes them", -F.col("h_phi"), -F.col("v_phi"))),
+        F.when(phi.isNotNull() & (F.col("sure") < min_confidence), F.format_string(f"confidence is %.2f, and {min_confidence:.2f} was asked for", F.col("sure"))),
+        F.when(phi.isNotNull() & good, F.format_string("levelling cuts about %.1f per cent of the pixels away", loss_percent(F.lit(float(size[0])), F.lit(float(size[1])), phi))),
+    ]
+    zero = lambda c: _round3(F.coalesce(c, F.lit(0.0)))
+    sides = [e for f, name in (("h", "horizontal"), ("v", "vertical")) for e in (_round3(-F.col(f"{f}_phi")).alias(f"{name}_angle"), zero(f"{f}_trust").alias(f"{name}_confidence"), zero(f"{f}_part_of").alias(f"{name}_support"))]
+    none = F.array().cast(_PAIRS)
+    alternatives = F.when(lined, F.col("tops")).when(usable, F.array(F.struct(_round3(-phi).alias("angle"), _round3(F.col("sharp")).alias("score")))).otherwise(none)
+    method = F.when(lined & usable, "hough_projection_fused").when(~lined & usable, "projection_profile").otherwise("dominant_hv_lines")
+    return rows.select(
+        "image_id", _round3(F.col("phi")).alias("tilt"), _round3(F.col("sure")).alias("confidence"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
+        F.when(good & phi.isNotNull(), _round3(-F.col("phi"))).alias("recommended"), method.alias("method"), n.cast("long").alias("n_supporting"), *sides,
+        alternatives.alias("alternatives"), F.coalesce("score_curve", none).alias("score_curve"), F.array_compact(F.array(*told)).alias("warnings"),
+    )

@@ -252,9 +252,8 @@ add("px_perspective_padding", lambda s, d: _rounded(geometry.padding_ratio(frame
 
 def _loss(s: SparkSession, d: str) -> DataFrame:
     """What turns of a part's size by an angle from its key lose."""
-    loss = F.udf(lambda w, a: geometry.rotation_loss(w, 40, a), "double")
-    t = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") + 20).cast("int").alias("w"), (F.col("p_partkey") % 89 + 0.5).cast("double").alias("a"))
-    return t.select("p_partkey", F.round(loss("w", "a"), 6).alias("loss"))
+    t = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") + 20).cast("double").alias("w"), (F.col("p_partkey") % 89 + 0.5).cast("double").alias("a"))
+    return t.select("p_partkey", F.round(geometry.rotation_loss_columns(F.col("w"), F.lit(40.0), F.col("a")), 6).alias("loss"))
 
 
 _turned = f"select p_partkey, (p_size + 20)::DOUBLE w, {sql.d(40)} h, sin(radians(p_partkey % 89 + {sql.d(0.5)})) s, cos(radians(p_partkey % 89 + {sql.d(0.5)})) c from part"
@@ -265,7 +264,7 @@ add("geo_rotation_loss", _loss, f"with t as ({_turned}), r as (select p_partkey,
 # tilt: each step of the estimate
 _FLOOR = 10.0  # of votes; the images are small
 _gradients = lambda s, d: tilt.sobel(tilt.smoothed(tilt.gray(frame(s, d, "emb"))))
-_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50)
+_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50, 24)  # noqa: E731  # nine tiles an image
 _votes = lambda s, d: tilt.hough_votes(tilt.edge_points(_edges(s, d)), 64, 50)
 _lines = lambda s, d: tilt.lines(_votes(s, d), 64, 50, _FLOOR)
 _tops = lambda s, d: tilt.histogram_peaks(tilt.angle_histogram(_lines(s, d)))
@@ -279,6 +278,16 @@ add("tilt_angle_hist", lambda s, d: _rounded(tilt.angle_histogram(_lines(s, d)),
 add("tilt_peaks", lambda s, d: _rounded(_tops(s, d), "phi", "share"), sql.histogram_peaks("emb", _FLOOR).sql("select image_id, place, round(phi, 6) phi, round(share, 6) share from {p}"))
 add("tilt_support", lambda s, d: _rounded(tilt.line_support(_lines(s, d), _tops(s, d)), "phi", "h", "v", "confidence"), sql.line_support("emb", _FLOOR).sql("select image_id, n, round(phi, 6) phi, round(h, 6) h, round(v, 6) v, round(confidence, 6) confidence from {p}"))
 add("tilt_projection_score", lambda s, d: _rounded(tilt.projection_scores(tilt.strong_points(tilt.edge_points(_gradients(s, d))), 64, 50), "score"), sql.projection_scores("emb").sql("select image_id, family, ai, round(score, 6) score from {p}"))
+_BIG = 1024  # the working size and the floor of votes as they are
+
+
+def _big_lines(s: SparkSession, d: str) -> DataFrame:
+    small = tilt.shrunk(tilt.gray(frame(s, d, "big")), _BIG)
+    found = tilt.canny_edges(tilt.sobel(tilt.smoothed(small)), small.width, small.height)
+    return _rounded(tilt.lines(tilt.hough_votes(tilt.edge_points(found), small.width, small.height), small.width, small.height), "phi")
+
+
+add("tilt_big_lines", _big_lines, sql.lines(("big", _BIG), 24.0).sql("select image_id, family, round(phi, 6) phi, votes, rank from {p}"))
 add("tilt_detect", lambda s, d: tilt.detect(frame(s, d, "emb")), None)
 
 # presets whose operations are all expressible

@@ -492,10 +492,19 @@ def angles(**columns) -> str:
     return f"(values {rows}) angles(ai, {', '.join(columns)})"
 
 
-def sobel(relation: str) -> Chain:
-    """Gradients of gray values under a Gaussian that are whole code values."""
+def sobel(relation: str | tuple[str, int]) -> Chain:
+    """Gradients of gray values under a Gaussian that are whole code values; (relation, long edge) of smaller images."""
+    relation, edge = relation if isinstance(relation, tuple) else (relation, None)
     c = Chain(relation)
     c.add(f"select {KEY}, {u8(f'(r * {d(0.2126)} + g * {d(0.7152)} + b * {d(0.0722)})')}::DOUBLE gx from {{p}}")
+    if edge:
+        long = max(c.width, c.height)
+        w, h = (max(1, int(N.half_away(s * edge / long))) for s in (c.width, c.height))
+        for axis, size, out, other in (("y", c.height, h, "x"), ("x", c.width, w, "y")):
+            rows = ", ".join(f"({s}, {o}, {k!r}::DOUBLE)" for o, each in enumerate(tilt.triangle_taps(size, out)) for s, k in each)
+            c.add(f"select image_id, {other}, o {axis}, sum(gx * k) gx from {{p}} join (values {rows}) v(s, o, k) on {axis} = s group by image_id, {other}, o")
+        c.width, c.height = w, h
+        c.add(f"select {KEY}, floor(gx + {d(0.5)})::DOUBLE gx from {{p}}")
     r = math.ceil(2 * 1.4)
     weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * 1.4 * 1.4))
     for axis in "xy":
@@ -517,7 +526,7 @@ def thresholds(relation: str) -> Chain:
 def canny(relation: str) -> Chain:
     """Gradients that are greatest across the edge, and of these the weak ones that strong ones reach."""
     gradients, c = sobel(relation).last, thresholds(relation)
-    least, (w, h) = c.last, SIZES[relation]
+    least, w, h = c.last, c.width, c.height
     c.add(f"select *, sqrt(gx * gx + gy * gy) g, degrees(atan2(gy, gx)) + case when atan2(gy, gx) < 0 then 180 else 0 end angle from {gradients}")
     every = c.last
     kind = lambda *v: "case " + " ".join(f"when angle >= {lo} and angle < {lo + 45} then {k}" for lo, k in zip((22.5, 67.5, 112.5), v, strict=False)) + f" else {v[3]} end"
@@ -560,11 +569,11 @@ def lines(relation: str, floor: float) -> Chain:
     c.add(f"select p.*, coalesce(l, 0) l, coalesce(u, 0) u from {{p}} p {beside(1, 'l')} {beside(-1, 'u')}")
     c.add(f"select *, case when ai between 1 and {len(tilt.ANGLES) - 2} and l - 2 * votes + u < 0 then greatest({d(-0.5)}, least({d(0.5)}, {d(0.5)} * (l - u) / (l - {d(2)} * votes + u))) else 0 end off from {{p}}")
     c.add(f"select image_id, family, ri, votes, ({nodes(tilt.ANGLES)})[ai + 1] + off * {d(tilt.STEP)} phi from {{p}}")
-    return c.add(f"select * from (select *, row_number() over (partition by image_id order by votes desc, phi, family, ri)::INT rank from {{p}}) where rank <= {tilt.T.MOST_LINES}")
+    return c.add(f"select * from (select *, row_number() over (partition by image_id order by votes desc, phi, family, ri)::INT rank from {{p}}) where rank <= {tilt.MOST_LINES}")
 
 
 def angle_histogram(relation: str, floor: float) -> Chain:
-    c, spread = lines(relation, floor), tilt.T.SPREAD / tilt.STEP
+    c, spread = lines(relation, floor), tilt.SPREAD / tilt.STEP
     reach = math.ceil(3 * spread)
     c.add(f"select image_id, votes, (phi + {d(tilt.SPAN)}) / {d(tilt.STEP)} pos from {{p}}")
     c.add(f"select image_id, votes, pos, (floor(pos + {d(0.5)}) + k)::INT ai from {{p}}, range({-reach}, {reach + 1}) t(k)")
@@ -584,13 +593,13 @@ def histogram_peaks(relation: str, floor: float) -> Chain:
         far = f"where not exists (select 1 from {taken} t where t.image_id = p.image_id and abs(t.phi - p.phi) < 1)" if taken else ""
         c.add(f"select image_id, {place} place, phi from (select p.*, row_number() over (partition by image_id order by mass desc, phi) k from {tops} p {far}) where k = 1" + (f" union all select * from {taken}" if taken else ""))
         taken = c.last
-    return c.add(f"select t.image_id, place, phi, least(sum(mass) filter (abs({grid}[ai + 1] - phi) <= {d(tilt.T.PEAK_RADIUS)}) / sum(mass), 1) share from {{p}} t join {dense} using (image_id) group by all")
+    return c.add(f"select t.image_id, place, phi, least(sum(mass) filter (abs({grid}[ai + 1] - phi) <= {d(tilt.PEAK_RADIUS)}) / sum(mass), 1) share from {{p}} t join {dense} using (image_id) group by all")
 
 
 def line_support(relation: str, floor: float) -> Chain:
     c = histogram_peaks(relation, floor)
     found = lines(relation, floor).last
-    c.add(f"select l.*, share from {found} l join (select image_id, phi top, share from {{p}} where place = 1) using (image_id) where abs(phi - top) <= {d(tilt.T.PEAK_RADIUS)}")
+    c.add(f"select l.*, share from {found} l join (select image_id, phi top, share from {{p}} where place = 1) using (image_id) where abs(phi - top) <= {d(tilt.PEAK_RADIUS)}")
     mean = lambda of: f"sum(phi * votes) filter ({of}) / sum(votes) filter ({of})"
     means = ", ".join(f"{mean(f"family = '{f}'")} {f}" for f in "hv")
     c.add(f"select image_id, share, {mean('true')} phi, count(*) n, {means} from {{p}} group by image_id, share")

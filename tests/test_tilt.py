@@ -1,11 +1,13 @@
 """Tilt where lines are short, families disagree, images are large, or nothing is to be found."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_operators import relation
 
 from pixelframe.frame import from_codes
-from pixelframe.operators import tilt
+from pixelframe.operators import geometry, tilt
 
 
 def found(spark, gray, **more):
@@ -65,48 +67,63 @@ def test_nothing_to_be_found(spark):
     assert found(spark, np.zeros((12, 80))).warnings[0].startswith("sides of at least 16")
 
 
-@pytest.mark.parametrize("angle", [-12.0, -6.5, -2.4, 0.0, 0.7, 3.3, 9.0])
-def test_accuracy_on_a_grid(angle):
-    from pixelframe.operators.tilt_kernels import estimate
-
-    out = estimate(np.round(grid(640, 480, angle, angle, 48)), (640, 480), 0.5, 15.0)
-    assert abs(out["recommended"] + angle) <= 0.1 and out["confidence"] >= 0.5
-
-
-def test_stages_agree_with_the_kernel(spark):
-    """The dataflow's steps on one image against the numpy functions that the estimate is made of."""
-    from pixelframe.operators import tilt_kernels as T
-
-    v = np.round(grid(96, 72, 4.0, 3.0, 14) * np.random.default_rng(4).uniform(0.6, 1.0, (72, 96)))
-    p = tilt.gray(from_codes(relation(spark, np.dstack([v.astype(int)] * 3 + [np.full(v.shape, 255)])), 96, 72))
-    gx, gy = T.sobel(T.blurred(v))
-    gradients = tilt.sobel(tilt.smoothed(p)).cache()
-    got = {(r.y, r.x): (r.gx, r.gy) for r in gradients.collect()}
-    assert all(got[y, x] == (gx[y, x], gy[y, x]) for y in range(72) for x in range(96))
-    low, high = T.thresholds(gx, gy)
-    assert tuple(tilt.canny_thresholds(gradients).first())[1:] == (low, high)
-    edges = T.canny(gx, gy, low, high)
-    found = tilt.canny_edges(gradients, 96, 72).cache()
-    assert {(r.y, r.x) for r in found.collect()} == {tuple(i) for i in np.argwhere(edges)}
-    votes = tilt.hough_votes(tilt.edge_points(found), 96, 72).cache()
-    lines = tilt.lines(votes, 96, 72)
-    want = T.hough_lines(edges, gx, gy, tilt.SPAN)
-    rows = lines.orderBy("rank").collect()
-    assert len(rows) == len(want) > 3
-    assert np.allclose(sorted((r.votes, r.phi, "hv".index(r.family)) for r in rows), sorted((v, phi, f) for phi, v, f in want))
-    values, masses = T.histogram(want, tilt.SPAN), np.zeros(len(tilt.ANGLES))
-    hist = tilt.angle_histogram(lines)
-    for r in hist.collect():
-        masses[r.ai] = r.mass
-    assert np.allclose(masses, values)
-    tops = tilt.histogram_peaks(hist)
-    peaks = T.histogram_peaks(values, tilt.SPAN)
-    assert np.allclose([r.phi for r in tops.orderBy("place").collect()], peaks)
-    phi, n, each = T.support(want, peaks[0])
-    r = tilt.line_support(lines, tops).first()
-    share = min(T.mass_near(values, tilt.SPAN, peaks[0]) / values.sum(), 1.0)
-    assert r.n == n and np.isclose(r.phi, phi) and np.isclose(r.confidence, T.line_confidence(share, n, each))
-    profile = T.Projection(gx, gy, tilt.SPAN)
-    scores = tilt.projection_scores(tilt.strong_points(tilt.edge_points(gradients)), 96, 72).collect()
-    for f, name in zip(profile.families, "hv", strict=True):
-        assert np.allclose([r.score for r in sorted((r for r in scores if r.family == name), key=lambda r: r.ai)], f.scores)
+def test_accuracy_on_a_grid(spark):
+    angles = [-12.0, -6.5, -2.4, 0.0, 0.7, 3.3, 9.0]
+    values = [np.round(grid(640, 480, a, a, 48)).astype(np.uint8).tobytes() for a in angles]
+    rows = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "image_id int, v binary").repartition(len(angles))
+
+    def pixels(batches):
+        for b in batches:
+            for i, v in zip(b.column("image_id").to_pylist(), b.column("v").to_pylist(), strict=True):
+                y, x = np.indices((480, 640), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(y.size, i, np.int32)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(np.frombuffer(v, np.uint8).astype(np.int32))], ["image_id", "y", "x", "r8"])
+
+    df = rows.mapInArrow(pixels, "image_id int, y int, x int, r8 int").select("image_id", "y", "x", *(F.col("r8").alias(f"{c}8") for c in "rgb"), F.lit(255).alias("a8"))
+    out = tilt.detect(from_codes(df, 640, 480)).orderBy("image_id").collect()
+    for angle, r in zip(angles, out, strict=True):
+        assert abs(r.recommended + angle) <= 0.1 and r.confidence >= 0.5 and r.method == "hough_projection_fused"
+
+
+def _reached(weak: set, strong: set) -> set:
+    out, front = set(), list(strong)
+    while front:
+        y, x = front.pop()
+        if (y, x) not in out:
+            out.add((y, x))
+            front += [q for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (q := (y + dy, x + dx)) in weak]
+    return out
+
+
+def test_weak_edges_are_followed_over_tiles(spark):
+    rng = np.random.default_rng(6)
+    spiral, (y, x), step = set(), (0, 0), 0
+    for n in [39, 39, 39, 35, 35, 31, 31, 27, 27, 23, 23]:  # one chain that crosses borders again and again
+        for _ in range(n):
+            spiral.add((y, x))
+            y, x = y + (0, 1, 0, -1)[step], x + (1, 0, -1, 0)[step]
+        step = (step + 1) % 4
+    for points, strong in ((spiral, {(0, 0)}), ({tuple(p) for p in np.argwhere(rng.random((40, 40)) < 0.35).tolist()}, None), ({tuple(p) for p in np.argwhere(rng.random((40, 40)) < 0.12).tolist()}, None)):
+        strong = strong or set(sorted(points)[:: max(1, len(points) // 12)])
+        rows = [(i, y, x, 0.0, 1.0, (y, x) in strong and i == 0) for i in (0, 1) for y, x in points]
+        df = spark.createDataFrame(rows, "image_id int, y int, x int, gx double, gy double, strong boolean")
+        for side in (8, 64):
+            got = {(r.image_id, r.y, r.x) for r in tilt.tied_to_strong(df, 40, 40, side).collect()}
+            assert got == {(0, *p) for p in _reached(points, strong)}
+    y, x = np.array([p[0] for p in spiral]), np.array([p[1] for p in spiral])
+    assert (tilt.labels(y, x) == 0).all()
+
+
+def test_no_row_is_made_for_a_point_and_an_angle(spark):
+    points = spark.range(4000).select(F.lit(0).alias("image_id"), (F.col("id") % 50).cast("int").alias("y"), (F.col("id") * 7 % 64).cast("int").alias("x"), F.when(F.col("id") % 2 == 0, "h").otherwise("v").alias("family"))
+    votes = tilt.hough_votes(points.coalesce(1), 64, 50)
+    assert votes.agg(F.sum("votes")).first()[0] == 4000 * len(tilt.ANGLES)
+    assert "Generate" not in votes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_losses_as_columns(spark):
+    cases = [(w, h, a) for w, h in ((60, 40), (40, 60), (50, 50), (200, 10)) for a in (0.0, 1.0, 17.0, 45.0, 46.0, 80.0, 90.0, 133.0)]
+    rows = spark.createDataFrame([(float(w), float(h), a) for w, h, a in cases], "w double, h double, a double")
+    got = rows.select("w", "h", "a", geometry.rotation_loss_columns(F.col("w"), F.col("h"), F.col("a")).alias("v"), geometry.loss_percent(F.col("w"), F.col("h"), F.col("a")).alias("exact")).collect()
+    for r in got:
+        want = geometry.rotation_loss(int(r.w), int(r.h), r.a)
+        assert abs(r.v - want) < 1e-9 and r.exact <= r.v + 1e-9
