@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bits for each key, and the most blocks of 64 bytes: 64 MB. Beyond 33 million keys a key has fewer bits, and more pass in vain.
 KEY_BITS, MOST_BLOCKS = 16, 1 << 20
+#: Blocks that tasks put together into one value.
+RUN = 1024
 
 _SALTS = np.array([2 * i * 0x47B6137B + 0x44974D91 for i in range(8)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
@@ -47,7 +49,7 @@ def id_hashes(ids: np.ndarray) -> np.ndarray:
 
 
 def bloom_of(keys: DataFrame, count: int, hashes) -> BlockedBloom:
-    """The filter of all values, nulls aside, of the one column of ``keys``; each task sends the blocks it set.
+    """The filter of all values, nulls aside, of the one column of ``keys``; each task sends the blocks it set, packed.
     ``hashes``: 64-bit hashes of an Arrow column."""
     out = BlockedBloom.empty(count)
     n = len(out.words)
@@ -57,13 +59,22 @@ def bloom_of(keys: DataFrame, count: int, hashes) -> BlockedBloom:
         for b in batches:
             own.add(hashes(b.column(0).drop_null()))
         used = np.flatnonzero(own.words.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used)] + [pa.array(own.words[used, i].view(np.int64)) for i in range(8)], ["block", *(f"w{i}" for i in range(8))]
-        )
-
-    rows = keys.mapInArrow(part, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
-    for r in rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).collect():
-        out.words[r[0]] = np.array(r[1:], np.int64).view(np.uint64)
+        for k in np.unique(used // RUN).tolist():
+            some = used[used // RUN == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([some.astype(np.int64).tobytes()], pa.binary()), pa.array([own.words[some].tobytes()], pa.binary())], ["run", "at", "words"])
+
+    def merged(table):
+        k = table.column("run")[0].as_py()
+        words = np.zeros((min(RUN, n - k * RUN), 8), np.uint64)
+        for at, some in zip(table.column("at").to_pylist(), table.column("words").to_pylist(), strict=True):
+            words[np.frombuffer(at, np.int64) - k * RUN] |= np.frombuffer(some, np.uint64).reshape(-1, 8)
+        return pa.table({"run": pa.array([k], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    # tasks put runs of blocks together, so that the driver gets no more than the filter's own bytes
+    rows = keys.mapInArrow(part, "run long, at binary, words binary").groupBy("run").applyInArrow(merged, "run long, words binary")
+    for k, words in rows.toLocalIterator():
+        some = np.frombuffer(words, np.uint64).reshape(-1, 8)
+        out.words[k * RUN : k * RUN + len(some)] = some
     return out
 
 
@@ -100,6 +111,9 @@ def without(docs: DataFrame, gone: DataFrame, key=None) -> DataFrame:
     Rows with a null key stay. Only rows that pass a filter of its values meet them in a join, so most texts are not
     shuffled."""
     key = F.col("doc_id").cast("long") if key is None else key
+    from .common import unused
+
     may = passes(gone, gone.count(), key)
-    rest = docs.filter(may).join(gone.toDF("__gone").distinct(), key == F.col("__gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    rest = docs.filter(may).join(gone.toDF(name).distinct(), key == F.col(name), "left_anti")
     return docs.filter(~may).unionByName(rest)

@@ -11,7 +11,7 @@ only a Bloom filter of its prefix shingles does: places of documents that pass i
 on the shingle, with the words around them, and verified there.
 
 Defined results: null texts and texts without words have no hits; items without words or null ones have no
-windows; equal item_ids with equal texts count once; windows that several items share are hits of each of them; repeated
+windows; windows of items without item_id are hits like others, but such items are not told; equal item_ids with equal texts count once; windows that several items share are hits of each of them; repeated
 rows each get a row; texts of any length are read whole, and the words before, between and after hits are never cut; an
 empty benchmark finds nothing; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom, bloom_of, longs
-from .common import ALNUM, BATCH_BYTES, column, mixed, parts_of, rolling, small_batches, tidy, word_hashes, words_alnum, written
+from .common import ALNUM, BATCH_BYTES, column, mixed, parts_of, rolling, small_batches, tidy, unused, word_hashes, words_alnum, written
 
 WINDOW, SHINGLE = 13, 3
 #: UTF-8 bytes of all items up to which the benchmark's windows go to the tasks; about 70 bytes in memory for each.
@@ -92,7 +92,7 @@ def _table(windows: dict[tuple[bytes, ...], set[str]], rarity: dict, keys: dict)
         parts, n = _parts(window), min(SHINGLE, len(window))
         times = rarity[n][np.searchsorted(keys[n], parts)]
         at = int(np.lexsort((parts, times))[0])
-        rows.setdefault(n, []).append((int(parts[at]), at, window, sorted(ids)))
+        rows.setdefault(n, []).append((int(parts[at]), at, window, sorted(i for i in ids if i is not None)))
     out = {}
     for n, r in rows.items():
         r.sort(key=lambda x: x[0])
@@ -232,16 +232,16 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spans.join(found, "fp")
 
 
-def _with_prints(docs: DataFrame) -> DataFrame:
-    """``docs`` with the digest and the number of each text's words as __fp and __n."""
+def _with_prints(docs: DataFrame, fp: str, n: str) -> DataFrame:
+    """``docs`` with the digest and the number of each text's words in columns of these names."""
 
     def run(batches):
         for b in batches:
             words = [words_alnum(t) for t in column(b, "text")]
             more = [pa.array([_print(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__fp", "__n"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, fp, n])
 
-    schema = docs.withColumns({"__fp": F.lit(b""), "__n": F.lit(0).cast("long")}).schema
+    schema = docs.withColumns({fp: F.lit(b""), n: F.lit(0).cast("long")}).schema
     return docs.mapInArrow(tidy(run), schema)
 
 
@@ -250,8 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items, few = _items(benchmark)
     if not few:
-        found = _joined(docs, items).withColumnRenamed("fp", "__fp")
-        out = _with_prints(docs).select("doc_id", "__fp", F.col("__n").alias("n_words")).join(found, "__fp", "left")
+        out = _with_prints(docs, "fp", "n_words").select("doc_id", "fp", "n_words").join(_joined(docs, items), "fp", "left")
         return out.select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<array<long>>"), ("items", "array<string>"))))
     find = _finder(docs, items)
 
@@ -275,9 +274,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, less those with hits in at least one of ``share`` words."""
     items, few = _items(benchmark)
     if not few:
-        prints = _with_prints(docs)
-        hit = _joined(docs, items).withColumn("__hit", n_hit()).select(F.col("fp").alias("__fp"), "__hit")
-        return prints.join(hit, "__fp", "left").filter(F.coalesce(share * F.col("__hit") < F.col("__n"), F.lit(True))).select(*docs.columns)
+        fp, n, k = unused(docs, "fp", "n_words", "n_hit")
+        hit = _joined(docs, items).select(F.col("fp").alias(fp), n_hit().alias(k))
+        return _with_prints(docs, fp, n).join(hit, fp, "left").filter(F.coalesce(share * F.col(k) < F.col(n), F.lit(True))).select(*(f"`{c}`" for c in docs.columns))
     find = _finder(docs, items)
 
     def run(batches):
