@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm.bloom import without
-from pixelframe.llm.common import written
+from pixelframe.llm.common import unused, written
 from pixelframe.llm.decontaminate import clean
 from pixelframe.llm.exact_dedup import exact_dedup
 from pixelframe.llm.ngram_join import ngram_join
@@ -42,11 +42,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     gone = written(exact_dedup(docs).filter("not kept").select("doc_id", "digest"), "gone")
     out = without(docs, gone.filter("doc_id is not null").select("doc_id"))
-    unnamed = gone.filter("doc_id is null").select(F.lower(F.hex("digest")).alias("__digest")).distinct()
+    (name,) = unused(docs, "digest")
+    unnamed = gone.filter("doc_id is null").select(F.lower(F.hex("digest")).alias(name)).distinct()
     if unnamed.isEmpty():
         return out
     lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rest = out.filter("doc_id is null").join(unnamed, F.sha2(lowered.cast("binary"), 256) == F.col("__digest"), "left_anti")
+    rest = out.filter("doc_id is null").join(unnamed, F.sha2(lowered.cast("binary"), 256) == F.col(name), "left_anti")
     return out.filter("doc_id is not null").unionByName(rest)
 
 
