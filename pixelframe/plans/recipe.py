@@ -85,6 +85,13 @@ MASK = ("mask", OMITTED)
 BAND = ("band", OMITTED)
 RECT = ("rect", OMITTED)
 
+# Fields of nested objects.
+STOP_FIELDS = {"position": ("float", REQUIRED), "color": ("str", REQUIRED)}
+RECT_FIELDS = {k: ("int", REQUIRED) for k in ("x", "y", "width", "height")}
+MASK_FIELDS = {"revision_id": ("str", REQUIRED), "invert": ("bool", False), "feather_px": ("float", 0.0)}
+BAND_FIELDS = {k: ("float", 0.0) for k in ("hue", "saturation", "luminance")}
+LAYER_FIELDS = {"mask": MASK, "blend_mode": ("enum", "normal"), "opacity": ("float", 1.0)}
+
 # Operations, their parameters' defaults and ranges.
 OPS: dict[str, dict[str, tuple]] = {
     "auto_orient": {},
@@ -211,12 +218,12 @@ def _value(v: Any, kind: str, where: str) -> Any:
             raise RecipeError(f"{where}: expected pairs of code values")
         return points
     if kind == "stops":
-        return [_keys(s, where, {"position": ("float", REQUIRED), "color": ("str", REQUIRED)}) for s in _list(v, where)]
+        return [_keys(s, where, STOP_FIELDS) for s in _list(v, where)]
     if kind == "rect":
-        return _keys(v, where, {k: ("int", REQUIRED) for k in ("x", "y", "width", "height")})
+        return _keys(v, where, RECT_FIELDS)
     if kind == "mask":
-        return _keys(v, where, {"revision_id": ("str", REQUIRED), "invert": ("bool", False), "feather_px": ("float", 0.0)})
-    return _keys(v, where, {k: ("float", 0.0) for k in ("hue", "saturation", "luminance")})  # a band of hsl
+        return _keys(v, where, MASK_FIELDS)
+    return _keys(v, where, BAND_FIELDS)  # a band of hsl
 
 
 def _operation(v: Any, where: str) -> dict:
@@ -243,7 +250,7 @@ def parse(recipe: dict | str) -> dict:
             source, ops = body.pop("source", None), body.pop("ops", [])
             if not (source == "base" or isinstance(source, dict) and set(source) == {"revision_id"} and isinstance(source["revision_id"], str)):
                 raise RecipeError(f"{where} (source): expected \"base\" or a revision_id")
-            rest = _keys(body, where, {"mask": MASK, "blend_mode": ("enum", "normal"), "opacity": ("float", 1.0)})
+            rest = _keys(body, where, LAYER_FIELDS)
             out["layers"].append({"source": source, "ops": [_operation(o, f"{where}.ops[{j}]") for j, o in enumerate(_list(ops, where))], **rest})
     return out
 

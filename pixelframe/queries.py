@@ -14,7 +14,7 @@ from .functions import numeric as N
 from .operators import color, compare, composite, filters, geometry, masks, tilt
 from .plans.compile import execute
 from .plans.presets import PRESETS
-from .plans.recipe import recipe_hash
+from .plans.recipe_columns import hash_column
 from .sources import images, store, svg
 from .sources.cube import Cube
 
@@ -363,6 +363,9 @@ def _lineage(s: SparkSession, d: str) -> DataFrame:
 
 _TURNS = "select 'rev_' || conv_id || '_' || turn revision_id, case when turn > 0 then 'rev_' || conv_id || '_' || (turn - 1) end source_revision_id from conversations"
 add("store_lineage", _lineage, f"with recursive e as ({_TURNS}), up(revision_id, source_revision_id, depth) as (select *, 0 from e where revision_id = (select max(revision_id) from e) union all select e.*, depth + 1 from up join e on e.revision_id = up.source_revision_id) select revision_id, depth from up")
+add("store_lineage_all", lambda s, d: store.lineages(_turns(s, d)), f"with recursive e as ({_TURNS}), up(revision_id, root, parent, depth) as (select revision_id, revision_id, source_revision_id, 0 from e union all select up.revision_id, up.parent, e.source_revision_id, depth + 1 from up left join e on e.revision_id = up.parent where up.parent is not null) select revision_id, root, depth::BIGINT depth from up where parent is null")
+
+
 def _memo_hits(s: SparkSession, d: str) -> DataFrame:
     """Every turn's answer asked for again, by a recipe that follows from its source; also by another recipe and of another engine."""
     source = F.col("source_revision_id")
@@ -385,12 +388,21 @@ add("store_list_order", _list_order, "select event_id, user_id, row_number() ove
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
-    """The recipe hash of each document's vignette, whose strength is its id's last digit in tenths."""
-    hashed = F.udf(lambda k: recipe_hash({"operations": [{"op": "vignette", "strength": k / 10}]}), "string")
-    return _docs(s, d).select("doc_id", hashed(F.col("doc_id") % 10).alias("recipe_hash"))
-
-
-add("store_recipe_hash", _hashes, """select doc_id, sha256('{"operations":[{"feather":0.5,"op":"vignette","radius":0.7,"strength":0.' || (doc_id % 10) || '}]}') recipe_hash from documents""")
+    """The hash of a recipe that each document's columns make, as one JSON text with fields in any order and defaults left out."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    number = lambda c: c.cast("string")
+    text = F.concat(
+        F.lit('{"operations": [{"strength": '), number(k % 1000 / 1000), F.lit(', "op": "vignette", "radius": '), number(n % 15 / 10), F.lit('}, {"op": "levels", "in_black": '), number(n % 200),
+        F.lit(', "gamma": '), number(1 + k % 7 / 8), F.lit('}, {"op": "lut", "lut_revision_id": "rev_'), F.coalesce("lang", F.lit("")), F.lit('"}, {"op": "crop", "rect": {"width": '), number(n % 9 + 1),
+        F.lit(', "height": 4, "y": 2, "x": '), number(k % 11), F.lit("}}]}"),
+    )
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", hash_column(text).alias("recipe_hash"))
+
+
+_frac = lambda e: f"(({e})::DOUBLE)::VARCHAR"
+add("store_recipe_hash", _hashes, f"""select doc_id, sha256('{{"operations":[{{"feather":0.5,"op":"vignette","radius":' || {_frac('n_chars % 15 / 10')} || ',"strength":' || {_frac('doc_id % 1000 / 1000')} || '}},{{"gamma":' || {_frac('1 + doc_id % 7 / 8')}
+  || ',"in_black":' || (n_chars % 200) || ',"in_white":255,"op":"levels","out_black":0,"out_white":255}},{{"lut_revision_id":"rev_' || coalesce(lang, '') || '","op":"lut","strength":1.0}},{{"anchor":"center","mode":"crop","op":"crop","rect":{{"height":4,"width":'
+  || (n_chars % 9 + 1) || ',"x":' || (doc_id % 11) || ',"y":2}}}}]}}') recipe_hash from documents""")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,15 @@ import hashlib
 import json
 import re
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .lines import numbered_lines
+
 SCHEMA = (
     "asset_id string, revision_id string, source_revision_id string, width int, height int, mime_type string, byte_size long, sha256 string,"
     " rel_path string, recipe string, recipe_hash string, engine_version string, origin map<string,string>, created_at timestamp, ledger_seq long"
@@ -148,36 +152,63 @@ def memo(rows: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a ledger kept as lines of JSON; blank lines are passed over, and a line that is no row fails with its number."""
+    """Rows of a ledger kept as lines of JSON, read by as many tasks as its files have splits; blank lines are passed over, and a line
+    that is no row fails with its number."""
     names = [f.split()[0] for f in SCHEMA.replace("string,string", "string;string").split(", ")]
     required = ("asset_id", "revision_id", "width", "height", "mime_type", "byte_size", "sha256", "rel_path", "created_at")
 
     def run(batches):
         for b in batches:
             rows = []
-            for file, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for number, line in enumerate(data.decode().split("\n"), 1):
-                    if not line.strip():
-                        continue
-                    try:
-                        row = json.loads(line)
-                        missing = [n for n in required if row.get(n) is None]
-                    except (ValueError, AttributeError) as e:
-                        raise StoreError(f"{file}: line {number}: {e}") from None
-                    if missing:
-                        raise StoreError(f"{file}: line {number}: without {', '.join(missing)}")
-                    if isinstance(row.get("recipe"), dict):
-                        row["recipe"] = json.dumps(row["recipe"], sort_keys=True, separators=(",", ":"))
-                    row["origin"] = [(k, str(v)) for k, v in (row.get("origin") or {}).items()]
-                    rows.append({"ledger_seq": number - 1} | row)
+            for file, number, line in zip(*(b.column(c).to_pylist() for c in ("file", "number", "line")), strict=True):
+                try:
+                    row = json.loads(line)
+                    missing = [n for n in required if row.get(n) is None]
+                except (ValueError, AttributeError) as e:
+                    raise StoreError(f"{file}: line {number}: {e}") from None
+                if missing:
+                    raise StoreError(f"{file}: line {number}: without {', '.join(missing)}")
+                if isinstance(row.get("recipe"), dict):
+                    row["recipe"] = json.dumps(row["recipe"], sort_keys=True, separators=(",", ":"))
+                row["origin"] = [(k, str(v)) for k, v in (row.get("origin") or {}).items()]
+                rows.append({"ledger_seq": number - 1} | row)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names)
 
     kinds = {n: pa.string() for n in names} | {"width": pa.int32(), "height": pa.int32(), "byte_size": pa.int64(), "ledger_seq": pa.int64(), "origin": pa.map_(pa.string(), pa.string())}
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    read = files.mapInArrow(run, SCHEMA.replace("created_at timestamp", "created_at string"))
+    lines = numbered_lines(spark, path).filter(F.length(F.trim(F.translate("line", "\t\r\f\v", "    "))) > 0)
+    read = lines.select("file", "number", "line").mapInArrow(run, SCHEMA.replace("created_at timestamp", "created_at string"))
     return read.withColumn("created_at", F.to_timestamp("created_at")).select(*names)
 
 
+def lineages(edges: DataFrame) -> DataFrame:
+    """(revision_id, root, depth) of every revision in ``edges`` (revision_id, source_revision_id): what it goes back to, and over how many steps.
+
+    Pointer doubling: each round joins every revision that is not at its root with what it points to, so that pointers grow
+    twice as long; a ledger of depth d takes log2(d) joins, each written to the shared folder. Revisions at their root leave
+    the rounds. A source that has no row is a root; of several rows of a revision the one of the least source counts; rows without a
+    revision are left out; revisions that go back to themselves are an error.
+    """
+    known = edges.filter("revision_id is not null").groupBy("revision_id").agg(F.min("source_revision_id").alias("source"))
+    done = known.filter("source is null").select("revision_id", F.col("revision_id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    rows = known.filter("source is not null").select("revision_id", F.col("source").alias("at"), F.lit(1).cast("long").alias("depth"))
+    # sources that no row has are where a path ends, like rows without a source
+    ends = known.filter("source is not null").select(F.col("source").alias("at")).distinct().join(known.filter("source is not null").select(F.col("revision_id").alias("at")), "at", "left_anti")
+    front = written(rows.join(ends.withColumn("end", F.lit(True)), "at", "left").select("revision_id", "at", "depth", F.coalesce("end", F.lit(False)).alias("end")), "lineage")
+    finished, before = [done], -1
+    while True:
+        left = front.filter("not end")
+        finished.append(front.filter("end").select("revision_id", F.col("at").alias("root"), "depth"))
+        if not (n := left.count()):
+            break
+        if n == before:
+            raise StoreError("revisions go back to themselves")
+        # the pointers of this round: of those that are at an end and of those that are not
+        here = reduce(DataFrame.unionByName, (f.select(F.col("revision_id").alias("at"), F.col("root").alias("to"), F.col("depth").alias("more"), F.lit(True).alias("end")) for f in finished[1:]))
+        here = here.unionByName(left.select(F.col("revision_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.lit(False).alias("end")))
+        front, before = written(left.drop("end").join(here, "at").select("revision_id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), "end"), "lineage"), n
+    return reduce(DataFrame.unionByName, finished)
+
+
 def lineage(edges: DataFrame, revision_id: str) -> DataFrame:
     name = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(name)
