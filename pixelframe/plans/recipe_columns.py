@@ -83,10 +83,12 @@ def _object(v: Column, fields: Column, write: Writer) -> Column:
         value = F.coalesce(write(at, f["kind"]), F.lit(WRONG))
         default = F.when(f["kind"] == "float", float_text(f["default"].cast("double"))).otherwise(f["default"])
         text = F.when(at.isNotNull() & ~F.is_variant_null(at), value).when(f["must"], WRONG).otherwise(default)
-        return F.when(text != "", F.concat(F.lit('"'), f["name"], F.lit('":'), text))
+        return F.struct(f["name"].alias("name"), text.alias("text"))
 
     alien = F.exists(F.map_keys(has), lambda k: ~F.exists(fields, lambda f: f["name"] == k))
-    return F.when(_is(v, "OBJECT") & fields.isNotNull() & ~alien, F.concat(F.lit("{"), F.array_join(F.array_compact(F.transform(fields, told)), ","), F.lit("}")))
+    parts = F.filter(F.transform(fields, told), lambda p: p["text"] != "")
+    written = F.transform(parts, lambda p: F.concat(F.lit('"'), p["name"], F.lit('":'), p["text"]))
+    return F.when(_is(v, "OBJECT") & fields.isNotNull() & ~alien, F.concat(F.lit("{"), F.array_join(written, ","), F.lit("}")))
 
 
 def canonical_column(text: Column) -> Column:
