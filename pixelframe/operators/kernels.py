@@ -379,13 +379,57 @@ def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float
     return np.concatenate([np.clip(rgb + offset, 0, 1), a], -1)
 
 
+#: The radius from which on a channel of few values is counted rather than sorted.
+COUNTED_RADIUS = 6
+
+
 def median(v: np.ndarray, radius: int) -> np.ndarray:
+    """The middle value of each channel in a square. From ``COUNTED_RADIUS`` on, channels of at most 256 values, as sources of
+    8 bits have, cost the same at any radius; others are partitioned pixel by pixel."""
     wide = np.pad(v, [(radius, radius), (radius, radius), (0, 0)], "edge")
-    out, side = np.empty_like(v), 2 * radius + 1
-    windows = np.lib.stride_tricks.sliding_window_view(wide, (side, side), (0, 1))
-    for y in range(v.shape[0]):
-        flat = windows[y].reshape(v.shape[1], 4, side * side)
-        out[y] = np.partition(flat, side * side // 2, -1)[..., side * side // 2]
+    out, left = np.empty_like(v), []
+    for c in range(v.shape[2]):
+        values = np.ascontiguousarray(wide[..., c])
+        table, code = np.unique(values, return_inverse=True) if radius >= COUNTED_RADIUS and len(np.unique(values[::7])) <= 256 else (None, None)
+        if table is None or len(table) > 256:
+            left.append(c)
+        else:
+            out[..., c] = table[counted_median(code.reshape(values.shape), radius)]
+    if left:
+        side = 2 * radius + 1
+        windows = np.lib.stride_tricks.sliding_window_view(wide[..., left], (side, side), (0, 1))
+        for y in range(v.shape[0]):
+            flat = windows[y].reshape(v.shape[1], len(left), side * side)
+            out[y][:, left] = np.partition(flat, side * side // 2, -1)[..., side * side // 2]
+    return out
+
+
+def counted_median(code: np.ndarray, radius: int) -> np.ndarray:
+    """Middle ranks, below 256, of all squares inside ``code``.
+
+    Going from column to column, for every line at once: the counts of each rank in a column's stretch of lines, summed up
+    over columns, so that two of these sums tell a square's counts. The middle is sought among sixteen groups of ranks and
+    then within one.
+    """
+    side, (height, width) = 2 * radius + 1, code.shape
+    lines, middle = height - 2 * radius, side * side // 2
+    row, out = np.arange(lines), np.empty((lines, width - 2 * radius), np.int64)
+    sums, groups = (np.zeros((side + 1, lines, n), np.uint16) for n in (256, 16))
+    for x in range(width):
+        column, change = code[:, x], np.zeros((lines, 256), np.uint16)
+        change[0] = np.bincount(column[:side], minlength=256)
+        change[row[1:], column[side:]] += np.uint16(1)
+        change[row[1:], column[: lines - 1]] -= np.uint16(1)
+        counts = np.cumsum(change, 0, dtype=np.uint16)
+        now, before, first = x % (side + 1), (x - 1) % (side + 1), (x + 1) % (side + 1)
+        np.add(sums[before], counts, out=sums[now])
+        np.add(groups[before], counts.reshape(lines, 16, 16).sum(2, dtype=np.uint16), out=groups[now])
+        if x >= 2 * radius:
+            upto = np.cumsum(groups[now] - groups[first], 1, dtype=np.uint16)
+            group = (upto <= middle).sum(1)
+            below = np.where(group > 0, upto[row, group - 1], 0)
+            inside = sums[now].reshape(lines, 16, 16)[row, group] - sums[first].reshape(lines, 16, 16)[row, group]
+            out[:, x - 2 * radius] = group * 16 + (below[:, None] + np.cumsum(inside, 1, dtype=np.int64) <= middle).sum(1)
     return out
 
 

@@ -264,13 +264,13 @@ add("geo_rotation_loss", _loss, f"with t as ({_turned}), r as (select p_partkey,
 # tilt: each step of the estimate
 _FLOOR = 10.0  # of votes; the images are small
 _gradients = lambda s, d: tilt.sobel(tilt.smoothed(tilt.gray(frame(s, d, "emb"))))
-_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50, 24)  # noqa: E731  # nine tiles an image
+_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50)
 _votes = lambda s, d: tilt.hough_votes(tilt.edge_points(_edges(s, d)), 64, 50)
 _lines = lambda s, d: tilt.lines(_votes(s, d), 64, 50, _FLOOR)
 _tops = lambda s, d: tilt.histogram_peaks(tilt.angle_histogram(_lines(s, d)))
 add("tilt_sobel", _gradients, sql.sobel("emb").sql("select image_id, y, x, gx, gy from {p}"))
 add("tilt_canny_thresholds", lambda s, d: tilt.canny_thresholds(_gradients(s, d)), sql.thresholds("emb").sql("select image_id, low, high from {p}"))
-add("tilt_canny", _edges, sql.canny("emb").sql("select image_id, y, x, gx, gy from {p}"))
+add("tilt_canny", lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50, 24), sql.canny("emb").sql("select image_id, y, x, gx, gy from {p}"))
 add("tilt_edge_family", lambda s, d: tilt.edge_points(_edges(s, d)), sql.points(sql.canny("emb")).sql("select image_id, y, x, family, strength from {p}"))
 add("tilt_hough_votes", _votes, sql.votes("emb").sql("select image_id, family, ai, ri, votes from {p}"))
 add("tilt_nms", lambda s, d: _rounded(_lines(s, d), "phi"), sql.lines("emb", _FLOOR).sql("select image_id, family, round(phi, 6) phi, votes, rank from {p}"))

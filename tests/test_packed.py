@@ -119,3 +119,22 @@ def test_heals_of_many_tiles_and_beyond_the_edges(image, monkeypatch):
     monkeypatch.setattr(K, "TILE", 8)
     for p, want in zip(places, whole, strict=True):
         assert np.allclose(array(filters.heal(image, *p)), want, atol=1e-12)
+
+
+def test_a_median_by_counts_is_the_middle_value_at_any_radius(monkeypatch):
+    import time
+
+    rng = np.random.default_rng(5)
+    table = np.sort(rng.random(256))
+    v = np.stack([table[rng.integers(0, 256, (70, 90))], table[rng.integers(0, 3, (70, 90))], np.zeros((70, 90)), rng.random((70, 90))], -1)
+    for radius in (1, 2, 5, 16):
+        monkeypatch.setattr(K, "COUNTED_RADIUS", 99)
+        want = K.median(v, radius)
+        monkeypatch.setattr(K, "COUNTED_RADIUS", 1)
+        assert np.array_equal(K.median(v, radius), want)
+    took = []
+    for radius in (6, 16):
+        code, at = rng.integers(0, 256, (400 + 2 * radius, 400 + 2 * radius)), time.perf_counter()
+        K.counted_median(code, radius)
+        took.append(time.perf_counter() - at)
+    assert took[1] < 2 * took[0]
