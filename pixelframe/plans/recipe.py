@@ -9,35 +9,62 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import re
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import Any
 
 from ..functions.numeric import aspect_ratio, half_away, hex_color
 from ..operators.composite import MODES
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where in a recipe something stands: the layer and the operation, if it is about one, and words for it."""
+
+    text: str
+    layer: int | None = None
+    index: int | None = None
+    op: str | None = None
+
+    def under(self, text: str) -> Place:
+        return replace(self, text=self.text + text)
+
+    def operation(self, i: int, name: Any) -> Place:
+        """The operation at ``i`` of the recipe or, in a layer, of its own."""
+        known = name if isinstance(name, str) and name in OPS else None
+        text = f"{self.text}{'.ops' if self.text else 'operations'}[{i}]" + (f" ({known})" if known else "")
+        return replace(self, text=text, index=i, op=known)
+
+
+def layer_place(i: int) -> Place:
+    return Place(f"layers[{i}]", i)
+
+
+TOP = Place("")
+
+#: How to go on, by what is wrong.
+RECOVERY = {
+    "unknown_operation": "Call list_operations for the names of operations.",
+    "missing": "Add what is missing; explain_operation lists required fields.",
+    "field": "Correct the named field; a recipe has operations and, optionally, layers.",
+}
+
+
 class RecipeError(ValueError):
-    """What is wrong with a recipe, and where: the layer's and the operation's place and name, if it is about one."""
+    """What is wrong with a recipe, of what ``kind`` that is, and where."""
 
     code = "invalid_recipe"
 
-    def __init__(self, text: str):
-        super().__init__(text)
-        at = re.search(r"operations\[(\d+)\](?: \((\w+)\))?", text)
-        layer = re.search(r"layers\[(\d+)\]", text)
-        self.operation_index, self.op = (int(at[1]), at[2]) if at else (None, None)
-        self.layer_index = int(layer[1]) if layer else None
+    def __init__(self, text: str, place: Place | None = None, kind: str = "field"):
+        place = place or TOP
+        super().__init__(f"{place.text}: {text}" if place.text else text)
+        self.kind, self.operation_index, self.op, self.layer_index = kind, place.index, place.op, place.layer
 
     @property
     def recovery(self) -> str:
-        if "unknown operation" in str(self):
-            return "Call list_operations for the names of operations."
-        if "missing" in str(self):
-            return "Add what is missing; explain_operation lists required fields."
-        if self.op:
+        if self.kind == "field" and self.op:
             return f"Correct the parameter; explain_operation({self.op!r}) lists ranges and defaults."
-        return "Correct the named field; a recipe has operations and, optionally, layers."
+        return RECOVERY[self.kind]
 
     def details(self) -> dict:
         return {"code": self.code, "message": str(self), "operation_index": self.operation_index, "op": self.op, "layer_index": self.layer_index, "recovery": self.recovery}
@@ -156,66 +183,66 @@ MASKED = frozenset(name for name, params in OPS.items() if "mask" in params)
 SILENT = {("crop", "coordinate_space"): "current"}
 
 
-def _number(v: Any, where: str) -> float:
+def _number(v: Any, where: Place) -> float:
     if isinstance(v, bool) or not isinstance(v, (int, float)):
-        raise RecipeError(f"{where}: expected a number, got {v!r}")
+        raise RecipeError(f"expected a number, got {v!r}", where)
     return float(v)
 
 
-def _integer(v: Any, where: str) -> int:
+def _integer(v: Any, where: Place) -> int:
     if isinstance(v, bool) or not isinstance(v, int):
-        raise RecipeError(f"{where}: expected an integer, got {v!r}")
+        raise RecipeError(f"expected an integer, got {v!r}", where)
     return v
 
 
-def _keys(v: Any, where: str, fields: dict[str, tuple]) -> dict:
+def _keys(v: Any, where: Place, fields: dict[str, tuple]) -> dict:
     """A mapping with these fields only: name -> (kind, default)."""
     if not isinstance(v, dict):
-        raise RecipeError(f"{where}: expected an object, got {v!r}")
+        raise RecipeError(f"expected an object, got {v!r}", where)
     if extra := set(v) - set(fields):
-        raise RecipeError(f"{where}: unknown field {sorted(extra)[0]!r}")
+        raise RecipeError(f"unknown field {sorted(extra)[0]!r}", where)
     out = {}
     for name, (kind, default, *_) in fields.items():
         if v.get(name) is None:
             if default is REQUIRED:
-                raise RecipeError(f"{where}: missing field {name!r}")
+                raise RecipeError(f"missing field {name!r}", where, "missing")
             if default is not OMITTED:
                 out[name] = default
         else:
-            out[name] = _value(v[name], kind, f"{where}.{name}")
+            out[name] = _value(v[name], kind, where.under(f".{name}"))
     return out
 
 
-def _list(v: Any, where: str) -> list:
+def _list(v: Any, where: Place) -> list:
     if not isinstance(v, list):
-        raise RecipeError(f"{where}: expected a list, got {v!r}")
+        raise RecipeError(f"expected a list, got {v!r}", where)
     return v
 
 
-def _value(v: Any, kind: str, where: str) -> Any:
+def _value(v: Any, kind: str, where: Place) -> Any:
     if kind == "float":
         return _number(v, where)
     if kind == "int":
         return _integer(v, where)
     if kind in ("str", "enum"):
         if not isinstance(v, str):
-            raise RecipeError(f"{where}: expected a string, got {v!r}")
+            raise RecipeError(f"expected a string, got {v!r}", where)
         return v
     if kind == "bool":
         if not isinstance(v, bool):
-            raise RecipeError(f"{where}: expected true or false, got {v!r}")
+            raise RecipeError(f"expected true or false, got {v!r}", where)
         return v
     if kind == "floats":
         return [_number(x, where) for x in _list(v, where)]
     if kind == "quad":
         quad = [[_number(x, where) for x in _list(p, where)] for p in _list(v, where)]
         if len(quad) != 4 or any(len(p) != 2 for p in quad):
-            raise RecipeError(f"{where}: expected four points")
+            raise RecipeError("expected four points", where)
         return quad
     if kind == "points":
         points = [[_integer(x, where) for x in _list(p, where)] for p in _list(v, where)]
         if any(len(p) != 2 or not all(0 <= x <= 255 for x in p) for p in points):
-            raise RecipeError(f"{where}: expected pairs of code values")
+            raise RecipeError("expected pairs of code values", where)
         return points
     if kind == "stops":
         return [_keys(s, where, STOP_FIELDS) for s in _list(v, where)]
@@ -226,11 +253,15 @@ def _value(v: Any, kind: str, where: str) -> Any:
     return _keys(v, where, BAND_FIELDS)  # a band of hsl
 
 
-def _operation(v: Any, where: str) -> dict:
+def _name(v: Any) -> Any:
+    return v.get("op") if isinstance(v, dict) else None
+
+
+def _operation(v: Any, where: Place) -> dict:
     if not isinstance(v, dict) or v.get("op") not in OPS:
-        raise RecipeError(f"{where}: unknown operation {v.get('op') if isinstance(v, dict) else v!r}")
+        raise RecipeError(f"unknown operation {v.get('op') if isinstance(v, dict) else v!r}", where, "unknown_operation")
     body = {k: x for k, x in v.items() if k != "op"}
-    return {"op": v["op"], **_keys(body, f"{where} ({v['op']})", OPS[v["op"]])}
+    return {"op": v["op"], **_keys(body, where, OPS[v["op"]])}
 
 
 def parse(recipe: dict | str) -> dict:
@@ -238,26 +269,26 @@ def parse(recipe: dict | str) -> dict:
     if isinstance(recipe, str):
         recipe = json.loads(recipe)
     if not isinstance(recipe, dict) or not isinstance(recipe.get("operations"), list):
-        raise RecipeError("recipe: missing field 'operations'")
+        raise RecipeError("a recipe is an object with a list of operations", kind="missing")
     if extra := set(recipe) - {"operations", "layers"}:
-        raise RecipeError(f"recipe: unknown field {sorted(extra)[0]!r}")
-    out: dict[str, Any] = {"operations": [_operation(o, f"operations[{i}]") for i, o in enumerate(recipe["operations"])]}
+        raise RecipeError(f"a recipe has no field {sorted(extra)[0]!r}")
+    out: dict[str, Any] = {"operations": [_operation(o, TOP.operation(i, _name(o))) for i, o in enumerate(recipe["operations"])]}
     if recipe.get("layers") is not None:
         out["layers"] = []
         for i, layer in enumerate(_list(recipe["layers"], "layers")):
-            where = f"layers[{i}]"
+            where = layer_place(i)
             body = dict(layer) if isinstance(layer, dict) else {}
             source, ops = body.pop("source", None), body.pop("ops", [])
             if not (source == "base" or isinstance(source, dict) and set(source) == {"revision_id"} and isinstance(source["revision_id"], str)):
-                raise RecipeError(f"{where} (source): expected \"base\" or a revision_id")
+                raise RecipeError("expected \"base\" or a revision_id", where.under(" (source)"))
             rest = _keys(body, where, LAYER_FIELDS)
-            out["layers"].append({"source": source, "ops": [_operation(o, f"{where}.ops[{j}]") for j, o in enumerate(_list(ops, where))], **rest})
+            out["layers"].append({"source": source, "ops": [_operation(o, where.operation(j, _name(o))) for j, o in enumerate(_list(ops, where))], **rest})
     return out
 
 
-def _check_mask(mask: dict, where: str) -> None:
+def _check_mask(mask: dict, where: Place) -> None:
     if problem := revision(mask["revision_id"]) or within(0.0, 200.0)(mask["feather_px"]):
-        raise RecipeError(f"{where}: mask {problem}")
+        raise RecipeError(f"mask {problem}", where)
 
 
 def _convex(quad: list) -> bool:
@@ -307,46 +338,46 @@ def _joint(op: dict) -> str | None:
     return None
 
 
-def _check_operations(ops: list[dict], prefix: str = "") -> None:
+def _check_operations(ops: list[dict], top: Place = TOP) -> None:
     for i, op in enumerate(ops):
-        where = f"{prefix}operations[{i}] ({op['op']})"
+        where = top.operation(i, op["op"])
         if "mask" in op:
             _check_mask(op["mask"], where)
         for name, (_, _, *tests) in OPS[op["op"]].items():
             if name in op:
                 for test in tests:
                     if problem := test(op[name]):
-                        raise RecipeError(f"{where}: {name} {problem}")
+                        raise RecipeError(f"{name} {problem}", where)
         if problem := _joint(op):
-            raise RecipeError(f"{where}: {problem}")
+            raise RecipeError(problem, where)
         if op["op"] == "encode" and i != len(ops) - 1:
-            raise RecipeError(f"{where}: nothing may follow encode")
+            raise RecipeError("nothing may follow encode", where)
 
 
 def validate(recipe: dict) -> dict:
     """Check a parsed recipe; gives it back."""
     if not recipe["operations"] and recipe.get("layers") is None:
-        raise RecipeError("missing operations")
+        raise RecipeError("a recipe needs operations or layers", kind="missing")
     _check_operations(recipe["operations"])
     layers = recipe.get("layers")
     if layers is not None and not layers:
-        raise RecipeError("missing layers in layers")
+        raise RecipeError("the list of layers is empty", kind="missing")
     for i, layer in enumerate(layers or []):
-        where = f"layers[{i}]"
+        where = layer_place(i)
         if isinstance(layer["source"], dict) and (problem := revision(layer["source"]["revision_id"])):
-            raise RecipeError(f"{where} (source): revision_id {problem}")
+            raise RecipeError(f"revision_id {problem}", where.under(" (source)"))
         if problem := within(0.0, 1.0)(layer["opacity"]):
-            raise RecipeError(f"{where}: opacity {problem}")
+            raise RecipeError(f"opacity {problem}", where)
         if problem := one_of(*MODES)(layer["blend_mode"]):
-            raise RecipeError(f"{where}: blend_mode {problem}")
+            raise RecipeError(f"blend_mode {problem}", where)
         if "mask" in layer:
             _check_mask(layer["mask"], where)
         if i == 0 and (layer["blend_mode"] != "normal" or layer["opacity"] != 1.0 or "mask" in layer):
-            raise RecipeError("layers[0] lies at the bottom: it is normal, opaque and without a mask")
+            raise RecipeError("lies at the bottom: it is normal, opaque and without a mask", where)
         for j, op in enumerate(layer["ops"]):
             if op["op"] in ("encode", "strip_metadata"):
-                raise RecipeError(f"{where}.ops[{j}] ({op['op']}): belongs to the recipe's own operations")
-        _check_operations(layer["ops"], f"{where}.ops: ")
+                raise RecipeError("belongs to the recipe's own operations", where.operation(j, op["op"]))
+        _check_operations(layer["ops"], where)
     return recipe
 
 

@@ -19,7 +19,7 @@ from .plans.compile import execute, plan_of, preview
 from .plans.recipe import canonical, recipe_hash
 from .sources import images, svg
 from .sources.cube import MOST_BYTES as CUBE_BYTES
-from .sources.cube import Cube, parse_cube
+from .sources.cube import Cube, read_cube
 from .sources.sinks import export_file, preview_path, stored, write_objects
 from .sources.store import Ledger, StoreError, object_path, preview_key
 
@@ -133,7 +133,7 @@ class Workspace:
         if row is None:
             raise StoreError(f"unknown revision {revision_id}")
         if row.mime_type == LUT_MIME:
-            return parse_cube(self.read(revision_id).decode("utf-8", "replace"))
+            return read_cube(self.spark, self.path(row))
         if row.mime_type == SVG_MIME:
             return svg.Drawing(self.read(revision_id).decode())
         return self.frame(revision_id)

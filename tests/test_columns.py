@@ -129,3 +129,28 @@ def test_lineage_of_all_revisions(spark):
     for loop in ([("a", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]):
         with pytest.raises(StoreError, match="back to themselves"):
             _lineages(spark, loop)
+
+
+def test_tables_are_read_by_many_tasks(spark, tmp_path, small_splits):
+    import numpy as np
+
+    from pixelframe.sources.cube import CubeError, parse_cube, read_cube
+
+    n = 9
+    rows = [f"{RNG.uniform(-1, 2):.7f} {RNG.uniform(0, 1)!r}\t{RNG.choice(['0', '1.', '.5', '1e-3', '-2E0'])}" for _ in range(n**3)]
+    rows.insert(50, "# a comment 1 2 3")
+    rows.insert(90, "   ")
+    rows.insert(300, "0.1 0.2 0.3 # after" if len(rows) > 300 else "")
+    rows.pop(10)
+    texts = {"good": f'\ufeffTITLE "a b c"\r\nlut_3d_size {n}\nDOMAIN_MIN 0 0 -1\n' + "\n".join(rows) + "\n", "small": "LUT_1D_SIZE 2\n0 0 0\n1 1 1"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.cube").write_text(text, newline="")
+        got, want = read_cube(spark, str(tmp_path / f"{name}.cube")), parse_cube(text)
+        assert np.array_equal(np.array(got.rows), np.array(want.rows)) and (got.size, got.is_3d, got.domain_min, got.domain_max, got.title) == (want.size, want.is_3d, want.domain_min, want.domain_max, want.title)
+    for text in ("", "0 0 0\nLUT_1D_SIZE 2\n1 1 1", "LUT_1D_SIZE 2\n0 0 0\n1 1", "LUT_1D_SIZE 2\n0 0 0\n1 1 17", "LUT_1D_SIZE 2\n0 0 0\nnan 1 1", "LUT_1D_SIZE 2\nLUT_1D_SIZE 2", "LUT_1D_SIZE 1", "LUT_1D_SIZE 3\n0 0 0\n1 1 1", "LUT_1D_SIZE 2\nWHAT 1\n0 0 0", "LUT_1D_SIZE 2\nDOMAIN_MAX 0 0 0\n0 0 0\n1 1 1"):
+        (tmp_path / "bad.cube").write_text(text)
+        with pytest.raises(CubeError) as a:
+            parse_cube(text)
+        with pytest.raises(CubeError) as b:
+            read_cube(spark, str(tmp_path / "bad.cube"))
+        assert str(a.value) == str(b.value)

@@ -80,6 +80,24 @@ def test_errors_tell_where_and_how_to_go_on():
         assert (told["operation_index"], told["op"], told["layer_index"]) == (index, op, layer) and told["recovery"]
 
 
+def test_errors_carry_their_place_and_kind_as_fields():
+    layer = {"source": "base", "ops": [{"op": "auto_orient"}, {"op": "blur", "sigma": 0.0}]}
+    for recipe, fields, words, recovery in (
+        ({"operations": [{"op": "lut", "lut_revision_id": "missing unknown operation operations[9] (flip)"}]}, (0, "lut", None), "operations[0] (lut): ", "explain_operation('lut')"),
+        ({"operations": [], "layers": [{"source": "base"}, layer]}, (1, "blur", 1), "layers[1].ops[1] (blur): sigma", "explain_operation('blur')"),
+        ({"operations": [{"op": "flip"}]}, (0, "flip", None), "missing field 'direction'", "Add what is missing"),
+        ({"operations": [{"op": "spin"}]}, (0, None, None), "operations[0]: unknown operation 'spin'", "list_operations"),
+        ({"operations": []}, (None, None, None), "needs operations or layers", "Add what is missing"),
+        ({"operations": [], "layers": []}, (None, None, None), "the list of layers is empty", "Add what is missing"),
+        ({"operations": [], "layers": [{"source": 3}]}, (None, None, 0), "layers[0] (source): ", "Correct the named field"),
+        ({"operations": [{"op": "gradient_map", "stops": [{"position": "x", "color": "#fff"}]}]}, (0, "gradient_map", None), "operations[0] (gradient_map).stops", "explain_operation"),
+    ):
+        with pytest.raises(RecipeError) as e:
+            validate(parse(recipe))
+        assert (e.value.operation_index, e.value.op, e.value.layer_index) == fields
+        assert words in str(e.value) and recovery in e.value.recovery
+
+
 def test_every_operation_is_explained():
     from pixelframe.plans.catalog import ABOUT
 
