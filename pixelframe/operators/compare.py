@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,15 @@ from ..frame import KEY, PixelFrame, codes, grid
 
 
 def _joined(a: PixelFrame, b: PixelFrame) -> DataFrame:
-    if (a.width, a.height) != (b.width, b.height):
-        raise ValueError("images of different sizes have no pixel difference")
-    x = codes(a).select(*KEY, *(F.col(f"{c}8").alias(f"p_{c}") for c in "rgb"))
-    y = codes(b).select(*KEY, *(F.col(f"{c}8").alias(f"q_{c}") for c in "rgb"))
-    return x.join(y, list(KEY)).select(*KEY, *(F.abs(F.col(f"p_{c}") - F.col(f"q_{c}")).alias(f"d_{c}") for c in "rgb"))
+    told = "images of different sizes have no pixel difference"
+    if not (a.mixed or b.mixed) and (a.width, a.height) != (b.width, b.height):
+        raise ValueError(told)
+    x = codes(a).select(*KEY, *(F.col(f"{c}8").alias(f"p_{c}") for c in "rgb"), a.w.alias("_w"), a.h.alias("_h"))
+    y = codes(b).select(*KEY, *(F.col(f"{c}8").alias(f"q_{c}") for c in "rgb"), b.w.alias("_v"), b.h.alias("_u"))
+    both = x.join(y, list(KEY))
+    alike = F.when((F.col("_w") == F.col("_v")) & (F.col("_h") == F.col("_u")), F.lit(0)).otherwise(F.raise_error(F.lit(told)).cast("int"))
+    off = alike if a.mixed or b.mixed else F.lit(0)
+    return both.select(*KEY, *((F.abs(F.col(f"p_{c}") - F.col(f"q_{c}")) + off).alias(f"d_{c}") for c in "rgb"))
 
 
 def diff_stats(a: PixelFrame, b: PixelFrame, threshold: int = 2) -> DataFrame:
@@ -63,17 +69,16 @@ GUIDE, TINT = (0xFF, 0x33, 0x55), (0xFF, 0x22, 0x22)
 def guides(p: PixelFrame, kind: str) -> DataFrame:
     """Code values with lines at eighths (grid), thirds, or twelfths across (horizon), at six tenths of the line colour."""
     n = {"grid": 8, "thirds": 3, "horizon": 12}[kind]
-    rows = [i * p.height // n for i in range(1, n)]
-    columns = [] if kind == "horizon" else [i * p.width // n for i in range(1, n)]
+    on = lambda c, size: reduce(Column.__or__, (F.col(c) == p.pick(lambda e, i=i: i * size(e) // n) for i in range(1, n)))
     lined = lambda c, k: F.floor(c * 0.4 + k * 0.6 + 0.5)
-    row, column = F.col("y").isin(rows), F.col("x").isin(columns) if columns else F.lit(False)
+    row, column = on("y", lambda e: e.height), F.lit(False) if kind == "horizon" else on("x", lambda e: e.width)
 
     def mixed(name: str, k: int) -> Column:
         """Each line is drawn for itself, so a crossing is drawn twice."""
         c = F.col(name)
         return F.when(row & column, lined(lined(c, k), k)).when(row | column, lined(c, k)).otherwise(c).cast("int").alias(name)
 
-    return codes(p).select(*KEY, *(mixed(c, k) for c, k in zip(("r8", "g8", "b8"), GUIDE, strict=True)))
+    return codes(p).select(*p.keys, *(mixed(c, k) for c, k in zip(("r8", "g8", "b8"), GUIDE, strict=True)))
 
 
 def mask_tint(p: PixelFrame, mask: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def color_range(p: PixelFrame, hue_center: float, hue_width=30.0, feather=15.0)
 
 def _codes(p: PixelFrame, w: Column) -> DataFrame:
     """Generated masks are images: weights as code values, back on 0..1."""
-    return p.df.select(*KEY, (F.floor(N.clamp(N.col_q6(w)) * 255.0 + 0.5) / 255.0).alias("w"))
+    return p.df.select(*p.keys, (F.floor(N.clamp(N.col_q6(w)) * 255.0 + 0.5) / 255.0).alias("w"))
 
 
 class MaskError(ValueError):

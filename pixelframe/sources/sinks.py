@@ -56,6 +56,19 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.mapInArrow(run, f"{schema}, byte_size long, sha256 string, rel_path string")
 
 
+def put(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` (rel_path, content, ...) without the content, which the tasks that read the result write."""
+    rest = [c for c in df.columns if c != "content"]
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column("rel_path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                _put(folder, path, content)
+            yield b.select(rest)
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "content"))
+
+
 def preview_path(key: str, extension: str) -> str:
     return f"previews/{safe_name(key)}.{safe_name(extension)}"
 

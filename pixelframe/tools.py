@@ -7,20 +7,21 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frame import KEY, PixelFrame, codes, from_channels, from_codes
+from .frame import KEY, PixelFrame, codes, from_channels, from_codes, from_sizes
 from .operators import compare, geometry, masks, tilt
 from .plans.compile import execute, plan_of, preview
 from .plans.recipe import canonical, recipe_hash
 from .sources import images, svg
 from .sources.cube import MOST_BYTES as CUBE_BYTES
 from .sources.cube import Cube, read_cube
-from .sources.sinks import export_file, preview_path, stored, write_objects
+from .sources.sinks import export_file, preview_path, put, stored, write_objects
 from .sources.store import Ledger, StoreError, object_path, preview_key
 
 LUT_MIME, SVG_MIME = "application/x-cube-lut", "image/svg+xml"
@@ -290,6 +291,83 @@ class Workspace:
         self.ledger.merge(stored(images.encoded(gray).select(*(F.lit(v).alias(k) for k, v in told.items()), "width", "height", "content"), self.folder))
         return {"revision_id": self.ledger.memo(asked).head().revision_id, "mean_weight": mean, "reused": False}
 
+    # many revisions at once
+
+    def _images(self, revisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of revisions (revision_id) those that are images that can be read: (revision_id, image_id), pixels with sizes, and files. An
+        image is read once, whatever number of revisions have its content."""
+        known = self.ledger.known().filter(F.col("mime_type").isin(*RASTERS)).select("revision_id", "rel_path")
+        found = revisions.select("revision_id").distinct().join(known, "revision_id")
+        paths = [os.path.join(self.folder, r.rel_path) for r in found.select("rel_path").distinct().toLocalIterator()]
+        if not paths:
+            empty = self.spark.createDataFrame([], "image_id int, path string, width int, height int")
+            return found.select("revision_id", F.lit(0).alias("image_id")), self.spark.createDataFrame([], "image_id int, y int, x int, r double, g double, b double, a double, width int, height int"), empty
+        pixels, files = images.read_images(self.spark, paths)
+        name = lambda c: F.substring_index(c, "/", -1).alias("_name")
+        return found.select("revision_id", name("rel_path")).join(files.select("image_id", name("path")), "_name").select("revision_id", "image_id"), pixels, files
+
+    def generate_masks(self, kind: str, references: DataFrame, **fields) -> DataFrame:
+        """``references`` (revision_id) with mask_revision_id, mean_weight and reused: a mask image for each, of its size, made once. References
+        that are no images that can be read have no mask."""
+        text = json.dumps({"generator": {"kind": kind} | {k: v for k, v in sorted(fields.items()) if v is not None}}, sort_keys=True, separators=(",", ":"))
+        numbers, pixels, files = self._images(references)
+        p = from_sizes(pixels, files)
+        weights = masks.generate(p, kind, **fields)
+        gray = replace(p, df=weights.select(*p.keys, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a")))
+        told = {"recipe": text, "recipe_hash": f"mask:{text}", "mime_type": "image/png"}
+        keys = ["source_revision_id", "recipe_hash"]
+        asked = numbers.select(F.col("revision_id").alias("source_revision_id"), "image_id", *(F.lit(v).alias(k) for k, v in told.items()))
+        staging = os.path.join(self.folder, f"staging-{uuid.uuid4().hex}")
+        self.ledger.memo(asked.select(*keys)).select(*keys).write.parquet(f"{staging}/before")
+        before = self.spark.read.parquet(f"{staging}/before")
+        new = asked.join(before, keys, "left_anti").join(images.encoded(gray), "image_id").drop("image_id")
+        stored(new, self.folder).write.parquet(f"{staging}/made")
+        self.ledger.merge(self.spark.read.parquet(f"{staging}/made"))
+        out = asked.join(self.ledger.memo(asked.select(*keys)), keys).join(masks.mean_weight(weights), "image_id").join(before.withColumn("reused", F.lit(True)), keys, "left")
+        out = out.select("source_revision_id", F.col("revision_id").alias("mask_revision_id"), "mean_weight", F.coalesce("reused", F.lit(False)).alias("reused"))
+        references.select("revision_id").join(out.withColumnRenamed("source_revision_id", "revision_id"), "revision_id", "left").write.parquet(f"{staging}/answers")
+        return self.spark.read.parquet(f"{staging}/answers")
+
+    def render_previews(self, revisions: DataFrame, recipe: dict | str, overlay: str | None = None) -> DataFrame:
+        """``revisions`` (revision_id) with the path and size of a preview of each by one recipe, with guide lines if asked for. Tasks
+        write the files; those that are there stay. Revisions that are no images that can be read have no path."""
+        if overlay is not None and overlay not in OVERLAYS[:3]:
+            raise ToolError("invalid_overlay", f"unknown overlay {overlay!r}", f"one of {', '.join(OVERLAYS[:3])}")
+        parsed = plan_of(recipe)
+        numbers, pixels, files = self._images(revisions)
+        out = execute(preview(parsed), pixels, assets=_Assets(self), sizes=files, shared=max(1, files.count())).frame
+        if overlay:
+            shown = compare.guides(out, overlay).withColumn("a8", F.lit(255))
+            out = from_codes(shown, None, None, extents=out.extents)
+        key = F.concat(F.lit("previews/"), preview_key(F.col("revision_id"), F.lit(recipe_hash(parsed)), overlay or ""), F.lit(".jpg"))
+        made = numbers.select("revision_id", "image_id", key.alias("rel_path")).join(images.encoded(out, "jpeg", 80), "image_id")
+        staging = os.path.join(self.folder, f"staging-{uuid.uuid4().hex}")
+        put(made.select("revision_id", "rel_path", "content", "width", "height"), self.folder).write.parquet(f"{staging}/answers")
+        return revisions.select("revision_id").join(self.spark.read.parquet(f"{staging}/answers"), "revision_id", "left")
+
+    def compare_pairs(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) of revisions with mean_diff, max_diff and changed, within 640 pixels; null where one cannot be read, or where
+        their sizes differ then."""
+        every = pairs.select(F.col("a").alias("revision_id")).unionByName(pairs.select(F.col("b").alias("revision_id"))).distinct()
+        numbers, pixels, files = self._images(every)
+        size = files.select("image_id", F.struct("width", "height").alias("size"))
+        of = lambda c: numbers.join(size, "image_id").select(F.col("revision_id").alias(c), F.col("image_id").alias(f"_{c}"), F.col("size").alias(f"size_{c}"))
+        known = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+        fits = lambda c: F.struct(*(F.greatest(F.lit(1), F.floor(F.col(f"size_{c}")[k] * F.least(F.lit(1.0), COMPARED_EDGE / F.greatest(F.col(f"size_{c}.width"), F.col(f"size_{c}.height"))) + 0.5)).alias(k) for k in ("width", "height")))
+        known = known.filter(fits("a") == fits("b")).select("a", "b", "_a", "_b")
+        # pairs of the same images have the same difference, so the images' numbers are the pair's
+        met = [tuple(r) for r in known.select("_a", "_b").distinct().toLocalIterator()]
+        table = self.spark.createDataFrame([(i, *p) for i, p in enumerate(sorted(met))], "pair int, _a int, _b int")
+        table = F.broadcast(table) if len(met) <= 100_000 else table
+
+        def side(c: str) -> PixelFrame:
+            rows = pixels.join(table.select(F.col("pair"), F.col(c).alias("image_id")), "image_id").drop("image_id").withColumnRenamed("pair", "image_id")
+            return geometry.resize(from_sizes(rows, files), COMPARED_EDGE, COMPARED_EDGE, "contain")
+
+        stats = compare.diff_stats(side("_a"), side("_b")).withColumnRenamed("image_id", "pair")
+        found = known.join(table, ["_a", "_b"]).join(stats, "pair").select("a", "b", "mean_diff", "max_diff", "changed")
+        return pairs.select("a", "b").join(found, ["a", "b"], "left")
+
     def detect_tilt(self, revision_id: str, **settings) -> dict[str, Any]:
         return tilt.detect(self.frame(revision_id), **settings).head().asDict(True)
 

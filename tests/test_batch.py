@@ -82,3 +82,36 @@ def test_masks_and_layers_of_a_batch(spark, work):
         row = w.row(r.revision_id)
         assert (row.width, row.height) == (w.row(r.source_revision_id).width, w.row(r.source_revision_id).height)
     assert alone.ledger.rows().count() == 0
+
+
+def test_masks_previews_and_comparisons_of_many_revisions(spark, work):
+    w, rows = work
+    ids = [rows[f"{k:02}.png"] for k in range(7)]
+    asked = spark.createDataFrame([(i,) for i in [*ids, ids[0], "rev_none", rows["look.cube"], None]], "revision_id string")
+    first = w.generate_masks("radial_gradient", asked, radius=0.4).collect()
+    assert len(first) == 11 and sum(r.mask_revision_id is None for r in first) == 3
+    alone = w.generate_mask("radial_gradient", ids[2], radius=0.4)
+    (one,) = [r for r in first if r.revision_id == ids[2]]
+    assert alone["reused"] and one.mask_revision_id == alone["revision_id"] and abs(one.mean_weight - alone["mean_weight"]) < 1e-9
+    n = w.ledger.rows().count()
+    again = w.generate_masks("radial_gradient", asked, radius=0.4).collect()
+    assert w.ledger.rows().count() == n and {r.mask_revision_id for r in again} == {r.mask_revision_id for r in first}
+    assert all(r.reused for r in again if r.mask_revision_id)
+
+    shown = {r.revision_id: r for r in w.render_previews(asked.distinct(), "sepia", "thirds").collect()}
+    single = w.render_preview(ids[3], "sepia", "thirds")
+    assert os.path.join(w.folder, shown[ids[3]].rel_path) == single["path"] and (shown[ids[3]].width, shown[ids[3]].height) == (single["width"], single["height"])
+    assert shown["rev_none"].rel_path is None and len({r.rel_path for r in shown.values() if r.rel_path}) == 7
+    assert all(os.path.exists(os.path.join(w.folder, r.rel_path)) for r in shown.values() if r.rel_path)
+    with pytest.raises(ToolError):
+        w.render_previews(asked, "sepia", "mask")
+
+    from pixelframe.operators import compare
+
+    pairs = [(ids[0], ids[6]), (ids[0], ids[0]), (ids[0], ids[1]), (ids[1], "rev_none"), (ids[0], ids[6])]
+    got = w.compare_pairs(spark.createDataFrame(pairs, "a string, b string")).collect()
+    stats = {(r.a, r.b): r for r in got}
+    assert len(got) == 5 and stats[pairs[1]].max_diff == 0 and stats[pairs[2]].mean_diff is None and stats[pairs[3]].mean_diff is None
+    want = compare.diff_stats(w.frame(ids[0]), w.frame(ids[6])).first()
+    assert abs(stats[pairs[0]].mean_diff - want.mean_diff) < 1e-9 and stats[pairs[0]].max_diff == want.max_diff
+    assert w.compare_pairs(spark.createDataFrame([("x", "y")], "a string, b string")).first().mean_diff is None
