@@ -1,8 +1,9 @@
 """URL rules by canonical prefixes: a blocked Bloom filter passes possible hits to an exact hash join.
 
-A rule's key is its host followed by its path. A URL's candidate keys are the host suffixes with as many
-labels as some rule's host has, each with the path prefixes as long as some rule's path. The filter of all
-rules' keys drops nearly every candidate that is no rule. What passes is joined with the rules on the key, once for each
+A rule's key is its host followed by its path. A URL's host suffixes with as many labels as some rule's host has are
+looked up in a filter of the rules' hosts; only those that pass make candidate keys, with the path prefixes as long as some
+rule's path, so a URL of a host that is not listed costs a few lookups, however many lengths there are. The filter of all
+rules' keys drops nearly every candidate that is no rule. What passes is hash-joined with the rules on the key, once for each
 distinct host and path, which drops the rest; of the rules that fit, the one with the longest key wins. URLs of which
 nothing passes meet no join. A URL that no rule fits is not listed and passes.
 
@@ -43,28 +44,25 @@ def url_filter(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     # what candidates can look like: distinct numbers of labels and lengths of paths
     labels = sorted(r[0] for r in listed.select(F.size(F.split("host", r"\."))).distinct().collect())
     lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
+    names = listed.select("host").distinct()
+    named = spark.sparkContext.broadcast(bloom_of(names, names.count(), _key_hashes).words)
     listed = listed.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"))
     listed = listed.select(F.col("key").alias("rule"), F.when(F.col("block"), "block").otherwise("allow").alias("listed"))
     n = listed.count()
     sent = spark.sparkContext.broadcast(bloom_of(listed.select("rule"), n, _key_hashes).words)
 
     def candidates(batches):
-        filter_ = BlockedBloom(sent.value)
+        filter_, hosts_listed = BlockedBloom(sent.value), BlockedBloom(named.value)
+        passing = lambda f, words: np.flatnonzero(f.may_hold(np.array([hashed(w.encode()) for w in words], np.uint64))).tolist()
         for b in batches:
             hosts, paths = column(b, "host"), column(b, "path")
-            keys, owner = [], []
-            for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                parts = host.split(".") if host else []
-                for k in labels:
-                    if k <= len(parts):
-                        suffix = ".".join(parts[-k:])
-                        for m in lengths:
-                            if m <= len(path):
-                                keys.append(suffix + path[:m])
-                                owner.append(i)
+            each = [host.split(".") if host else [] for host in hosts]
+            suffixes = [(i, ".".join(parts[-k:])) for i, parts in enumerate(each) for k in labels if k <= len(parts)]
+            near = [suffixes[j] for j in passing(hosts_listed, [s for _, s in suffixes])]
+            keys = [(i, suffix + paths[i][:m]) for i, suffix in near for m in lengths if m <= len(paths[i])]
             hits: list[list[str]] = [[] for _ in hosts]
-            for j in np.flatnonzero(filter_.may_hold(np.array([hashed(k.encode()) for k in keys], np.uint64))).tolist():
-                hits[owner[j]].append(keys[j])
+            for j in passing(filter_, [k for _, k in keys]):
+                hits[keys[j][0]].append(keys[j][1])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(hits, pa.list_(pa.string()))], ["page_id", "host", "path", "hits"])
 
     split = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
@@ -75,7 +73,7 @@ def url_filter(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     none = out.filter(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     some = out.filter(F.size("hits") > 0)
     keys = some.groupBy("host", "path").agg(F.first("hits").alias("hits")).select("host", "path", F.explode("hits").alias("rule"))
-    keys = keys.join(F.broadcast(listed) if n <= BROADCAST_RULES else listed, "rule")
+    keys = keys.join(F.broadcast(listed) if n <= BROADCAST_RULES else listed.hint("shuffle_hash"), "rule")
     best = keys.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "listed")).alias("best"))
     found = some.select("page_id", "host", "path").join(best, ["host", "path"], "left")
     return none.unionByName(found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed", F.lit("allow")).alias("verdict")))
