@@ -16,6 +16,6 @@ def test_query_does_the_operators_job(spark, monkeypatch, name, table):
     con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     assert sorted(map(tuple, plan.select(*sorted(plan.columns)).collect())) == sorted(con.execute(f"select {', '.join(sorted(plan.columns))} from ({queries.ORACLES[name]})").fetchall())
     fault = lambda *a: (_ for _ in ()).throw(ZeroDivisionError())
-    monkeypatch.setattr(*((store, "memo", fault) if name == "store_memo_hits" else (queries.F, "udf", fault)))
+    monkeypatch.setattr(*((store, "memo", fault) if name == "store_memo_hits" else (queries, "hash_column", fault)))
     with pytest.raises(ZeroDivisionError):
         queries.QUERIES[name](spark, SF)
