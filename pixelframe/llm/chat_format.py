@@ -144,7 +144,7 @@ def _turns(layout: Layout, has: set[str]) -> Column:
 
 def chat_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``records`` with ``fingerprint`` (of the paths that hold a value), ``layout`` (null: none has it) and ``turns``."""
-    clash = {"fingerprint", "layout", "turns"} & set(records.columns)
+    clash = {c for c in records.columns if c.lower() in ("fingerprint", "layout", "turns")}
     known = sorted(set(field_paths(records.schema)) & {p for x in layouts for p in x.paths})
     shown = F.array_join(F.array_compact(F.array(*[F.when(_held(None, _steps(p)), F.lit(p)) for p in known])), "\n") if known else F.lit("")
     rows = records.drop(*(clash - set(known))).select("*", F.sha2(shown.cast("binary"), 256).alias("fingerprint"))

@@ -88,7 +88,7 @@ def test_chats_come_back_and_masks_hold_what_assistants_say(spark):
     rng = random.Random(3)
     rows = [(rng.choice([1, 2, 3, -9]), rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None, "", "a\nb", "<turn>", "\\r"]), rng.choice(TRICKY)) for _ in range(120)]
     rows += [(7, t, "assistant", "again") for t in (0, 0)] + [(None, 0, "assistant", "x"), (None, 0, "assistant", "x")]
-    df = spark.createDataFrame([(*r, "k", "t", 5) for r in rows], "conv_id long, turn long, role string, text string, _key string, turns string, layout int")
+    df = spark.createDataFrame([(*r, "k", "t", 5) for r in rows], "conv_id long, turn long, role string, text string, _key string, Turns string, layout int")
     out = read_back(conversations_of(df)).collect()
     got = sorted((r.conv_id, [(t.role, t.text) for t in r.turns], r.loss_text) for r in out if r.conv_id is not None)
     want = []
