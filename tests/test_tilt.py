@@ -59,9 +59,13 @@ def test_large_images_are_shrunk_and_wider_angles_searched(spark):
 def test_nothing_to_be_found(spark):
     flat = found(spark, np.full((64, 80), 128.0))
     assert (flat.tilt, flat.recommended, flat.confidence) == (None, None, 0.0) and flat.warnings
+    noise = None
     for seed in (1, 2):
-        noise = found(spark, np.random.default_rng(seed).uniform(0, 255, (240, 320)))
-        assert noise.recommended is None
+        v = np.round(np.random.default_rng(seed).uniform(0, 255, (240, 320))).astype(int)
+        df = relation(spark, np.dstack([v] * 3 + [np.full_like(v, 255)])).withColumn("image_id", F.lit(seed))
+        noise = df if noise is None else noise.unionByName(df)
+    out = tilt.detect(from_codes(noise, 320, 240)).collect()
+    assert len(out) == 2 and all(r.recommended is None for r in out)
     stripes, _ = turned(160, 120, 45.0, 45.0)
     assert found(spark, 255 * np.clip(np.abs((stripes + 400) % 20 - 10) - 0.5, 0, 1)).recommended is None
     assert found(spark, np.zeros((12, 80))).warnings[0].startswith("sides of at least 16")
@@ -102,13 +106,15 @@ def test_weak_edges_are_followed_over_tiles(spark):
             spiral.add((y, x))
             y, x = y + (0, 1, 0, -1)[step], x + (1, 0, -1, 0)[step]
         step = (step + 1) % 4
-    for points, strong in ((spiral, {(0, 0)}), ({tuple(p) for p in np.argwhere(rng.random((40, 40)) < 0.35).tolist()}, None), ({tuple(p) for p in np.argwhere(rng.random((40, 40)) < 0.12).tolist()}, None)):
-        strong = strong or set(sorted(points)[:: max(1, len(points) // 12)])
-        rows = [(i, y, x, 0.0, 1.0, (y, x) in strong and i == 0) for i in (0, 1) for y, x in points]
-        df = spark.createDataFrame(rows, "image_id int, y int, x int, gx double, gy double, strong boolean")
-        for side in (8, 64):
-            got = {(r.image_id, r.y, r.x) for r in tilt.tied_to_strong(df, 40, 40, side).collect()}
-            assert got == {(0, *p) for p in _reached(points, strong)}
+    some = lambda share: {tuple(p) for p in np.argwhere(rng.random((40, 40)) < share).tolist()}
+    rows, want = [], set()
+    for i, (points, strong) in enumerate(((spiral, {(0, 0)}), (spiral, set()), (some(0.35), None), (some(0.12), None))):
+        strong = set(sorted(points)[:: max(1, len(points) // 12)]) if strong is None else strong
+        rows += [(i, y, x, 0.0, 1.0, (y, x) in strong) for y, x in points]
+        want |= {(i, *p) for p in _reached(points, strong)}
+    df = spark.createDataFrame(rows, "image_id int, y int, x int, gx double, gy double, strong boolean")
+    for side in (12, 64):
+        assert {(r.image_id, r.y, r.x) for r in tilt.tied_to_strong(df, 40, 40, side).collect()} == want
     y, x = np.array([p[0] for p in spiral]), np.array([p[1] for p in spiral])
     assert (tilt.labels(y, x) == 0).all()
 
