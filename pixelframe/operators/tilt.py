@@ -338,20 +338,21 @@ def triangle_taps(size: int, out: int) -> list[list[tuple[int, float]]]:
 
 
 def shrunk(p: PixelFrame, long_edge: int) -> PixelFrame:
-    """The column v of ``gray`` with the longer side at most ``long_edge``."""
+    """The column v of ``gray`` with the longer side at most ``long_edge``. Sums are of whole numbers (values in millionths, weights in
+    billionths), so that they do not depend on the order in which a shuffle brings rows."""
     long = max(p.width, p.height)
     if long <= long_edge:
         return p
     w, h = (max(1, int(N.half_away(s * long_edge / long))) for s in (p.width, p.height))
-    df = p.df
+    df = p.df.withColumn("v", F.round(F.col("v") * 1e6).cast("long"))
     for axis, size, out in (("y", p.height, h), ("x", p.width, w)):
         if size != out:
-            rows = [(i, o, k) for o, each in enumerate(triangle_taps(size, out)) for i, k in each]
-            table = df.sparkSession.createDataFrame(rows, f"{axis} int, _o int, _w double")
+            rows = [(i, o, round(k * 1e9)) for o, each in enumerate(triangle_taps(size, out)) for i, k in each]
+            table = df.sparkSession.createDataFrame(rows, f"{axis} int, _o int, _w long")
             small = F.broadcast(table) if len(rows) <= 500_000 else table
             other = "y" if axis == "x" else "x"
-            df = df.join(small, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-    return replace(p, df=df.select(*KEY, F.floor(F.col("v") + 0.5).cast("double").alias("v")), width=w, height=h)
+            df = df.join(small, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.expr("(sum(v * _w) + 500000000) div 1000000000").alias("v"))
+    return replace(p, df=df.select(*KEY, F.expr("(v + 500000) div 1000000").cast("double").alias("v")), width=w, height=h)
 
 
 def _sharpness(scores: Column, peak: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures, sql
+from . import file_queries, fixtures, sql
 from .frame import KEY, PixelFrame, codes, from_codes
 from .functions import numeric as N
 from .operators import color, compare, composite, filters, geometry, masks, tilt
@@ -287,6 +287,7 @@ def _big_lines(s: SparkSession, d: str) -> DataFrame:
     return _rounded(tilt.lines(tilt.hough_votes(tilt.edge_points(found), small.width, small.height), small.width, small.height), "phi")
 
 
+add("tilt_shrunk", lambda s, d: tilt.shrunk(tilt.gray(frame(s, d, "big")), _BIG).df.select(*KEY, "v"), sql.gray(("big", _BIG)).sql("select image_id, y, x, gx v from {p}"))
 add("tilt_big_lines", _big_lines, sql.lines(("big", _BIG), 24.0).sql("select image_id, family, round(phi, 6) phi, votes, rank from {p}"))
 add("tilt_detect", lambda s, d: tilt.detect(frame(s, d, "emb")), None)
 
@@ -405,6 +406,10 @@ add("store_recipe_hash", _hashes, f"""select doc_id, sha256('{{"operations":[{{"
   || (n_chars % 9 + 1) || ',"x":' || (doc_id % 11) || ',"y":2}}}}]}}') recipe_hash from documents""")
 
 
+QUERIES |= file_queries.QUERIES
+ORACLES |= file_queries.ORACLES
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A film look, stretched, as means of each image's channels."""
     from .plans.recipe import canonical, parse

@@ -492,19 +492,26 @@ def angles(**columns) -> str:
     return f"(values {rows}) angles(ai, {', '.join(columns)})"
 
 
-def sobel(relation: str | tuple[str, int]) -> Chain:
-    """Gradients of gray values under a Gaussian that are whole code values; (relation, long edge) of smaller images."""
+def gray(relation: str | tuple[str, int]) -> Chain:
+    """Gray values that are whole code values, as gx; (relation, long edge) of smaller images."""
     relation, edge = relation if isinstance(relation, tuple) else (relation, None)
     c = Chain(relation)
     c.add(f"select {KEY}, {u8(f'(r * {d(0.2126)} + g * {d(0.7152)} + b * {d(0.0722)})')}::DOUBLE gx from {{p}}")
     if edge:
         long = max(c.width, c.height)
         w, h = (max(1, int(N.half_away(s * edge / long))) for s in (c.width, c.height))
+        c.add(f"select {KEY}, gx::BIGINT * 1000000 gx from {{p}}")
         for axis, size, out, other in (("y", c.height, h, "x"), ("x", c.width, w, "y")):
-            rows = ", ".join(f"({s}, {o}, {k!r}::DOUBLE)" for o, each in enumerate(tilt.triangle_taps(size, out)) for s, k in each)
-            c.add(f"select image_id, {other}, o {axis}, sum(gx * k) gx from {{p}} join (values {rows}) v(s, o, k) on {axis} = s group by image_id, {other}, o")
+            rows = ", ".join(f"({s}, {o}, {round(k * 1e9)}::BIGINT)" for o, each in enumerate(tilt.triangle_taps(size, out)) for s, k in each)
+            c.add(f"select image_id, {other}, o {axis}, ((sum(gx * k) + 500000000) // 1000000000)::BIGINT gx from {{p}} join (values {rows}) v(s, o, k) on {axis} = s group by image_id, {other}, o")
         c.width, c.height = w, h
-        c.add(f"select {KEY}, floor(gx + {d(0.5)})::DOUBLE gx from {{p}}")
+        c.add(f"select {KEY}, ((gx + 500000) // 1000000)::DOUBLE gx from {{p}}")
+    return c
+
+
+def sobel(relation: str | tuple[str, int]) -> Chain:
+    """Gradients of gray values under a Gaussian that are whole code values."""
+    c = gray(relation)
     r = math.ceil(2 * 1.4)
     weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * 1.4 * 1.4))
     for axis in "xy":

@@ -133,3 +133,16 @@ def test_losses_as_columns(spark):
     for r in got:
         want = geometry.rotation_loss(int(r.w), int(r.h), r.a)
         assert abs(r.v - want) < 1e-9 and r.exact <= r.v + 1e-9
+
+
+def test_shrinking_does_not_depend_on_the_order_of_rows(spark):
+    gray = np.random.default_rng(5).integers(0, 256, (90, 140))
+    rows = relation(spark, np.dstack([gray] * 3 + [np.full_like(gray, 255)]))
+    shuffled = rows.repartition(7, F.xxhash64("y", "x")).sortWithinPartitions(F.xxhash64("x", "y"))
+    small = [{(r.y, r.x): r.v for r in tilt.shrunk(tilt.gray(from_codes(p, 140, 90)), 77).df.collect()} for p in (rows, shuffled)]
+    assert small[0] == small[1] and len(small[0]) == 77 * 50
+    # against the taps in exact arithmetic
+    for o, axis in (((3, 11), "some"), ((49, 76), "last")):
+        down, across = tilt.triangle_taps(90, 50)[o[0]], tilt.triangle_taps(140, 77)[o[1]]
+        exact = sum(int(gray[i, j]) * k * w for i, k in down for j, w in across)
+        assert abs(small[0][o] - exact) <= 0.5 + 1e-5, axis
