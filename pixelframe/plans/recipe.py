@@ -73,12 +73,29 @@ class RecipeError(ValueError):
 REQUIRED, OMITTED = object(), object()
 
 
-def within(low: float, high: float) -> Callable[[Any], str | None]:
-    return lambda v: None if math.isfinite(v) and low <= v <= high else f"must be within {low}..={high}, got {v}"
+@dataclass(frozen=True)
+class Range:
+    low: float
+    high: float
+
+    def __call__(self, v: float) -> str | None:
+        return None if math.isfinite(v) and self.low <= v <= self.high else f"must be within {self.low}..={self.high}, got {v}"
+
+
+@dataclass(frozen=True)
+class Choice:
+    values: tuple
+
+    def __call__(self, v: Any) -> str | None:
+        return None if v in self.values else f"must be one of {', '.join(map(str, self.values))}, got {v!r}"
+
+
+def within(low: float, high: float) -> Range:
+    return Range(low, high)
 
 
-def one_of(*values: Any) -> Callable[[Any], str | None]:
-    return lambda v: None if v in values else f"must be one of {', '.join(map(str, values))}, got {v!r}"
+def one_of(*values: Any) -> Choice:
+    return Choice(values)
 
 
 def revision(v: str) -> str | None:

@@ -4,7 +4,7 @@ A JSON text is parsed into a variant. What fields an object has, of what kinds a
 the nested objects' fields) in one literal, so the expression is as long as there are kinds and not as there are operations: each
 object's fields are taken from its table, in order, and written by their kind: floats on the 1e-6 grid, whole numbers, texts, lists and
 objects. What ``parse`` refuses (unknown operations and fields, missing or ill-typed ones, other shapes) has no text: the
-result is null. Ranges are ``validate``'s affair, here as there. Floats beyond 2^53 millionths belong to no operation and have no text.
+result is null. Ranges are not looked at, as in ``parse``; ``out_of_range`` tells them. Floats beyond 2^53 millionths belong to no operation and have no text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .recipe import BAND_FIELDS, LAYER_FIELDS, MASK_FIELDS, OMITTED, OPS, RECT_FIELDS, REQUIRED, SILENT, STOP_FIELDS
+from .recipe import BAND_FIELDS, Choice, LAYER_FIELDS, MASK_FIELDS, OMITTED, OPS, Range, RECT_FIELDS, REQUIRED, SILENT, STOP_FIELDS
 
 #: What stands for a value that is none of its kind; no JSON text holds it.
 WRONG = "\0"
@@ -121,3 +121,42 @@ def canonical_column(text: Column) -> Column:
 def hash_column(text: Column) -> Column:
     """``recipe_hash`` of recipes given as JSON; null for what is no recipe."""
     return F.sha2(canonical_column(text).cast("binary"), 256)
+
+
+def _limits() -> Column:
+    """Operations' names to the fields that have a range or a choice."""
+
+    def limit(name: str, test: Range | Choice) -> dict:
+        if isinstance(test, Range):
+            return {"name": name, "low": float(test.low), "high": float(test.high), "values": None}
+        return {"name": name, "low": None, "high": None, "values": [str(v) for v in test.values]}
+
+    table = {op: [limit(n, t) for n, (_, _, *tests) in params.items() for t in tests if isinstance(t, Range | Choice)] for op, params in OPS.items()}
+    return F.from_json(F.lit(json.dumps(table)), "map<string, array<struct<name: string, low: double, high: double, values: array<string>>>>")
+
+
+_FAULTS = "array<struct<layer: int, index: int, op: string, field: string>>"
+
+
+def out_of_range(text: Column) -> Column:
+    """Of recipes given as JSON a list of (layer, index, op, field): every parameter outside its range or choice, where ``validate`` tells the
+    first. Layers are numbered from 0, those of the recipe's own operations are null. Defaults are never outside; values of
+    another kind, unknown operations and texts that are no JSON are ``canonical_column``'s affair and tell nothing here."""
+    limits, v = _limits(), F.try_parse_json(text)
+    nothing = F.array().cast(_FAULTS)
+
+    def wrong(v: Column, limit: Column) -> Column:
+        number, word = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+        return F.coalesce(F.when(limit["values"].isNull(), ~number.between(limit["low"], limit["high"])).otherwise(~F.array_contains(limit["values"], word)), F.lit(False))
+
+    def told(ops: Column, layer: Column) -> Column:
+        def of_one(o: Column, i: Column) -> Column:
+            fields, op = F.try_variant_get(o, "$", "map<string, variant>"), F.try_variant_get(o, "$.op", "string")
+            bad = F.filter(limits[op], lambda limit: wrong(F.try_element_at(fields, limit["name"]), limit))
+            return F.coalesce(F.transform(bad, lambda limit: F.struct(layer.alias("layer"), i.alias("index"), op.alias("op"), limit["name"].alias("field"))), nothing)
+
+        return F.coalesce(F.flatten(F.transform(F.try_variant_get(ops, "$", "array<variant>"), of_one)), nothing)
+
+    layers = F.try_variant_get(F.try_variant_get(v, "$.layers", "variant"), "$", "array<variant>")
+    above = F.flatten(F.transform(layers, lambda x, k: told(F.try_variant_get(x, "$.ops", "variant"), k)))
+    return F.concat(told(F.try_variant_get(v, "$.operations", "variant"), F.lit(None).cast("int")), F.coalesce(above, nothing))

@@ -14,7 +14,7 @@ from .functions import numeric as N
 from .operators import color, compare, composite, filters, geometry, masks, tilt
 from .plans.compile import execute
 from .plans.presets import PRESETS
-from .plans.recipe_columns import hash_column
+from .plans.recipe_columns import hash_column, out_of_range
 from .sources import images, store, svg
 from .sources.cube import Cube
 
@@ -406,6 +406,25 @@ add("store_recipe_hash", _hashes, f"""select doc_id, sha256('{{"operations":[{{"
   || (n_chars % 9 + 1) || ',"x":' || (doc_id % 11) || ',"y":2}}}}]}}') recipe_hash from documents""")
 
 
+def _faults(s: SparkSession, d: str) -> DataFrame:
+    """Every parameter outside its range in recipes of two layers that each document's columns make."""
+    number = lambda c: c.cast("string")
+    k, n = F.col("doc_id"), F.col("n_chars")
+    text = F.concat(
+        F.lit('{"operations": [{"op": "vignette", "strength": '), number((k % 1000 - 480) / 400), F.lit(', "radius": '), number(n % 20 / 10), F.lit('}, {"op": "median", "radius": '), number(n % 20), F.lit('}, {"op": "flip", "direction": "'),
+        F.when(k % 3 == 0, "vertical").otherwise(F.coalesce("lang", F.lit(""))), F.lit('"}], "layers": [{"source": "base"}, {"source": "base", "ops": [{"op": "convolve", "kernel": [1], "size": '), number(k % 10), F.lit('}, {"op": "blur", "sigma": '), number(n % 103), F.lit("}]}]}"),
+    )
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(out_of_range(text)).alias("f"))
+    return rows.select("doc_id", F.coalesce("f.layer", F.lit(-1)).alias("layer"), "f.index", "f.op", "f.field")
+
+
+_WRONG = (
+    ("doc_id % 1000 < 80 or doc_id % 1000 > 880", -1, 0, "vignette", "strength"), ("n_chars % 20 > 15", -1, 0, "vignette", "radius"), ("n_chars % 20 not between 1 and 16", -1, 1, "median", "radius"),
+    ("doc_id % 3 <> 0", -1, 2, "flip", "direction"), ("doc_id % 10 not in (3, 5, 7, 9)", 1, 0, "convolve", "size"), ("n_chars % 103 not between 1 and 100", 1, 1, "blur", "sigma"),
+)
+add("store_recipe_faults", _faults, " union all ".join(f"select doc_id, {layer} layer, {i} as index, '{op}' op, '{field}' field from documents where {when}" for when, layer, i, op, field in _WRONG))
+
+
 QUERIES |= file_queries.QUERIES
 ORACLES |= file_queries.ORACLES
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from test_recipe import FULL, HEAL
 
 from pixelframe.plans.presets import PRESETS
-from pixelframe.plans.recipe import OMITTED, OPS, REQUIRED, RecipeError, _written, canonical, parse, recipe_hash
-from pixelframe.plans.recipe_columns import canonical_column, float_text, hash_column
+from pixelframe.plans.recipe import OMITTED, OPS, REQUIRED, RecipeError, _written, canonical, parse, recipe_hash, validate
+from pixelframe.plans.recipe_columns import canonical_column, float_text, hash_column, out_of_range
 from pixelframe.sources.lines import numbered_lines
 from pixelframe.sources.store import StoreError, lineages, scan_jsonl
 
@@ -154,3 +154,24 @@ def test_tables_are_read_by_many_tasks(spark, tmp_path, small_splits):
         with pytest.raises(CubeError) as b:
             read_cube(spark, str(tmp_path / "bad.cube"))
         assert str(a.value) == str(b.value)
+
+
+def test_ranges_are_told_where_validate_tells_them(spark):
+    cases = {
+        '{"operations": [{"op": "blur", "sigma": 0.09999996}]}': (None, 0, "blur", "sigma"),
+        '{"operations": [{"op": "auto_orient"}, {"op": "levels", "in_white": 256}]}': (None, 1, "levels", "in_white"),
+        '{"operations": [{"op": "encode", "format": "tiff"}]}': (None, 0, "encode", "format"),
+        '{"operations": [{"op": "encode", "format": "png", "bit_depth": 12}]}': (None, 0, "encode", "bit_depth"),
+        '{"operations": [], "layers": [{"source": "base"}, {"source": "base", "ops": [{"op": "flip", "direction": "up"}]}]}': (1, 0, "flip", "direction"),
+    }
+    good = ['{"operations": [{"op": "blur", "sigma": 0.1}, {"op": "vignette", "strength": -1}]}', '{"operations": [{"op": "grain", "amount": 1, "seed": 18446744073709551615}]}']
+    odd = [None, "", "[]", "{", '{"operations": 3}', '{"operations": [7, {"op": 4}, {"op": "no"}, {"op": "blur"}, {"op": "blur", "sigma": null}], "layers": [2]}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, *good, *odd])], "i int, t string")
+    got = {r.t: [tuple(f) for f in r.f] for r in rows.select("t", out_of_range(F.col("t")).alias("f")).collect()}
+    assert got == {t: [f] for t, f in cases.items()} | {t: [] for t in (*good, *odd)}
+    for t, (layer, index, op, field) in cases.items():
+        with pytest.raises(RecipeError, match=field) as e:
+            validate(parse(t))
+        assert (e.value.details()["layer_index"], e.value.details()["operation_index"], e.value.details()["op"]) == (layer, index, op)
+    for t in good:
+        validate(parse(t))

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-FILES = ["file_decode", "file_decode_plain", "file_decode_16_bits", "file_headers", "file_table_scan", "store_ledger_scan", "store_ledger_append"]
+FILES = ["file_decode", "file_decode_plain", "file_decode_16_bits", "file_headers", "file_table_scan", "store_ledger_scan", "store_ledger_append", "store_recipe_faults"]
 
 
 @pytest.mark.parametrize("name", ["flagship_film", "px_sepia", "px_unsharp", "px_layers_three", "px_resize_lanczos", "tilt_nms", "store_lineage", "preset_product_white", *FILES])
