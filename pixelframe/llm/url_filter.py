@@ -9,7 +9,7 @@ nothing passes meet no join. A URL that no rule fits is not listed and passes.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an empty path; repeated rows
 each get a row; URLs of any length are taken whole; an empty table gives an empty result; without rules every URL
-passes; of rules with the same key, blocking ones win; further columns are ignored, whatever their names.
+passes; rules without a host or a path are left out; of rules with the same key, blocking ones win; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
