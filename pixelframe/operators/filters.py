@@ -52,7 +52,7 @@ def unpremultiplied(p: PixelFrame) -> PixelFrame:
 def blur(p: PixelFrame, sigma: float) -> PixelFrame:
     p, weights = p.to(LINEAR), N.gaussian_weights(sigma)
     if len(weights) // 2 > WINDOW_RADIUS:
-        return K.per_tile(p, lambda v: K.blurred(v, weights), len(weights) // 2)
+        return K.per_tile(p, lambda v, on: K.blurred(v, weights, on), len(weights) // 2)
     p = premultiplied(p)
     for axis in ("x", "y"):
         p = taps(p, weights, axis, list("rgba"))
@@ -63,7 +63,7 @@ def median(p: PixelFrame, radius: int) -> PixelFrame:
     """The middle value of each channel in a square; for radius 1 as arrays of window values."""
     p = p.to(LINEAR)
     if radius > 1:
-        return K.per_tile(p, lambda v: K.median(v, radius), radius)
+        return K.per_tile(p, lambda v, on: K.median(v, radius, on), radius)
     rows = p.with_columns({f"_{c}": F.array(*(neighbour(c, k, "x") for k in (-1, 0, 1))) for c in "rgba"})
     new = {c: F.element_at(F.array_sort(F.concat(*(neighbour(f"_{c}", k, "y") for k in (-1, 0, 1)))), 5) for c in "rgba"}
     return rows.with_columns(new).select(*p.df.columns)
@@ -77,7 +77,7 @@ def unsharp_mask(p: PixelFrame, amount: float, radius: float, threshold=0) -> Pi
         both = soft.with_columns({f"_{c}": F.col(c) for c in "rgba"} | {c: F.col(f"_o{c}") for c in "rgba"}).df
     else:
         weights = N.gaussian_weights(radius)
-        return K.per_tile(p, lambda v: K.sharpened(v, weights, float(amount), threshold / 255.0), len(weights) // 2)
+        return K.per_tile(p, lambda v, on: K.sharpened(v, weights, float(amount), threshold / 255.0, on), len(weights) // 2)
     diff = {c: F.col(c) - F.col(f"_{c}") for c in "rgba"}
     sharp = {c: F.when(F.abs(d) > threshold / 255.0, N.clamp(F.col(c) + float(amount) * d)).otherwise(F.col(c)) for c, d in diff.items()}
     return replace(p, df=both.withColumns(sharp).select(*p.df.columns))
@@ -86,7 +86,7 @@ def unsharp_mask(p: PixelFrame, amount: float, radius: float, threshold=0) -> Pi
 def convolve(p: PixelFrame, kernel: Sequence[float], size: int, divisor=1.0, offset=0.0) -> PixelFrame:
     p, r = p.to(LINEAR), size // 2
     if r > CONVOLVE_RADIUS:
-        return K.per_tile(p, lambda v: K.correlated(v, kernel, size, float(divisor), offset / 255.0, N.ALPHA_LEAST), r)
+        return K.per_tile(p, lambda v, on: K.correlated(v, kernel, size, float(divisor), offset / 255.0, N.ALPHA_LEAST, on), r)
     base = p.with_columns({f"_{c}": F.col(c) * F.col("a") for c in N.CHANNELS})
     # each row of the kernel is one pass along x; the rows then meet along y
     for c in N.CHANNELS:

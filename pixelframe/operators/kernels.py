@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -30,7 +31,7 @@ GATHER = 1 << 18
 #: A warp's cell reads at most so many tiles' worth of source pixels; cells of at most so many pixels a side are traced exactly.
 MOST_SOURCE, EXACT = 2.5, 64
 
-Kernel = Callable[[np.ndarray, int], np.ndarray]
+Kernel = Callable[[np.ndarray, int, np.ndarray | None], np.ndarray]
 
 
 def _schema(p: PixelFrame) -> str:
@@ -87,18 +88,31 @@ def _columns(batches: list) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def _window(ty: int, tx: int, size: tuple[int, int], side: int, halo: int) -> tuple[int, int, int, int]:
-    """Left, top, right and bottom of a tile with its halo, inside the image."""
-    return max(0, tx * side - halo), max(0, ty * side - halo), min(size[0], (tx + 1) * side + halo), min(size[1], (ty + 1) * side + halo)
+@dataclass(frozen=True)
+class Tiles:
+    """Tiles of one side of images of some sizes, with what lies at most ``halo`` around them."""
+
+    sizes: Sequence[tuple[int, int]]
+    side: int
+    halo: int
+
+    def window(self, size: int, ty: int, tx: int) -> tuple[int, int, int, int]:
+        """Left, top, right and bottom of a tile with its halo, inside the image."""
+        (w, h), side, halo = self.sizes[size], self.side, self.halo
+        return max(0, tx * side - halo), max(0, ty * side - halo), min(w, (tx + 1) * side + halo), min(h, (ty + 1) * side + halo)
+
+    def near(self, size: np.ndarray, c: dict[str, np.ndarray], axis: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of pixels the first and the last tile along an axis that they belong to or lie near."""
+        n = np.array(self.sizes, np.int64)[size, "xy".index(axis)]
+        return np.maximum(0, (c[axis] - self.halo) // self.side), np.minimum((n - 1) // self.side, (c[axis] + self.halo) // self.side)
 
 
-def _pieces(c: dict[str, np.ndarray], sizes: np.ndarray, side: int, halo: int):
+def _pieces(c: dict[str, np.ndarray], tiles: Tiles | Scaling):
     """Rows by the tiles that they belong to or lie near: (image, size, ty, tx, part), and the row numbers of each."""
     size = c[SIZE_ID]
     low, high = {}, {}
-    for axis, n in (("y", sizes[size, 1]), ("x", sizes[size, 0])):
-        low[axis] = np.maximum(0, (c[axis] - halo) // side)
-        high[axis] = np.minimum((n - 1) // side, (c[axis] + halo) // side)
+    for axis in "yx":
+        low[axis], high[axis] = tiles.near(size, c, axis)
     picked, ty, tx = [], [], []
     for j in range(int((high["y"] - low["y"]).max()) + 1):
         for i in range(int((high["x"] - low["x"]).max()) + 1):
@@ -122,19 +136,23 @@ def squeezed(values: np.ndarray) -> bytes:
     for v in values.T:
         v = np.ascontiguousarray(v)
         table = at = None
-        if len(np.unique(v[:2048])) <= 1024:
-            table, at = np.unique(v.view(np.int64), return_inverse=True)
-        if table is None or len(table) * 8 + 2 * len(v) >= 8 * len(v) or len(table) > 65536:
+        bits = v.view(np.int64)
+        some = np.unique(bits[:2048])
+        if len(some) <= 1024:
+            table, at = some, np.minimum(np.searchsorted(some, bits), len(some) - 1)
+            if not np.array_equal(table[at], bits):
+                table, at = np.unique(bits, return_inverse=True)
+        if table is None or len(table) > 65536 or len(table) * 8 + (1 if len(table) <= 256 else 2) * len(v) >= 8 * len(v):
             out += [np.array([0], np.int64).tobytes(), v.tobytes()]
         else:
             out += [np.array([len(table)], np.int64).tobytes(), table.tobytes(), at.astype(np.uint8 if len(table) <= 256 else np.uint16).tobytes()]
     return b"".join(out)
 
 
-def loosened(data, n: int) -> np.ndarray:
-    """The columns (n, 4) again."""
-    out, at = np.empty((n, 4)), 0
-    for i in range(4):
+def loosened(data, n: int, columns: int = 4) -> np.ndarray:
+    """The columns (n, ``columns``) again."""
+    out, at = np.empty((n, columns)), 0
+    for i in range(columns):
         (size,) = np.frombuffer(data, np.int64, 1, at)
         at += 8
         if not size:
@@ -165,48 +183,65 @@ PIECE = "image_id int, size_id int, ty int, tx int, part int, at binary, data bi
 
 def packed(rows: DataFrame, sizes: Sequence[tuple[int, int]], halo: int) -> DataFrame:
     """One row for each tile and batch of ``rows`` (image_id, size_id, part, y, x, r, g, b, a): places in the tile's window and values."""
-    side, table = TILE, np.array(sizes, np.int64)
+    return _sent(rows, Tiles(sizes, TILE, halo), "rgba")
 
+
+def _sent(rows: DataFrame, tiles: Tiles | Scaling, columns: Sequence[str]) -> DataFrame:
     def run(batches):
         for c in gathered(batches):
-            values = np.stack([c[k] for k in "rgba"], 1)
-            for (image, size, ty, tx, part), at in _pieces(c, table, side, halo):
-                x0, y0, x1, _ = _window(ty, tx, sizes[size], side, halo)
+            values = np.stack([c[k] for k in columns], 1)
+            for (image, size, ty, tx, part), at in _pieces(c, tiles):
+                x0, y0, x1, _ = tiles.window(size, ty, tx)
                 place = (c["y"][at] - y0).astype(np.int64) * (x1 - x0) + (c["x"][at] - x0)
                 yield pa.RecordBatch.from_pydict({
                     "image_id": pa.array([image], pa.int32()), "size_id": pa.array([size], pa.int32()), "ty": pa.array([ty], pa.int32()), "tx": pa.array([tx], pa.int32()),
                     "part": pa.array([part], pa.int32()), "at": pa.array([runs(place)], pa.binary()), "data": pa.array([squeezed(values[at])], pa.binary()),
                 })
 
-    return rows.select("image_id", SIZE_ID, "part", "y", "x", *"rgba").mapInArrow(run, PIECE)
+    return rows.select("image_id", SIZE_ID, "part", "y", "x", *columns).mapInArrow(run, PIECE)
 
 
-def _tiled(rows: DataFrame, sizes: Sequence[tuple[int, int]], steps: Sequence[tuple[Kernel, int]], schema: str, mixed: bool, parts: int = 1) -> DataFrame:
-    """Kernels over tiles of ``rows``; a kernel gets (height, width, 4 * parts) and the number of the size, and gives (height, width, 4)."""
-    side, halo = TILE, sum(h for _, h in steps)
+def by_tile(rows: DataFrame, tiles: Tiles | Scaling, columns: Sequence[str], f: Callable, schema: str, parts: int = 1) -> DataFrame:
+    """``f`` on each tile: (image, size, ty, tx), values (height, width, columns * parts) of its window, and which places of it have a pixel
+    (height, width, parts), None if all have."""
+    width = len(columns)
 
     def run(table: pa.Table) -> pa.Table:
         image, size, ty, tx = (int(table.column(c)[0].as_py()) for c in ("image_id", "size_id", "ty", "tx"))
-        x0, y0, x1, y1 = _window(ty, tx, sizes[size], side, halo)
-        v = np.zeros(((y1 - y0) * (x1 - x0), 4 * parts))
+        x0, y0, x1, y1 = tiles.window(size, ty, tx)
+        v, on = np.zeros(((y1 - y0) * (x1 - x0), width * parts)), np.zeros(((y1 - y0) * (x1 - x0), parts), bool)
         for part, at, data in zip(*(table.column(c) for c in ("part", "at", "data")), strict=True):
-            k, at = 4 * part.as_py(), places(at.as_buffer())
-            v[at, k : k + 4] = loosened(data.as_buffer(), len(at))
-        v = v.reshape(y1 - y0, x1 - x0, 4 * parts)
+            k, at = part.as_py(), places(at.as_buffer())
+            v[at, width * k : width * (k + 1)] = loosened(data.as_buffer(), len(at), width)
+            on[at, k] = True
+        return f((image, size, ty, tx), v.reshape(y1 - y0, x1 - x0, -1), None if on.all() else on.reshape(y1 - y0, x1 - x0, parts))
+
+    # packed tiles are few bytes and much work: by number, so that they are not put together by their bytes
+    tile = ["image_id", "size_id", "ty", "tx"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _sent(rows, tiles, columns).repartition(n, *tile).groupBy(*tile).applyInArrow(run, schema)
+
+
+def _tiled(rows: DataFrame, sizes: Sequence[tuple[int, int]], steps: Sequence[tuple[Kernel, int]], schema: str, mixed: bool, parts: int = 1) -> DataFrame:
+    """Kernels over tiles of ``rows``; a kernel gets (height, width, 4 * parts), the number of the size and which places have a pixel, and
+    gives (height, width, 4). Places without a pixel get none."""
+    side, tiles = TILE, Tiles(sizes, TILE, sum(h for _, h in steps))
+
+    def run(tile, v, on):
+        image, size, ty, tx = tile
+        x0, y0, x1, y1 = tiles.window(size, ty, tx)
         for kernel, rim in steps:
-            v = kernel(v, size)
+            v = kernel(v, size, on)
             # beside an edge that is not the image's the rim has not seen its surroundings
             left, top = rim * (x0 > 0), rim * (y0 > 0)
             right, bottom = rim * (x1 < sizes[size][0]), rim * (y1 < sizes[size][1])
-            v = v[top : v.shape[0] - bottom, left : v.shape[1] - right]
+            v, on = (k if k is None else k[top : k.shape[0] - bottom, left : k.shape[1] - right] for k in (v, on))
             x0, y0, x1, y1 = x0 + left, y0 + top, x1 - right, y1 - bottom
-        v = v[ty * side - y0 :, tx * side - x0 :][:side, :side]
-        return _table(image, size if mixed else None, v, tx * side, ty * side)
+        v, on = (k if k is None else k[ty * side - y0 :, tx * side - x0 :][:side, :side] for k in (v, on))
+        out = _table(image, size if mixed else None, v, tx * side, ty * side)
+        return out if on is None else out.filter(pa.array(on.all(2).ravel()))
 
-    # packed tiles are few bytes and much work: by number, so that they are not put together by their bytes
-    tile = ["image_id", "size_id", "ty", "tx"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed(rows, sizes, halo).repartition(n, *tile).groupBy(*tile).applyInArrow(run, schema)
+    return by_tile(rows, tiles, "rgba", run, schema, parts)
 
 
 @dataclass(frozen=True)
@@ -218,20 +253,116 @@ class Chain:
     df: DataFrame
 
 
-def per_tile(p: PixelFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> PixelFrame:
-    """``kernel`` maps an array (height, width, 4) to one of the same size, in which a pixel depends on those at most
-    ``halo`` away along either axis; beyond the image's edges it sees what it does beyond the array's. A kernel right after
+def per_tile(p: PixelFrame, kernel: Callable[[np.ndarray, np.ndarray | None], np.ndarray], halo: int) -> PixelFrame:
+    """``kernel`` maps an array (height, width, 4), and which of its places have a pixel, to one of the same size, in which a pixel depends on
+    those at most ``halo`` away along either axis; beyond the image's edges it sees what it does beyond the array's. A kernel right after
     others is run with them, as long as the halos together are at most half a tile."""
     before: Any = p.pending if p.pending is not None and p.pending.df is p.df else None
     if before is not None and sum(h for _, h in before.steps) + halo > TILE // 2:
         before = None
     base, steps = (before.base, before.steps) if before is not None else (p, ())
-    steps = (*steps, (lambda v, _: kernel(v), halo))
+    steps = (*steps, (lambda v, _, on: kernel(v, None if on is None else on[..., 0]), halo))
     rows = base.df if base.mixed else base.df.withColumn(SIZE_ID, F.lit(0))
     df = _tiled(rows.withColumn("part", F.lit(0)), base.each(lambda e: (e.width, e.height)), steps, _schema(p), p.mixed)
     return replace(p, df=df, pending=Chain(base, steps, df))
 
 
+# other sizes
+
+
+@lru_cache(maxsize=64)
+def _taps(of: Callable, size: int, out: int) -> list[list[tuple[int, float]]]:
+    return of(size, out)
+
+
+@dataclass(frozen=True)
+class Scaling:
+    """Tiles of images at other sizes, each with the source pixels that its taps reach. ``plans``: (width, height, new width, new height);
+    ``taps`` tells an axis' (source place, weight) for each new place, ``support`` how many source pixels, or new ones if these are larger, they reach."""
+
+    plans: Sequence[tuple[int, int, int, int]]
+    taps: Callable[[int, int], list[list[tuple[int, float]]]]
+    support: float
+    side: int
+
+    def _axis(self, size: int, axis: str) -> tuple[int, int, int, float]:
+        """Old and new length, places of a tile, reach. Tiles are smaller where many source pixels make a new one, so that a tile's source stays bounded."""
+        i = "xy".index(axis)
+        n, out = self.plans[size][i], self.plans[size][i + 2]
+        reach, most = 0 if n == out else self.support * max(1.0, n / out), MOST_SOURCE**0.5 * self.side
+        return n, out, min(self.side, max(1, int(max(most - 2 * reach, reach) * out / n))), reach
+
+    def ends(self, size: int, axis: str) -> tuple[np.ndarray, np.ndarray]:
+        """First source place of each tile along an axis, and the one behind its last."""
+        n, out, side, reach = self._axis(size, axis)
+        first = np.arange(0, out, side)
+        if n == out:
+            return first, np.minimum(first + side, n)
+        low = np.floor((first + 0.5) * n / out - reach)
+        high = np.ceil((np.minimum(first + side, out) - 0.5) * n / out + reach)
+        return np.clip(low, 0, n - 1).astype(np.int64), np.clip(high, 0, n - 1).astype(np.int64) + 1
+
+    def window(self, size: int, ty: int, tx: int) -> tuple[int, int, int, int]:
+        (left, right), (top, bottom) = self.ends(size, "x"), self.ends(size, "y")
+        return int(left[tx]), int(top[ty]), int(right[tx]), int(bottom[ty])
+
+    def near(self, size: np.ndarray, c: dict[str, np.ndarray], axis: str) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        for k in np.unique(size):
+            (first, stop), rows = self.ends(k, axis), size == k
+            low[rows], high[rows] = np.searchsorted(stop, c[axis][rows], "right"), np.searchsorted(first, c[axis][rows], "right") - 1
+        return low, high
+
+    def axis(self, size: int, at: int, axis: str) -> tuple[int, tuple[np.ndarray, np.ndarray] | None]:
+        """Of a tile the first new place, and (new place, tap) of places in its window and of weights, from left to right; None if the axis keeps its length."""
+        n, out, side, _ = self._axis(size, axis)
+        first = at * side
+        if n == out:
+            return first, None
+        every, start = _taps(self.taps, n, out)[first : first + side], self.ends(size, axis)[0][at]
+        most = max(map(len, every))
+        place, weight = np.zeros((len(every), most), np.int64), np.zeros((len(every), most))
+        for o, each in enumerate(every):
+            place[o, : len(each)], weight[o, : len(each)] = zip(*((i - start, w) for i, w in each), strict=True)
+        return first, (place, weight)
+
+
+def gathered_sums(v: np.ndarray, taps: tuple[np.ndarray, np.ndarray], axis: int) -> np.ndarray:
+    """Along an axis the sums of an image's (height, width, channels) values by their weights, from left to right."""
+    total, part = None, None
+    for place, w in zip(taps[0].T, taps[1].T, strict=True):
+        w = w.astype(v.dtype)[:, None, None] if axis == 0 else w.astype(v.dtype)[:, None]
+        part = np.take(v, place, axis, out=part)
+        part *= w
+        total = part.copy() if total is None else np.add(total, part, out=total)
+    return total
+
+
+def reached(on: np.ndarray, taps: tuple[np.ndarray, np.ndarray], axis: int) -> np.ndarray:
+    """Which new places any pixel makes."""
+    w = (taps[1] != 0).T
+    return np.any([np.take(on, place, axis) & (k[:, None] if axis == 0 else k) for place, k in zip(taps[0].T, w, strict=True)], 0)
+
+
+def scaled(p: PixelFrame, sizes: Sequence[tuple[int, int]], taps: Callable, support: float) -> DataFrame:
+    """Pixels at other sizes, along x and then y, in premultiplied colour. A pixel is there if any of those that make it is."""
+    tiles, mixed = Scaling([(e.width, e.height, w, h) for e, (w, h) in zip(p.shapes, sizes, strict=True)], taps, support, TILE), p.mixed
+
+    def run(tile, v, on):
+        image, size, ty, tx = tile
+        v, on = premultiplied(v), on if on is None else on[..., 0]
+        (x0, across), (y0, down) = tiles.axis(size, tx, "x"), tiles.axis(size, ty, "y")
+        for axis, each in ((1, across), (0, down)):
+            if each is not None:
+                v, on = gathered_sums(v, each, axis), on if on is None else reached(on, each, axis)
+        v[..., 3] = np.clip(v[..., 3], 0, 1)
+        out = _table(image, size if mixed else None, unpremultiplied(v), x0, y0)
+        return out if on is None else out.filter(pa.array(on.ravel()))
+
+    rows = p.df if mixed else p.df.withColumn(SIZE_ID, F.lit(0))
+    return by_tile(rows.withColumn("part", F.lit(0)), tiles, "rgba", run, _schema(p))
+
+
 # warps
 
 
@@ -315,8 +446,12 @@ def per_window(p: PixelFrame, warps: Sequence[Warp], border: tuple[float, ...])
     def run(table: pa.Table) -> pa.Table:
         image, k, cell = (int(table.column(c)[0].as_py()) for c in ("image_id", SIZE_ID, "cell"))
         x0, y0, x1, y1, left, top, right, bottom = plans[k][cell]
-        source = _pixels(table.filter(table.column("y").is_valid()), left, top, right - left, bottom - top)
-        out = warped(source, warps[k].inverse, (x0, y0, x1, y1), (left, top), (warps[k].source_width, warps[k].source_height), border)
+        table = table.filter(table.column("y").is_valid())
+        source, on = _pixels(table, left, top, right - left, bottom - top), None
+        if table.num_rows < (right - left) * (bottom - top):
+            on = np.zeros(source.shape[:2], bool)
+            on[table.column("y").to_numpy() - top, table.column("x").to_numpy() - left] = True
+        out = warped(source, warps[k].inverse, (x0, y0, x1, y1), (left, top), (warps[k].source_width, warps[k].source_height), border, on)
         return _table(image, k if mixed else None, out, x0, y0)
 
     return held.groupBy("image_id", SIZE_ID, "cell").applyInArrow(run, schema)
@@ -334,46 +469,61 @@ def unpremultiplied(v: np.ndarray) -> np.ndarray:
     return np.concatenate([rgb, a], -1)
 
 
-def convolved(v: np.ndarray, weights: Sequence[float], axis: int) -> np.ndarray:
-    """One pass of a filter of odd length along an axis, edges held: for each run of places the product of a band of
-    weights, edges folded in, with the values that the run reaches."""
+def held(v: np.ndarray, on: np.ndarray | None, axis: int) -> np.ndarray:
+    """Places without a pixel have along an axis the value of the last one before them that has one, or else of the first."""
+    if on is None:
+        return v
+    n, mask = v.shape[axis], np.moveaxis(on, axis, 0)
+    at = np.maximum.accumulate(np.where(mask, np.arange(n)[:, None], -1), 0)
+    at = np.moveaxis(np.where(at < 0, mask.argmax(0), at), 0, axis)
+    return np.take_along_axis(v, at[..., None], axis)
+
+
+#: Bytes of values that a pass of a filter works on at a time, so that they stay in a core's cache.
+NEAR = 1 << 17
+
+
+def convolved(v: np.ndarray, weights: Sequence[float], axis: int, on: np.ndarray | None = None) -> np.ndarray:
+    """One pass of a filter of odd length along an axis, edges held. Terms are added from left to right, so that sums are those of the
+    window expressions to the last bit, whatever tile a pixel lies in."""
     n, r = v.shape[axis], len(weights) // 2
-    flat = np.moveaxis(v, axis, 0)
+    flat = np.moveaxis(held(v, on, axis), axis, 0)
     rest = flat.shape[1:]
     flat = np.ascontiguousarray(flat).reshape(n, -1)
-    out, step = np.empty_like(flat), max(64, 2 * r)
+    wide = np.concatenate([np.repeat(flat[:1], r, 0), flat, np.repeat(flat[-1:], r, 0)])
+    out, step = np.empty_like(flat), max(1, NEAR // (8 * flat.shape[1]))
     for at in range(0, n, step):
-        stop = min(n, at + step)
-        low, high = max(0, at - r), min(n, stop + r)
-        band, row = np.zeros((stop - at, high - low)), np.arange(stop - at)
-        for k, w in enumerate(weights):
-            np.add.at(band, (row, np.clip(row + at + k - r, 0, n - 1) - low), w)
-        out[at:stop] = band @ flat[low:high]
+        total = out[at : at + step]
+        part = np.empty_like(total)
+        np.multiply(wide[at : at + len(total)], float(weights[0]), out=total)
+        for k, w in enumerate(weights[1:], 1):
+            np.multiply(wide[at + k : at + k + len(total)], float(w), out=part)
+            total += part
     return np.moveaxis(out.reshape(n, *rest), 0, axis)
 
 
-def blurred(v: np.ndarray, weights: Sequence[float]) -> np.ndarray:
-    return unpremultiplied(convolved(convolved(premultiplied(v), weights, 1), weights, 0))
+def blurred(v: np.ndarray, weights: Sequence[float], on: np.ndarray | None = None) -> np.ndarray:
+    return unpremultiplied(convolved(convolved(premultiplied(v), weights, 1, on), weights, 0, on))
 
 
-def sharpened(v: np.ndarray, weights: Sequence[float], amount: float, least: float) -> np.ndarray:
+def sharpened(v: np.ndarray, weights: Sequence[float], amount: float, least: float, on: np.ndarray | None = None) -> np.ndarray:
     """Away from the blurred image wherever they differ by more than ``least``."""
-    d = v - blurred(v, weights)
+    d = v - blurred(v, weights, on)
     return np.where(np.abs(d) > least, np.clip(v + amount * d, 0, 1), v)
 
 
-def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float, offset: float, alpha_least: float) -> np.ndarray:
+def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float, offset: float, alpha_least: float, on: np.ndarray | None = None) -> np.ndarray:
     """A square kernel over premultiplied colour; rows of it first, then their sum. Alpha stays."""
     r = size // 2
-    wide = np.pad(premultiplied(v)[..., :3], [(r, r), (r, r), (0, 0)], "edge")
+    wide = np.pad(held(premultiplied(v)[..., :3], on, 1), [(0, 0), (r, r), (0, 0)], "edge")
     h, w = v.shape[:2]
     total = np.zeros((h, w, 3))
     for j in range(size):
-        row, line = np.zeros((h, w, 3)), wide[j : j + h]
+        row = np.zeros((h, w, 3))
         for i in range(size):
             if k := float(kernel[j * size + i]):
-                row += line[:, i : i + w] * k
-        total += row
+                row += wide[:, i : i + w] * k
+        total += np.pad(held(row, on, 0), [(r, r), (0, 0), (0, 0)], "edge")[j : j + h]
     a = v[..., 3:]
     rgb = np.where(a < alpha_least, 0.0, total / divisor / np.where(a < alpha_least, 1.0, a))
     return np.concatenate([np.clip(rgb + offset, 0, 1), a], -1)
@@ -383,10 +533,10 @@ def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float
 COUNTED_RADIUS = 6
 
 
-def median(v: np.ndarray, radius: int) -> np.ndarray:
+def median(v: np.ndarray, radius: int, on: np.ndarray | None = None) -> np.ndarray:
     """The middle value of each channel in a square. From ``COUNTED_RADIUS`` on, channels of at most 256 values, as sources of
     8 bits have, cost the same at any radius; others are partitioned pixel by pixel."""
-    wide = np.pad(v, [(radius, radius), (radius, radius), (0, 0)], "edge")
+    wide = np.pad(held(held(v, on, 1), on, 0), [(radius, radius), (radius, radius), (0, 0)], "edge")
     out, left = np.empty_like(v), []
     for c in range(v.shape[2]):
         values = np.ascontiguousarray(wide[..., c])
@@ -450,12 +600,12 @@ def _sources(inverse: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> tuple[n
     return u, w
 
 
-def warped(v: np.ndarray, inverse: np.ndarray, window: tuple[int, int, int, int], origin: tuple[int, int], size: tuple[int, int], border: tuple[float, ...]) -> np.ndarray:
+def warped(v: np.ndarray, inverse: np.ndarray, window: tuple[int, int, int, int], origin: tuple[int, int], size: tuple[int, int], border: tuple[float, ...], on: np.ndarray | None = None) -> np.ndarray:
     """Bicubic gather for a window of the result: output pixel centres go through ``inverse`` to source coordinates; outside
-    lies the border. ``v`` is the part of a source of ``size`` that begins at ``origin``."""
+    and where the source has no pixel lies the border. ``v`` is the part of a source of ``size`` that begins at ``origin``."""
     x0, y0, x1, y1 = window
-    src = premultiplied(v)
     edge = np.array([*(b * border[3] for b in border[:3]), border[3]])
+    src = premultiplied(v) if on is None else np.where(on[..., None], premultiplied(v), edge)
     u, w = _sources(inverse, x0, y0, x1, y1)
     with np.errstate(invalid="ignore"):
         iu, iw = np.floor(u).astype(int), np.floor(w).astype(int)
@@ -493,9 +643,10 @@ def healed(p: PixelFrame, src: tuple[int, int], dest: tuple[int, int], radii: Se
         placed = placed.select("image_id", SIZE_ID, "part", F.col("_y").alias("y"), F.explode(across).alias("_x"), *"rgba").withColumnRenamed("_x", "x")
         rows = placed if rows is None else rows.unionByName(placed)
 
-    def kernel(v: np.ndarray, k: int) -> np.ndarray:
+    def kernel(v: np.ndarray, k: int, on: np.ndarray | None) -> np.ndarray:
         a, b = v[..., :4], v[..., 4:]
-        return np.clip(a - blurred(a, weights[k]) + blurred(b, weights[k]), 0, 1)
+        a_on, b_on = (None, None) if on is None else (on[..., 0], on[..., 1])
+        return np.clip(a - blurred(a, weights[k], a_on) + blurred(b, weights[k], b_on), 0, 1)
 
     sides = [(2 * r + 1, 2 * r + 1) for r in radii]
     out = _tiled(rows, sides, [(kernel, max(len(w) // 2 for w in weights))], _schema(p), p.mixed, 2)

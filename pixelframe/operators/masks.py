@@ -69,7 +69,7 @@ def plane_for(mask: PixelFrame, target: PixelFrame, invert=False, feather_px=0.0
             from . import kernels as K
 
             four = q.select(*q.keys, *(F.col("w").alias(c) for c in "rgb"), F.lit(1.0).alias("a"))
-            q = K.per_tile(four, lambda v: K.convolved(K.convolved(v, weights, 1), weights, 0), len(weights) // 2).select(*KEY, F.col("r").alias("w"))
+            q = K.per_tile(four, lambda v, on: K.convolved(K.convolved(v, weights, 1, on), weights, 0, on), len(weights) // 2).select(*KEY, F.col("r").alias("w"))
     return q.df.select(*KEY, N.clamp(F.col("w")).alias("w"))
 
 
