@@ -1,4 +1,4 @@
-"""Operators that move pixels: permutations and crops are projections on the key, resampling is a join with taps."""
+"""Operators that move pixels: permutations and crops are projections on the key, resampling works on packed tiles."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..frame import LINEAR, Extent, PixelFrame, grid
@@ -170,46 +169,14 @@ def resize_plan(width: int, height: int, to_width=None, to_height=None, fit="cov
     return w, h, w, h
 
 
-#: Rows of a table of taps that are made on the driver and sent to every task; larger tables are made in tasks and joined by a shuffle.
-MOST_TAPS = 500_000
-
-
-def _tap_table(spark: SparkSession, pairs: Sequence[tuple[int, int]], axis: str) -> DataFrame:
-    """(_pair, axis, _o, _w): for each pair of sizes the source places and weights of each output place."""
-    schema = f"_pair int, {axis} int, _o int, _w double"
-    taps = lambda k: [(k, s, o, w) for o, each in enumerate(N.lanczos_taps(*pairs[k])) for s, w in each]
-    if sum(6 * max(p) + 8 * p[1] for p in pairs) <= MOST_TAPS:
-        return F.broadcast(spark.createDataFrame([row for k in range(len(pairs)) for row in taps(k)], schema))
-    if len(pairs) == 1:
-        return spark.createDataFrame(taps(0), schema)
-
-    def run(batches):
-        for b in batches:
-            for k in b.column("id").to_pylist():
-                columns = zip(*taps(k), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["_pair", axis, "_o", "_w"])
-
-    return spark.range(0, len(pairs), 1, min(len(pairs), 200)).mapInArrow(run, schema)
-
-
 def _scaled(p: PixelFrame, sizes: Sequence[tuple[int, int]]) -> PixelFrame:
-    """Every extent at another size, in linear light. An axis whose size stays for all extents is not touched."""
+    """Every extent at another size, in linear light. An axis whose size stays is not touched."""
     p = p.to(LINEAR)
-    df = p.df.select(*p.keys, *((F.col(c) * F.col("a")).alias(c) for c in N.CHANNELS), "a")
-    for axis, old, new in (("x", p.each(lambda e: e.width), [w for w, _ in sizes]), ("y", p.each(lambda e: e.height), [h for _, h in sizes])):
-        if old == new:
-            continue
-        pairs = sorted(set(zip(old, new, strict=True)))
-        table = _tap_table(df.sparkSession, pairs, axis)
-        other = "y" if axis == "x" else "x"
-        df = df.withColumn("_pair", p.pick([pairs.index(k) for k in zip(old, new, strict=True)])).join(table, ["_pair", axis])
-        df = df.groupBy(*p.ids, other, F.col("_o").alias(axis)).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in "rgba"))
-    df = df.withColumn("a", N.clamp(F.col("a"))).select(*p.keys, *(N.unpremultiplied(F.col(c), F.col("a")).alias(c) for c in N.CHANNELS), "a")
-    return p.sized(df, [Extent(w, h, then(e.matrix, ((w / e.width, 0, 0), (0, h / e.height, 0), (0, 0, 1)))) for e, (w, h) in zip(p.shapes, sizes, strict=True)])
+    return p.sized(K.scaled(p, sizes, N.lanczos_taps, 3.0), [Extent(w, h, then(e.matrix, ((w / e.width, 0, 0), (0, h / e.height, 0), (0, 0, 1)))) for e, (w, h) in zip(p.shapes, sizes, strict=True)])
 
 
 def resize(p: PixelFrame, width=None, height=None, fit="cover", without_enlargement=True) -> PixelFrame:
-    """Lanczos along x and then y. An axis' taps are a table of (place, source place, weight), one row for each tap.
+    """Lanczos along x and then y, by tiles of the result with the source pixels that they are made of (``kernels.Scaling``).
 
     Images whose size stays are not resampled; of a frame of several sizes they are set apart.
     """
