@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import KEY, SRGB, PixelFrame
+from ..frame import KEY, SIZE_ID, SRGB, PixelFrame
 from ..functions import numeric as N
 from ..shared import written
 from . import kernels as K
-from .filters import neighbour, taps
 from .geometry import loss_percent
 
 # The estimate's parameters, down to the curve's.
@@ -59,56 +58,106 @@ def gray(p: PixelFrame) -> PixelFrame:
     return p.select(*KEY, N.to_u8(N.luma_709(F.col("r"), F.col("g"), F.col("b"))).cast("double").alias("v"))
 
 
-def sobel(p: PixelFrame) -> DataFrame:
-    """(image_id, y, x, gx, gy) of the column v, edges held."""
-    along = lambda q, c, axis, w: q.with_columns({f"_{c}": sum((neighbour(c, k - 1, axis) * float(v) for k, v in enumerate(w) if v), F.lit(0.0))})
-    q = p.select(*KEY, F.col("v").alias("gx"), F.col("v").alias("gy"))
-    q = along(along(q, "gx", "x", (-1, 0, 1)), "gy", "x", (1, 2, 1)).select(*KEY, F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
-    q = along(along(q, "gx", "y", (1, 2, 1)), "gy", "y", (-1, 0, 1))
-    return q.df.select(*KEY, F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
-
-
-def smoothed(p: PixelFrame) -> PixelFrame:
-    """The column v under a Gaussian, as whole code values."""
+def _smoothed(v: np.ndarray, on: np.ndarray | None) -> np.ndarray:
+    """Under a Gaussian, as whole code values."""
     r = math.ceil(2 * SIGMA)
     weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * SIGMA * SIGMA))
     weights = (weights / weights.sum()).tolist()
-    for axis in ("x", "y"):
-        p = taps(p, weights, axis, ["v"])
-    return p.with_columns({"v": F.least(F.floor(F.col("v") + 0.5), F.lit(255)).cast("double")}).select(*KEY, "v")
+    return np.minimum(np.floor(K.convolved(K.convolved(v, weights, 1, on), weights, 0, on) + 0.5), 255)
+
+
+def _sobel(v: np.ndarray, on: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients along x and y, edges held."""
+    step, sum_ = (-1, 0, 1), (1, 2, 1)
+    return K.convolved(K.convolved(v, step, 1, on), sum_, 0, on)[..., 0], K.convolved(K.convolved(v, sum_, 1, on), step, 0, on)[..., 0]
+
+
+def _thin(gx: np.ndarray, gy: np.ndarray, g: np.ndarray, on: np.ndarray | None) -> np.ndarray:
+    """Where neither of the two neighbours across the edge has a greater gradient; both have to be there."""
+    angle = np.degrees(np.arctan2(gy, gx))
+    angle = np.where(angle < 0, angle + 180.0, angle)
+    wide = np.pad(g if on is None else np.where(on, g, np.inf), 1, constant_values=np.inf)
+    at = lambda dy, dx: wide[1 + dy : 1 + dy + g.shape[0], 1 + dx : 1 + dx + g.shape[1]]
+    two = np.maximum(at(0, -1), at(0, 1))
+    # the neighbours on a line at 45, 90 and 135 degrees
+    for low, dy, dx in ((22.5, 1, 1), (67.5, 1, 0), (112.5, 1, -1)):
+        two = np.where((angle >= low) & (angle < low + 45.0), np.maximum(at(dy, dx), at(-dy, -dx)), two)
+    return (g >= two) if on is None else (g >= two) & on
+
+
+def _by_tile(p: PixelFrame, halo: int, f, schema: str) -> DataFrame:
+    """``f`` on each tile of the column v: image, left, top, the tile's place in its window, values and which places have a pixel."""
+    tiles = K.Tiles([(p.width, p.height)], K.TILE, halo)
+
+    def run(tile, v, on):
+        image, size, ty, tx = tile
+        left, top, _, _ = tiles.window(size, ty, tx)
+        y0, x0 = ty * tiles.side, tx * tiles.side
+        return f(image, left, top, (slice(y0 - top, y0 - top + tiles.side), slice(x0 - left, x0 - left + tiles.side)), v, None if on is None else on[..., 0])
+
+    rows = p.df.select(*KEY, "v", F.lit(0).alias(SIZE_ID), F.lit(0).alias("part"))
+    return K.by_tile(rows, tiles, ["v"], run, schema)
+
+
+def gradients(p: PixelFrame) -> DataFrame:
+    """(image_id, y, x, gx, gy) of the smoothed column v."""
+
+    def run(image, left, top, own, v, on):
+        gx, gy = (k[own] for k in _sobel(_smoothed(v, on), on))
+        there = np.ones(gx.shape, bool) if on is None else on[own]
+        y, x = (k.astype(np.int32) for k in np.nonzero(there))
+        places = [pa.array(np.full(len(y), image, np.int32)), pa.array(y + np.int32(top + own[0].start)), pa.array(x + np.int32(left + own[1].start))]
+        return pa.table([*places, pa.array(gx[there]), pa.array(gy[there])], [*KEY, "gx", "gy"])
+
+    return _by_tile(p, math.ceil(2 * SIGMA) + 1, run, "image_id int, y int, x int, gx double, gy double")
+
+
+#: The last bin of gradients.
+MOST_BIN = 1140
 
 
 def canny_thresholds(gradients: DataFrame) -> DataFrame:
     """(image_id, low, high): from the bin in which nine tenths of an image's gradients are reached."""
-    bins = gradients.select("image_id", F.least(F.floor(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))), F.lit(1140)).alias("bin"))
-    bins = bins.groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = gradients.select("image_id", F.least(F.floor(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))), F.lit(MOST_BIN)).alias("bin"), F.lit(1).cast("long").alias("n"))
+    return _thresholds(bins)
+
+
+def _thresholds(bins: DataFrame) -> DataFrame:
+    """Of (image_id, bin, n)."""
+    bins = bins.groupBy("image_id", "bin").agg(F.sum("n").alias("n"))
     run = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("image_id").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("image_id")))
     high = run.groupBy("image_id").agg(F.min(F.when(F.col("upto") >= F.floor(F.col("all") * 0.9), F.col("bin"))).cast("double").alias("b"))
     high = high.select("image_id", F.greatest(F.lit(40.0), F.least(F.lit(500.0), "b")).alias("high"))
     return high.select("image_id", (F.col("high") * 0.4).alias("low"), "high")
 
 
-def canny_edges(gradients: DataFrame, width: int, height: int, side: int = EDGE_TILE) -> DataFrame:
-    """(image_id, y, x, gx, gy) of edge points."""
-    thin = thinned(gradients, width, height).join(canny_thresholds(gradients), "image_id").filter("g >= low")
-    weak = thin.select(*KEY, "gx", "gy", (F.col("g") >= F.col("high")).alias("strong"))
+def canny_edges(p: PixelFrame, side: int = EDGE_TILE) -> DataFrame:
+    """(image_id, y, x, gx, gy) of edge points of the column v. Tiles are gone over once, for the points that may be edges and for the counts
+    of gradients (rows without y, the bin as x) that thresholds come from; both are written."""
+    width, height, places = p.width, p.height, ["y", "x", "gx", "gy"]
+
+    def run(image, left, top, own, v, on):
+        gx, gy = _sobel(_smoothed(v, on), on)
+        g = np.sqrt(gx * gx + gy * gy)
+        thin, own_g = _thin(gx, gy, g, on)[own], g[own] if on is None else g[own][on[own]]
+        y, x = np.nonzero(thin)
+        y, x = y + top + own[0].start, x + left + own[1].start
+        inside = (y >= 1) & (y <= height - 2) & (x >= 1) & (x <= width - 2)
+        y, x = y[inside], x[inside]
+        counts = np.bincount(np.minimum(np.floor(own_g), MOST_BIN).astype(np.int64).ravel())
+        bins = np.flatnonzero(counts)
+        none = np.zeros(len(bins), np.int32)
+        columns = [np.concatenate(k).astype(np.int32) for k in ((y, none), (x, bins), (gx[y - top, x - left], none), (gy[y - top, x - left], none))]
+        columns = [pa.array(columns[0], mask=np.arange(len(columns[0])) >= len(y)), *map(pa.array, columns[1:])]
+        return pa.table([pa.array(np.full(len(columns[0]), image, np.int32)), *columns, pa.array(np.concatenate([np.zeros(len(y), np.int64), counts[bins]]))], ["image_id", *places, "n"])
+
+    found = written(_by_tile(p, math.ceil(2 * SIGMA) + 2, run, "image_id int, y int, x int, gx int, gy int, n long"), "thin")
+    least = _thresholds(found.filter("y is null").select("image_id", F.col("x").alias("bin"), "n"))
+    points = found.filter("y is not null").join(least, "image_id").withColumn("g", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")))
+    weak = points.filter("g >= low").select("image_id", "y", "x", F.col("gx").cast("double"), F.col("gy").cast("double"), (F.col("g") >= F.col("high")).alias("strong"))
     return tied_to_strong(weak, width, height, side)
 
 
-def thinned(gradients: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, y, x, gx, gy, g): the points whose gradient none of the two neighbours across the edge exceeds."""
-    angle = F.degrees(F.atan2("gy", "gx"))
-    q = PixelFrame(gradients.select(*KEY, "gx", "gy", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("g"), F.when(angle < 0, angle + 180.0).otherwise(angle).alias("_a")), width, height)
-    q = q.with_columns({"_row": F.array(*(neighbour("g", k, "x") for k in (-1, 0, 1)))})
-    q = q.with_columns({"_above": neighbour("_row", -1, "y"), "_below": neighbour("_row", 1, "y")})
-    above, row, below = (lambda k, c=c: F.element_at(c, k + 2) for c in ("_above", "_row", "_below"))
-    between = lambda low: (F.col("_a") >= low) & (F.col("_a") < low + 45.0)
-    # the neighbours on a line at 45, 90, 135 and 0 degrees
-    two = F.when(between(22.5), F.greatest(above(-1), below(1))).when(between(67.5), F.greatest(above(0), below(0))).when(between(112.5), F.greatest(above(1), below(-1))).otherwise(F.greatest(row(-1), row(1)))
-    inside = F.col("x").between(1, width - 2) & F.col("y").between(1, height - 2)
-    return q.df.filter(inside & (F.col("g") >= two)).select(*KEY, "gx", "gy", "g")
-
-
 def labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each of some points the number of the first point to which it is tied by neighbours in eight directions."""
     y0, x0 = y.min(), x.min()
@@ -175,30 +224,71 @@ def _centred(df: DataFrame, width: int, height: int) -> DataFrame:
     return df.withColumns({"dx": F.col("x") - (width - 1) / 2.0, "dy": F.col("y") - (height - 1) / 2.0})
 
 
-def hough_votes(points: DataFrame, width: int, height: int, limit: float = SPAN) -> DataFrame:
-    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance from the centre. A task
-    adds its points up in tables of angle and distance; no row is made for a point and an angle."""
-    reach = math.ceil(math.hypot(width, height) / 2) + 2
-    turns = [(math.sin(math.radians(a)), math.cos(math.radians(a))) for a in angle_grid(limit)]
+#: Points whose votes are counted at a time.
+VOTERS = 2048
+
 
-    def run(batches):
+def _by_family(points: DataFrame, width: int, height: int, limit: float, f, schema: str) -> DataFrame:
+    """``f`` on each image's family: image, name, and its votes by angle and rounded distance from the centre. A task sends one row for each
+    family of its points: the points, or where these are more than the table has places, their votes."""
+    reach = math.ceil(math.hypot(width, height) / 2) + 2
+    angles = [math.radians(a) for a in angle_grid(limit)]
+    sin, cos = (np.array([g(a) for a in angles])[:, None] for g in (math.sin, math.cos))
+    shape = len(angles), 2 * reach + 1
+
+    def table(dx: np.ndarray, dy: np.ndarray, upright: bool) -> np.ndarray:
+        votes, row = np.zeros(shape[0] * shape[1], np.int64), np.arange(shape[0])[:, None] * shape[1] + reach
+        for k in range(0, len(dx), VOTERS):
+            x, y = dx[k : k + VOTERS], dy[k : k + VOTERS]
+            r = x * cos + y * sin if upright else -x * sin + y * cos
+            votes += np.bincount((np.trunc(r + np.copysign(0.5, r)).astype(np.int64) + row).ravel(), minlength=len(votes))
+        return votes
+
+    def send(batches):
         for c in K.gathered(batches):
-            for image in np.unique(c["image_id"]):
-                for upright in (False, True):
-                    rows = (c["image_id"] == image) & (c["upright"] == upright)
-                    if not rows.any():
-                        continue
-                    dx, dy, table = c["dx"][rows], c["dy"][rows], np.empty((len(turns), 2 * reach + 1), np.int64)
-                    for i, (sin, cos) in enumerate(turns):
-                        r = dx * cos + dy * sin if upright else -dx * sin + dy * cos
-                        table[i] = np.bincount((np.trunc(r + np.copysign(0.5, r)) + reach).astype(np.int64), minlength=2 * reach + 1)
-                    ai, ri = np.nonzero(table)
-                    same = [pa.array(np.full(len(ai), image, np.int32)), pa.array(["v" if upright else "h"] * len(ai))]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(ai, pa.int32()), pa.array(ri - reach, pa.int32()), pa.array(table[ai, ri])], ["image_id", "family", "ai", "ri", "votes"])
-
-    flat = _centred(points, width, height).select("image_id", (F.col("family") == "v").cast("int").alias("upright"), "dx", "dy")
-    tables = flat.mapInArrow(run, "image_id int, family string, ai int, ri int, votes long")
-    return tables.groupBy("image_id", "family", "ai", "ri").agg(F.sum("votes").alias("votes"))
+            order = np.lexsort((c["upright"], c["image_id"]))
+            image, upright = c["image_id"][order], c["upright"][order]
+            first = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (upright[1:] != upright[:-1])]))
+            data, few = [], []
+            for a, b in zip(first, [*first[1:], len(order)], strict=True):
+                dx, dy = c["dx"][order[a:b]], c["dy"][order[a:b]]
+                few.append(b - a < shape[0] * shape[1] // 4)
+                data.append(np.stack([dx, dy]).astype(np.float32).tobytes() if few[-1] else table(dx, dy, bool(upright[a])).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(image[first]), pa.array(upright[first]), pa.array(few), pa.array(data, pa.binary())], ["image_id", "upright", "few", "data"])
+
+    def run(rows: pa.Table) -> pa.Table:
+        image, upright = int(rows.column("image_id")[0].as_py()), bool(rows.column("upright")[0].as_py())
+        votes, held = np.zeros(shape[0] * shape[1], np.int64), []
+        for few, data in zip(rows.column("few").to_pylist(), rows.column("data"), strict=True):
+            if few:
+                held.append(np.frombuffer(data.as_buffer(), np.float32).reshape(2, -1))
+            else:
+                votes += np.frombuffer(data.as_buffer(), np.int32)
+        if held:
+            votes += table(*np.concatenate(held, 1).astype(np.float64), upright)
+        return f(image, "v" if upright else "h", votes.reshape(shape), reach)
+
+    # places are halves, which 32 bits hold exactly
+    flat = _centred(points, width, height).select(F.col("image_id").cast("int").alias("image_id"), (F.col("family") == "v").cast("int").alias("upright"), "dx", "dy")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = flat.mapInArrow(send, "image_id int, upright int, few boolean, data binary")
+    return sent.repartition(n, "image_id", "upright").groupBy("image_id", "upright").applyInArrow(run, schema)
+
+
+def _family_rows(image: int, family: str, **columns) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table({"image_id": pa.array(np.full(n, image, np.int32)), "family": pa.array([family] * n, pa.string()), **columns})
+
+
+def hough_votes(points: DataFrame, width: int, height: int, limit: float = SPAN) -> DataFrame:
+    """(image_id, family, ai, ri, votes): points on each line of an angle and a rounded distance from the centre. No row is made for a point
+    and an angle."""
+
+    def run(image, family, votes, reach):
+        ai, ri = np.nonzero(votes)
+        return _family_rows(image, family, ai=pa.array(ai, pa.int32()), ri=pa.array(ri - reach, pa.int32()), votes=pa.array(votes[ai, ri]))
+
+    return _by_family(points, width, height, limit, run, "image_id int, family string, ai int, ri int, votes long")
 
 
 def _between(left: Column, middle: Column, right: Column) -> Column:
@@ -211,26 +301,31 @@ def _angle(place: Column, limit: float) -> Column:
     return F.element_at(N.table(angle_grid(limit)), place + 1)
 
 
-def lines(votes: DataFrame, width: int, height: int, floor: float = 24.0, limit: float = SPAN, most: int = MOST_LINES) -> DataFrame:
-    """(image_id, family, phi, votes, rank) of the strongest lines: those with votes enough for their image's size and their
-    family's points that are greatest nearby (ties: the smaller angle, then distance), the angle between those tried."""
-    reach = math.ceil(math.hypot(width, height) / 2) + 2
-    # every point votes once for each angle
-    points = votes.filter("ai = 0").groupBy("image_id", "family").agg(F.sum("votes").alias("points"))
-    least = points.select("image_id", "family", F.greatest(F.lit(0.12 * max(width, height)), 5.0 * F.col("points") / (2 * reach + 1), F.lit(float(floor))).alias("least"))
-    strong = votes.join(least, ["image_id", "family"]).filter("votes >= least").drop("least")
-    # a line meets only those of its own and the eight blocks around, which are as large as what is near
-    block = lambda c, n: F.floor(F.col(c) / n)
-    around = lambda c, n: F.explode(F.array(*(block(c, n) + k for k in (-1, 0, 1))))
-    other = strong.select("image_id", "family", F.col("ai").alias("a2"), F.col("ri").alias("r2"), F.col("votes").alias("v2"), around("ai", 6).alias("ba"))
-    other = other.select("*", around("r2", 7).alias("br"))
-    mine = strong.select("*", block("ai", 6).alias("ba"), block("ri", 7).alias("br"))
-    better = F.expr("abs(a2 - ai) <= 5 and abs(r2 - ri) <= 6 and (v2 > votes or v2 = votes and (a2 < ai or a2 = ai and r2 < ri))")
-    keys = ["image_id", "family", "ba", "br"]
-    other = other.withColumnRenamed("ai", "_")
-    alone = mine.alias("p").join(other.alias("q"), [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys] + [better], "left_anti").drop("ba", "br")
-    beside = lambda k, name: votes.select("image_id", "family", (F.col("ai") - k).alias("ai"), "ri", F.col("votes").alias(name))
-    alone = alone.join(beside(-1, "l"), ["image_id", "family", "ai", "ri"], "left").join(beside(1, "u"), ["image_id", "family", "ai", "ri"], "left").fillna(0, ["l", "u"])
+def maxima(votes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(angle, distance) of votes of at least ``least`` that are greatest nearby (ties: the smaller angle, then distance)."""
+    place = np.arange(votes.size).reshape(votes.shape)
+    # more votes first, then the earlier place
+    key = votes.astype(np.int64) * votes.size - place
+    best = key
+    for axis, reach in ((0, 5), (1, 6)):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (reach, reach)
+        wide, n = np.pad(best, pad, constant_values=np.iinfo(np.int64).min), votes.shape[axis]
+        best = np.max([np.take(wide, range(k, k + n), axis) for k in range(2 * reach + 1)], 0)
+    return np.nonzero((key == best) & (votes >= max(least, 1)))
+
+
+def lines(points: DataFrame, width: int, height: int, floor: float = 24.0, limit: float = SPAN, most: int = MOST_LINES) -> DataFrame:
+    """(image_id, family, phi, votes, rank) of the strongest lines through ``edge_points``: those with votes enough for their image's size and their
+    family's points that are greatest nearby, the angle between those tried. Votes stay in the task that adds them up."""
+
+    def run(image, family, votes, reach):
+        # every point votes once for each angle
+        ai, ri = maxima(votes, max(0.12 * max(width, height), 5.0 * int(votes[0].sum()) / (2 * reach + 1), float(floor)))
+        wide = np.pad(votes, [(1, 1), (0, 0)])
+        return _family_rows(image, family, ai=pa.array(ai, pa.int32()), ri=pa.array(ri - reach, pa.int32()), votes=pa.array(votes[ai, ri]), l=pa.array(wide[ai, ri]), u=pa.array(wide[ai + 2, ri]))
+
+    alone = _by_family(points, width, height, limit, run, "image_id int, family string, ai int, ri int, votes long, l long, u long")
     inside = (F.col("ai") > 0) & (F.col("ai") < len(angle_grid(limit)) - 1)
     phi = _angle(F.col("ai"), limit) + F.when(inside, _between(F.col("l"), F.col("votes"), F.col("u"))).otherwise(0.0) * STEP
     ranked = alone.withColumn("phi", phi).withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "phi", "family", "ri")))
@@ -338,21 +433,27 @@ def triangle_taps(size: int, out: int) -> list[list[tuple[int, float]]]:
 
 
 def shrunk(p: PixelFrame, long_edge: int) -> PixelFrame:
-    """The column v of ``gray`` with the longer side at most ``long_edge``. Sums are of whole numbers (values in millionths, weights in
-    billionths), so that they do not depend on the order in which a shuffle brings rows."""
+    """The column v of ``gray`` with the longer side at most ``long_edge``, along y and then x, by packed tiles. Sums are of whole numbers (values in
+    millionths, weights in billionths), so that they do not depend on the order in which a shuffle brings rows."""
     long = max(p.width, p.height)
     if long <= long_edge:
         return p
     w, h = (max(1, int(N.half_away(s * long_edge / long))) for s in (p.width, p.height))
-    df = p.df.withColumn("v", F.round(F.col("v") * 1e6).cast("long"))
-    for axis, size, out in (("y", p.height, h), ("x", p.width, w)):
-        if size != out:
-            rows = [(i, o, round(k * 1e9)) for o, each in enumerate(triangle_taps(size, out)) for i, k in each]
-            table = df.sparkSession.createDataFrame(rows, f"{axis} int, _o int, _w long")
-            small = F.broadcast(table) if len(rows) <= 500_000 else table
-            other = "y" if axis == "x" else "x"
-            df = df.join(small, axis).groupBy("image_id", other, F.col("_o").alias(axis)).agg(F.expr("(sum(v * _w) + 500000000) div 1000000000").alias("v"))
-    return replace(p, df=df.select(*KEY, F.expr("(v + 500000) div 1000000").cast("double").alias("v")), width=w, height=h)
+    tiles = K.Scaling([(p.width, p.height, w, h)], triangle_taps, 1.0, K.TILE)
+
+    def run(tile, v, on):
+        image, size, ty, tx = tile
+        v, on = np.floor(v * 1e6 + 0.5).astype(np.int64), on if on is None else on[..., 0]
+        (x0, across), (y0, down) = tiles.axis(size, tx, "x"), tiles.axis(size, ty, "y")
+        for axis, each in ((0, down), (1, across)):
+            if each is not None:
+                whole = each[0], np.floor(each[1] * 1e9 + 0.5)
+                v, on = (K.gathered_sums(v, whole, axis) + 500_000_000) // 1_000_000_000, on if on is None else K.reached(on, whole, axis)
+        y, x = np.nonzero(np.ones(v.shape[:2], bool) if on is None else on)
+        return pa.table([pa.array(np.full(len(y), image, np.int32)), pa.array(y + y0, pa.int32()), pa.array(x + x0, pa.int32()), pa.array(((v[y, x, 0] + 500_000) // 1_000_000).astype(np.float64))], [*KEY, "v"])
+
+    rows = p.df.select(*KEY, "v", F.lit(0).alias(SIZE_ID), F.lit(0).alias("part"))
+    return replace(p, df=K.by_tile(rows, tiles, ["v"], run, "image_id int, y int, x int, v double"), width=w, height=h)
 
 
 def _sharpness(scores: Column, peak: Column) -> Column:
@@ -422,18 +523,20 @@ def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SP
     """
     limit, small = min(max(max_abs_angle, 0.5), 45.0), shrunk(gray(p), max(working_long_edge, 64))
     size, (w, h) = (p.width, p.height), (small.width, small.height)
+    if small.df is not p.df and size != (w, h):
+        small = replace(small, df=written(small.df, "small"))
     images = small.df.select(F.col("image_id").cast("int").alias("image_id")).distinct()
     if min(w, h) < LEAST_SIDE:
         return _told(images.select("image_id", F.lit(f"sides of at least {LEAST_SIDE} pixels are needed").alias("_small")), min_confidence, size)
-    cast = [F.col(c).cast("int").alias(c) for c in KEY]
-    gradients = written(sobel(smoothed(replace(small, df=small.df.select(*cast, "v")))), "gradients")
+    small = replace(small, df=small.df.select(*(F.col(c).cast("int").alias(c) for c in KEY), "v"))
+    slopes = written(gradients(small), "gradients")
 
-    found = written(lines(hough_votes(edge_points(canny_edges(gradients, w, h, edge_tile), limit), w, h, limit), w, h, limit=limit), "lines")
+    found = written(lines(edge_points(canny_edges(small, edge_tile), limit), w, h, limit=limit), "lines")
     masses = angle_histogram(found, limit)
     tops = written(histogram_peaks(masses, limit), "tops")
     support = line_support(found, tops).select("image_id", F.col("phi").alias("line_phi"), F.col("n").alias("n_supporting"), F.col("confidence").alias("line_confidence"))
 
-    points = written(strong_points(edge_points(gradients, limit)), "strong-points")
+    points = written(strong_points(edge_points(slopes, limit)), "strong-points")
     curves = written(projection_scores(points, w, h, limit), "curves")
     facts = family_facts(points, curves)
     fused = fused_curves(curves, facts)

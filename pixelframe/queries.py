@@ -15,6 +15,7 @@ from .operators import color, compare, composite, filters, geometry, masks, tilt
 from .plans.compile import execute
 from .plans.presets import PRESETS
 from .plans.recipe_columns import hash_column, out_of_range
+from .shared import written
 from .sources import images, store, svg
 from .sources.cube import Cube
 
@@ -263,28 +264,33 @@ add("geo_rotation_loss", _loss, f"with t as ({_turned}), r as (select p_partkey,
 
 # tilt: each step of the estimate
 _FLOOR = 10.0  # of votes; the images are small
-_gradients = lambda s, d: tilt.sobel(tilt.smoothed(tilt.gray(frame(s, d, "emb"))))
-_edges = lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50)
-_votes = lambda s, d: tilt.hough_votes(tilt.edge_points(_edges(s, d)), 64, 50)
-_lines = lambda s, d: tilt.lines(_votes(s, d), 64, 50, _FLOOR)
-_tops = lambda s, d: tilt.histogram_peaks(tilt.angle_histogram(_lines(s, d)))
+_gray = lambda s, d: tilt.gray(frame(s, d, "emb"))
+_gradients = lambda s, d: tilt.gradients(_gray(s, d))
+_points = lambda s, d: tilt.edge_points(tilt.canny_edges(_gray(s, d)))
+_lines = lambda s, d: written(tilt.lines(_points(s, d), 64, 50, _FLOOR), "lines")
+
+
+def _support(s: SparkSession, d: str) -> DataFrame:
+    found = _lines(s, d)
+    return tilt.line_support(found, tilt.histogram_peaks(tilt.angle_histogram(found)))
+
+
 add("tilt_sobel", _gradients, sql.sobel("emb").sql("select image_id, y, x, gx, gy from {p}"))
 add("tilt_canny_thresholds", lambda s, d: tilt.canny_thresholds(_gradients(s, d)), sql.thresholds("emb").sql("select image_id, low, high from {p}"))
-add("tilt_canny", lambda s, d: tilt.canny_edges(_gradients(s, d), 64, 50, 24), sql.canny("emb").sql("select image_id, y, x, gx, gy from {p}"))
-add("tilt_edge_family", lambda s, d: tilt.edge_points(_edges(s, d)), sql.points(sql.canny("emb")).sql("select image_id, y, x, family, strength from {p}"))
-add("tilt_hough_votes", _votes, sql.votes("emb").sql("select image_id, family, ai, ri, votes from {p}"))
+add("tilt_canny", lambda s, d: tilt.canny_edges(_gray(s, d), 24), sql.canny("emb").sql("select image_id, y, x, gx, gy from {p}"))
+add("tilt_edge_family", _points, sql.points(sql.canny("emb")).sql("select image_id, y, x, family, strength from {p}"))
+add("tilt_hough_votes", lambda s, d: tilt.hough_votes(_points(s, d), 64, 50), sql.votes("emb").sql("select image_id, family, ai, ri, votes from {p}"))
 add("tilt_nms", lambda s, d: _rounded(_lines(s, d), "phi"), sql.lines("emb", _FLOOR).sql("select image_id, family, round(phi, 6) phi, votes, rank from {p}"))
 add("tilt_angle_hist", lambda s, d: _rounded(tilt.angle_histogram(_lines(s, d)), "mass"), sql.angle_histogram("emb", _FLOOR).sql("select image_id, ai, round(mass, 6) mass from {p}"))
-add("tilt_peaks", lambda s, d: _rounded(_tops(s, d), "phi", "share"), sql.histogram_peaks("emb", _FLOOR).sql("select image_id, place, round(phi, 6) phi, round(share, 6) share from {p}"))
-add("tilt_support", lambda s, d: _rounded(tilt.line_support(_lines(s, d), _tops(s, d)), "phi", "h", "v", "confidence"), sql.line_support("emb", _FLOOR).sql("select image_id, n, round(phi, 6) phi, round(h, 6) h, round(v, 6) v, round(confidence, 6) confidence from {p}"))
+add("tilt_peaks", lambda s, d: _rounded(tilt.histogram_peaks(tilt.angle_histogram(_lines(s, d))), "phi", "share"), sql.histogram_peaks("emb", _FLOOR).sql("select image_id, place, round(phi, 6) phi, round(share, 6) share from {p}"))
+add("tilt_support", lambda s, d: _rounded(_support(s, d), "phi", "h", "v", "confidence"), sql.line_support("emb", _FLOOR).sql("select image_id, n, round(phi, 6) phi, round(h, 6) h, round(v, 6) v, round(confidence, 6) confidence from {p}"))
 add("tilt_projection_score", lambda s, d: _rounded(tilt.projection_scores(tilt.strong_points(tilt.edge_points(_gradients(s, d))), 64, 50), "score"), sql.projection_scores("emb").sql("select image_id, family, ai, round(score, 6) score from {p}"))
 _BIG = 1024  # the working size and the floor of votes as they are
 
 
 def _big_lines(s: SparkSession, d: str) -> DataFrame:
     small = tilt.shrunk(tilt.gray(frame(s, d, "big")), _BIG)
-    found = tilt.canny_edges(tilt.sobel(tilt.smoothed(small)), small.width, small.height)
-    return _rounded(tilt.lines(tilt.hough_votes(tilt.edge_points(found), small.width, small.height), small.width, small.height), "phi")
+    return _rounded(tilt.lines(tilt.edge_points(tilt.canny_edges(small)), small.width, small.height), "phi")
 
 
 add("tilt_shrunk", lambda s, d: tilt.shrunk(tilt.gray(frame(s, d, "big")), _BIG).df.select(*KEY, "v"), sql.gray(("big", _BIG)).sql("select image_id, y, x, gx v from {p}"))
