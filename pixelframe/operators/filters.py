@@ -152,7 +152,8 @@ def pixelate(p: PixelFrame, block_size: int, region=None) -> PixelFrame:
     x1, y1 = (p.pick([e[i] for e in ends]) for i in (0, 1))
     inside = F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1)
     block = lambda c, o: F.floor((F.col(c) - o) / block_size)
-    w_ = Window.partitionBy("image_id", inside, block("y", y0), block("x", x0))
+    # added up line by line, so that a mean does not depend on the order in which a shuffle brings rows
+    w_ = Window.partitionBy("image_id", inside, block("y", y0), block("x", x0)).orderBy("y", "x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     mean = p.with_columns({f"_{c}": F.avg(F.col(c) * F.col("a")).over(w_) for c in N.CHANNELS} | {"_a": F.avg("a").over(w_)})
     new = {c: F.when(inside, N.unpremultiplied(F.col(f"_{c}"), F.col("_a"))).otherwise(F.col(c)) for c in N.CHANNELS}
     return mean.with_columns(new | {"a": F.when(inside, F.col("_a")).otherwise(F.col("a"))}).select(*p.df.columns)

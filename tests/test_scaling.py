@@ -43,3 +43,14 @@ def test_sources_of_tiles_stay_bounded():
         assert (stop - first).max() ** 2 <= kernels.MOST_SOURCE * kernels.TILE**2 * 1.01
         low, high = tiles.near(np.zeros(n, int), {"x": np.arange(n)}, "x")
         assert all(low[s] <= t <= high[s] for t in range(len(first)) for s in (first[t], stop[t] - 1)) and (high - low).max() <= 2
+
+
+def test_means_of_blocks_do_not_depend_on_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from pixelframe.operators import filters
+
+    v = np.random.default_rng(8).integers(0, 256, (23, 31, 4))
+    rows = relation(spark, v)
+    got = [array(filters.pixelate(from_codes(rows.orderBy(*by).coalesce(1), 31, 23, "linear"), 7)) for by in ([F.col("y"), F.col("x")], [F.desc("x"), F.desc("y")], [F.rand(3)])]
+    assert all(np.array_equal(got[0], g) for g in got)
