@@ -263,11 +263,21 @@ def _located(c: str) -> Column:
 def read_channels(spark: SparkSession, path: str | list[str], orient: bool = True) -> DataFrame:
     """(path, y, x, r, g, b, a) on 0..1 of the files under a path, the way up that EXIF asks for; ``orient=False``, as masks
     are read, as they are stored. Headers are read first: files that are too large or unreadable are not decoded."""
-    heads = inspect(spark, path).filter("error is null")
+    return _channels(spark, list(_heads(spark, path).toLocalIterator()), orient)
+
+
+def _heads(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
+    """(path, name, bit_depth, orientation, ...) of readable files, the path as it is read and as a name."""
+    return inspect(spark, path).filter("error is null").select("path", _located("path").alias("name"), "bit_depth", "orientation", *more)
+
+
+def _channels(spark: SparkSession, heads: list, orient: bool) -> DataFrame:
+    """``read_channels`` of files whose headers have been read, so that no file is opened for its header again."""
     # the paths, which Spark holds on the driver in listing files too
-    good = [(r.path, r.bit_depth) for r in heads.select("path", "bit_depth").toLocalIterator()]
+    good = [(r.path, r.bit_depth) for r in heads]
     schema = "path string, y int, x int, r double, g double, b double, a double"
-    turns = heads.select(_located("path").alias("path"), "orientation")
+    turns = spark.createDataFrame([(r.name, r.orientation) for r in heads], "path string, orientation int")
+    turns = F.broadcast(turns) if len(heads) <= 100_000 else turns
     out = spark.createDataFrame([], schema)
 
     def rows(name: str, v: np.ndarray, most: float, orientation: int) -> Iterator[pa.RecordBatch]:
@@ -311,14 +321,13 @@ def read_pixels(spark: SparkSession, path: str, orient: bool = True) -> DataFram
 def read_images(spark: SparkSession, path: str | list[str], orient: bool = True) -> tuple[DataFrame, DataFrame]:
     """The images under a path, of whatever sizes, as one relation: (image_id, y, x, r, g, b, a, width, height), and the files
     (image_id, path, width, height, has_exif, has_icc). Numbers follow the order of paths; unreadable files have none."""
-    heads = inspect(spark, path).filter("error is null")
     told = [(F.coalesce(F.size("exif") > 0, F.lit(False)) | F.col("has_gps")).alias("has_exif"), F.col("has_icc_profile").alias("has_icc")]
     turned = F.coalesce("orientation", F.lit(1)) >= 5 if orient else F.lit(False)
     size = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("width", "height"), ("height", "width"))]
-    found = sorted(heads.select(_located("path").alias("path"), *size, *told).toLocalIterator(), key=lambda r: r.path)
-    files = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "image_id int, path string, width int, height int, has_exif boolean, has_icc boolean")
+    found = sorted(_heads(spark, path, *size, *told).toLocalIterator(), key=lambda r: r.name)
+    files = spark.createDataFrame([(i, r.name, r.width, r.height, r.has_exif, r.has_icc) for i, r in enumerate(found)], "image_id int, path string, width int, height int, has_exif boolean, has_icc boolean")
     numbers = files.select("path", "image_id", "width", "height")
-    pixels = read_channels(spark, path, orient).join(F.broadcast(numbers) if len(found) <= 100_000 else numbers, "path")
+    pixels = _channels(spark, found, orient).join(F.broadcast(numbers) if len(found) <= 100_000 else numbers, "path")
     return pixels.select("image_id", "y", "x", *"rgba", "width", "height"), files
 
 
