@@ -532,14 +532,14 @@ def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SP
     slopes = written(gradients(small), "gradients")
 
     found = written(lines(edge_points(canny_edges(small, edge_tile), limit), w, h, limit=limit), "lines")
-    masses = angle_histogram(found, limit)
+    masses = written(angle_histogram(found, limit), "masses")
     tops = written(histogram_peaks(masses, limit), "tops")
     support = line_support(found, tops).select("image_id", F.col("phi").alias("line_phi"), F.col("n").alias("n_supporting"), F.col("confidence").alias("line_confidence"))
 
     points = written(strong_points(edge_points(slopes, limit)), "strong-points")
     curves = written(projection_scores(points, w, h, limit), "curves")
-    facts = family_facts(points, curves)
-    fused = fused_curves(curves, facts)
+    facts = written(family_facts(points, curves), "facts")
+    fused = written(fused_curves(curves, facts), "fused")
     whole = fused_facts(fused, facts).withColumn("usable", F.col("sharp") >= USABLE)
 
     # what the fine samples lie around: near the lines' angle the fused curve's best place, else the best of all
@@ -570,7 +570,7 @@ def detect(p: PixelFrame, min_confidence: float = 0.5, max_abs_angle: float = SP
 
     counts = found.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_lines"))
     pairs = tops.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "phi", "share"))), lambda t: F.struct(_round3(-t["phi"]).alias("angle"), _round3(t["share"]).alias("score"))).alias("tops"))
-    rows = image.join(both, "image_id", "left").join(families, "image_id", "left").join(counts, "image_id", "left").join(pairs, "image_id", "left")
+    rows = written(image.join(both, "image_id", "left").join(families, "image_id", "left").join(counts, "image_id", "left").join(pairs, "image_id", "left"), "found")
     return _told(rows.join(_curve(rows, fused, masses, limit), "image_id", "left"), min_confidence, size)
 
 

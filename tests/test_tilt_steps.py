@@ -54,3 +54,10 @@ def test_shrinking_sends_packed_tiles(spark, monkeypatch):
     whole = {(r.y, r.x): r.v for r in tilt.shrunk(p, 77).df.collect()}
     monkeypatch.setattr(kernels, "TILE", 16)
     assert {(r.y, r.x): r.v for r in tilt.shrunk(p, 77).df.collect()} == whole and len(whole) == 77 * 50
+
+
+def test_steps_of_the_estimate_are_planned_once(spark):
+    """The last plan joins tables of the steps; it does not hold their joins again."""
+    rows = spark.range(32 * 32).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"), *((F.hash("id") % 2 * 100 + 100).alias(f"{c}8") for c in "rgba"))
+    plan = tilt.detect(from_codes(rows, 32, 32))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 5
