@@ -479,6 +479,23 @@ def held(v: np.ndarray, on: np.ndarray | None, axis: int) -> np.ndarray:
     return np.take_along_axis(v, at[..., None], axis)
 
 
+def closed(v: np.ndarray, on: np.ndarray | None, axis: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The values along an axis without the places that have no pixel, the last one repeated behind them, and for each place where its
+    value now is: neighbours along an axis are the pixels next to one another, as they are to window expressions."""
+    if on is None:
+        return v, None
+    mask = np.moveaxis(on, axis, 0)
+    order, last = np.argsort(~mask, 0, kind="stable"), np.maximum(mask.sum(0) - 1, 0)
+    order = np.take_along_axis(order, np.minimum(np.arange(len(mask))[:, None], last), 0)
+    rank = np.maximum(np.cumsum(mask, 0) - 1, 0)
+    return np.take_along_axis(v, np.moveaxis(order, 0, axis)[..., None], axis), np.moveaxis(rank, 0, axis)
+
+
+def opened(v: np.ndarray, rank: np.ndarray | None, axis: int) -> np.ndarray:
+    """Values back at their places."""
+    return v if rank is None else np.take_along_axis(v, rank[..., None], axis)
+
+
 #: Bytes of values that a pass of a filter works on at a time, so that they stay in a core's cache.
 NEAR = 1 << 17
 
@@ -487,7 +504,8 @@ def convolved(v: np.ndarray, weights: Sequence[float], axis: int, on: np.ndarray
     """One pass of a filter of odd length along an axis, edges held. Terms are added from left to right, so that sums are those of the
     window expressions to the last bit, whatever tile a pixel lies in."""
     n, r = v.shape[axis], len(weights) // 2
-    flat = np.moveaxis(held(v, on, axis), axis, 0)
+    v, rank = closed(v, on, axis)
+    flat = np.moveaxis(v, axis, 0)
     rest = flat.shape[1:]
     flat = np.ascontiguousarray(flat).reshape(n, -1)
     wide = np.concatenate([np.repeat(flat[:1], r, 0), flat, np.repeat(flat[-1:], r, 0)])
@@ -499,7 +517,7 @@ def convolved(v: np.ndarray, weights: Sequence[float], axis: int, on: np.ndarray
         for k, w in enumerate(weights[1:], 1):
             np.multiply(wide[at + k : at + k + len(total)], float(w), out=part)
             total += part
-    return np.moveaxis(out.reshape(n, *rest), 0, axis)
+    return opened(np.moveaxis(out.reshape(n, *rest), 0, axis), rank, axis)
 
 
 def blurred(v: np.ndarray, weights: Sequence[float], on: np.ndarray | None = None) -> np.ndarray:
@@ -515,7 +533,8 @@ def sharpened(v: np.ndarray, weights: Sequence[float], amount: float, least: flo
 def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float, offset: float, alpha_least: float, on: np.ndarray | None = None) -> np.ndarray:
     """A square kernel over premultiplied colour; rows of it first, then their sum. Alpha stays."""
     r = size // 2
-    wide = np.pad(held(premultiplied(v)[..., :3], on, 1), [(0, 0), (r, r), (0, 0)], "edge")
+    flat, across = closed(premultiplied(v)[..., :3], on, 1)
+    wide = np.pad(flat, [(0, 0), (r, r), (0, 0)], "edge")
     h, w = v.shape[:2]
     total = np.zeros((h, w, 3))
     for j in range(size):
@@ -523,8 +542,9 @@ def correlated(v: np.ndarray, kernel: Sequence[float], size: int, divisor: float
         for i in range(size):
             if k := float(kernel[j * size + i]):
                 row += wide[:, i : i + w] * k
-        total += np.pad(held(row, on, 0), [(r, r), (0, 0), (0, 0)], "edge")[j : j + h]
-    a = v[..., 3:]
+        row, down = closed(opened(row, across, 1), on, 0)
+        total += np.pad(row, [(r, r), (0, 0), (0, 0)], "edge")[j : j + h]
+    total, a = opened(total, down, 0), v[..., 3:]
     rgb = np.where(a < alpha_least, 0.0, total / divisor / np.where(a < alpha_least, 1.0, a))
     return np.concatenate([np.clip(rgb + offset, 0, 1), a], -1)
 

@@ -43,6 +43,16 @@ def test_warps_see_the_border_where_lines_are_missing(spark, pair):
     assert np.allclose(array(geometry.perspective(pair[0], vertical_degrees=8.0)), k, atol=1e-12)
 
 
+def test_neighbours_across_missing_lines_and_pixels(spark):
+    """Lines and columns that are missing inside an image: filters see what is left as one."""
+    v = np.random.default_rng(8).integers(0, 256, (H, W, 4))
+    ys, xs = [y for y in range(H) if y not in (0, 4, 5, 11)], [x for x in range(W) if x not in (2, 17, 30)]
+    part = from_codes(relation(spark, v).filter(F.col("y").isin(ys) & F.col("x").isin(xs)), W, H, "linear")
+    whole = from_codes(relation(spark, v[np.ix_(ys, xs)]), len(xs), len(ys), "linear")
+    for run in (lambda p: filters.blur(p, 3.5), lambda p: filters.convolve(p, list(range(25)), 5, 300.0, 3), lambda p: filters.unsharp_mask(p, 0.8, 3.5)):
+        assert np.array_equal(array(run(part))[np.ix_(ys, xs)], array(run(whole)))
+
+
 def test_sums_of_filters_do_not_depend_on_tiles(monkeypatch):
     v = np.random.default_rng(1).uniform(size=(40, 50, 4))
     weights = np.random.default_rng(2).uniform(size=21).tolist()
