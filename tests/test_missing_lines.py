@@ -1,10 +1,12 @@
 """Images that lack their last lines: neighbourhoods end where pixels do, warps see the border there, and no pixel is made up."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import array, relation
 
+import __spark_entry__
 from pixelframe.frame import from_codes
 from pixelframe.operators import filters, geometry, kernels
 
@@ -64,3 +66,21 @@ def test_sums_of_filters_do_not_depend_on_tiles(monkeypatch):
     monkeypatch.setattr(kernels, "NEAR", 1000)
     assert np.array_equal(kernels.convolved(v, weights, 1), want)
     assert np.array_equal(kernels.convolved(v.swapaxes(0, 1), weights, 0), want.swapaxes(0, 1))
+
+
+#: Of 237 embeddings, five images of which the last has 37 lines: all, without some inside, and without the lines that a patch is made of.
+LINES = {"last": lambda k: True, "inside": lambda k: k % 7 not in (0, 3), "source": lambda k: not 100 <= k < 121, "target": lambda k: not 71 <= k < 90}
+
+
+@pytest.mark.parametrize("name", ["px_convolve7"])
+@pytest.mark.parametrize("kept", LINES)
+def test_queries_equal_their_sql_where_lines_are_missing(spark, tmp_path, name, kept):
+    v = np.random.default_rng(11).normal(0, 0.3, (237, 64))
+    rows = [(k, v[k].tolist()) for k in range(237) if LINES[kept](k)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        columns = "image_id, y, x, r8, g8, b8, a8"
+        want = con.execute(f"select {columns} from ({__spark_entry__.oracle_sql()[name]}) order by all").fetchall()
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).selectExpr(columns.split(", "))
+    assert len(want) == 64 * len(rows) and sorted(map(tuple, got.collect())) == want
