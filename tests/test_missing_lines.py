@@ -72,7 +72,7 @@ def test_sums_of_filters_do_not_depend_on_tiles(monkeypatch):
 LINES = {"last": lambda k: True, "inside": lambda k: k % 7 not in (0, 3), "source": lambda k: not 100 <= k < 121, "target": lambda k: not 71 <= k < 90}
 
 
-@pytest.mark.parametrize("name", ["px_convolve7", "px_convolve9"])
+@pytest.mark.parametrize("name", ["px_convolve7", "px_convolve9", "px_heal"])
 @pytest.mark.parametrize("kept", LINES)
 def test_queries_equal_their_sql_where_lines_are_missing(spark, tmp_path, name, kept):
     v = np.random.default_rng(11).normal(0, 0.3, (237, 64))
