@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 def _tiles(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
     """Rows by their key's place in images of this size; places without a row are there too, with nulls. Keys are counted exactly, by bitmaps: only
-    where some before the last are missing, all places are joined; else those behind the last are put beside the rows."""
+    where some before the last are missing, places are joined for those; else those behind the last are put beside the rows. Rows are dealt out in
+    stretches of keys and lie in order there, however files hold them: tiles are packed by stretches, and rows of many images together would be many small pieces."""
     k, size, spark = F.col("_k"), width * height, df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
     df = df.withColumn("_k", F.col(key)).filter("_k >= 0")
     some = df.groupBy(F.bitmap_bucket_number(k + 1).alias("b")).agg(F.max("_k").alias("last"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(k + 1))).alias("n"))
     last, keys = some.agg(F.max("last"), F.sum("n")).first()
     n = 0 if last is None else (last // size + 1) * size
     if last is not None and keys <= last:
-        rows = spark.range(n).withColumnRenamed("id", "_k").join(df, "_k", "left")
+        places = spark.range(n).withColumnRenamed("id", "_k").join(df.select("_k"), "_k", "left_anti")
     else:
-        # a file of few parts is dealt out in stretches of keys, as tiles are packed by stretches
-        parts = spark.sparkContext.defaultParallelism
-        rows = df if df.rdd.getNumPartitions() >= parts else df.repartitionByRange(parts, "_k")
-        rows = rows.unionByName(spark.range(n if last is None else last + 1, n, 1, 1).withColumnRenamed("id", "_k"), allowMissingColumns=True)
+        places = spark.range(n if last is None else last + 1, n, 1, 1).withColumnRenamed("id", "_k")
+    rows = df.unionByName(places, allowMissingColumns=True).repartitionByRange(parts, "_k").sortWithinPartitions("_k")
     at = [F.floor(k / size).cast("int").alias("image_id"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x")]
     return rows.select(*at, "*")
 

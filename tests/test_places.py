@@ -24,3 +24,19 @@ def test_every_place_is_there(spark, tmp_path, keys):
 def test_no_join_where_no_key_is_missing(spark, tmp_path):
     plan = fixtures.wide_px(spark, _orders(spark, range(20_000), tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_tiles_are_packed_as_well_from_rows_in_any_order(spark, tmp_path, gap):
+    from pixelframe.frame import from_codes
+    from pixelframe.operators import kernels
+
+    rows = spark.range(60_000).select(F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.lit(3.0).alias("o_totalprice"))
+
+    def pieces(name, dealt):
+        dealt.write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        p = from_codes(fixtures.big_px(spark, f"{tmp_path}/{name}"), 1792, 1400)
+        return kernels.packed(p.df.withColumns({"size_id": F.lit(0), "part": F.lit(0)}), [(1792, 1400)], 0).count()
+
+    mixed = rows.filter(F.lit(not gap) | (F.col("o_orderkey") != 777)).repartition(24, F.xxhash64("o_orderkey", F.lit(1)))
+    assert pieces("mixed", mixed) <= 1.2 * pieces("kept", rows.repartitionByRange(24, "o_orderkey").sortWithinPartitions("o_orderkey"))
